@@ -37,7 +37,7 @@ def token_line(text: Column) -> Column:
 
 def line_length(line: Column) -> Column:
     """Number of tokens in a :func:`token_line`."""
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
     return F.when(F.trim(line) == "", F.lit(0)).otherwise(spaces - 1)
 
 
@@ -49,10 +49,12 @@ def prefix_count(line: Column, keyword: str) -> Column:
     first, *rest = keyword.split()
     if not rest:
         needle = " " + first
-        return ((F.length(line) - F.length(F.replace(line, F.lit(needle), F.lit(""))))
-                / F.lit(len(needle))).cast("int")
+        # byte lengths are stored with the text, character lengths have to be counted
+        gone = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(needle), F.lit("")))
+        return (gone / F.lit(len(needle.encode()))).cast("int")
     ahead = "[^ ]* ".join(re.escape(p) for p in rest)
-    return F.regexp_count(line, F.lit(f" {re.escape(first)}[^ ]*(?= {ahead})"))
+    found = F.regexp_count(line, F.lit(f" {re.escape(first)}[^ ]*(?= {ahead})"))
+    return F.when(F.contains(line, F.lit(" " + rest[-1])), found).otherwise(F.lit(0))
 
 
 def lexicon_hits(toks: Column, single: list[str], phrases: list[str]) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
@@ -13,16 +16,16 @@ from votemill import constants as C
 from votemill.runtime import global_rank, materialize
 
 BLOCK = 4096
+MAX_GRAM = 4096
 
 
 def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, years,
                 min_votes: int = 100, min_vote_count: int = 20, min_members: int = 5) -> DataFrame | None:
     """Raw coordinates ``(person_id, party, n_votes, x, y, var1, var2)`` from the vote matrix.
 
-    The matrix is handed to MLlib with one row per vote and one column per
-    member, each row centred on its own mean: its right singular vectors times
-    the singular values are the member coordinates.  MLlib keeps vectors as
-    long as the number of members on the driver, never the votes.
+    The matrix has one row per vote and one column per member, each row centred
+    on its own mean: its right singular vectors times the singular values are the
+    member coordinates.  Sizes on the driver depend on the members, never on the votes.
     ``None`` when there are too few votes or members for a map.
     """
     spark = vote.sparkSession
@@ -45,15 +48,9 @@ def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, y
     per_vote = (cells.join(members.select("person_id", "col"), "person_id").groupBy("vote_id")
                 .agg(F.collect_list("col").alias("cols"), F.collect_list("v").alias("vals")))
 
-    def centred(row):
-        x = np.zeros(n)
-        x[row["cols"]] = row["vals"]
-        return Vectors.dense(x - x.mean())
-
-    rows = materialize(per_vote, "vote-rows").rdd.map(centred)
-    energy = (rows.map(lambda v: float(np.dot(v.toArray(), v.toArray()))).sum())
-    svd = RowMatrix(rows, numCols=n).computeSVD(min(2, n))
-    s, v = svd.s.toArray(), svd.V.toArray()
+    rows = materialize(per_vote, "vote-rows")
+    values, axes, energy = _member_axes(rows, n)
+    s, v = np.sqrt(np.maximum(values, 0.0)), axes
     xy = np.zeros((n, 2))
     xy[:, : len(s)] = v * s
     share = [float(a * a / energy) if energy else 0.0 for a in np.pad(s, (0, 2 - len(s)))]
@@ -66,6 +63,37 @@ def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, y
                     F.bround(F.lit(100 * share[1]), 0).cast("int").alias("var2")))
 
 
+def _member_axes(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two largest eigenvalues, their vectors and the trace of the members' Gram matrix.
+
+    Up to ``MAX_GRAM`` members the matrix (n x n, at most 128 MB) is summed from
+    blocks of votes on the executors; beyond it MLlib iterates over the rows and
+    only vectors of length n reach the driver.
+    """
+    def centred(batch):
+        x = np.zeros((len(batch), n))
+        for i, row in enumerate(batch):
+            x[i, row["cols"]] = row["vals"]
+        return x - x.mean(axis=1, keepdims=True)
+
+    def partial(part):
+        gram = np.zeros((n, n))
+        for batch in iter(lambda: list(islice(part, 512)), []):
+            x = centred(batch)
+            gram += x.T @ x
+        yield gram
+
+    if n <= MAX_GRAM:
+        gram = rows.rdd.mapPartitions(lambda it: partial(iter(it))).treeReduce(np.add)
+        values, vectors = np.linalg.eigh(gram)
+        return values[::-1][:2], vectors[:, ::-1][:, :2], float(np.trace(gram))
+    dense = rows.rdd.map(lambda row: Vectors.dense(centred([row])[0])).persist(StorageLevel.DISK_ONLY)
+    svd = RowMatrix(dense, numCols=n).computeSVD(2)
+    energy = dense.map(lambda v: float(v.dot(v))).sum()
+    dense.unpersist()
+    return svd.s.toArray() ** 2, svd.V.toArray(), energy
+
+
 def embedding_points(embedding: DataFrame, person: DataFrame, *, dim: int, min_speeches: int = 20,
                      min_members: int = 5) -> DataFrame | None:
     """Raw coordinates from the mean speech embedding of each member: ``(person_id, party, x, y)``.

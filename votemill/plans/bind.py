@@ -61,6 +61,14 @@ class Bound:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """A base table, hashed over the cores where it is laid out in fewer files than that.
+
+        A table with enough files is read as it is, without an exchange.
+        """
+        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
     # --- facts ---------------------------------------------------------------
     @cached_property
     def party_of(self) -> DataFrame:
@@ -81,7 +89,7 @@ class Bound:
         """One row per line item: repeated (vote, person) pairs, values still coded."""
         value = ("CASE WHEN l_returnflag = 'R' THEN 'Jaa' WHEN l_returnflag = 'A' THEN 'Ei' "
                  "WHEN l_linestatus = 'F' THEN 'Tyhjiä' ELSE 'Poissa' END AS vote_value")
-        return self.base("lineitem").selectExpr(
+        return self.spread("lineitem", "l_partkey", "l_suppkey").selectExpr(
             "l_partkey AS vote_id", "l_suppkey AS person_id", "l_orderkey AS page", "l_linenumber AS place", value)
 
     @cached_property
@@ -93,8 +101,9 @@ class Bound:
                         S.vote_value(F.col("vote_value")).alias("vote_value")))
 
     @cached_property
-    def vote(self) -> DataFrame:
-        head = self.base("part").selectExpr(
+    def vote_head(self) -> DataFrame:
+        """Vote headers without the result counts."""
+        return self.spread("part", "p_partkey").selectExpr(
             "p_partkey AS vote_id", f"{_day('(p_partkey * 37) % 2500')} AS session_date",
             f"CASE p_partkey % 3 WHEN 0 THEN '{CLEAN_TITLE}' WHEN 1 THEN '{CONTEXT_TITLE}' ELSE p_name END AS title",
             "p_name AS item_title", "cast(null as string) AS main_item_title", "cast(null as string) AS treatment_title",
@@ -103,21 +112,25 @@ class Bound:
             "concat('stage-', cast(p_partkey % 2 as string)) AS treatment_stage",
             "cast(p_size % 10 = 0 as int) AS is_procedural") \
             .withColumn("vp_year", F.substring("session_date", 1, 4).cast("int"))
+
+    @cached_property
+    def vote(self) -> DataFrame:
+        """Vote headers with the result counts, taken from the records."""
         v = F.col("vote_value")
         tally = self.vote_record.groupBy("vote_id").agg(
             F.count_if(v == "Jaa").alias("result_yes"), F.count_if(v == "Ei").alias("result_no"),
             F.count_if(v == "Tyhjää").alias("result_empty"), F.count_if(v == "Poissa").alias("result_absent"),
             F.count(F.lit(1)).alias("result_total"))
-        return head.join(tally, "vote_id", "left").na.fill(0, ["result_yes", "result_no", "result_empty", "result_absent", "result_total"])
+        return self.vote_head.join(tally, "vote_id", "left").na.fill(0, ["result_yes", "result_no", "result_empty", "result_absent", "result_total"])
 
     @cached_property
     def speech_text(self) -> DataFrame:
-        return self.base("documents").select(F.col("doc_id").alias("id"), "text")
+        return self.spread("documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
 
     @cached_property
     def speech(self) -> DataFrame:
         n = self.base("supplier").agg(F.count(F.lit(1))).scalar()
-        s = self.base("documents").withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
+        s = self.spread("documents", "doc_id").withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
             "doc_id AS id", "person_id", "concat('s', cast(doc_id as string)) AS external_key",
             f"{_day('(doc_id * 53) % 2500')} AS started_at",
             "concat('HE ', cast(doc_id div 10 as string)) AS legislative_item",
@@ -161,13 +174,13 @@ class Bound:
 
     @cached_property
     def person_term(self) -> DataFrame:
-        d = self.vote_record.join(self.vote.select("vote_id", "session_date", "vp_year"), "vote_id")
+        d = self.vote_record.join(self.vote_head.select("vote_id", "session_date", "vp_year"), "vote_id")
         return d.groupBy("person_id", "vp_year").agg(F.min("session_date").alias("start_date"), F.max("session_date").alias("e")) \
             .selectExpr("person_id", "start_date", "CASE WHEN vp_year = 2001 AND person_id % 3 = 0 THEN null ELSE e END AS end_date")
 
     @cached_property
     def person_party(self) -> DataFrame:
-        d = self.vote_record.join(self.vote.select("vote_id", "session_date"), "vote_id")
+        d = self.vote_record.join(self.vote_head.select("vote_id", "session_date"), "vote_id")
         return d.groupBy("person_id", "party").agg(F.min("session_date").alias("start_date")).selectExpr(
             "person_id", "party AS group_code", "party AS group_name", "start_date", "cast(null as string) AS end_date")
 
@@ -200,23 +213,23 @@ class Bound:
 
     @cached_property
     def vote_topic(self) -> DataFrame:
-        return topics.assign_topics(topics.vote_texts(self.vote, self.legislation), "vote_id", "text", LEXICON)
+        return topics.assign_topics(topics.vote_texts(self.vote_head, self.legislation), "vote_id", "text", LEXICON)
 
     @cached_property
     def party_line(self) -> DataFrame:
-        return lines.party_line(self.vote_record, self.vote)
+        return lines.party_line(self.vote_record, self.vote_head)
 
     @cached_property
     def party_deviation(self) -> DataFrame:
-        return lines.party_deviation(self.vote_record, self.vote, self.party_line)
+        return lines.party_deviation(self.vote_record, self.vote_head, self.party_line)
 
     @cached_property
     def topic_days(self) -> DataFrame:
-        return members.topic_days(self.speech, self.speech_topic, self.vote_record, self.vote, self.vote_topic)
+        return members.topic_days(self.speech, self.speech_topic, self.vote_record, self.vote_head, self.vote_topic)
 
     @cached_property
     def member_summary(self) -> DataFrame:
-        return members.member_summary(self.person, self.vote_record, self.vote, self.speech, self.topic_days,
+        return members.member_summary(self.person, self.vote_record, self.vote_head, self.speech, self.topic_days,
                                       deviation=self.party_deviation)
 
     @cached_property
@@ -225,7 +238,7 @@ class Bound:
 
     @cached_property
     def position_change(self) -> DataFrame:
-        return members.position_changes(self.vote_record, self.vote, self.vote_topic)
+        return members.position_changes(self.vote_record, self.vote_head, self.vote_topic)
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -246,7 +259,7 @@ class Bound:
 
     @cached_property
     def words_votes(self) -> DataFrame:
-        return stance.words_votes_ledger(self.stance, self.speech, self.vote, self.vote_record)
+        return stance.words_votes_ledger(self.stance, self.speech, self.vote_head, self.vote_record)
 
     @cached_property
     def breakers(self) -> DataFrame:
@@ -271,7 +284,7 @@ class Bound:
         s = self.speech.where("id % 10 = 4").select(
             "legislative_item", F.concat_ws(" ", "first_name", "last_name").alias("speaker"), "party", "text")
         arg = "to_json(array(named_struct('argument', '{0}', 'speaker', speaker, 'party', party, 'quote', substring(text, {1}, 20))))"
-        return (self.vote.where("vote_id % 4 = 0").select("vote_id", "legislative_item").join(s, "legislative_item")
+        return (self.vote_head.where("vote_id % 4 = 0").select("vote_id", "legislative_item").join(s, "legislative_item")
                 .selectExpr("vote_id", f"{arg.format('for', 1)} AS pro_json", f"{arg.format('against', 10)} AS con_json", "'n' AS note"))
 
 

@@ -25,13 +25,13 @@ def _(b):
 
 @query("pred_bill_passage", f"SELECT vote_id, title, cast(title = '{bind.CLEAN_TITLE}' as int) AS is_passage FROM vote")
 def _(b):
-    return b.vote.select("vote_id", "title", S.is_bill_passage(F.col("title")).cast("int").alias("is_passage"))
+    return b.vote_head.select("vote_id", "title", S.is_bill_passage(F.col("title")).cast("int").alias("is_passage"))
 
 
 @query("pred_clean_vote_like", """SELECT vote_id, title FROM vote WHERE lower(title) LIKE 'hyväksyminen / hylk%'
     OR (lower(title) LIKE 'mietintö /%' AND lower(title) LIKE '%hylk%')""")
 def _(b):
-    return b.vote.where(S.is_clean_vote(F.col("title"))).select("vote_id", "title")
+    return b.vote_head.where(S.is_clean_vote(F.col("title"))).select("vote_id", "title")
 
 
 @query("pred_reluctance", """SELECT id, CASE WHEN contains(lower(text), 'of the') THEN 'of the' WHEN contains(lower(text), 'de la') THEN 'de la'
@@ -57,7 +57,7 @@ def _(b):
 @query("pred_search_like", """SELECT * FROM (SELECT vote_id, session_date, title, legislative_item FROM vote WHERE title ILIKE '%WIDGET%' OR legislative_item ILIKE '%WIDGET%'
     OR item_title ILIKE '%WIDGET%' ORDER BY session_date DESC, vote_id LIMIT 30)""")
 def _(b):
-    return search.search_votes(b.vote, "WIDGET")
+    return search.search_votes(b.vote_head, "WIDGET")
 
 
 @query("search_speeches_like", """SELECT id, first_name, last_name, party, ptk_id, started_at, substr(text, 1, 160) AS snip FROM speech WHERE text ILIKE '%THE THE%' ORDER BY id LIMIT 30""")
@@ -72,7 +72,7 @@ def _(b):
 
 @query("proj_vote_text", "SELECT vote_id, text FROM vote_text")
 def _(b):
-    return topics.vote_texts(b.vote, b.legislation)
+    return topics.vote_texts(b.vote_head, b.legislation)
 
 
 @query("proj_doc_url", f"SELECT id, '{S.DOC_BASE_URL}/Poytakirja/Sivut/' || replace(replace(ptk_id, ' ', '_'), '/', '+') || '.aspx' AS url FROM speech")
@@ -83,18 +83,18 @@ def _(b):
 # --- joins ----------------------------------------------------------------------
 @query("join_inner_equi", "SELECT vote_id, person_id, vote_value, session_date, is_procedural FROM vote_record JOIN vote USING (vote_id)")
 def _(b):
-    return b.vote_record.select("vote_id", "person_id", "vote_value").join(b.vote.select("vote_id", "session_date", "is_procedural"), "vote_id")
+    return b.vote_record.select("vote_id", "person_id", "vote_value").join(b.vote_head.select("vote_id", "session_date", "is_procedural"), "vote_id")
 
 
 @query("join_left_outer", "SELECT vote_id, legislative_item, l.title AS leg_title, l.url FROM vote LEFT JOIN legislation l ON eduskunta_tunnus = legislative_item")
 def _(b):
     leg = b.legislation.select(F.col("eduskunta_tunnus").alias("legislative_item"), F.col("title").alias("leg_title"), "url")
-    return b.vote.select("vote_id", "legislative_item").join(leg, "legislative_item", "left")
+    return b.vote_head.select("vote_id", "legislative_item").join(leg, "legislative_item", "left")
 
 
 @query("join_semi", "SELECT id, person_id FROM speech WHERE legislative_item IN (SELECT legislative_item FROM vote WHERE is_procedural = 1)")
 def _(b):
-    return b.speech.join(b.vote.where("is_procedural = 1"), "legislative_item", "left_semi").select("id", "person_id")
+    return b.speech.join(b.vote_head.where("is_procedural = 1"), "legislative_item", "left_semi").select("id", "person_id")
 
 
 @query("join_anti", "SELECT id, person_id FROM speech WHERE id NOT IN (SELECT speech_id FROM stance)")
@@ -105,7 +105,7 @@ def _(b):
 @query("join_exists_flag", """SELECT vote_id, CASE WHEN EXISTS (SELECT 1 FROM speech s WHERE s.legislative_item = v.legislative_item AND s.id % 10 = 3) THEN 1 ELSE 0 END AS has_explainer FROM vote v""")
 def _(b):
     known = b.explainer.select("legislative_item").distinct().withColumn("_e", F.lit(1))
-    return b.vote.select("vote_id", "legislative_item").join(known, "legislative_item", "left") \
+    return b.vote_head.select("vote_id", "legislative_item").join(known, "legislative_item", "left") \
         .select("vote_id", F.coalesce("_e", F.lit(0)).alias("has_explainer"))
 
 
@@ -134,7 +134,7 @@ def _(b):
 
 @query("join_period_range", """SELECT vote_id, session_date, coalesce((SELECT string_agg(g, ',' ORDER BY g) FROM period p WHERE p.s <= v.session_date AND v.session_date < p.e), '') AS coalition FROM vote v""")
 def _(b):
-    return b.vote.select("vote_id", "session_date", F.array_join(F.array_sort(power.coalition_at(F.col("session_date"), bind.PERIODS)), ",").alias("coalition"))
+    return b.vote_head.select("vote_id", "session_date", F.array_join(F.array_sort(power.coalition_at(F.col("session_date"), bind.PERIODS)), ",").alias("coalition"))
 
 
 @query("join_lexicon_cross", """SELECT item_id AS id, topic_id, trim(p1 || ' ' || p2) AS keyword, count(*) AS hits FROM item_pos JOIN topic_keyword
@@ -163,7 +163,7 @@ def _(b):
 # --- aggregates -------------------------------------------------------------------
 @query("agg_group_count", "SELECT vp_year, vote_value, count(*) AS n FROM vote_record JOIN vote USING (vote_id) GROUP BY 1, 2 HAVING count(*) >= 10")
 def _(b):
-    return b.vote_record.join(b.vote.select("vote_id", "vp_year"), "vote_id").groupBy("vp_year", "vote_value") \
+    return b.vote_record.join(b.vote_head.select("vote_id", "vp_year"), "vote_id").groupBy("vp_year", "vote_value") \
         .agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
 
 
@@ -202,7 +202,7 @@ def _(b):
 @query("agg_pivot_matrix", """SELECT party, """ + ", ".join(
     f"count(*) FILTER (vp_year = {y}) AS y{y}" for y in bind.YEARS) + " FROM vote_record JOIN vote USING (vote_id) GROUP BY party")
 def _(b):
-    m = b.vote_record.join(b.vote.select("vote_id", "vp_year"), "vote_id").groupBy("party").pivot("vp_year", list(bind.YEARS)).agg(F.count(F.lit(1)))
+    m = b.vote_record.join(b.vote_head.select("vote_id", "vp_year"), "vote_id").groupBy("party").pivot("vp_year", list(bind.YEARS)).agg(F.count(F.lit(1)))
     return m.na.fill(0).select("party", *[F.col(f"`{y}`").alias(f"y{y}") for y in bind.YEARS])
 
 
@@ -249,7 +249,7 @@ def _(b):
 @query("win_share_of_total", """SELECT vp_year, party, n, round_even(100 * n / sum(n) OVER (PARTITION BY vp_year), 1) AS share FROM (
     SELECT vp_year, party, count(*) AS n FROM vote_record JOIN vote USING (vote_id) GROUP BY 1, 2)""")
 def _(b):
-    n = b.vote_record.join(b.vote.select("vote_id", "vp_year"), "vote_id").groupBy("vp_year", "party").agg(F.count(F.lit(1)).alias("n"))
+    n = b.vote_record.join(b.vote_head.select("vote_id", "vp_year"), "vote_id").groupBy("vp_year", "party").agg(F.count(F.lit(1)).alias("n"))
     return R.share_of_total(n, "vp_year", "n", "share")
 
 
@@ -311,7 +311,7 @@ def _(b):
 
 @query("set_difference", "SELECT DISTINCT legislative_item FROM vote WHERE legislative_item NOT IN (SELECT legislative_item FROM stance)")
 def _(b):
-    return b.vote.select("legislative_item").distinct().join(b.stance.select("legislative_item"), "legislative_item", "left_anti")
+    return b.vote_head.select("legislative_item").distinct().join(b.stance.select("legislative_item"), "legislative_item", "left_anti")
 
 
 # --- scalar functions ----------------------------------------------------------------

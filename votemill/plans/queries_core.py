@@ -22,7 +22,7 @@ def _(b):
 
 @query("topic_classify_all", "SELECT item_type, item_id, topic_id, score, is_primary, status FROM item_topic")
 def _(b):
-    return topics.classify_all(b.speech_text, b.vote, b.legislation, bind.LEXICON)
+    return topics.classify_all(b.speech_text, b.vote_head, b.legislation, bind.LEXICON)
 
 
 @query("topic_seed", """SELECT k.topic_id, t.slug, t.label, trim(p1 || ' ' || p2) AS keyword, cast(weight as double) AS weight, count(DISTINCT item_id) AS n_speeches
@@ -111,7 +111,7 @@ MAP = dict(left="EUROPE", right="ASIA", up="AFRICA")
 
 
 def political_map(b) -> DataFrame:
-    out = maps.political_map(b.vote_record, b.vote, b.person, years=bind.YEARS, min_votes=50, **MAP)
+    out = maps.political_map(b.vote_record, b.vote_head, b.person, years=bind.YEARS, min_votes=50, **MAP)
     if out is None:
         raise ValueError("too few votes or members for a map")
     return out
@@ -138,7 +138,7 @@ def _(b):
 @query("stance_candidates", """SELECT id, person_id, legislative_item, text, started_at FROM speech
     WHERE person_id IS NOT NULL AND length(text) > 200 AND legislative_item IN (SELECT legislative_item FROM vote)""")
 def _(b):
-    return stance.stance_candidates(b.speech, b.vote)
+    return stance.stance_candidates(b.speech, b.vote_head)
 
 
 @query("stance_from_extractions", """SELECT id AS speech_id, person_id, legislative_item, 'a' AS proposition, 'puolesta' AS stance,
@@ -160,7 +160,7 @@ def _(b):
       ON d.legislative_item = l.eduskunta_tunnus
     WHERE length(l.summary) > 120 AND l.eduskunta_tunnus IN (SELECT legislative_item FROM vote)""")
 def _(b):
-    return stance.explain_candidates(b.legislation, b.vote, b.speech)
+    return stance.explain_candidates(b.legislation, b.vote_head, b.speech)
 
 
 @query("dominant_stance", """SELECT d.person_id, d.legislative_item, dominant, stance_id, s.speech_id, s.evidence_quote, s.confidence, s.model
@@ -185,13 +185,13 @@ def _(b):
         AND NOT (p.scope = 'person' AND p.person_id IS NOT NULL AND p.person_id <> m.person_id)
       LEFT JOIN promise_vote_map pm ON pm.promise_id = p.id LEFT JOIN vote_record r ON r.vote_id = pm.vote_id AND r.person_id = m.person_id GROUP BY 1, 2)""")
 def _(b):
-    return promises.member_alignment(b.promise, b.promise_vote_map, b.vote_record, b.person, b.vote)
+    return promises.member_alignment(b.promise, b.promise_vote_map, b.vote_record, b.person, b.vote_head)
 
 
 @query("promise_keeping_party", """SELECT party_code AS party, cast(sum(kept) as bigint) AS kept, cast(count(*) - sum(kept) as bigint) AS broken, count(*) AS total,
     round_even(100 * sum(kept) / count(*), 0) AS keep_pct FROM promise_result GROUP BY 1""")
 def _(b):
-    return promises.keeping_by_party(promises.party_promise_results(b.promise, b.promise_vote_map, b.party_line, b.vote))
+    return promises.keeping_by_party(promises.party_promise_results(b.promise, b.promise_vote_map, b.party_line, b.vote_head))
 
 
 @query("promise_breakers", "SELECT person_id, full_name, party_current, against, eval, rate FROM breaker")
@@ -237,7 +237,7 @@ def _(b):
     UNION ALL SELECT * FROM (SELECT 'vote' AS kind, vote_id FROM vote WHERE title ILIKE '%the thon%' OR legislative_item ILIKE '%the thon%' OR item_title ILIKE '%the thon%' ORDER BY session_date DESC, vote_id LIMIT 30)
     UNION ALL SELECT * FROM (SELECT 'person' AS kind, person_id FROM person WHERE full_name ILIKE '%the thon%' ORDER BY full_name, person_id LIMIT 30)""")
 def _(b):
-    return search.search_all(b.person, b.vote, b.speech, "the thon").drop("label")
+    return search.search_all(b.person, b.vote_head, b.speech, "the thon").drop("label")
 
 
 @query("search_semantic", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
@@ -255,7 +255,7 @@ def _(b):
 
 # --- coverage -----------------------------------------------------------------
 def tables(b) -> dict[str, DataFrame]:
-    return {"persons": b.person, "votes": b.vote, "vote_records": b.vote_record, "speeches": b.speech, "promises": b.promise}
+    return {"persons": b.person, "votes": b.vote_head, "vote_records": b.vote_record, "speeches": b.speech, "promises": b.promise}
 
 
 @query("cov_stats", f"""SELECT 'persons' AS metric, 'yhteensä' AS dimension, cast(count(*) as varchar) AS value FROM person
@@ -301,7 +301,7 @@ def _(b):
     UNION ALL SELECT 'mapped_to_procedural', count(*) FROM promise_vote_map WHERE vote_id IN (SELECT vote_id FROM vote WHERE is_procedural <> 0)
     UNION ALL SELECT 'record_without_vote', count(*) FROM vote_record WHERE vote_id NOT IN (SELECT vote_id FROM vote)""")
 def _(b):
-    return coverage.invariants(b.vote, b.vote_record, b.person, b.member_summary, b.promise_vote_map)
+    return coverage.invariants(b.vote_head, b.vote_record, b.person, b.member_summary, b.promise_vote_map)
 
 
 @query("run_all")

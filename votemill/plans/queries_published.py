@@ -104,7 +104,7 @@ def _(b):
     SELECT d.*, session_date, title, legislative_item, row_number() OVER (PARTITION BY person_id ORDER BY session_date DESC, vote_id) AS rank
     FROM party_deviation d JOIN vote USING (vote_id) WHERE classification = 'deviates') WHERE rank <= 25""")
 def _(b):
-    return P.person_deviations(b.party_deviation, b.vote)
+    return P.person_deviations(b.party_deviation, b.vote_head)
 
 
 @query("q_person_speeches", """SELECT person_id, id, ptk_id, speech_type, started_at, legislative_item, word_count, substr(text, 1, 200) AS preview, cast(rank as int) AS rank FROM (
@@ -122,7 +122,7 @@ def _(b):
     SELECT vote_id, person_id, vote_value, session_date, title, legislative_item, row_number() OVER (PARTITION BY person_id ORDER BY session_date DESC, vote_id) AS rank
     FROM vote_record JOIN vote USING (vote_id)) r LEFT JOIN party_deviation d USING (vote_id, person_id) WHERE rank <= 20""")
 def _(b):
-    return P.person_recent_votes(b.vote_record, b.vote, b.party_deviation)
+    return P.person_recent_votes(b.vote_record, b.vote_head, b.party_deviation)
 
 
 @query("q_person_word_style", """SELECT person_id, category, n_hits, n_words, per_1000, words FROM word_usage LEFT JOIN (
@@ -135,7 +135,7 @@ def _(b):
 @query("q_person_words_votes", """SELECT person_id, w.legislative_item, speech_stance AS stance, speech_quote AS quote, speech_id, speech_date, vote_id, vote_value, alignment, context_note,
     title AS vote_title, session_date FROM words_votes w JOIN vote USING (vote_id)""")
 def _(b):
-    return P.person_words_votes(b.words_votes, b.vote)
+    return P.person_words_votes(b.words_votes, b.vote_head)
 
 
 @query("q_person_highlights", """WITH f AS (SELECT person_id, n_deviations, consistency_index, confidence_level, coalesce(ris, 0) AS ris, coalesce(vas, 0) AS vas, coalesce(ch, 0) AS ch FROM member_summary
@@ -282,12 +282,12 @@ def _(b):
 
 @query("q_promise_mappings", "SELECT promise_id, m.vote_id, expected_value, title, session_date, legislative_item FROM promise_vote_map m JOIN vote USING (vote_id)")
 def _(b):
-    return b.promise_vote_map.join(b.vote.select("vote_id", "title", "session_date", "legislative_item"), "vote_id")
+    return b.promise_vote_map.join(b.vote_head.select("vote_id", "title", "session_date", "legislative_item"), "vote_id")
 
 
 @query("q_promise_broken", "SELECT promise_id, party_code, n_met, n_votes FROM promise_result WHERE kept = 0")
 def _(b):
-    return promises.party_promise_results(b.promise, b.promise_vote_map, b.party_line, b.vote).where("kept = 0").drop("kept")
+    return promises.party_promise_results(b.promise, b.promise_vote_map, b.party_line, b.vote_head).where("kept = 0").drop("kept")
 
 
 @query("q_survey_statements", "SELECT DISTINCT statement_id, 'statement number ' || statement_id || ' of the survey' AS text FROM survey_long")
@@ -349,7 +349,7 @@ def _(b):
 @query("q_topic_detail_votes", """SELECT topic_id, vote_id, score, session_date, title, legislative_item, cast(rank as int) AS rank FROM (
     SELECT topic_id, vote_id, score, session_date, title, legislative_item, row_number() OVER (PARTITION BY topic_id ORDER BY session_date DESC, vote_id) AS rank FROM vote_topic JOIN vote USING (vote_id)) WHERE rank <= 30""")
 def _(b):
-    return P.topic_latest_votes(b.vote, b.vote_topic)
+    return P.topic_latest_votes(b.vote_head, b.vote_topic)
 
 
 @query("q_topic_detail_speakers", """SELECT topic_id, person_id, first_name, last_name, party, n, cast(rank as int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, person_id) AS rank FROM (
@@ -399,7 +399,7 @@ def _(b):
 @query("q_speech_related_votes", """SELECT s.id, cast(rank as int) AS rank, vote_id, session_date, title FROM speech s JOIN (
     SELECT legislative_item, vote_id, session_date, title, row_number() OVER (PARTITION BY legislative_item ORDER BY session_date, vote_id) AS rank FROM vote) v USING (legislative_item) WHERE rank <= 10""")
 def _(b):
-    return P.speech_related_votes(b.speech, b.vote)
+    return P.speech_related_votes(b.speech, b.vote_head)
 
 
 @query("q_closest_votes", """SELECT vote_id, vp_year, title, legislative_item, result_yes, result_no, abs(result_yes - result_no) AS margin FROM vote
@@ -418,7 +418,7 @@ def _(b):
       SELECT *, CASE alignment WHEN 'ristiriita' THEN 0 WHEN 'vastentahtoinen' THEN 1 WHEN 'linjassa' THEN 2 WHEN 'konteksti' THEN 3 ELSE 4 END AS pr FROM words_votes)) JOIN person USING (person_id)
     WHERE rn = 1 ORDER BY pr, confidence DESC, vote_id, person_id LIMIT 24""")
 def _(b):
-    return P.words_votes_examples(b.words_votes, b.person, b.vote).select(
+    return P.words_votes_examples(b.words_votes, b.person, b.vote_head).select(
         "person_id", "legislative_item", "alignment", "speech_stance", "vote_id", "vote_value", "confidence", "n_related", "full_name")
 
 

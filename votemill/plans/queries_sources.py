@@ -209,9 +209,9 @@ def bill_documents(b) -> DataFrame:
     'https://www.eduskunta.fi/FI/vaski/HallituksenEsitys/Sivut/HE_' || n || '.aspx' AS url
     FROM (SELECT DISTINCT p_partkey // 20 AS n, (p_partkey // 20) * 10 IN (SELECT doc_id FROM documents) AS has FROM part WHERE (p_partkey // 20) % 5 <> 1)""")
 def _(b):
-    have = b.vote.where("vote_id div 20 % 5 = 1").select(F.col("legislative_item").alias("eduskunta_tunnus"))
+    have = b.vote_head.where("vote_id div 20 % 5 = 1").select(F.col("legislative_item").alias("eduskunta_tunnus"))
     texts = xml_rows.bill_texts(xml_rows.longest_document(bill_documents(b), "eduskunta_tunnus"))
-    return loads.legislation_table(loads.missing_items(b.vote, have), texts)
+    return loads.legislation_table(loads.missing_items(b.vote_head, have), texts)
 
 
 # --- promises, survey ------------------------------------------------------------------
@@ -233,7 +233,7 @@ def _(b):
     b.promise.select(F.array(F.struct("id", "party_code", "text")).alias("promises")).write.mode("append").json(path)
     promises_, mapping = loads.read_promises(b.spark, path, multi_line=False)
     known = promises_.select(F.col("id").alias("promise_id"))
-    return loads.resolve_mappings(mapping.join(known, "promise_id", "left_semi"), b.vote)
+    return loads.resolve_mappings(mapping.join(known, "promise_id", "left_semi"), b.vote_head)
 
 
 @query("src_survey_csv", "SELECT party, statement_id, answer FROM survey_long")
@@ -287,7 +287,7 @@ def _(b):
     doc = b.proscons.select(F.lit("demo").alias("model_label"),
                             F.array(F.struct("vote_id", "note", F.from_json("pro_json", arg).alias("pro"), con.alias("con"))).alias("proscons"))
     claims = loads.read_claims(b.spark, landed_json(doc, "proscons"), loads.PROSCONS_FILE, "proscons", multi_line=False)
-    out = loads.verified_proscons(claims, b.vote, b.speech)
+    out = loads.verified_proscons(claims, b.vote_head, b.speech)
     return out.select("vote_id", S.json_list(F.col("pro_json"), "struct<quote:string>")[0]["quote"].alias("pro_quote"), "model")
 
 
@@ -304,7 +304,7 @@ def _(b):
     ORDER BY legislative_item, id LIMIT 40""")
 def _(b):
     path = fresh_path(b.spark, "work")
-    sinks.write_work_list(stance.export_candidates(b.speech, b.vote, b.stance), path)
+    sinks.write_work_list(stance.export_candidates(b.speech, b.vote_head, b.stance), path)
     return b.spark.read.schema("speech_id bigint, legislative_item string, speaker string, text string").json(path)
 
 
@@ -314,8 +314,8 @@ def _(b):
     JOIN (SELECT *, row_number() OVER (PARTITION BY legislative_item ORDER BY length(text) DESC, id) AS rn FROM speech WHERE length(text) > 300) s ON s.legislative_item = t.legislative_item AND rn <= 12""")
 def _(b):
     path = fresh_path(b.spark, "debates")
-    done = b.vote.where("vote_id % 4 = 0").select("vote_id")
-    sinks.write_work_list(stance.vote_debates(b.speech, b.vote, b.legislation, b.stance, done), path)
+    done = b.vote_head.where("vote_id % 4 = 0").select("vote_id")
+    sinks.write_work_list(stance.vote_debates(b.speech, b.vote_head, b.legislation, b.stance, done), path)
     back = b.spark.read.schema("vote_id bigint, legislative_item string, summary string, "
                                "debate array<struct<pos:int,speaker:string,party:string,text:string>>").json(path)
     return back.select("vote_id", "legislative_item", "summary", F.inline("debate"))
@@ -324,7 +324,7 @@ def _(b):
 @query("sink_rebuild", "SELECT vote_id, person_id, vote_value, vp_year FROM vote_record JOIN vote USING (vote_id)")
 def _(b):
     path = fresh_path(b.spark, "rebuild")
-    rec = b.vote_record.join(b.vote.select("vote_id", "vp_year"), "vote_id").select("vote_id", "person_id", "vote_value", "vp_year")
+    rec = b.vote_record.join(b.vote_head.select("vote_id", "vp_year"), "vote_id").select("vote_id", "person_id", "vote_value", "vp_year")
     sinks.rebuild(rec.withColumn("vote_value", F.lit("old")), path, ["vp_year"])
     sinks.rebuild(rec, path, ["vp_year"])
     return b.spark.read.schema(rec.schema).parquet(path)
@@ -333,7 +333,7 @@ def _(b):
 @query("sink_upsert", """SELECT vote_id, CASE WHEN vote_id % 3 = 0 THEN 'new' ELSE title END AS title, 'first' AS kept FROM vote""")
 def _(b):
     path = fresh_path(b.spark, "upsert")
-    base = b.vote.select("vote_id", "title")
+    base = b.vote_head.select("vote_id", "title")
     sinks.append_batch(base, path, 0)
     sinks.append_batch(base.where("vote_id % 3 = 0").withColumn("title", F.lit("new")), path, 1)
     merged = sinks.current_rows(b.spark, path, ["vote_id"])
@@ -415,7 +415,7 @@ def _(b):
 
 @query("stream_upsert", "SELECT vote_id, CASE WHEN vote_id % 3 = 0 THEN title || ' (uusi)' ELSE title END AS title FROM vote")
 def _(b):
-    head = b.vote.select("vote_id", "title")
+    head = b.vote_head.select("vote_id", "title")
     src, table, ck = landing(b, head, "upsert")
     ingest.run_upserts(ingest.landed(b.spark, src, head.schema), table, ck)
     head.where("vote_id % 3 = 0").withColumn("title", F.concat("title", F.lit(" (uusi)"))).write.mode("append").parquet(src)
