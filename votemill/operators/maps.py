@@ -16,7 +16,7 @@ from votemill import constants as C
 from votemill.runtime import global_rank, materialize
 
 BLOCK = 4096
-MAX_GRAM = 4096
+MAX_GRAM = 2048
 
 
 def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, years,
@@ -66,7 +66,7 @@ def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, y
 def _member_axes(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Two largest eigenvalues, their vectors and the trace of the members' Gram matrix.
 
-    Up to ``MAX_GRAM`` members the matrix (n x n, at most 128 MB) is summed from
+    Up to ``MAX_GRAM`` members the matrix (n x n, at most 32 MB) is summed from
     blocks of votes on the executors; beyond it MLlib iterates over the rows and
     only vectors of length n reach the driver.
     """
@@ -84,7 +84,7 @@ def _member_axes(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float
         yield gram
 
     if n <= MAX_GRAM:
-        gram = rows.rdd.mapPartitions(lambda it: partial(iter(it))).treeReduce(np.add)
+        gram = rows.rdd.mapPartitions(lambda it: partial(iter(it))).treeReduce(np.add, depth=3)
         values, vectors = np.linalg.eigh(gram)
         return values[::-1][:2], vectors[:, ::-1][:, :2], float(np.trace(gram))
     dense = rows.rdd.map(lambda row: Vectors.dense(centred([row])[0])).persist(StorageLevel.DISK_ONLY)
