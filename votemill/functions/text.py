@@ -90,6 +90,24 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def search_line(text: Column) -> Column:
+    """The index tokens as one string, each with a blank of its own on either side."""
+    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+
+
+def search_line_length(line: Column) -> Column:
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(F.trim(line) == "", F.lit(0)).otherwise((blanks / 2).cast("int"))
+
+
+def term_count(line: Column, term: str) -> Column:
+    """Occurrences of a whole token in a :func:`search_line`."""
+    needle = f" {term} "
+    gone = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(needle), F.lit("")))
+    return (gone / F.lit(len(needle.encode()))).cast("int")
+
+
 def query_terms(query: Column, min_length: int = 1) -> Column:
     """Search words of a free-text query: quotes removed, split on blanks."""
     parts = F.split(F.translate(F.coalesce(query, F.lit("")), '"', " "), r"\s+")

@@ -16,15 +16,14 @@ def party_token_counts(speech: DataFrame, stopwords: list[str] | None = None,
                        min_len: int = C.WORDS_MIN_LEN) -> DataFrame:
     """Token counts per (party, word); stop words, short words and plain numbers are dropped.
 
-    Words are filtered inside the row before they are exploded, and counts are
-    combined map-side, so a party holding most of the text does not matter.
+    Counts are combined map-side, so a party holding most of the text does not matter.
     """
     stop = default_stopwords() if stopwords is None else stopwords
-    kept = F.filter(X.tokens(F.col("text")), lambda t: (
-        (F.length(t) >= min_len) & ~t.isin(stop) & ~t.rlike(r"^\p{Nd}+$")))
+    word = F.col("word")
     return (speech.where(F.col("party").isNotNull() & F.col("text").isNotNull())
             # outer: a plain explode would push down a "not empty" filter that tokenizes twice
-            .select("party", F.explode_outer(kept).alias("word")).where(F.col("word").isNotNull())
+            .select("party", F.explode_outer(X.tokens(F.col("text"))).alias("word"))
+            .where((F.length(word) >= min_len) & ~word.isin(stop) & ~word.rlike(r"^\p{Nd}+$"))
             .groupBy("party", "word").agg(F.count(F.lit(1)).alias("n")))
 
 

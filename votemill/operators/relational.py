@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from votemill.runtime import global_rank
+from votemill.runtime import global_rank, materialize
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -38,8 +38,8 @@ def share_of_total(df: DataFrame, group: str, count: str, out: str, digits: int
 
 def percentile_ratings(df: DataFrame, id_col: str, value_cols: list[str]) -> DataFrame:
     """Each value to 1..99 by its sorted place among non-null values; ties by id; a single value gives 50."""
-    long = (df.select(id_col, *[F.col(c).cast("double").alias(c) for c in value_cols])
-            .unpivot(id_col, value_cols, "metric", "value").where(F.col("value").isNotNull()))
+    df = materialize(df.select(id_col, *[F.col(c).cast("double").alias(c) for c in value_cols]), "rated")
+    long = (df.unpivot(id_col, value_cols, "metric", "value").where(F.col("value").isNotNull()))
     ranked = global_rank(long, "metric", "value", id_col)
     rating = F.when(F.col("total") > 1, F.bround(1 + 98 * F.col("rank0") / (F.col("total") - 1), 0)).otherwise(50.0)
     wide = (ranked.select(id_col, "metric", rating.cast("int").alias("r"))

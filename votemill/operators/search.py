@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from votemill import constants as C
 from votemill.functions import scalars as S, text as X
+from votemill.runtime import materialize
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,26 +25,24 @@ def term_statistics(index: DataFrame) -> DataFrame:
 
 
 def _row_terms(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    counted = (docs.select(id_col, X.search_tokens(F.col(text_col)).alias("_t"))
-               .select(id_col, F.size("_t").alias("_dl"), F.filter("_t", lambda t: t.isin(terms)).alias("_hit")))
-
-    def tf(term):
-        return F.size(F.filter("_hit", lambda t: t == term))
-
-    return counted.select(id_col, "_dl", *[tf(term).alias(f"_tf{i}") for i, term in enumerate(terms)])
+    line = F.col("_line")
+    return docs.select(id_col, X.search_line(F.col(text_col)).alias("_line")).select(
+        id_col, X.search_line_length(line).alias("_dl"),
+        *[X.term_count(line, term).alias(f"_tf{i}") for i, term in enumerate(terms)])
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], *, require_all: bool = False,
          k1: float = C.BM25_K1, b: float = C.BM25_B, idf_floor: float = C.BM25_IDF_FLOOR) -> DataFrame:
     """BM25 score ``(id, score)`` of each text holding any (or all) of the folded ``terms``.
 
-    Two scans, no exchange of texts: the query's term counts are taken in the
-    row, and collection statistics come back as one row.
+    One scan of the texts and no exchange of them: the query's term counts are
+    taken in the row and written as a narrow table, which then gives the
+    collection statistics (one row) and the scores.
     """
     terms = sorted(set(terms))
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    counted = _row_terms(docs, id_col, text_col, terms)
+    counted = materialize(_row_terms(docs, id_col, text_col, terms), "term-counts")
     tf = [F.col(f"_tf{i}") for i in range(len(terms))]
     stats = counted.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"),

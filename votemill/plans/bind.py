@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from votemill.functions import scalars as S, text as X
 from votemill.operators import language, lines, members, power, promises, stance, survey, topics
 from votemill.operators.relational import first_per_key
-from votemill.runtime import tune
+from votemill.runtime import materialize, tune
 
 GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 PERIODS = [
@@ -209,11 +209,13 @@ class Bound:
 
     @cached_property
     def speech_topic(self) -> DataFrame:
-        return topics.assign_topics(self.speech_text, "id", "text", LEXICON).withColumnRenamed("id", "speech_id")
+        t = topics.assign_topics(self.speech_text, "id", "text", LEXICON).withColumnRenamed("id", "speech_id")
+        return materialize(t, "speech-topic")
 
     @cached_property
     def vote_topic(self) -> DataFrame:
-        return topics.assign_topics(topics.vote_texts(self.vote_head, self.legislation), "vote_id", "text", LEXICON)
+        t = topics.assign_topics(topics.vote_texts(self.vote_head, self.legislation), "vote_id", "text", LEXICON)
+        return materialize(t, "vote-topic")
 
     @cached_property
     def party_line(self) -> DataFrame:
@@ -246,7 +248,7 @@ class Bound:
 
     @cached_property
     def party_words(self) -> DataFrame:
-        counts = language.party_token_counts(self.speech, STOPWORDS)
+        counts = materialize(language.party_token_counts(self.speech, STOPWORDS), "party-token")
         return language.party_distinctive_words(counts, min_party_total=1000)
 
     @cached_property
