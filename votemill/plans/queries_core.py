@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from votemill.functions import text as X
-from votemill.operators import coverage, language, lines, maps, members, power, promises, search, stance, survey, topics
-from votemill.operators import relational as R
+from votemill.operators import coverage, language, maps, members, power, promises, search, stance, topics
 from votemill.plans import bind
 from votemill.plans.registry import query
-from votemill.runtime import materialize
 
 SIX = 6
 
