@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from votemill.llm import bpe, quality, token_counts, toxicity
+from votemill.llm import ann, bpe, quality, token_counts, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_tokens")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    back = warc.read(warc.archive(pages), with_payload=False)
+    kind = pages.schema["page_id"].dataType
+    return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     texts, marks = toxicity.training_sample(docs, labels, ~held_out("doc_id", 4))
@@ -36,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(documents(spark, sf_dir), keep=["doc_id"], path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return out.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -47,6 +58,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op7_toxicity, op9_bpe, op10_quality)
+    f.__name__: f for f in (op4_token_counts, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
+}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)""",
 }
-ORACLES: dict[str, str] = {}
