@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, types as T
 
 from votemill import runtime
 from votemill.llm import textblocks as tb
-from votemill.llm.pretokens import ByStretch, splitter
+from votemill.llm.pretokens import ByStretch, Pieces
 
 #: States and transitions kept; beyond it the tables are emptied and built again.
 MAX_TRANSITIONS = 2_000_000
@@ -186,13 +186,10 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
-        self.split = splitter(pattern)
+        self.pieces = Pieces(pattern, lambda piece: np.array(self.transducer.encode(piece.encode("utf-8", "replace")), "<u4").tobytes())
         self.tokens = [self.transducer.bytes_of.get(i, b"") for i in range(max(self.transducer.bytes_of) + 1)]
-        self.values = ByStretch(self._stretch, lambda text: [self._stretch(text)])
-
-    def _stretch(self, text: str) -> bytes:
-        ids = [i for piece in self.split(text) for i in self.transducer.encode(piece.encode("utf-8", "replace"))]
-        return np.array(ids, "<u4").tobytes()
+        joined = lambda text: b"".join(self.pieces(text))
+        self.values = ByStretch(joined, joined)
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.values(text))

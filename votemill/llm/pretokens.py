@@ -10,43 +10,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 import regex
 
-#: Stretches remembered per worker; a full memory is emptied and filled anew, so it bounds memory, not results.
+#: Entries remembered per table and worker; a full table is emptied and filled anew, so this bounds memory, not results.
 MEMORY = 600_000
+#: Marks that the public pattern splits from the letters before them.
+_AFTER = frozenset(".,;:!?")
 
 
-class Stretches(dict):
-    """stretch -> ``fn(stretch)``, computed on first use; ``None`` marks a stretch whose text has to be split whole."""
+class Memo(dict):
+    """key -> ``fn(key)``, computed on first use."""
 
-    def __init__(self, fn: Callable[[str], object], prefix: str):
+    def __init__(self, fn: Callable[[str], object]):
         super().__init__()
-        self.fn, self.prefix = fn, prefix
+        self.fn = fn
 
-    def __missing__(self, stretch: str):
-        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
-            value = None
-        else:
-            value = self.fn(self.prefix + stretch)
+    def __missing__(self, key: str):
+        value = self.fn(key)
         if len(self) >= MEMORY:
             self.clear()
-        self[stretch] = value
+        self[key] = value
         return value
 
 
+class Pieces:
+    """Values of the pre-tokens of a text, in order, from ``fn`` of each distinct pre-token."""
+
+    def __init__(self, pattern: str, fn: Callable[[str], object]):
+        self.split, self.of = regex.compile(pattern).findall, Memo(fn)
+        self.public = pattern == public_tokenizers.PATTERN
+
+    def __call__(self, text: str) -> list:
+        if self.public:  # most stretches are one word, maybe with a mark
+            body = text[1:] if text[:1] == " " else text
+            if body.isalpha():
+                return [self.of[text]]
+            if len(body) > 1 and body[-1] in _AFTER and body[:-1].isalpha():
+                return [self.of[text[:-1]], self.of[text[-1]]]
+        return [self.of[piece] for piece in self.split(text)]
+
+
 class ByStretch:
     """Values of the stretches of a text, in order; ``whole`` serves texts that cannot be cut."""
 
-    def __init__(self, fn: Callable[[str], object], whole: Callable[[str], list]):
-        self.first, self.later, self.whole = Stretches(fn, ""), Stretches(fn, " "), whole
+    def __init__(self, fn: Callable[[str], object], whole: Callable[[str], object]):
+        self.first, self.later = Memo(lambda s: self._value(s, s, fn)), Memo(lambda s: self._value(s, " " + s, fn))
+        self.whole = whole
+
+    @staticmethod
+    def _value(stretch: str, text: str, fn: Callable[[str], object]):
+        """``None`` marks a stretch whose text has to be split whole."""
+        return fn(text) if stretch and not stretch[0].isspace() and not stretch[-1].isspace() else None
 
     def __call__(self, text: str) -> list:
         if not text:
             return []
         head, *rest = text.split(" ")
         values = [self.first[head], *map(self.later.__getitem__, rest)]
-        return self.whole(text) if None in values else values
-
-
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    return regex.compile(pattern).findall
+        return [self.whole(text)] if None in values else values
