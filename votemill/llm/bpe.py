@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, types as T
 
 from votemill import runtime
 from votemill.llm import textblocks as tb
-from votemill.llm.pretokens import ByStretch, Pieces
+from votemill.llm.pretokens import PreTokens
 
 #: States and transitions kept; beyond it the tables are emptied and built again.
-MAX_TRANSITIONS = 2_000_000
+MAX_TRANSITIONS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -186,10 +187,12 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
-        self.pieces = Pieces(pattern, lambda piece: np.array(self.transducer.encode(piece.encode("utf-8", "replace")), "<u4").tobytes())
+        self.values = PreTokens(pattern, self._encode, b"".join)
         self.tokens = [self.transducer.bytes_of.get(i, b"") for i in range(max(self.transducer.bytes_of) + 1)]
-        joined = lambda text: b"".join(self.pieces(text))
-        self.values = ByStretch(joined, joined)
+
+    def _encode(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.values(text))

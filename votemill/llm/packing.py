@@ -28,13 +28,15 @@ from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
 from votemill import runtime
-from votemill.llm.pretokens import ByStretch, Pieces
+from votemill.llm.pretokens import PreTokens
 
 
 #: The character that stands for each byte in a byte-level vocabulary: visible ones for themselves, the others from U+0100 on.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
+_SPACE = chr(BYTE_CHARACTERS[0x20])
+
 
 class Ids:
     """Token ids of texts by the tokenizer's library, as little-endian unsigned 32-bit bytes.
@@ -47,11 +49,13 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.pieces = Pieces(public_tokenizers.PATTERN, self._merge)
-        self.values = ByStretch(lambda text: b"".join(self.pieces(text)), self._whole)
+        self.values = PreTokens(public_tokenizers.PATTERN, self._merge, b"".join, self._whole, memory=1_000_000)
 
     def _merge(self, piece: str) -> bytes:
-        mapped = piece.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARACTERS)
+        if piece.isascii() and piece.lstrip(" ").isalpha():
+            mapped = piece.replace(" ", _SPACE)
+        else:
+            mapped = piece.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARACTERS)
         ids = [t.id for t in self.model.tokenize(mapped)]
         return struct.pack(f"<{len(ids)}I", *ids)
 

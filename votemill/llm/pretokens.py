@@ -13,55 +13,53 @@ from collections.abc import Callable
 import public_tokenizers
 import regex
 
-#: Entries remembered per table and worker; a full table is emptied and filled anew, so this bounds memory, not results.
-MEMORY = 600_000
 #: Marks that the public pattern splits from the letters before them.
 _AFTER = frozenset(".,;:!?")
 
 
-class Memo(dict):
-    """key -> ``fn(key)``, computed on first use."""
+class _Table(dict):
+    """stretch -> value, computed on first use; ``None`` marks a stretch whose text has to be split whole."""
 
-    def __init__(self, fn: Callable[[str], object]):
+    def __init__(self, owner: PreTokens, prefix: str):
         super().__init__()
-        self.fn = fn
-
-    def __missing__(self, key: str):
-        value = self.fn(key)
-        if len(self) >= MEMORY:
+        self.owner, self.prefix = owner, prefix
+
+    def __missing__(self, stretch: str):
+        owner = self.owner
+        if owner.public and stretch.isalpha():  # most stretches are one word, maybe with a mark
+            value = owner.fn(self.prefix + stretch)
+        elif owner.public and len(stretch) > 1 and stretch[-1] in _AFTER and stretch[:-1].isalpha():
+            value = owner.join([self[stretch[:-1]], owner.first[stretch[-1]]])
+        elif not stretch or stretch[0].isspace() or stretch[-1].isspace():
+            value = None
+        else:
+            value = owner.join([owner.piece(p) for p in owner.split(self.prefix + stretch)])
+        if len(self) >= owner.memory:
             self.clear()
-        self[key] = value
+        self[stretch] = value
         return value
 
 
-class Pieces:
-    """Values of the pre-tokens of a text, in order, from ``fn`` of each distinct pre-token."""
-
-    def __init__(self, pattern: str, fn: Callable[[str], object]):
-        self.split, self.of = regex.compile(pattern).findall, Memo(fn)
-        self.public = pattern == public_tokenizers.PATTERN
-
-    def __call__(self, text: str) -> list:
-        if self.public:  # most stretches are one word, maybe with a mark
-            body = text[1:] if text[:1] == " " else text
-            if body.isalpha():
-                return [self.of[text]]
-            if len(body) > 1 and body[-1] in _AFTER and body[:-1].isalpha():
-                return [self.of[text[:-1]], self.of[text[-1]]]
-        return [self.of[piece] for piece in self.split(text)]
-
+class PreTokens:
+    """Values of the stretches of a text, in order.
 
-class ByStretch:
-    """Values of the stretches of a text, in order; ``whole`` serves texts that cannot be cut."""
+    ``fn`` gives the value of a pre-token and ``join`` that of several;
+    ``whole``, if given, serves the texts that cannot be cut.  ``memory``
+    entries are remembered per worker; a full table is emptied and filled
+    anew, so it bounds memory, not results.
+    """
 
-    def __init__(self, fn: Callable[[str], object], whole: Callable[[str], object]):
-        self.first, self.later = Memo(lambda s: self._value(s, s, fn)), Memo(lambda s: self._value(s, " " + s, fn))
-        self.whole = whole
+    def __init__(self, pattern: str, fn: Callable[[str], object], join: Callable[[list], object], whole: Callable[[str], object] | None = None, memory: int = 500_000):
+        self.split, self.public = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
+        self.fn, self.join, self.memory = fn, join, memory
+        self.whole = whole or (lambda text: join([fn(p) for p in self.split(text)]))
+        self.first, self.later = _Table(self, ""), _Table(self, " ")
 
-    @staticmethod
-    def _value(stretch: str, text: str, fn: Callable[[str], object]):
-        """``None`` marks a stretch whose text has to be split whole."""
-        return fn(text) if stretch and not stretch[0].isspace() and not stretch[-1].isspace() else None
+    def piece(self, piece: str):
+        """The value of a pre-token, from the tables if it is a word."""
+        if self.public and piece[:1] == " " and piece[1:].isalpha():
+            return self.later[piece[1:]]
+        return self.first[piece] if self.public and piece.isalpha() else self.fn(piece)
 
     def __call__(self, text: str) -> list:
         if not text:

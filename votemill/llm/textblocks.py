@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from votemill import runtime
 
 BLOCK_BYTES = 2 << 20
+SLICE_ROWS = 1_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -163,6 +164,8 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fn: Callable[[pa.Array]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *fn(batch.column(1))], names=names)
+            for at in range(0, batch.num_rows, SLICE_ROWS):  # results are made and sent in small lots
+                part = batch.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *fn(part.column(1))], names=names)
 
     return rows.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, types as T
 
 from votemill.llm import textblocks as tb
 from votemill.llm.bpe import read_ranks
-from votemill.llm.pretokens import ByStretch, Pieces
+from votemill.llm.pretokens import PreTokens
 
 #: Trie nodes kept per worker; beyond it the trie is emptied and grows anew (counts do not depend on it).
 MAX_NODES = 1_000_000
@@ -92,9 +92,7 @@ def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
 class Counter:
     def __init__(self, path: str, pattern: str):
         self.trie = UnigramTrie(zipf_scores(read_ranks(path)))
-        self.pieces = Pieces(pattern, lambda piece: self.trie.tokens(piece.encode("utf-8", "replace")))
-        total = lambda text: sum(self.pieces(text))
-        self.values = ByStretch(total, total)
+        self.values = PreTokens(pattern, lambda piece: self.trie.tokens(piece.encode("utf-8", "replace")), sum)
 
     def __call__(self, text: str) -> int:
         return sum(self.values(text))
