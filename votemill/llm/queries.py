@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from votemill.llm import ann, bpe, packing, quality, token_counts, toxicity, warc
+from votemill.llm import ann, bpe, ngram_join, packing, quality, token_counts, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def held_out(key: str, of: int, fold: int = 2) -> Column:
     return F.coalesce(remainder(key, of) == fold, F.lit(True))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join(documents(spark, sf_dir), keep=["doc_id"])
+    return ngram_join.with_component_id(joined, "doc_id").select("row.doc_id", "n_shingles", "component_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(documents(spark, sf_dir), keep=["doc_id"], path=public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
     packed = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), size=1024)
@@ -64,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_token_counts, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
+    f.__name__: f for f in (op1_ngram_join, op2_packing, op4_token_counts, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
 }
 ORACLES: dict[str, str] = {
     "op6_warc": """
