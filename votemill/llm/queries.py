@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from votemill.llm import ann, bpe, ngram_join, packing, quality, token_counts, toxicity, warc
+from votemill.llm import ann, bpe, lm, ngram_join, packing, quality, token_counts, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), held_out("doc_id", 7), keep=["doc_id"]).select(
+        "row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(documents(spark, sf_dir), keep=["doc_id"], path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return out.select("row.doc_id", "n_tokens")
@@ -69,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_packing, op4_token_counts, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
+    f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm, op4_token_counts, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
 }
 ORACLES: dict[str, str] = {
     "op6_warc": """

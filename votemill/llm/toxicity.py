@@ -9,7 +9,7 @@ washed out.  A misspelling shares most n-grams, hence most of its vector, with
 the word it is made from.
 
 Fitting uses at most ``max_docs`` labelled texts of at most ``max_bytes``
-bytes, the first in the order of a hash of their text; scoring reads every
+bytes, the first in the order of a hash of their key; scoring reads every
 text whole.  Null and empty texts get the share of toxic labels among the
 training texts as score.  Null labels are not used; a text labelled more than
 once counts with each of its labels.  With no toxic or no clean training text
@@ -187,12 +187,14 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings = Settings(), key: str = "doc_id", label: str = "toxic") -> tuple[list[str], np.ndarray]:
-    """At most ``max_docs`` labelled texts: a bounded sample, in the order of a hash of the text."""
-    marked = labels.where(usable & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label")).distinct()
-    found = (docs.select(F.col(key).alias("_key"), F.col("text")).where(F.octet_length("text") <= settings.max_bytes)
-             .join(marked, "_key").select("text", "_label", F.xxhash64("text").alias("_order"))
-             .orderBy("_order", "text", "_label").limit(settings.max_docs).toArrow())
-    return found.column("text").to_pylist(), found.column("_label").to_numpy()
+    """At most ``max_docs`` labelled texts: those of the first labels in the order of a hash of the key."""
+    marked = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label")).distinct()
+    chosen = marked.orderBy(F.xxhash64("_key"), "_key", "_label").limit(settings.max_docs)
+    texts = docs.select(F.col(key).alias("_key"), F.col("text")).where(F.octet_length("text") <= settings.max_bytes)
+    # at most max_docs keys: a bounded broadcast, so the texts stay where they are
+    found = texts.join(F.broadcast(chosen), "_key").select("text", "_label", F.xxhash64("_key", "text").alias("_order"))
+    table = found.orderBy("_order", "text", "_label").limit(settings.max_docs).toArrow()
+    return table.column("text").to_pylist(), table.column("_label").to_numpy()
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
