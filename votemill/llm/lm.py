@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -31,8 +30,6 @@ from votemill import runtime
 from votemill.llm import lbl, shared_keys as sk, textblocks as tb
 
 U64 = np.uint64
-#: A block ends at so many texts or bytes.
-BLOCK_ROWS, BLOCK_BYTES = 4_096, 24 << 20
 END = U64(0x454E4420 << 24)
 
 
@@ -56,47 +53,14 @@ def tokens(column: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(keys) if keys else np.zeros(0, U64), np.concatenate(rows) if rows else np.zeros(0, np.int64), n
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(block, rows) with cuts that depend on the order of rows alone; a block may come in several parts."""
-    block, rows, size = TaskContext.get().partitionId() << 24, 0, 0
-    for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text_at)).fill_null(0).to_numpy()
-        low = 0
-        for r, length in enumerate(lengths.tolist()):
-            if rows and (rows >= BLOCK_ROWS or size + length > BLOCK_BYTES):
-                if r > low:
-                    yield block, batch.slice(low, r - low)
-                block, rows, size, low = block + 1, 0, 0, r
-            rows, size = rows + 1, size + length
-        if batch.num_rows > low:
-            yield block, batch.slice(low, batch.num_rows - low)
-
-
-def whole_blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.Table]]:
-    now, parts = None, []
-    for block, part in blocks(batches, text_at):
-        if parts and block != now:
-            yield now, pa.Table.from_batches(parts)
-            parts = []
-        now = block
-        parts.append(part)
-    if parts:
-        yield now, pa.Table.from_batches(parts)
-
-
-def _column(table: pa.Table, name: str) -> pa.Array:
-    merged = table.column(name).combine_chunks()
-    return merged.combine_chunks() if isinstance(merged, pa.ChunkedArray) else merged
-
-
 def count_words(rows: DataFrame, settings: lbl.Settings, buckets: int) -> DataFrame:
     """kind 1: (block, bucket, payload) the training counts of a block's distinct words, by key; kind 2: (key, count) a frequent word; kind 3: (key, count, distinct) totals of a group."""
     schema = "kind int, bucket int, block long, payload binary"
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in whole_blocks(batches, 0):
-            keys, row, _ = tokens(_column(table, "text"), settings.groups)
-            learnt = ~_column(table, "held").to_numpy(zero_copy_only=False)[row]
+        for block, table in tb.whole_blocks(batches, 0):
+            keys, row, _ = tokens(tb.column(table, "text"), settings.groups)
+            learnt = ~tb.column(table, "held").to_numpy(zero_copy_only=False)[row]
             words, place = np.unique(keys, return_inverse=True)
             count = np.bincount(place, weights=learnt, minlength=len(words))
             bucket, _ = sk.split(words, buckets)
@@ -177,7 +141,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> lbl.Parameters:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = lbl.Trainer(begin, share, settings, TaskContext.get().partitionId())
-        for _, part in blocks(batches, 0):
+        for _, part in tb.blocks(batches, 0):
             for at in range(0, part.num_rows, 512):
                 keys, row, _ = tokens(part.column(0).slice(at, 512), settings.groups)
                 if len(keys):
@@ -234,7 +198,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", keep: list[str] |
                            T.StructField("text", T.StringType()), T.StructField("held", T.BooleanType()), T.StructField("row", row_type)])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in blocks(batches, 0):
+        for block, part in tb.blocks(batches, 0):
             n = part.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([2] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.binary()), *part.columns], names=schema.fieldNames())
 
@@ -254,7 +218,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", keep: list[str] |
             if not texts:
                 return
             table = pa.Table.from_batches(texts)
-            keys, row, n = tokens(_column(table, "text"), s.groups)
+            keys, row, n = tokens(tb.column(table, "text"), s.groups)
             words, place = np.unique(keys, return_inverse=True)
             if sum(map(len, lots)) != len(words):
                 raise RuntimeError("the texts came in another order than when they were counted; write them to a table first")
@@ -266,7 +230,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", keep: list[str] |
             model_log = scorer(*lbl.contexts(classes, row, s.classes), classes) + np.where(own, 0.0, log - np.log10(rest))
             total = np.bincount(row, minlength=n)
             base = np.bincount(row, weights=log, minlength=n) - total * np.log10(float(voc.n + voc.v + 1))
-            yield pa.RecordBatch.from_arrays([_column(table, "row"), _column(table, "held"), pa.array(total), pa.array(np.bincount(row, weights=count > 0, minlength=n).astype(np.int64)),
+            yield pa.RecordBatch.from_arrays([tb.column(table, "row"), tb.column(table, "held"), pa.array(total), pa.array(np.bincount(row, weights=count > 0, minlength=n).astype(np.int64)),
                                               pa.array(np.full(n, voc.n, np.int64)), pa.array(base), pa.array(np.bincount(row, weights=model_log, minlength=n))], names=result.fieldNames())
 
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from votemill.llm import ann, bpe, lm, ngram_join, packing, quality, token_counts, toxicity, warc
+from votemill.llm import ann, bpe, lm, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_tokens")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(documents(spark, sf_dir), keep=["doc_id"])
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     back = warc.read(warc.archive(pages), with_payload=False)
@@ -74,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm, op4_token_counts, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
+    f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm, op4_token_counts, op5_suffix_dedup, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
 }
 ORACLES: dict[str, str] = {
     "op6_warc": """

@@ -12,12 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from votemill import runtime
 
 BLOCK_BYTES = 2 << 20
 SLICE_ROWS = 1_000
+#: A block of texts that is worked on together ends at so many texts or bytes.
+GROUP_ROWS, GROUP_BYTES = 4_096, 24 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -152,6 +156,39 @@ def distinct_per_row(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np
     return codes[first], row[first]
 
 
+def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, rows) with cuts that depend on the order of rows alone; a block may come in several parts."""
+    block, rows, size = TaskContext.get().partitionId() << 24, 0, 0
+    for batch in batches:
+        lengths = pa.compute.binary_length(batch.column(text_at)).fill_null(0).to_numpy()
+        low = 0
+        for r, length in enumerate(lengths.tolist()):
+            if rows and (rows >= GROUP_ROWS or size + length > GROUP_BYTES):
+                if r > low:
+                    yield block, batch.slice(low, r - low)
+                block, rows, size, low = block + 1, 0, 0, r
+            rows, size = rows + 1, size + length
+        if batch.num_rows > low:
+            yield block, batch.slice(low, batch.num_rows - low)
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.Table]]:
+    now, parts = None, []
+    for block, part in blocks(batches, text_at):
+        if parts and block != now:
+            yield now, pa.Table.from_batches(parts)
+            parts = []
+        now = block
+        parts.append(part)
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
+def column(table: pa.Table, name: str) -> pa.Array:
+    merged = table.column(name).combine_chunks()
+    return merged.combine_chunks() if isinstance(merged, pa.ChunkedArray) else merged
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fn: Callable[[pa.Array], list[pa.Array]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
     """``row`` (a struct of the kept columns) and the columns ``fn`` makes of each batch of texts.
 
