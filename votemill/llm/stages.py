@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from votemill.llm import quality, toxicity
+from votemill.llm import ngram_join, packing, quality, suffix_dedup, toxicity
 from votemill.llm.queries import held_out
 
 
@@ -18,3 +19,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept, without their failing lines."""
     return quality.clean_documents(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id (the first such row); documents without words stay."""
+    numbered = docs.withColumn("_number", F.monotonically_increasing_id())  # the same each time a table is read
+    joined = ngram_join.join(numbered, keep=["doc_id", "_number"]).select("component", "row.doc_id", "row._number")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("_number").alias("number"))
+    chosen = joined.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.number").alias("_number"))
+    return numbered.join(chosen, "_number", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without the byte strings that also stand elsewhere; a character cut in two goes whole."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    raw = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    out = suffix_dedup.dedup(docs, keep=others).select("row", text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of the documents left and its place in a sequence of at most 1024 tokens."""
+    pieces = packing.tokenize(docs, keep=["doc_id"], path=public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
+    out = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), size=1024)
+    return out.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
