@@ -15,8 +15,8 @@ and cannot be shared.  Verification intersects the remaining shingles and uses
 the full set sizes, which gives the exact similarity.
 
 Links are returned as components.  Before pairs are listed, every text is held
-against one random leader among those it shares prefix shingles with, and the
-texts so linked are merged; then pairs are listed only across components, all
+against a random leader or two among those it shares prefix shingles with, and
+the texts so linked are merged; then pairs are listed only across components, all
 of them.  A family of near copies thus costs a verification or two a member
 rather than one a pair, and no link between components is lost.
 
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from votemill import runtime
 from votemill.llm import components, shared_keys as sk, textblocks as tb
@@ -47,7 +47,7 @@ class Settings:
     most: int = 24
     #: cost of verifying a pair, in postings touched
     verify: int = 40
-    #: rounds of leaders before pairs are listed
+    #: leaders drawn for each shingle before pairs are listed
     leaders: int = 2
 
 
@@ -73,6 +73,8 @@ def _sets(df: DataFrame, text: str, keep: list[str], settings: Settings, buckets
 
         def flush(row_arrow: pa.DataType) -> Iterator[pa.RecordBatch]:
             code, row = np.concatenate(codes), np.concatenate(owner)
+            codes.clear()
+            owner.clear()
             n = np.bincount(row, minlength=texts)
             packed = sk.packed_rows(block, code, row, buckets)
             sizes = pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([block % buckets], pa.int32()), pa.array([block], pa.int64()), pa.array([sk.pack(n)], pa.binary())], names=names[:4])
@@ -178,10 +180,10 @@ def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
                 lengths.append(taken)
                 ls.append(l)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(uids, lengths)), pa.array(np.repeat(ls, lengths).astype(np.int32)), pa.array(np.repeat(sizes, lengths))],
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(uids, lengths)), pa.array(np.repeat(ls, lengths).astype(np.int32)), pa.array(np.repeat(sizes, lengths).astype(np.int32))],
                                                  names=["token", "uid", "l", "n"])
 
-    return sets.select("uid", "n", "tokens", "counts").mapInArrow(run, "token long, uid long, l int, n long")
+    return sets.select("uid", "n", "tokens", "counts").mapInArrow(run, "token long, uid long, l int, n int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -192,7 +194,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, known = [], (None, None)
+            linked = []
             for r in range(batch.num_rows):
                 n_a, n_b = batch.column(2)[r].as_py(), batch.column(3)[r].as_py()
                 one, two = (np.frombuffer(batch.column(k)[r].as_py(), np.int64) for k in (4, 5))
@@ -208,39 +210,38 @@ def _similar_size(settings: Settings):
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * settings.percent
 
 
-def _labelled(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Prefix rows with their component, of shingles that at least two components hold."""
-    if labels is None:
-        rows = prefixes.withColumn("comp", F.col("uid"))
-    else:
-        rows = prefixes.join(labels.select(F.col("node").alias("uid"), F.col("comp").alias("label")), "uid", "left").withColumn("comp", F.coalesce("label", "uid")).drop("label")
-    split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    return rows.join(split, "token", "left_semi")
+def _leader_pairs(prefixes: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): each text with the leader it shares most prefix shingles with, for every drawing of leaders."""
+    drawn = prefixes
+    for turn in range(settings.leaders):
+        order = W.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "uid"), "uid")
+        drawn = drawn.withColumn(f"first_{turn}", F.first(F.struct("uid", "l", "n")).over(order))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.col(f"first_{t}").alias("who")) for t in range(settings.leaders)]))
+    met = drawn.select("uid", "l", "n", each.alias("leader")).where("uid <> leader.who.uid")
+    keys = [F.col("leader.turn").alias("turn"), F.col("uid").alias("a"), F.col("leader.who.uid").alias("b"), F.col("n").alias("n_a"), F.col("leader.who.n").alias("n_b"), F.least("l", "leader.who.l").alias("need")]
+    pairs = met.select(*keys).groupBy("turn", "a", "b", "n_a", "n_b", "need").agg(F.count(F.lit(1)).alias("shared"))
+    best = pairs.where((F.col("shared") >= F.col("need")) & _similar_size(settings)).groupBy("turn", "a").agg(F.max(F.struct("shared", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("x"), F.greatest("a", "best.b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _open_pairs(prefixes: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): all pairs across components that share enough prefix shingles."""
+    named = labels.select(F.col("node").alias("uid"), F.col("comp").alias("label"))
+    rows = prefixes.join(named, "uid", "left").select("token", "uid", "l", "n", F.coalesce("label", "uid").alias("comp"))
+    token = W.partitionBy("token")
+    rows = runtime.materialize(rows.withColumn("low", F.min("comp").over(token)).withColumn("high", F.max("comp").over(token)).where("low < high").drop("low", "high"), "open")
+    one, two = (rows.select("token", *[F.col(c).alias(f"{d}_{x}") for c, d in (("uid", "u"), ("l", "l"), ("n", "n"), ("comp", "c"))]) for x in ("a", "b"))
+    met = one.join(two, "token").where((F.col("c_a") < F.col("c_b")) & _similar_size(settings))
+    pairs = met.groupBy(F.col("u_a").alias("a"), F.col("u_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("l_a").alias("l_a"), F.first("l_b").alias("l_b"))
+    return pairs.where(F.col("shared") >= F.least("l_a", "l_b")).select("a", "b")
 
 
 def links(sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(node, comp) over the representatives that have a link."""
     prefixes = runtime.materialize(_prefixes(sets, settings), "prefixes")
-    edges, labels = None, None
-    for turn in range(settings.leaders):
-        rows = _labelled(prefixes, labels)
-        first = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "uid").alias("order"), "uid", "l", "n", "comp")).alias("leader"))
-        met = rows.join(first, "token").where("comp <> leader.comp")
-        pairs = met.groupBy(F.col("uid").alias("a"), F.col("leader.uid").alias("b"), F.col("n").alias("n_a"), F.col("leader.n").alias("n_b"), F.least("l", "leader.l").alias("need")).agg(F.count(F.lit(1)).alias("shared"))
-        best = pairs.where((F.col("shared") >= F.col("need")) & _similar_size(settings)).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        edges, labels = _joined(edges, _verified(best, sets, settings))
-    rows = runtime.materialize(_labelled(prefixes, labels), "open")
-    one = rows.select("token", F.col("uid").alias("a"), F.col("l").alias("l_a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-    two = rows.select("token", F.col("uid").alias("b"), F.col("l").alias("l_b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    met = one.join(two, "token").where((F.col("c_a") < F.col("c_b")) & _similar_size(settings))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("l_a").alias("l_a"), F.first("l_b").alias("l_b")).where(F.col("shared") >= F.least("l_a", "l_b"))
-    return _joined(edges, _verified(pairs, sets, settings))[1]
-
-
-def _joined(edges: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    new = runtime.materialize(new, "links")
-    edges = new if edges is None else edges.union(new)
-    return edges, components.connected(edges)
+    led = runtime.materialize(_verified(_leader_pairs(prefixes, settings), sets, settings), "links")
+    rest = runtime.materialize(_verified(_open_pairs(prefixes, components.connected(led), settings), sets, settings), "links")
+    return components.connected(led.union(rest))
 
 
 def join(df: DataFrame, text: str = "text", keep: list[str] | None = None, settings: Settings = Settings()) -> DataFrame:

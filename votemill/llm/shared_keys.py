@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: A block ends at so many keys or texts.
-BLOCK_KEYS, BLOCK_ROWS = 3_000_000, 1 << 15
+BLOCK_KEYS, BLOCK_ROWS = 1_000_000, 1 << 15
 PACKED = "kind int, bucket int, block long, payload binary"
 
 
