@@ -58,7 +58,7 @@ def doc_type(item: Column) -> Column:
 
 def party_code(name: Column, codes: dict[str, str] | None = None) -> Column:
     """Group code of a party name as written in a survey; unknown names give null."""
-    codes = C.parse_codes(C.SURVEY_PARTY_CODES) if codes is None else codes
+    codes = C.SURVEY_PARTY_CODES if codes is None else codes
     return F.element_at(_lit_map(codes), F.lower(F.trim(name)))
 
 

@@ -9,7 +9,7 @@ from votemill.functions import text as X
 
 
 def default_stopwords() -> list[str]:
-    return sorted(set(C.words(C.STOPWORDS_GENERAL)) | set(C.words(C.STOPWORDS_GROUPS)))
+    return sorted(set(C.STOPWORDS_GENERAL) | set(C.STOPWORDS_GROUPS))
 
 
 def party_token_counts(speech: DataFrame, stopwords: list[str] | None = None,
@@ -59,8 +59,8 @@ def party_distinctive_words(counts: DataFrame, *, min_party_total: int = C.WORDS
 
 
 def default_style_lexicon() -> dict[str, tuple[list[str], list[str]]]:
-    return {"filler": (C.words(C.FILLER_WORDS), list(C.FILLER_PHRASES)),
-            "swear": (C.words(C.SWEAR_WORDS), list(C.SWEAR_PHRASES))}
+    return {"filler": (list(C.FILLER_WORDS), list(C.FILLER_PHRASES)),
+            "swear": (list(C.SWEAR_WORDS), list(C.SWEAR_PHRASES))}
 
 
 def style_hits(speech: DataFrame, lexicon: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:

@@ -115,9 +115,6 @@ def member_topic_counts(person: DataFrame, speech: DataFrame, speech_topic: Data
     return both.join(person.select("person_id"), "person_id", "left_semi")
 
 
-CHANGE_NOTE = "sama säädöskohde, eri tilaisuus (vahva signaali) — tarkista molemmat äänestykset"
-
-
 def position_changes(vote_record: DataFrame, vote: DataFrame, vote_topic: DataFrame,
                      min_gap_days: int = C.MIN_CHANGE_GAP_DAYS) -> DataFrame:
     """Yes/no flips of a member on the same bill and stage, at least ``min_gap_days`` apart.
@@ -144,4 +141,4 @@ def position_changes(vote_record: DataFrame, vote: DataFrame, vote_topic: DataFr
     return (flips.join(primary, "vote_id", "left")
             .select("person_id", "topic_id", "item_base", "stage", "from_value",
                     F.col("from_day").cast("string").alias("from_date"), F.col("value").alias("to_value"),
-                    F.col("day").cast("string").alias("to_date"), "gap_days", F.lit(CHANGE_NOTE).alias("note")))
+                    F.col("day").cast("string").alias("to_date"), "gap_days", F.lit(C.NOTE_CHANGE).alias("note")))

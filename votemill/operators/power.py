@@ -13,7 +13,7 @@ Periods = list[tuple[str, str | None, list[str]]]
 
 
 def default_periods() -> Periods:
-    return C.parse_periods(C.COALITION_PERIODS)
+    return list(C.COALITION_PERIODS)
 
 
 def coalition_at(day: Column, periods: Periods) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from votemill import constants as C
 from votemill.functions import scalars as S
 
-KEPT, AGAINST, UNCLEAR = "tukee", "ristiriidassa", "epäselvä"
-UNMAPPED, MIXED = "ei kartoitettu", "epäselvä (ristiriitainen)"
+KEPT, AGAINST, UNCLEAR = C.PROMISE_KEPT, C.PROMISE_AGAINST, C.PROMISE_UNCLEAR
+UNMAPPED, MIXED = C.PROMISE_UNMAPPED, C.PROMISE_MIXED
 
 
 def member_alignment(promise: DataFrame, mapping: DataFrame, vote_record: DataFrame, person: DataFrame,

@@ -228,11 +228,11 @@ def member_directory(person: DataFrame, summary: DataFrame, *, sort: str = "nimi
 
 
 def member_cards(directory: DataFrame, member_topic: DataFrame, topic: DataFrame, holders: DataFrame | None = None, *,
-                 radar=C.RADAR_TOPICS, limit: int = 60, order: list[Column] | None = None,
+                 radar=C.RADAR_TOPICS, limit: int | None = None, order: list[Column] | None = None,
                  fallback: str = C.FALLBACK_TOPIC) -> DataFrame:
     """Directory slice with a radar scaled by its own maximum, the top topic, rarity and traits."""
     order = order or [F.col("n_speeches").desc_nulls_last(), F.col("full_name"), F.col("person_id")]
-    head = directory.orderBy(*order).limit(limit)
+    head = directory.orderBy(*order).limit(limit) if limit else directory
     slugs = topic.select(F.col("id").alias("topic_id"), "slug")
     vec = (member_topic.join(slugs, "topic_id").where(F.col("slug").isin(*radar))
            .groupBy("person_id").pivot("slug", list(radar)).agg(F.first("n_speeches")))
@@ -260,10 +260,11 @@ def compare(pairs: DataFrame, person: DataFrame, summary: DataFrame, behavior: D
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
 
-def activity_scatter(summary: DataFrame, person: DataFrame, limit: int = 500) -> DataFrame:
-    return (summary.where("n_votes_cast > 0").join(person.select("person_id", "full_name", "party_current"), "person_id")
+def activity_scatter(summary: DataFrame, person: DataFrame, limit: int | None = None) -> DataFrame:
+    out = (summary.where("n_votes_cast > 0").join(person.select("person_id", "full_name", "party_current"), "person_id")
             .select("person_id", "full_name", "party_current", "n_speeches", "n_votes_cast", _absent_pct().alias("absent_pct"))
-            .orderBy(F.desc("n_votes_cast"), "person_id").limit(limit))
+            .orderBy(F.desc("n_votes_cast"), "person_id"))
+    return out.limit(limit) if limit else out
 
 
 def word_leaderboard(usage: DataFrame, person: DataFrame, category: str, *, descending: bool = True,

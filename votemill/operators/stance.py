@@ -28,7 +28,7 @@ def stance_candidates(speech: DataFrame, vote: DataFrame, *, min_chars: int = 20
 
 
 def export_candidates(speech: DataFrame, vote: DataFrame, stance: DataFrame, *, clean_only: bool = True,
-                      min_chars: int = 300, max_chars: int = 2600, limit: int | None = 40) -> DataFrame:
+                      min_chars: int = 300, max_chars: int = 2600, limit: int | None = None) -> DataFrame:
     """Speeches not analysed yet, cut and labelled, as a work list."""
     out = (speech.where(F.col("person_id").isNotNull() & (F.length("text") > min_chars) & _has_item())
            .join(stance.select(F.col("speech_id").alias("id")), "id", "left_anti"))
@@ -50,7 +50,7 @@ def longest_speeches(speech: DataFrame, n: int, *, min_chars: int = 300) -> Data
 
 def vote_debates(speech: DataFrame, vote: DataFrame, legislation: DataFrame, stance: DataFrame,
                  proscons: DataFrame, *, n_speeches: int = 12, max_chars: int = 900,
-                 summary_chars: int = 1500, limit: int | None = 10) -> DataFrame:
+                 summary_chars: int = 1500, limit: int | None = None) -> DataFrame:
     """Clean votes still without arguments, with a nested list of the longest speeches of the bill."""
     todo = (vote.where((F.col("is_procedural") == 0) & S.is_clean_vote(F.col("title"), with_reports=False))
             .join(stance.select("legislative_item"), "legislative_item", "left_semi")
@@ -70,7 +70,8 @@ def vote_debates(speech: DataFrame, vote: DataFrame, legislation: DataFrame, sta
 
 
 def explain_candidates(legislation: DataFrame, vote: DataFrame, speech: DataFrame, *, min_summary: int = 120,
-                       n_speeches: int = 8, max_speech: int = 1200, max_summary: int = 4000) -> DataFrame:
+                       n_speeches: int = 8,
+                       max_speech: int = C.EXPLAIN_MAX_SPEECH, max_summary: int = C.EXPLAIN_MAX_SUMMARY) -> DataFrame:
     """Voted bills with a summary, and the material to explain them from."""
     items = (legislation.where(F.length("summary") > min_summary)
              .select(F.col("eduskunta_tunnus").alias("legislative_item"), "title", "summary")
@@ -138,14 +139,6 @@ def dominant_stance(stance: DataFrame) -> DataFrame:
                     F.col("r.confidence").alias("confidence"), F.col("r.model").alias("model")))
 
 
-NOTE_PROCEDURAL = "menettelyäänestys — ei suoraan lain kannatus"
-NOTE_UNCLEAR_VOTE = "ei yksiselitteinen lain sisältöäänestys (esim. lausuma/muutosehdotus)"
-NOTE_OPEN_STANCE = "puheen kanta ehdollinen/avoin"
-NOTE_ALIGNED = "Jaa = lain hyväksyntä, Ei = hylkäys"
-NOTE_CONFLICT = "puheen kanta ja ääni eri suuntiin (hyväksyntä/hylkäys)"
-NOTE_UNSURE = "puheen kanta tulkinnanvarainen (matala varmuus) — ei luokitella ristiriidaksi"
-
-
 def words_votes_ledger(stance: DataFrame, speech: DataFrame, vote: DataFrame, vote_record: DataFrame,
                        min_confidence: float = C.CONFLICT_MIN_CONFIDENCE) -> DataFrame:
     """Every vote on a bill a member took a stance on, classed by an explicit rule.
@@ -165,15 +158,15 @@ def words_votes_ledger(stance: DataFrame, speech: DataFrame, vote: DataFrame, vo
     unsure = F.coalesce("confidence", F.lit(0.0)) < min_confidence
     cases = [
         (no_vote, C.INSUFFICIENT, F.concat(F.lit("ääni oli "), F.coalesce(F.nullif(value, F.lit("")), F.lit("tuntematon")))),
-        (F.col("is_procedural") != 0, C.CONTEXT, F.lit(NOTE_PROCEDURAL)),
-        (~S.is_bill_passage(F.col("title")), C.CONTEXT, F.lit(NOTE_UNCLEAR_VOTE)),
-        (st.isin(C.STANCE_COND, C.STANCE_NONE), C.CONTEXT, F.lit(NOTE_OPEN_STANCE)),
-        (same, C.ALIGNED, F.lit(NOTE_ALIGNED)),
+        (F.col("is_procedural") != 0, C.CONTEXT, F.lit(C.NOTE_PROCEDURAL)),
+        (~S.is_bill_passage(F.col("title")), C.CONTEXT, F.lit(C.NOTE_UNCLEAR_VOTE)),
+        (st.isin(C.STANCE_COND, C.STANCE_NONE), C.CONTEXT, F.lit(C.NOTE_OPEN_STANCE)),
+        (same, C.ALIGNED, F.lit(C.NOTE_ALIGNED)),
         (F.col("marker").isNotNull(), C.RELUCTANT,
          F.concat(F.lit('puheessa avoin kompromissisignaali: "'), F.col("marker"), F.lit('"'))),
-        (unsure, C.CONTEXT, F.lit(NOTE_UNSURE)),
+        (unsure, C.CONTEXT, F.lit(C.NOTE_UNSURE)),
     ]
-    label, note = F.lit(C.CONFLICT), F.lit(NOTE_CONFLICT)
+    label, note = F.lit(C.CONFLICT), F.lit(C.NOTE_CONFLICT)
     for cond, a, n in reversed(cases):
         label, note = F.when(cond, a).otherwise(label), F.when(cond, n).otherwise(note)
     return led.select("person_id", "vote_id", "speech_id", "legislative_item", st.alias("speech_stance"),

@@ -13,7 +13,7 @@ Lexicon = list[tuple[int, str, str, list[tuple[str, float]]]]
 
 
 def default_lexicon() -> Lexicon:
-    return C.parse_lexicon(C.TOPIC_LEXICON)
+    return list(C.TOPIC_LEXICON)
 
 
 def topic_tables(spark: SparkSession, lexicon: Lexicon | None = None) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from votemill import constants as C
 from votemill.functions import scalars as S, text as X
 from votemill.operators import language, lines, members, power, promises, stance, survey, topics
 from votemill.operators.relational import first_per_key
@@ -61,14 +62,6 @@ class Bound:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, name: str, *keys: str) -> DataFrame:
-        """A base table, hashed over the cores where it is laid out in fewer files than that.
-
-        A table with enough files is read as it is, without an exchange.
-        """
-        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
     # --- facts ---------------------------------------------------------------
     @cached_property
     def party_of(self) -> DataFrame:
@@ -89,7 +82,7 @@ class Bound:
         """One row per line item: repeated (vote, person) pairs, values still coded."""
         value = ("CASE WHEN l_returnflag = 'R' THEN 'Jaa' WHEN l_returnflag = 'A' THEN 'Ei' "
                  "WHEN l_linestatus = 'F' THEN 'Tyhjiä' ELSE 'Poissa' END AS vote_value")
-        return self.spread("lineitem", "l_partkey", "l_suppkey").selectExpr(
+        return self.base("lineitem").selectExpr(
             "l_partkey AS vote_id", "l_suppkey AS person_id", "l_orderkey AS page", "l_linenumber AS place", value)
 
     @cached_property
@@ -103,7 +96,7 @@ class Bound:
     @cached_property
     def vote_head(self) -> DataFrame:
         """Vote headers without the result counts."""
-        return self.spread("part", "p_partkey").selectExpr(
+        return self.base("part").selectExpr(
             "p_partkey AS vote_id", f"{_day('(p_partkey * 37) % 2500')} AS session_date",
             f"CASE p_partkey % 3 WHEN 0 THEN '{CLEAN_TITLE}' WHEN 1 THEN '{CONTEXT_TITLE}' ELSE p_name END AS title",
             "p_name AS item_title", "cast(null as string) AS main_item_title", "cast(null as string) AS treatment_title",
@@ -125,12 +118,12 @@ class Bound:
 
     @cached_property
     def speech_text(self) -> DataFrame:
-        return self.spread("documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
+        return self.base("documents").select(F.col("doc_id").alias("id"), "text")
 
     @cached_property
     def speech(self) -> DataFrame:
         n = self.base("supplier").agg(F.count(F.lit(1))).scalar()
-        s = self.spread("documents", "doc_id").withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
+        s = self.base("documents").withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
             "doc_id AS id", "person_id", "concat('s', cast(doc_id as string)) AS external_key",
             f"{_day('(doc_id * 53) % 2500')} AS started_at",
             "concat('HE ', cast(doc_id div 10 as string)) AS legislative_item",
@@ -153,7 +146,7 @@ class Bound:
             "concat('p', cast(doc_id % 3 as string)) AS proposition",
             "CASE WHEN quality = 0 THEN 'vastaan' WHEN toxic = 1 THEN 'ehdollinen' "
             "WHEN doc_id % 11 = 0 THEN 'ei_kantaa' ELSE 'puolesta' END AS stance",
-            "cast(null as string) AS conditional_note", "substring(text, 1, 40) AS evidence_quote",
+            "cast(null as string) AS conditional_note", "substring(text, cast(length(text) div 2 as int) + 1, 40) AS evidence_quote",
             "cast((doc_id * 17) % 100 as double) / 100 AS confidence", "'demo' AS model")
         return s
 
@@ -168,8 +161,8 @@ class Bound:
 
     @cached_property
     def promise_vote_map(self) -> DataFrame:
-        return self.base("part").where("p_partkey % 40 < 23").selectExpr(
-            "cast(p_partkey % 40 as bigint) AS promise_id", "p_partkey AS vote_id",
+        return self.base("part").selectExpr(
+            "cast(p_partkey % 25 as bigint) AS promise_id", "p_partkey AS vote_id",
             "CASE WHEN (p_partkey div 40) % 2 = 0 THEN 'Jaa' ELSE 'Ei' END AS expected_value")
 
     @cached_property
@@ -278,7 +271,7 @@ class Bound:
         one = self.speech.where("id % 10 = 3").selectExpr(
             "legislative_item", "concat('changes ', legislative_item) AS what_changes", "'all' AS who_affected",
             "cast(null as string) AS contested",
-            "to_json(array(named_struct('type', 'puhe', 'ref', external_key, 'quote', substring(text, 1, 20)))) AS sources_json")
+            "to_json(array(named_struct('type', 'puhe', 'ref', external_key, 'quote', right(text, 20)))) AS sources_json")
         return one
 
     @cached_property
@@ -287,7 +280,7 @@ class Bound:
             "legislative_item", F.concat_ws(" ", "first_name", "last_name").alias("speaker"), "party", "text")
         arg = "to_json(array(named_struct('argument', '{0}', 'speaker', speaker, 'party', party, 'quote', substring(text, {1}, 20))))"
         return (self.vote_head.where("vote_id % 4 = 0").select("vote_id", "legislative_item").join(s, "legislative_item")
-                .selectExpr("vote_id", f"{arg.format('for', 1)} AS pro_json", f"{arg.format('against', 10)} AS con_json", "'n' AS note"))
+                .selectExpr("vote_id", f"{arg.format('for', 'cast(length(text) div 3 as int) + 1')} AS pro_json", f"{arg.format('against', 'greatest(length(text) - 30, 1)')} AS con_json", "'n' AS note"))
 
 
 # --- the same model in SQL ----------------------------------------------------------
@@ -338,14 +331,14 @@ CTES: dict[str, str] = {
         LEFT JOIN (SELECT 'HE ' || (doc_id // 10) AS eduskunta_tunnus, arg_min(text, doc_id) AS summary FROM documents GROUP BY 1) USING (eduskunta_tunnus)""",
     "stance": """SELECT d.doc_id AS id, d.doc_id AS speech_id, person_id, legislative_item, 'p' || (d.doc_id % 3) AS proposition,
         CASE WHEN quality = 0 THEN 'vastaan' WHEN toxic = 1 THEN 'ehdollinen' WHEN d.doc_id % 11 = 0 THEN 'ei_kantaa' ELSE 'puolesta' END AS stance,
-        substr(text, 1, 40) AS evidence_quote, cast((d.doc_id * 17) % 100 as double) / 100 AS confidence, 'demo' AS model
+        substr(text, length(text) // 2 + 1, 40) AS evidence_quote, cast((d.doc_id * 17) % 100 as double) / 100 AS confidence, 'demo' AS model
         FROM labels d JOIN speech s ON s.id = d.doc_id""",
     "promise": """SELECT cast(r_regionkey * 5 + k as bigint) AS id, CASE WHEN k = 4 THEN 'person' ELSE 'party' END AS scope,
         CASE WHEN k = 4 THEN NULL ELSE r_name END AS party_code,
         CASE WHEN k = 4 AND r_regionkey < 3 THEN cast(r_regionkey as bigint) END AS person_id, 'promise ' || (r_regionkey * 5 + k) AS text
         FROM region, range(5) t(k)""",
-    "promise_vote_map": """SELECT cast(p_partkey % 40 as bigint) AS promise_id, p_partkey AS vote_id,
-        CASE WHEN (p_partkey // 40) % 2 = 0 THEN 'Jaa' ELSE 'Ei' END AS expected_value FROM part WHERE p_partkey % 40 < 23""",
+    "promise_vote_map": """SELECT cast(p_partkey % 25 as bigint) AS promise_id, p_partkey AS vote_id,
+        CASE WHEN (p_partkey // 40) % 2 = 0 THEN 'Jaa' ELSE 'Ei' END AS expected_value FROM part""",
     "person_term": """SELECT person_id, min(session_date) AS start_date,
         CASE WHEN vp_year = 2001 AND person_id % 3 = 0 THEN NULL ELSE max(session_date) END AS end_date
         FROM vote_record JOIN vote USING (vote_id) GROUP BY person_id, vp_year""",
@@ -456,16 +449,16 @@ CTES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY person_id, legislative_item, stance ORDER BY confidence DESC, id) AS rn FROM stance) GROUP BY 1, 2)""",
     "words_votes": f"""SELECT person_id, vote_id, speech_id, legislative_item, dominant AS speech_stance, evidence_quote AS speech_quote, speech_date, vote_value, vote_date, vote_stage,
         CASE WHEN alignment = 'ristiriita' AND confidence < 0.7 THEN 'konteksti' ELSE alignment END AS alignment,
-        CASE WHEN alignment = 'ristiriita' AND confidence < 0.7 THEN '{stance.NOTE_UNSURE}' ELSE note END AS context_note, confidence, model FROM (
+        CASE WHEN alignment = 'ristiriita' AND confidence < 0.7 THEN '{C.NOTE_UNSURE}' ELSE note END AS context_note, confidence, model FROM (
         SELECT d.person_id, v.vote_id, s.speech_id, d.legislative_item, dominant, s.evidence_quote, sp.started_at AS speech_date, r.vote_value, v.session_date AS vote_date,
           v.treatment_stage AS vote_stage, s.confidence, s.model,
           CASE WHEN r.vote_value IS NULL OR r.vote_value IN ('Tyhjää', 'Poissa') THEN 'ei_riitä' WHEN v.is_procedural = 1 THEN 'konteksti'
             WHEN v.title <> '{CLEAN_TITLE}' THEN 'konteksti' WHEN dominant IN ('ehdollinen', 'ei_kantaa') THEN 'konteksti'
             WHEN (dominant = 'puolesta') = (r.vote_value = 'Jaa') THEN 'linjassa' ELSE 'ristiriita' END AS alignment,
           CASE WHEN r.vote_value IS NULL OR r.vote_value IN ('Tyhjää', 'Poissa') THEN 'ääni oli ' || coalesce(r.vote_value, 'tuntematon')
-            WHEN v.is_procedural = 1 THEN '{stance.NOTE_PROCEDURAL}' WHEN v.title <> '{CLEAN_TITLE}' THEN '{stance.NOTE_UNCLEAR_VOTE}'
-            WHEN dominant IN ('ehdollinen', 'ei_kantaa') THEN '{stance.NOTE_OPEN_STANCE}'
-            WHEN (dominant = 'puolesta') = (r.vote_value = 'Jaa') THEN '{stance.NOTE_ALIGNED}' ELSE '{stance.NOTE_CONFLICT}' END AS note
+            WHEN v.is_procedural = 1 THEN '{C.NOTE_PROCEDURAL}' WHEN v.title <> '{CLEAN_TITLE}' THEN '{C.NOTE_UNCLEAR_VOTE}'
+            WHEN dominant IN ('ehdollinen', 'ei_kantaa') THEN '{C.NOTE_OPEN_STANCE}'
+            WHEN (dominant = 'puolesta') = (r.vote_value = 'Jaa') THEN '{C.NOTE_ALIGNED}' ELSE '{C.NOTE_CONFLICT}' END AS note
         FROM dominant d JOIN stance s ON s.id = d.stance_id JOIN speech sp ON sp.id = s.speech_id JOIN vote v ON v.legislative_item = d.legislative_item
         LEFT JOIN vote_record r ON r.vote_id = v.vote_id AND r.person_id = d.person_id)""",
     "promise_result": """SELECT promise_id, p.party_code, count(*) FILTER (line = expected_value) AS n_met, count(*) AS n_votes,
@@ -481,7 +474,7 @@ CTES: dict[str, str] = {
     "search_tokens": f"SELECT id, {_SEARCH_TOK} AS toks FROM speech",
     "postings": """SELECT term, id AS doc_id, count(*) AS tf, cast(any_value(dl) as int) AS doc_length FROM (
         SELECT id, len(toks) AS dl, unnest(toks) AS term FROM search_tokens) GROUP BY 1, 2""",
-    "explainer": """SELECT legislative_item, 'changes ' || legislative_item AS what_changes, 'all' AS who_affected, external_key AS ref, substr(text, 1, 20) AS quote
+    "explainer": """SELECT legislative_item, 'changes ' || legislative_item AS what_changes, 'all' AS who_affected, external_key AS ref, right(text, 20) AS quote
         FROM speech WHERE id % 10 = 3""",
 }
 

@@ -10,6 +10,7 @@ from votemill.operators import lines, maps, members, power, published, search, t
 from votemill.operators import relational as R
 from votemill.plans import bind
 from votemill.plans.registry import query
+from votemill.runtime import global_rank
 from votemill.sources import members as member_source
 
 HINTS = ("red", "small ring", "blue")
@@ -261,12 +262,12 @@ def _(b):
 
 # --- sorts, limits, samples -----------------------------------------------------------
 @query("sort_nulls_last", """SELECT * FROM (SELECT person_id, full_name, round(deviation_rate, 6) AS deviation_rate, cast(row_number() OVER (ORDER BY deviation_rate IS NULL, deviation_rate DESC, full_name, person_id) as int) AS pos
-    FROM person JOIN member_summary USING (person_id)) WHERE pos <= 40""")
+    FROM person JOIN member_summary USING (person_id))""")
 def _(b):
-    d = published.member_directory(b.person, b.member_summary, sort="poikkeama", descending=True).limit(40)
-    key = F.struct((-F.coalesce("deviation_rate", F.lit(-1.0))).alias("k"), F.col("full_name"), F.col("person_id"), F.col("deviation_rate"))
-    return d.agg(F.array_sort(F.collect_list(key)).alias("h")).select(F.posexplode("h")).select(
-        "col.person_id", "col.full_name", F.round("col.deviation_rate", 6).alias("deviation_rate"), (F.col("pos") + 1).alias("pos"))
+    d = published.member_directory(b.person, b.member_summary, sort="poikkeama", descending=True)
+    order = F.struct(F.col("deviation_rate").isNull().alias("last"), (-F.col("deviation_rate")).alias("falling"), "full_name")
+    ranked = global_rank(d.select("person_id", "full_name", "deviation_rate", order.alias("key"), F.lit(0).alias("all")), "all", "key", "person_id")
+    return ranked.select("person_id", "full_name", F.round("deviation_rate", 6).alias("deviation_rate"), (F.col("rank0") + 1).cast("int").alias("pos"))
 
 
 @query("topk_limit", "SELECT id, word_count FROM speech ORDER BY word_count DESC, id LIMIT 25")

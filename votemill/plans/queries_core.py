@@ -152,8 +152,8 @@ def _(b):
     return stance.stance_from_extractions(ext, b.speech, b.stance).drop("conditional_note")
 
 
-@query("explain_candidates", """SELECT l.eduskunta_tunnus AS legislative_item, l.title, substr(l.summary, 1, 4000) AS summary, coalesce(d.debate, '') AS debate
-    FROM legislation l LEFT JOIN (SELECT legislative_item, string_agg(first_name || ' ' || last_name || ' (' || party || '): ' || substr(text, 1, 1200), chr(10) || chr(10) ORDER BY rn) AS debate
+@query("explain_candidates", """SELECT l.eduskunta_tunnus AS legislative_item, l.title, substr(l.summary, 1, 3000) AS summary, coalesce(d.debate, '') AS debate
+    FROM legislation l LEFT JOIN (SELECT legislative_item, string_agg(first_name || ' ' || last_name || ' (' || party || '): ' || substr(text, 1, 700), chr(10) || chr(10) ORDER BY rn) AS debate
       FROM (SELECT *, row_number() OVER (PARTITION BY legislative_item ORDER BY length(text) DESC, id) AS rn FROM speech WHERE length(text) > 300) WHERE rn <= 8 GROUP BY 1) d
       ON d.legislative_item = l.eduskunta_tunnus
     WHERE length(l.summary) > 120 AND l.eduskunta_tunnus IN (SELECT legislative_item FROM vote)""")

@@ -155,15 +155,15 @@ def _(b):
     return r6(P.member_directory(b.person, b.member_summary, sort="indeksi", descending=True, min_eligible=10), "deviation_rate", "absent_pct")
 
 
-@query("q_list_persons", "SELECT person_id, full_name, party_current FROM person ORDER BY full_name, person_id LIMIT 500")
+@query("q_list_persons", "SELECT person_id, full_name, party_current FROM person ORDER BY full_name, person_id")
 def _(b):
-    return b.person.select("person_id", "full_name", "party_current").orderBy("full_name", "person_id").limit(500)
+    return b.person.select("person_id", "full_name", "party_current").orderBy("full_name", "person_id")
 
 
 _RAD = [f"coalesce(max(m.n_speeches) FILTER (slug = '{s}'), 0)" for s in bind.RADAR]
 
 
-@query("q_member_cards", f"""WITH d AS (SELECT person_id, full_name, is_minister, active_from, n_speeches, n_absent, n_votes_total {SUM} ORDER BY n_speeches DESC NULLS LAST, full_name, person_id LIMIT 60),
+@query("q_member_cards", f"""WITH d AS (SELECT person_id, full_name, is_minister, active_from, n_speeches, n_absent, n_votes_total {SUM}),
     r AS (SELECT person_id, [{', '.join(_RAD)}] AS ax FROM d LEFT JOIN member_topic m USING (person_id) LEFT JOIN topic t ON t.id = m.topic_id GROUP BY 1),
     tt AS (SELECT person_id, arg_min(label, (-n_speeches, topic_id)) AS top_topic FROM (SELECT m.person_id, t.label, m.n_speeches, m.topic_id FROM member_topic m JOIN topic t ON t.id = m.topic_id WHERE slug <> 'muu' AND m.n_speeches > 0) GROUP BY 1)
     SELECT person_id, full_name, array_to_string(list_transform(ax, lambda x: cast(cast(round(100 * x / greatest(list_max(ax), 1), 0) as int) as varchar)), ',') AS radar, top_topic,
@@ -198,7 +198,7 @@ def _(b):
     return lines.pair_agreement(b.vote_record, neighbour_pairs(b))
 
 
-@query("q_activity_scatter", f"""SELECT person_id, full_name, party_current, n_speeches, n_votes_cast, round({_ABS}, 6) AS absent_pct {SUM} WHERE n_votes_cast > 0 ORDER BY n_votes_cast DESC, person_id LIMIT 500""")
+@query("q_activity_scatter", f"""SELECT person_id, full_name, party_current, n_speeches, n_votes_cast, round({_ABS}, 6) AS absent_pct {SUM} WHERE n_votes_cast > 0""")
 def _(b):
     return r6(P.activity_scatter(b.member_summary, b.person), "absent_pct")
 

@@ -99,7 +99,7 @@ NS = ('xmlns:m="urn:meta" xmlns:v="urn:elements" xmlns:k="urn:blocks" xmlns:s="u
 def minutes_documents(b) -> DataFrame:
     """One minutes document per text: two paragraphs, a chair interjection, an empty second speech."""
     s = b.speech
-    para = tag("s:KappaleKooste", escaped(F.substring("text", 1, 2000)))
+    para = tag("s:KappaleKooste", escaped(F.col("text")))
     chair = "<k:PuheenjohtajaRepliikki><s:KappaleKooste>chair</s:KappaleKooste></k:PuheenjohtajaRepliikki>"
     key = F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(' m:muuTunnus="s'), F.col("id"), F.lit('"')))
     speech = F.concat(
@@ -121,9 +121,11 @@ ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 @query("src_minutes_xml", """SELECT CASE WHEN id % 3 = 0 THEN 'PTK ' || id || '/2020 vp#' || id ELSE 's' || id END AS external_key, CASE WHEN id % 4 <> 0 THEN person_id END AS person_id,
     'T' AS speech_type, started_at, legislative_item, '2020/' || id AS session_key, 'PTK ' || id || '/2020 vp' AS ptk_id,
-    cast(len(regexp_extract_all(substr(text, 1, 2000), '\\S+')) + 1 as int) AS word_count FROM speech WHERE id % 50 <> 0""")
+    cast(len(regexp_extract_all(text, '\\S+')) + 1 as int) AS word_count, trim(regexp_replace(text, '\\s+', ' ', 'g') || ' second') AS text FROM speech WHERE id % 50 <> 0""")
 def _(b):
-    return xml_rows.minutes_speeches(minutes_documents(b)).drop("text")
+    # the whole parsed text is compared, white space levelled on both sides
+    parsed = xml_rows.minutes_speeches(minutes_documents(b))
+    return parsed.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
 
 
 def member_documents(b) -> DataFrame:
@@ -172,22 +174,22 @@ def _(b):
     return out.select("person_id", "first_name", "last_name", "full_name", "is_minister", "active_from", "active_to")
 
 
-@query("src_speeches_store", """SELECT 's' || id AS external_key, CASE WHEN id % 4 <> 0 THEN s.person_id END AS person_id, CASE WHEN id % 4 <> 0 THEN first_name END AS first_name,
+@query("src_speeches_store", """SELECT CASE WHEN id % 3 = 0 THEN 'PTK ' || id || '/2020 vp#' || id ELSE 's' || id END AS external_key, CASE WHEN id % 4 <> 0 THEN s.person_id END AS person_id, CASE WHEN id % 4 <> 0 THEN first_name END AS first_name,
     CASE WHEN id % 4 <> 0 THEN last_name END AS last_name, CASE WHEN id % 4 <> 0 THEN party END AS party, legislative_item,
-    'https://www.eduskunta.fi/FI/vaski/Poytakirja/Sivut/PTK_' || id || '+2020_vp.aspx' AS url FROM speech s WHERE id % 50 <> 0 AND id % 3 <> 0 AND id % 7 <> 0""")
+    'https://www.eduskunta.fi/FI/vaski/Poytakirja/Sivut/PTK_' || id || '+2020_vp.aspx' AS url FROM speech s WHERE id % 50 <> 0 AND id % 7 <> 0""")
 def _(b):
-    parsed = xml_rows.minutes_speeches(minutes_documents(b)).where(F.startswith("external_key", F.lit("s")))
-    known = b.speech.where("id % 7 = 0").select("external_key")
+    parsed = xml_rows.minutes_speeches(minutes_documents(b))
+    known = b.speech.where("id % 7 = 0").selectExpr("CASE WHEN id % 3 = 0 THEN concat('PTK ', id, '/2020 vp#', id) ELSE external_key END AS external_key")
     return loads.store_speeches(parsed.unionByName(parsed), b.person, known) \
         .select("external_key", "person_id", "first_name", "last_name", "party", "legislative_item", "url")
 
 
 @query("src_session_gap_stop", """SELECT year, number FROM (SELECT year, number, sum(stop) OVER (PARTITION BY year ORDER BY number) AS stopped FROM (
     SELECT year, number, CASE WHEN number - coalesce(lag(number) OVER (PARTITION BY year ORDER BY number), 0) - 1 >= 3 THEN 1 ELSE 0 END AS stop FROM (
-    SELECT DISTINCT cast(1990 + o_custkey % 40 as int) AS year, cast(o_orderkey % 200 as int) AS number FROM orders WHERE o_orderkey % 3 <> 1 AND o_totalprice < 300000 AND o_orderkey % 200 BETWEEN 1 AND 200))) WHERE stopped = 0""")
+    SELECT DISTINCT cast(1990 + o_custkey % 40 as int) AS year, cast(1 + o_orderkey * o_custkey % 997 as int) AS number FROM orders))) WHERE stopped = 0""")
 def _(b):
-    s = b.base("orders").where("o_orderkey % 3 <> 1 AND o_totalprice < 300000").selectExpr(
-        "cast(1990 + o_custkey % 40 as int) AS year", "cast(o_orderkey % 200 as int) AS number")
+    s = b.base("orders").selectExpr(
+        "cast(1990 + o_custkey % 40 as int) AS year", "cast(1 + o_orderkey * o_custkey % 997 as int) AS number")
     return loads.sessions_until_gap(s, miss_stop=3)
 
 
@@ -276,7 +278,7 @@ def _(b):
                       S.json_list(F.col("sources_json"), "struct<quote:string>")[0]["quote"].alias("quote"))
 
 
-@query("src_proscons_json", """SELECT v.vote_id, s.q AS pro_quote, 'demo' AS model FROM vote v JOIN (SELECT legislative_item, substr(text, 1, 20) AS q FROM speech WHERE id % 10 = 4) s USING (legislative_item)
+@query("src_proscons_json", """SELECT v.vote_id, s.q AS pro_quote, 'demo' AS model FROM vote v JOIN (SELECT legislative_item, substr(text, length(text) // 3 + 1, 20) AS q FROM speech WHERE id % 10 = 4) s USING (legislative_item)
     WHERE v.vote_id % 4 = 0 AND v.vote_id % 12 <> 0""")
 def _(b):
     arg = "array<struct<argument:string,speaker:string,party:string,quote:string>>"
@@ -300,8 +302,7 @@ def _(b):
 
 # --- work lists and sinks --------------------------------------------------------------------
 @query("sink_stance_candidates", f"""SELECT id AS speech_id, legislative_item, first_name || ' ' || last_name || ' (' || party || ')' AS speaker, substr(text, 1, 2600) AS text FROM speech
-    WHERE length(text) > 300 AND id NOT IN (SELECT speech_id FROM stance) AND legislative_item IN (SELECT legislative_item FROM vote WHERE is_procedural = 0 AND title = '{bind.CLEAN_TITLE}')
-    ORDER BY legislative_item, id LIMIT 40""")
+    WHERE length(text) > 300 AND id NOT IN (SELECT speech_id FROM stance) AND legislative_item IN (SELECT legislative_item FROM vote WHERE is_procedural = 0 AND title = '{bind.CLEAN_TITLE}')""")
 def _(b):
     path = fresh_path(b.spark, "work")
     sinks.write_work_list(stance.export_candidates(b.speech, b.vote_head, b.stance), path)
@@ -310,7 +311,7 @@ def _(b):
 
 @query("sink_vote_debates", f"""SELECT t.vote_id, t.legislative_item, coalesce(substr(summary, 1, 1500), '') AS summary, cast(rn as int) AS pos, first_name || ' ' || last_name AS speaker, party, substr(text, 1, 900) AS text
     FROM (SELECT vote_id, legislative_item FROM vote WHERE is_procedural = 0 AND title = '{bind.CLEAN_TITLE}' AND legislative_item IN (SELECT legislative_item FROM stance)
-      AND vote_id % 4 <> 0 ORDER BY vote_id LIMIT 10) t LEFT JOIN legislation ON eduskunta_tunnus = t.legislative_item
+      AND vote_id % 4 <> 0) t LEFT JOIN legislation ON eduskunta_tunnus = t.legislative_item
     JOIN (SELECT *, row_number() OVER (PARTITION BY legislative_item ORDER BY length(text) DESC, id) AS rn FROM speech WHERE length(text) > 300) s ON s.legislative_item = t.legislative_item AND rn <= 12""")
 def _(b):
     path = fresh_path(b.spark, "debates")
@@ -354,12 +355,12 @@ def _(b):
 
 
 # --- cache and photos -----------------------------------------------------------------------
-@query("cache_lookup", """WITH k AS (SELECT id, sha256('m' || chr(0) || 's' || chr(0) || substr(text, 1, 200) || chr(0) || '{}' || chr(0)) AS key, id % 3 = 0 AS cached FROM speech),
+@query("cache_lookup", """WITH k AS (SELECT id, sha256('m' || chr(0) || 's' || chr(0) || text || chr(0) || '{}' || chr(0)) AS key, id % 3 = 0 AS cached FROM speech),
     c AS (SELECT DISTINCT key FROM k WHERE cached), g AS (SELECT key, min(id) AS f FROM k WHERE key NOT IN (SELECT key FROM c) GROUP BY 1 ORDER BY f LIMIT 50)
     SELECT id AS request_id, key, CASE WHEN key IN (SELECT key FROM c) THEN 'hit' WHEN key IN (SELECT key FROM g) THEN 'pending' ELSE 'over_budget' END AS status FROM k""")
 def _(b):
     req = b.speech.select(F.col("id").alias("request_id"), F.lit("m").alias("model"), F.lit("s").alias("system"),
-                          F.substring("text", 1, 200).alias("user"), F.lit("{}").alias("schema_json"))
+                          F.col("text").alias("user"), F.lit("{}").alias("schema_json"))
     cache = (req.where("request_id % 3 = 0")
              .select(loads.cache_key(*[F.col(c) for c in ("model", "system", "user", "schema_json")]).alias("key"))
              .distinct().withColumn("response_json", F.lit("{}")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -22,7 +24,8 @@ SESSION_SETTINGS = {
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators are designed for (all are runtime settings)."""
     for key, value in SESSION_SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     ship(spark)
     return spark
 
@@ -46,21 +49,43 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+_run_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """Folder of this run that all executors can reach, below the one that ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session (tests) may fall back to a folder of this machine.
+    Only a local-mode session (tests) may do without the setting, in a
+    temporary folder.  On a cluster a path without scheme has to lead to a
+    shared file system; a ``file:`` path is taken as the statement that the
+    disk is shared.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    known = _run_folders.get(context.applicationId)
+    if known:
+        return known
+    base, local = spark.conf.get("spark.checkpoint.dir", None), context.master.startswith("local[") or context.master == "local"
+    if not base and not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="votemill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if base and not local and ":" not in base.split("/")[0]:
+        default = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()
+        if default == "file":
+            raise RuntimeError(f"spark.checkpoint.dir ({base}) is a path on one machine; name a shared folder with its scheme")
+    folder = f"{base.rstrip('/')}/votemill-{context.applicationId}-{uuid.uuid4().hex[:8]}" if base else tempfile.mkdtemp(prefix="votemill-")
+    _run_folders[context.applicationId] = folder
+    atexit.register(clean, spark)
     return folder
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete this run's folder; called at the end of the process, or earlier by whoever owns the session."""
+    folder = _run_folders.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -73,43 +98,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-MAX_CUTS, SAMPLES_PER_CUT = 1000, 20
-
-
-def global_rank(df: DataFrame, group: str, value: str, tiebreak: str, rank: str = "rank0",
-                total: str = "total", rows_per_range: int = 200_000) -> DataFrame:
+def global_rank(df: DataFrame, group: str, value: str, tiebreak: str, rank: str = "rank0", total: str = "total") -> DataFrame:
     """Zero-based rank of ``(value, tiebreak)`` inside each ``group``, for groups of any size.
 
-    A plain window would sort a whole group in one task.  Here each group is
-    cut into ranges at sampled ``(value, tiebreak)`` points (the sample only
-    places the cuts, every row is ranked), each range is ranked on its own and
-    shifted by the size of the ranges before it.  Ties are cut too, so one
-    value held by a third of the rows is still spread out.
+    A plain window would sort a whole group in one task.  Here the rows are
+    dealt by range, numbered within their range, and shifted by the sizes of
+    the group's ranges before it; ties are cut too, so one value held by a
+    third of the rows is still spread out.
     """
-    n = df.count()
-    n_cuts = min(n // rows_per_range, MAX_CUTS)
-    bucket = F.lit(0)
-    if n_cuts:
-        step = max(1, n // (n_cuts * SAMPLES_PER_CUT))
-        sample = (df.where(F.pmod(F.xxhash64(group, value, tiebreak), F.lit(step)) == 0)
-                  .select(group, value, tiebreak).orderBy(group, value, tiebreak).collect())
-        cuts = sample[::max(1, len(sample) // n_cuts)][1:]
-        if cuts:
-            point = F.struct(F.col(group), F.col(value), F.col(tiebreak))
-            points = F.array(*[F.struct(*[F.lit(x).cast(df.schema[c].dataType).alias(c)
-                                          for c, x in zip((group, value, tiebreak), row)])
-                               for row in cuts])
-            bucket = F.size(F.filter(points, lambda c: c < point))
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most (groups x ranges) rows reach this window
-    before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(
-        group, "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
-        F.sum("_n").over(W.partitionBy(group)).alias(total))
-    within = W.partitionBy(group, "_bucket").orderBy(value, tiebreak)
-    return (keyed.withColumn("_rn", F.row_number().over(within))
-            .join(shifts, [group, "_bucket"])
-            .withColumn(rank, F.col("_shift") + F.col("_rn") - 1)
-            .drop("_bucket", "_rn", "_shift"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, group, value, tiebreak).withColumn("_range", F.spark_partition_id())
+    keyed = materialize(ranged, "ranges")
+    sizes = keyed.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # at most one row for each range of a group reaches these windows
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), F.sum("_n").over(W.partitionBy(group)).alias(total))
+    within = W.partitionBy(group, "_range").orderBy(value, tiebreak)
+    return (keyed.withColumn("_rn", F.row_number().over(within)).join(shifts, [group, "_range"])
+            .withColumn(rank, F.col("_shift") + F.col("_rn") - 1).drop("_range", "_rn", "_shift"))

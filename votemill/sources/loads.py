@@ -19,12 +19,12 @@ def store_speeches(parsed: DataFrame, person: DataFrame, existing_keys: DataFram
     return new.join(who, "person_id", "left").withColumn("url", S.document_url(F.col("ptk_id"), "Poytakirja"))
 
 
-def sessions_until_gap(sessions: DataFrame, miss_stop: int = 20, max_session: int = 200) -> DataFrame:
+def sessions_until_gap(sessions: DataFrame, miss_stop: int = 20) -> DataFrame:
     """Sessions ``(year, number)`` that a run from 1 reaches before ``miss_stop`` numbers in a row are missing.
 
-    A year holds at most ``max_session`` distinct numbers, so the window group is small.
+    A year's window holds its distinct session numbers, which a calendar bounds.
     """
-    s = sessions.select("year", "number").where(F.col("number").between(1, max_session)).distinct()
+    s = sessions.select("year", "number").where(F.col("number") >= 1).distinct()
     w = W.partitionBy("year").orderBy("number")
     missing = F.col("number") - F.coalesce(F.lag("number").over(w), F.lit(0)) - 1
     return (s.withColumn("_stop", (missing >= miss_stop).cast("int"))

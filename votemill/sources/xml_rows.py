@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from votemill import constants as C
+
 from votemill.functions import scalars as S, text as X
 
 
@@ -210,13 +212,12 @@ def member_profiles(rows: DataFrame) -> DataFrame:
 
 # --- bills ------------------------------------------------------------------------
 LEGISLATION_SCHEMA = "eduskunta_tunnus string, title string, summary string"
-TITLE_TAGS = ("SisaltoKuvaus", "OtsikkoTeksti", "NimekeKooste", "AsiakirjaNimi")
 
 
 def bill_texts(documents: DataFrame, paragraphs: int = 8, max_chars: int = 4000) -> DataFrame:
     """Bills ``(eduskunta_tunnus, xml)`` to title and summary (opening paragraphs)."""
     def walk(root):
-        titles = (_text(e) for tag in TITLE_TAGS for e in _all(root, tag))
+        titles = (_text(e) for tag in C.TITLE_TAGS for e in _all(root, tag))
         paras = [p for p in map(_text, _all(root, "KappaleKooste")) if p][:paragraphs]
         return [{"title": next((t for t in titles if t), None), "summary": " ".join(paras)[:max_chars]}]
 
