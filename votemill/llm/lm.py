@@ -53,8 +53,38 @@ def tokens(column: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(keys) if keys else np.zeros(0, U64), np.concatenate(rows) if rows else np.zeros(0, np.int64), n
 
 
+def _most(lots: list, n: int) -> list[np.ndarray]:
+    """The ``n`` keys with the largest counts of several (keys, counts); equal counts go to the smaller key."""
+    keys, counts = np.concatenate([k for k, _ in lots]), np.concatenate([c for _, c in lots])
+    pick = np.lexsort((keys, -counts))[:n]
+    return [keys[pick], counts[pick]]
+
+
+def _packed(pair: list[np.ndarray]) -> bytes:
+    return pair[0].astype("<u8").tobytes() + pair[1].astype("<i8").tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(data) // 2
+    return np.frombuffer(data[:half], "<u8"), np.frombuffer(data[half:], "<i8")
+
+
+def most_frequent(counted: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` most frequent words of all tasks, merged in two steps; no list is longer than ``n``."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[np.ndarray] = [np.zeros(0, U64), np.zeros(0, np.int64)]
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                best = _most([best, _unpacked(data)], n)
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(best)], pa.binary())], names=["payload"])
+
+    lists = counted.where("kind = 2").select("payload")
+    row = lists.repartition(16).mapInArrow(merge, "payload binary").repartition(1).mapInArrow(merge, "payload binary").first()
+    return _unpacked(row["payload"]) if row else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
 def count_words(rows: DataFrame, settings: lbl.Settings, buckets: int) -> DataFrame:
-    """kind 1: (block, bucket, payload) the training counts of a block's distinct words, by key; kind 2: (key, count) a frequent word; kind 3: (key, count, distinct) totals of a group."""
+    """kind 1: (block, bucket, payload) the training counts of a block's distinct words, by key; kind 2: the most frequent words of a task, packed; kind 3: (key, count, distinct) totals of a group."""
     schema = "kind int, bucket int, block long, payload binary"
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,14 +117,13 @@ def count_words(rows: DataFrame, settings: lbl.Settings, buckets: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([now] * n, pa.int32()), pa.array([b for b, _ in lots], pa.int64()), pa.array([p for _, p in lots], pa.binary()),
                                               *[pa.nulls(n, pa.int64())] * 3], schema=out)
             seen = np.flatnonzero(total)
-            top = seen[np.lexsort((words[seen], -total[seen]))[:settings.words]]
+            best[:] = _most([best, (words[seen], total[seen])], settings.words)
             group = (words % U64(settings.groups)).astype(np.int64)
-            sums = np.bincount(group, weights=total, minlength=settings.groups).astype(np.int64)
-            kinds = np.bincount(group[seen], minlength=settings.groups).astype(np.int64)
-            for kind, key, count, distinct in ((2, words[top].view(np.int64), total[top], np.ones(len(top), np.int64)), (3, np.arange(settings.groups), sums, kinds)):
-                n = len(key)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([now] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(key), pa.array(count), pa.array(distinct)], schema=out)
+            sums[0] += np.bincount(group, weights=total, minlength=settings.groups).astype(np.int64)
+            sums[1] += np.bincount(group[seen], minlength=settings.groups)
 
+        best: list[np.ndarray] = [np.zeros(0, U64), np.zeros(0, np.int64)]
+        sums = np.zeros((2, settings.groups), np.int64)
         for batch in batches:
             for bucket, block, payload in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
                 if bucket != now:
@@ -102,6 +131,9 @@ def count_words(rows: DataFrame, settings: lbl.Settings, buckets: int) -> DataFr
                     held, now = [], bucket
                 held.append((block, payload))
         yield from flush()
+        n = settings.groups
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([_packed(best)], pa.binary()), *[pa.nulls(1, pa.int64())] * 3], schema=out)
+        yield pa.RecordBatch.from_arrays([pa.array([3] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(n)), pa.array(sums[0]), pa.array(sums[1])], schema=out)
 
     packed = rows.select("text", "held").mapInArrow(per_block, schema)
     dealt = packed.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket")
@@ -187,10 +219,8 @@ def score(df: DataFrame, held_out: Column, text: str = "text", keep: list[str] |
     buckets = sk.bucket_count(spark)
     rows = df.select(F.col(f"`{text}`").cast("string").alias("text"), held_out.alias("held"), F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"))
     counted = runtime.materialize(count_words(rows, settings, buckets), "word-counts")
-    frequent = counted.where("kind = 2").select("key", "count").orderBy(F.desc("count"), "key").limit(settings.words).collect()
     groups = counted.where("kind = 3").groupBy("key").agg(F.sum("count").alias("count"), F.sum("distinct").alias("distinct")).collect()
-    vocabulary = Vocabulary(np.array([r["key"] for r in frequent], np.int64).view(U64), np.array([r["count"] for r in frequent], np.int64),
-                            {r["key"]: (r["count"], r["distinct"]) for r in groups}, settings)
+    vocabulary = Vocabulary(*most_frequent(counted, settings.words), {r["key"]: (r["count"], r["distinct"]) for r in groups}, settings)
     parameters = tuple(np.ascontiguousarray(a, np.float32).tobytes() for a in train(rows, vocabulary).arrays())
     model = spark.sparkContext.broadcast((hashlib.sha256(b"".join(parameters)).hexdigest(), parameters, vocabulary))  # bounded by the number of classes
     row_type = rows.schema["row"].dataType
