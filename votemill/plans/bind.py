@@ -54,11 +54,25 @@ def _day(n: str) -> str:
 
 
 class Bound:
-    """Model tables over one directory of the given Parquet tables."""
+    """Model tables over one directory of the given Parquet tables.
+
+    Tables that several results read are written once to the run's folder and
+    read back from there: records, lines, deviations, topics, summaries, style.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = tune(spark), sf_dir.rstrip("/")
 
+    _open: dict[tuple[str, str], Bound] = {}
+
+    @classmethod
+    def over(cls, spark: SparkSession, sf_dir: str) -> Bound:
+        """The one model of this application over a directory, so that its written tables serve every query."""
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in cls._open:
+            cls._open[key] = cls(spark, sf_dir)
+        return cls._open[key]
+
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -88,10 +102,10 @@ class Bound:
     @cached_property
     def vote_record(self) -> DataFrame:
         first = first_per_key(self.raw_record, ["vote_id", "person_id"], ["page", "place"])
-        return (first.join(self.person.select("person_id", "first_name", "last_name",
-                                              F.col("party_current").alias("party")), "person_id")
-                .select("vote_id", "person_id", "first_name", "last_name", "party",
-                        S.vote_value(F.col("vote_value")).alias("vote_value")))
+        return materialize(first.join(self.person.select("person_id", "first_name", "last_name",
+                                                         F.col("party_current").alias("party")), "person_id")
+                           .select("vote_id", "person_id", "first_name", "last_name", "party",
+                                   S.vote_value(F.col("vote_value")).alias("vote_value")), "vote-record")
 
     @cached_property
     def vote_head(self) -> DataFrame:
@@ -114,7 +128,8 @@ class Bound:
             F.count_if(v == "Jaa").alias("result_yes"), F.count_if(v == "Ei").alias("result_no"),
             F.count_if(v == "Tyhjää").alias("result_empty"), F.count_if(v == "Poissa").alias("result_absent"),
             F.count(F.lit(1)).alias("result_total"))
-        return self.vote_head.join(tally, "vote_id", "left").na.fill(0, ["result_yes", "result_no", "result_empty", "result_absent", "result_total"])
+        filled = self.vote_head.join(tally, "vote_id", "left").na.fill(0, ["result_yes", "result_no", "result_empty", "result_absent", "result_total"])
+        return materialize(filled, "vote")
 
     @cached_property
     def speech_text(self) -> DataFrame:
@@ -129,7 +144,7 @@ class Bound:
             "concat('HE ', cast(doc_id div 10 as string)) AS legislative_item",
             "concat('PTK ', cast(doc_id % 180 as string), '/2020 vp') AS ptk_id", "lang AS speech_type", "text")
         who = self.person.select("person_id", "first_name", "last_name", F.col("party_current").alias("party"))
-        return s.join(who, "person_id", "left").withColumn("word_count", X.word_count(F.col("text")))
+        return materialize(s.join(who, "person_id", "left").withColumn("word_count", X.word_count(F.col("text"))), "speech")
 
     @cached_property
     def legislation(self) -> DataFrame:
@@ -212,11 +227,11 @@ class Bound:
 
     @cached_property
     def party_line(self) -> DataFrame:
-        return lines.party_line(self.vote_record, self.vote_head)
+        return materialize(lines.party_line(self.vote_record, self.vote_head), "party-line")
 
     @cached_property
     def party_deviation(self) -> DataFrame:
-        return lines.party_deviation(self.vote_record, self.vote_head, self.party_line)
+        return materialize(lines.party_deviation(self.vote_record, self.vote_head, self.party_line), "party-deviation")
 
     @cached_property
     def topic_days(self) -> DataFrame:
@@ -224,41 +239,41 @@ class Bound:
 
     @cached_property
     def member_summary(self) -> DataFrame:
-        return members.member_summary(self.person, self.vote_record, self.vote_head, self.speech, self.topic_days,
-                                      deviation=self.party_deviation)
+        return materialize(members.member_summary(self.person, self.vote_record, self.vote_head, self.speech, self.topic_days,
+                                                  deviation=self.party_deviation), "member-summary")
 
     @cached_property
     def member_topic(self) -> DataFrame:
-        return members.member_topic_counts(self.person, self.speech, self.speech_topic, self.vote_record, self.vote_topic)
+        return materialize(members.member_topic_counts(self.person, self.speech, self.speech_topic, self.vote_record, self.vote_topic), "member-topic")
 
     @cached_property
     def position_change(self) -> DataFrame:
-        return members.position_changes(self.vote_record, self.vote_head, self.vote_topic)
+        return materialize(members.position_changes(self.vote_record, self.vote_head, self.vote_topic), "position-change")
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return power.line_outcomes(self.party_line, self.vote, PERIODS)
+        return materialize(power.line_outcomes(self.party_line, self.vote, PERIODS), "outcomes")
 
     @cached_property
     def party_words(self) -> DataFrame:
         counts = materialize(language.party_token_counts(self.speech, STOPWORDS), "party-token")
-        return language.party_distinctive_words(counts, min_party_total=1000)
+        return materialize(language.party_distinctive_words(counts, min_party_total=1000), "party-words")
 
     @cached_property
     def word_usage(self) -> DataFrame:
-        return language.word_style(self.speech, self.person, STYLE)
+        return materialize(language.word_style(self.speech, self.person, STYLE), "word-usage")
 
     @cached_property
     def word_hits(self) -> DataFrame:
-        return language.top_style_words(language.style_hits(self.speech, STYLE), self.person)
+        return materialize(language.top_style_words(language.style_hits(self.speech, STYLE), self.person), "word-hits")
 
     @cached_property
     def words_votes(self) -> DataFrame:
-        return stance.words_votes_ledger(self.stance, self.speech, self.vote_head, self.vote_record)
+        return materialize(stance.words_votes_ledger(self.stance, self.speech, self.vote_head, self.vote_record), "words-votes")
 
     @cached_property
     def breakers(self) -> DataFrame:
-        return promises.breakers(self.promise, self.promise_vote_map, self.vote_record, self.person)
+        return materialize(promises.breakers(self.promise, self.promise_vote_map, self.vote_record, self.person), "breakers")
 
     @cached_property
     def survey_stance(self) -> DataFrame:

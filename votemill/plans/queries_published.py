@@ -443,8 +443,8 @@ def _(b):
     return P.votes_for_item(b.vote)
 
 
-@query("q_vote_proscons", """SELECT v.vote_id, 'n' AS note, side, 0 AS pos, argument, first_name || ' ' || last_name AS speaker, party, substr(text, st, 20) AS quote FROM vote v
-    JOIN speech s ON s.legislative_item = v.legislative_item AND s.id % 10 = 4 CROSS JOIN (VALUES ('pro', 'for', 1), ('con', 'against', 10)) a(side, argument, st) WHERE v.vote_id % 4 = 0""")
+@query("q_vote_proscons", """SELECT v.vote_id, 'n' AS note, side, 0 AS pos, argument, first_name || ' ' || last_name AS speaker, party, substr(text, CASE side WHEN 'pro' THEN length(text) // 3 + 1 ELSE greatest(length(text) - 30, 1) END, 20) AS quote FROM vote v
+    JOIN speech s ON s.legislative_item = v.legislative_item AND s.id % 10 = 4 CROSS JOIN (VALUES ('pro', 'for'), ('con', 'against')) a(side, argument) WHERE v.vote_id % 4 = 0""")
 def _(b):
     return P.vote_proscons(b.proscons)
 

@@ -30,7 +30,7 @@ def load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     load()
-    return {name: (lambda spark, sf_dir, fn=fn: fn(Bound(spark, sf_dir))) for name, fn in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, fn=fn: fn(Bound.over(spark, sf_dir))) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
