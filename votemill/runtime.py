@@ -8,7 +8,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 SESSION_SETTINGS = {
@@ -50,6 +52,7 @@ def ship(spark: SparkSession) -> None:
 
 
 _run_folders: dict[str, str] = {}
+_owned: dict[str, Callable[[], object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,18 +75,26 @@ def shared_dir(spark: SparkSession) -> str:
         if default == "file":
             raise RuntimeError(f"spark.checkpoint.dir ({base}) is a path on one machine; name a shared folder with its scheme")
     folder = f"{base.rstrip('/')}/votemill-{context.applicationId}-{uuid.uuid4().hex[:8]}" if base else tempfile.mkdtemp(prefix="votemill-")
-    _run_folders[context.applicationId] = folder
-    atexit.register(clean, spark)
+    path, application = spark._jvm.org.apache.hadoop.fs.Path(folder), context.applicationId
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    _run_folders[application] = folder
+    _owned[application] = lambda: files.delete(path, True)
     return folder
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete this run's folder; called at the end of the process, or earlier by whoever owns the session."""
-    folder = _run_folders.pop(spark.sparkContext.applicationId, None)
-    if folder:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def clean(application: str) -> None:
+    """Delete the folder of a run; every folder left goes at the end of the process."""
+    _run_folders.pop(application, None)
+    delete = _owned.pop(application, None)
+    if delete:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+            delete()
+
+
+@atexit.register
+def _clean_all() -> None:
+    for application in list(_owned):
+        clean(application)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
