@@ -19,6 +19,7 @@ every score is that share.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -100,27 +101,31 @@ class Bags:
     """Windows of training texts as rows of word ids, words as rows of kept n-gram ids."""
 
     def __init__(self, texts: list[str], settings: Settings):
-        self.vocabulary: dict[str, int] = {}
-        ids, sizes, doc = [], [], []
+        vocabulary: dict[str, int] = {}
+        ids, sizes, doc, flat, gram_sizes = array("i"), array("i"), array("i"), array("i"), array("i")
         for d, text in enumerate(texts):
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text)]
-            for at in range(0, len(own), settings.window):
-                piece = own[at:at + settings.window]
-                ids += piece
-                sizes.append(len(piece))
+            found = tokens(text)
+            for word in found:
+                number = vocabulary.setdefault(word, len(vocabulary))
+                ids.append(number)
+                if number == len(gram_sizes):
+                    own = ngrams(word, settings)
+                    flat.extend(own)
+                    gram_sizes.append(len(own))
+            for at in range(0, len(found), settings.window):
+                sizes.append(min(settings.window, len(found) - at))
                 doc.append(d)
-        self.ids, self.sizes, self.doc = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(doc, np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
-        grams = [ngrams(w, settings) for w in self.vocabulary]
-        self.gram_sizes = np.array([len(g) for g in grams], np.int64)
-        flat = np.concatenate([np.array(g, np.int64) for g in grams]) if grams else np.zeros(0, np.int64)
+        self.words = len(vocabulary)
+        del vocabulary
+        self.ids, self.sizes, self.doc, self.gram_sizes = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (ids, sizes, doc, gram_sizes))
+        self.start = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        gram = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         # n-grams of too few texts would only be learnt by heart
-        owner = np.repeat(np.arange(len(grams)), self.gram_sizes)
-        word_doc = np.unique(self.ids * (len(texts) + 1) + np.repeat(self.doc, self.sizes))
-        per_word = np.bincount(word_doc // (len(texts) + 1), minlength=len(grams))
-        texts_with = np.bincount(flat, weights=per_word[owner], minlength=settings.buckets)
-        used = texts_with[flat] >= settings.min_texts
-        self.gram, self.gram_word = flat[used], owner[used]
+        owner = np.repeat(np.arange(self.words, dtype=np.int32), self.gram_sizes)
+        word_doc = np.unique(self.ids.astype(np.int64) * (len(texts) + 1) + np.repeat(self.doc, self.sizes))
+        per_word = np.bincount(word_doc // (len(texts) + 1), minlength=self.words)
+        used = np.bincount(gram, weights=per_word[owner], minlength=settings.buckets)[gram] >= settings.min_texts
+        self.gram, self.gram_word = gram[used], owner[used]
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -141,7 +146,7 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -
         return Model(settings, prior, np.zeros(settings.buckets), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
     rng = np.random.default_rng(settings.seed)
     bags = Bags(texts, settings)
-    n_words, share = len(bags.vocabulary), 1 / np.maximum(bags.sizes, settings.least)
+    n_words, share = bags.words, 1 / np.maximum(bags.sizes, settings.least)
     table, layer = rng.normal(0, 0.1, (settings.buckets, settings.dim)), rng.normal(0, 1, (settings.dim, 2))
     offset = np.log([1 - prior, prior])
     squares = [np.full_like(table, 1e-6), np.full_like(layer, 1e-6), np.full(2, 1e-6)]
