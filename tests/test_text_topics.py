@@ -98,9 +98,21 @@ def test_scalars(spark):
     assert one(spark, "Ei. Hampaat irvessä äänestän", S.reluctance(t, C.RELUCTANCE_MARKERS).alias("x")).x == "hampaat irvessä"
 
 
-def test_bm25_ranks_and_snippet(spark, seed):
-    hits = search.retrieve(seed.speech, "hoitotakuu potilaat", k=5).collect()
+def test_bm25_ranks_and_snippet(spark, seed, tmp_path):
+    index = search.build_index(seed.speech, "id", "text", str(tmp_path / "index"))
+    hits = search.retrieve(index, seed.speech, "hoitotakuu potilaat", k=5).collect()
     assert [h.id for h in hits] == [3, 1] and hits[0].score > hits[1].score
-    assert search.retrieve(seed.speech, "", k=5).count() == 0
-    (s,) = search.search_speeches(seed.speech, "VEROTUS").collect()
+    assert search.retrieve(index, seed.speech, "", k=5).count() == 0
+    (s,) = search.search_speeches(index, seed.speech, "VEROTUS").collect()
     assert s.snip.startswith("<mark>Verotus</mark>")
+
+
+def test_phrases_and_pruned_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "EU-jäsen maksaa"), (2, "jäsen EU"), (3, "eu ja jäsen"), (4, "Sørensen e\u0301 x")], "id long, text string")
+    assert search.fold_phrases('EU-jäsen "Mentré" ø-x') == [["eu", "jasen"], ["mentre"], ["ø", "x"]]
+    index = search.build_index(docs, "id", "text", str(tmp_path / "index"))
+    assert [r.id for r in search.bm25(index, [["eu", "jasen"]]).collect()] == [1]
+    assert [r.id for r in search.bm25(index, [["sørensen"], ["e"]], require_all=True).collect()] == [4]
+    assert search.bm25(index, []).count() == 0
+    plan = index.postings.where((F.col("bucket") == 3) & (F.col("term") == "eu"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,eu)" in plan

@@ -80,32 +80,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
-FOLD_FROM = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšťùúûüūůűųýÿźżž"
-FOLD_TO = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrsstuuuuuuuuyyzzz"
+# letters that decompose into a base letter and a mark; ø, ł and đ do not and stay
+FOLD_FROM = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöōőŕřśšťùúûüūůűųýÿźżž"
+FOLD_TO = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorrsstuuuuuuuuyyzzz"
+MARKS = r"[\u0300-\u036F]+"
 
 
 def search_tokens(text: Column) -> Column:
     """Index tokens: letters and digits only, lower-cased, diacritics folded."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
-    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, "")
+    return F.regexp_extract_all(F.translate(bare, FOLD_FROM, FOLD_TO), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def search_line(text: Column) -> Column:
-    """The index tokens as one string, each with a blank of its own on either side."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
-
-
-def search_line_length(line: Column) -> Column:
-    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(F.trim(line) == "", F.lit(0)).otherwise((blanks / 2).cast("int"))
-
-
-def term_count(line: Column, term: str) -> Column:
-    """Occurrences of a whole token in a :func:`search_line`."""
-    needle = f" {term} "
-    gone = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(needle), F.lit("")))
-    return (gone / F.lit(len(needle.encode()))).cast("int")
+def fts_query(query: Column, min_length: int = 1, joiner: str = " ") -> Column:
+    """The quoted form of a free-text query: one phrase per word, joined by blanks (all) or ``OR`` (any)."""
+    phrases = F.transform(query_terms(query, min_length), lambda t: F.concat(F.lit('"'), t, F.lit('"')))
+    return F.when(F.size(phrases) == 0, F.lit('""')).otherwise(F.array_join(phrases, joiner))
 
 
 def query_terms(query: Column, min_length: int = 1) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,11 +15,12 @@ from votemill.runtime import materialize
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Term frequencies ``(term, doc_id, tf, doc_length)`` of every text."""
+    """Places ``(term, doc_id, tf, doc_length, places)`` of every term of every text; places count from 0."""
     toks = docs.select(F.col(id_col).alias("doc_id"), X.search_tokens(F.col(text_col)).alias("_t"))
     # the outer form keeps Spark from tokenizing once more in a pushed-down "not empty" filter
-    return (toks.select("doc_id", F.size("_t").alias("doc_length"), F.explode_outer("_t").alias("term"))
-            .where(F.col("term").isNotNull()).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_length").alias("doc_length")))
+    placed = toks.select("doc_id", F.size("_t").alias("doc_length"), F.posexplode_outer("_t").alias("place", "term")).where(F.col("term").isNotNull())
+    return (placed.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_length").alias("doc_length"),
+                                                 F.array_sort(F.collect_list("place")).alias("places")))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -24,59 +28,82 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_hits"))
 
 
-def _row_terms(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    line = F.col("_line")
-    return docs.select(id_col, X.search_line(F.col(text_col)).alias("_line")).select(
-        id_col, X.search_line_length(line).alias("_dl"),
-        *[X.term_count(line, term).alias(f"_tf{i}") for i, term in enumerate(terms)])
+@dataclass(frozen=True)
+class Index:
+    """Written postings, partitioned by a hash of the term, and one row of collection totals ``(n, avgdl)``."""
 
+    postings: DataFrame
+    totals: DataFrame
+    buckets: int
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], *, require_all: bool = False,
+    def bucket(self, term):
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str, buckets: int = 64) -> Index:
+    """Writes the index of all texts below ``path``, in place of an older one there."""
+    spark = docs.sparkSession
+    spread = postings(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    spread.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    length = F.size(X.search_tokens(F.col(text_col)))
+    docs.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+    return Index(spark.read.schema(spread.schema).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"), buckets)
+
+
+def bm25(index: Index, phrases: list[list[str]], *, require_all: bool = False,
          k1: float = C.BM25_K1, b: float = C.BM25_B, idf_floor: float = C.BM25_IDF_FLOOR) -> DataFrame:
-    """BM25 score ``(id, score)`` of each text holding any (or all) of the folded ``terms``.
+    """BM25 score ``(id, score)`` of each text holding any (or all) of the phrases, each a run of folded terms.
 
-    One scan of the texts and no exchange of them: the query's term counts are
-    taken in the row and written as a narrow table, which then gives the
-    collection statistics (one row) and the scores.
+    Only the folders of the query's terms are read, and of them only the rows
+    of those terms.  A phrase is counted by the places where all its terms
+    stand in order.
     """
-    terms = sorted(set(terms))
+    spark = index.postings.sparkSession
+    phrases = [list(p) for p in dict.fromkeys(map(tuple, phrases)) if p]
+    terms = sorted({t for p in phrases for t in p})
     if not terms:
-        return docs.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    counted = materialize(_row_terms(docs, id_col, text_col, terms), "term-counts")
-    tf = [F.col(f"_tf{i}") for i in range(len(terms))]
-    stats = counted.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"),
-        *[F.count_if(t > 0).alias(f"df{i}") for i, t in enumerate(tf)])).scalar()
-    st = F.col("_st")
-    parts = []
-    for i, t in enumerate(tf):
-        raw_idf = F.log((st["n"] - st[f"df{i}"] + 0.5) / (st[f"df{i}"] + 0.5))
-        idf = F.when(raw_idf > 0, raw_idf).otherwise(F.lit(idf_floor))
-        parts.append(idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("_dl") / st["avgdl"])))
-    held = reduce((lambda p, q: p & q) if require_all else (lambda p, q: p | q), [t > 0 for t in tf])
-    return (counted.where(held).withColumn("_st", stats)
-            .select(id_col, reduce(lambda p, q: p + q, parts).alias("score")))
-
-
-def fold_terms(query: str, min_length: int = 1) -> list[str]:
-    """Terms of a literal query, folded the way texts are indexed."""
+        return spark.createDataFrame([], "id long, score double")
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(F.collect_set(index.bucket("t"))).first()[0]
+    rows = index.postings.where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+    asked = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(offset).alias("offset"), F.lit(len(phrase)).alias("size"), F.lit(term).alias("term"))
+                      for p, phrase in enumerate(phrases) for offset, term in enumerate(phrase)])
+    met = rows.select("doc_id", "doc_length", "places", F.explode(F.filter(asked, lambda q: q["term"] == F.col("term"))).alias("q"))
+    alone = met.where("q.size = 1").select("doc_id", "doc_length", F.col("q.phrase").alias("phrase"), F.size("places").cast("long").alias("tf"))
+    starts = met.where("q.size > 1").select("doc_id", "doc_length", "q", F.explode("places").alias("place"))
+    runs = (starts.groupBy("doc_id", "doc_length", F.col("q.phrase").alias("phrase"), F.col("q.size").alias("size"), (F.col("place") - F.col("q.offset")).alias("start"))
+            .agg(F.count(F.lit(1)).alias("n")).where("n = size"))
+    found = alone.unionByName(runs.groupBy("doc_id", "doc_length", "phrase").agg(F.count(F.lit(1)).alias("tf")))
+    found = materialize(found, "phrase-counts")
+    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    totals = index.totals.select(F.struct("n", "avgdl")).scalar()
+    raw_idf = F.log((F.col("_st.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(raw_idf > 0, raw_idf).otherwise(F.lit(idf_floor))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_length") / F.col("_st.avgdl")))
+    scored = found.join(F.broadcast(df), "phrase").withColumn("_st", totals).groupBy(F.col("doc_id").alias("id")).agg(  # df: a row per phrase of the query
+        F.sum(weight).alias("score"), F.count(F.lit(1)).alias("held"))
+    return scored.where(F.col("held") >= (len(phrases) if require_all else 1)).select("id", "score")
+
+
+def fold_phrases(query: str, min_length: int = 1) -> list[list[str]]:
+    """Phrases of a literal query: each blank-separated word, folded the way texts are indexed; a separator inside a word makes it a run of terms."""
     table = str.maketrans(X.FOLD_FROM, X.FOLD_TO)
     out = []
-    for word in query.replace('"', " ").split():
+    for word in unicodedata.normalize("NFC", query).replace('"', " ").split():
         if len(word) >= min_length:
-            folded = "".join(c if c.isalnum() else " " for c in word.lower().translate(table))
-            out.extend(folded.split())
-    return out
+            folded = re.sub(X.MARKS, "", word.lower()).translate(table)
+            out.append("".join(c if c.isalnum() else " " for c in folded).split())
+    return [p for p in out if p]
 
 
-def retrieve(speech: DataFrame, query: str, *, person_id: int | None = None, k: int = 8,
+def retrieve(index: Index, speech: DataFrame, query: str, *, person_id: int | None = None, k: int = 8,
              max_chars: int = 700) -> DataFrame:
     """Top ``k`` passages for a question: any term of two letters or more, best BM25 first."""
-    ranked = bm25(speech, "id", "text", fold_terms(query, 2))
-    hits = ranked.join(speech, "id")
+    ranked = bm25(index, fold_phrases(query, 2))
     if person_id is not None:
-        hits = hits.where(F.col("person_id") == person_id)
-    return (hits.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+        ranked = ranked.join(speech.where(F.col("person_id") == person_id).select("id"), "id", "left_semi")
+    # texts are fetched for the k best only
+    best = ranked.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+    return (best.join(speech, "id").orderBy(F.desc(F.round("score", 9)), "id")
             .select("id", F.concat("first_name", F.lit(" "), "last_name").alias("who"), "party", "started_at",
                     "legislative_item", S.preview(F.col("text"), max_chars).alias("text"), "person_id",
                     F.round("score", 6).alias("score")))
@@ -95,10 +122,11 @@ def search_votes(vote: DataFrame, query: str, limit: int = 30) -> DataFrame:
             .orderBy(F.desc("session_date"), "vote_id").limit(limit))
 
 
-def search_speeches(speech: DataFrame, query: str, limit: int = 30, width: int = 12) -> DataFrame:
+def search_speeches(index: Index, speech: DataFrame, query: str, limit: int = 30, width: int = 12) -> DataFrame:
     """Speeches holding all words of the query, best first, with a marked snippet."""
-    terms = fold_terms(query)
-    hits = bm25(speech, "id", "text", terms, require_all=True).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    phrases = fold_phrases(query)
+    terms = sorted({t for p in phrases for t in p})
+    hits = bm25(index, phrases, require_all=True).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
     arr = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     return hits.join(speech, "id").select(
         "id", "first_name", "last_name", "party", "ptk_id", "started_at", F.round("score", 6).alias("score"),
@@ -113,14 +141,14 @@ def search_speeches_like(speech: DataFrame, query: str, limit: int = 30, chars:
                     S.preview(F.col("text"), chars).alias("snip")))
 
 
-def search_all(person: DataFrame, vote: DataFrame, speech: DataFrame, query: str, limit: int = 30) -> DataFrame:
+def search_all(person: DataFrame, vote: DataFrame, index: Index, speech: DataFrame, query: str, limit: int = 30) -> DataFrame:
     """Hits of the three searches as one tagged table."""
     def tagged(df, kind, key, label):
         return df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(label).alias("label"))
 
     return (tagged(search_people(person, query, limit), "person", "person_id", "full_name")
             .unionByName(tagged(search_votes(vote, query, limit), "vote", "vote_id", "title"))
-            .unionByName(tagged(search_speeches(speech, query, limit), "speech", "id", "snip")))
+            .unionByName(tagged(search_speeches(index, speech, query, limit), "speech", "id", "snip")))
 
 
 def unit_vector(vec):

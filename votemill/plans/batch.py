@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from votemill import constants as C
-from votemill.operators import coverage, language, lines, maps, members, power, topics
+from votemill.operators import coverage, language, lines, maps, members, power, search, topics
 from votemill.sources.sinks import rebuild
 
 
@@ -33,6 +33,7 @@ def run_all(facts: dict[str, DataFrame], path: str, *, period: str = "all", lexi
     # facts that are views over raw rows are settled once
     vote_record = save("vote_record", facts["vote_record"])
     vote = save("vote", vote)
+    search.build_index(speech, "id", "text", f"{path}/speech_index")
     topic, keyword = topics.topic_tables(spark, lexicon)
     save("topic", topic)
     save("topic_keyword", keyword)

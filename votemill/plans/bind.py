@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from votemill import constants as C
 from votemill.functions import scalars as S, text as X
-from votemill.operators import language, lines, members, power, promises, stance, survey, topics
+from votemill.operators import language, lines, members, power, promises, search, stance, survey, topics
 from votemill.operators.relational import first_per_key
-from votemill.runtime import materialize, tune
+from votemill.runtime import fresh_path, materialize, tune
 
 GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 PERIODS = [
@@ -133,12 +133,12 @@ class Bound:
 
     @cached_property
     def speech_text(self) -> DataFrame:
-        return self.base("documents").select(F.col("doc_id").alias("id"), "text")
+        return self.speech.select("id", "text")
 
     @cached_property
     def speech(self) -> DataFrame:
         n = self.base("supplier").agg(F.count(F.lit(1))).scalar()
-        s = self.base("documents").withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
+        s = self.base("documents").withColumn("text", X.nfc("text")).withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
             "doc_id AS id", "person_id", "concat('s', cast(doc_id as string)) AS external_key",
             f"{_day('(doc_id * 53) % 2500')} AS started_at",
             "concat('HE ', cast(doc_id div 10 as string)) AS legislative_item",
@@ -146,6 +146,10 @@ class Bound:
         who = self.person.select("person_id", "first_name", "last_name", F.col("party_current").alias("party"))
         return materialize(s.join(who, "person_id", "left").withColumn("word_count", X.word_count(F.col("text"))), "speech")
 
+    @cached_property
+    def search_index(self) -> search.Index:
+        return search.build_index(self.speech, "id", "text", fresh_path(self.spark, "speech-index"))
+
     @cached_property
     def legislation(self) -> DataFrame:
         title = self.base("part").groupBy(F.expr("concat('HE ', cast(p_partkey div 20 as string))").alias("eduskunta_tunnus")) \
@@ -309,7 +313,7 @@ _LEX = [(i, *(k.split() + [""])[:2], w) for i, _, _, kws in LEXICON for k, w in
 _STYLE = [(c, *(w.split() + [""])[:2]) for c, (a, b) in STYLE.items() for w in a + b]
 _PERIOD_ROWS = [(s, e or "9999", g) for s, e, gs in PERIODS for g in gs]
 _TOK = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '<[^>]+>', ' ', 'g'), '[\p{L}\p{N}_-]+')"
-_SEARCH_TOK = rf"regexp_extract_all(translate(lower(coalesce(text, '')), '{X.FOLD_FROM}', '{X.FOLD_TO}'), '[\p{{L}}\p{{N}}]+')"
+_SEARCH_TOK = rf"regexp_extract_all(translate(regexp_replace(lower(coalesce(text, '')), '[\x{{0300}}-\x{{036F}}]+', '', 'g'), '{X.FOLD_FROM}', '{X.FOLD_TO}'), '[\p{{L}}\p{{N}}]+')"
 
 
 def _sday(n: str) -> str:
@@ -338,8 +342,8 @@ CTES: dict[str, str] = {
           FROM vote_record GROUP BY vote_id) t ON t.vote_id = p_partkey""",
     "speech": f"""SELECT doc_id AS id, (doc_id * 7) % (SELECT count(*) FROM supplier) AS person_id, 's' || doc_id AS external_key,
         {_sday('(doc_id * 53) % 2500')} AS started_at, 'HE ' || (doc_id // 10) AS legislative_item,
-        'PTK ' || (doc_id % 180) || '/2020 vp' AS ptk_id, lang AS speech_type, text, first_name, last_name, party_current AS party,
-        cast(len(regexp_extract_all(text, '\\S+')) as int) AS word_count
+        'PTK ' || (doc_id % 180) || '/2020 vp' AS ptk_id, lang AS speech_type, nfc_normalize(text) AS text, first_name, last_name, party_current AS party,
+        cast(len(regexp_extract_all(nfc_normalize(text), '\\S+')) as int) AS word_count
         FROM documents LEFT JOIN person p ON p.person_id = (doc_id * 7) % (SELECT count(*) FROM supplier)""",
     "legislation": """SELECT eduskunta_tunnus, title, summary, 'u/' || eduskunta_tunnus AS url FROM
         (SELECT 'HE ' || (p_partkey // 20) AS eduskunta_tunnus, min(p_name) AS title FROM part GROUP BY 1)

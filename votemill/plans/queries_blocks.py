@@ -390,12 +390,11 @@ def _(b):
     return b.base("customer").select("c_custkey", S.party_code(F.concat(F.lit(" "), F.col("c_mktsegment")), bind.SURVEY_CODES).alias("code"))
 
 
-@query("fn_fts_query", """SELECT doc_id, array_to_string(q, ' ') AS all_terms, array_to_string(list_filter(q, lambda x: length(x) > 1), ' ') AS any_terms FROM (
-    SELECT doc_id, list_filter(regexp_split_to_array(replace(text, '"', ' '), '\\s+'), lambda x: length(x) > 0) AS q FROM documents)""")
+@query("fn_fts_query", """SELECT doc_id, coalesce(nullif(array_to_string(list_transform(q, lambda x: '"' || x || '"'), ' '), ''), '""') AS all_terms,
+    coalesce(nullif(array_to_string(list_transform(list_filter(q, lambda x: length(x) > 1), lambda x: '"' || x || '"'), ' OR '), ''), '""') AS any_terms FROM (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, '"', ' '), '\\s+'), lambda x: length(x) > 0) AS q FROM documents)""")
 def _(b):
     d = b.base("documents")
-    return d.select("doc_id", F.array_join(X.query_terms(F.col("text")), " ").alias("all_terms"),
-                    F.array_join(X.query_terms(F.col("text"), 2), " ").alias("any_terms"))
+    return d.select("doc_id", X.fts_query(F.col("text")).alias("all_terms"), X.fts_query(F.col("text"), 2, " OR ").alias("any_terms"))
 
 
 @query("fn_snippet", r"""SELECT id, CASE WHEN f = 0 THEN NULL ELSE CASE WHEN st > 1 THEN '…' ELSE '' END || array_to_string(list_transform(w[st:st + 11], lambda x: CASE WHEN

@@ -204,7 +204,7 @@ def _(b):
 
 # --- retrieval ----------------------------------------------------------------
 BM25_SQL = """WITH st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM search_tokens),
-    tf AS (SELECT id, term, len(list_filter(toks, lambda x: x = term)) AS tf, len(toks) AS dl FROM search_tokens, (VALUES {terms}) q(term)),
+    tf AS (SELECT id, term, len(list_filter(range(1, len(toks) - len(term) + 2), lambda i: toks[i:i + len(term) - 1] = term)) AS tf, len(toks) AS dl FROM search_tokens, (VALUES {terms}) q(term)),
     df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1),
     scored AS (SELECT id, count(*) FILTER (tf > 0) AS held,
       sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
@@ -213,29 +213,36 @@ BM25_SQL = """WITH st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM sea
     """
 
 
-@query("search_bm25", BM25_SQL.format(terms="('widget'), ('mentre'), ('thon'), ('el')", need=">= 1") + """
+@query("search_bm25", BM25_SQL.format(terms="(['widget']), (['mentre']), (['thon']), (['el']), (['of', 'the'])", need=">= 1") + """
     SELECT s.id, first_name || ' ' || last_name AS who, party, started_at, legislative_item, substr(text, 1, 700) AS text, person_id, round(score, 6) AS score
     FROM scored JOIN speech s USING (id) ORDER BY round(score, 9) DESC, id LIMIT 8""")
 def _(b):
-    return search.retrieve(b.speech, 'widget "mentré" thon el x', k=8)
+    return search.retrieve(b.search_index, b.speech, 'widget "mentré" thon el x of-the', k=8)
 
 
 @query("search_index_rebuild", "SELECT term, doc_id, tf, doc_length FROM postings")
 def _(b):
-    return search.postings(b.speech, "id", "text")
+    return b.search_index.postings.select("term", "doc_id", "tf", "doc_length")
 
 
 @query("search_term_statistics", "SELECT term, count(*) AS n_docs, cast(sum(tf) as bigint) AS n_hits FROM postings GROUP BY 1")
 def _(b):
-    return search.term_statistics(search.postings(b.speech, "id", "text"))
+    return search.term_statistics(b.search_index.postings)
 
 
-@query("search_all", BM25_SQL.format(terms="('the'), ('thon')", need="= 2") + """
-    SELECT kind, id FROM (SELECT 'speech' AS kind, id FROM scored ORDER BY round(score, 9) DESC, id LIMIT 30)
-    UNION ALL SELECT * FROM (SELECT 'vote' AS kind, vote_id FROM vote WHERE title ILIKE '%the thon%' OR legislative_item ILIKE '%the thon%' OR item_title ILIKE '%the thon%' ORDER BY session_date DESC, vote_id LIMIT 30)
-    UNION ALL SELECT * FROM (SELECT 'person' AS kind, person_id FROM person WHERE full_name ILIKE '%the thon%' ORDER BY full_name, person_id LIMIT 30)""")
+SNIP_WORD = bind._SEARCH_TOK.replace("text", "x")
+SNIP_SQL = f"""SELECT id, CASE WHEN st > 1 THEN '…' ELSE '' END || array_to_string(list_transform(w[st:st + 11], lambda x: CASE WHEN list_has_any({SNIP_WORD}, ['the', 'thon'])
+      THEN '<mark>' || x || '</mark>' ELSE x END), ' ') || CASE WHEN st + 12 <= len(w) THEN '…' ELSE '' END AS snip
+    FROM (SELECT id, w, greatest(1, least(list_position(list_transform(w, lambda x: list_has_any({SNIP_WORD}, ['the', 'thon'])), true), len(w) - 11)) AS st
+    FROM (SELECT id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM speech))"""
+
+
+@query("search_all", BM25_SQL.format(terms="(['the']), (['thon'])", need="= 2") + f"""
+    SELECT kind, id, label FROM (SELECT 'speech' AS kind, id, snip AS label FROM scored JOIN ({SNIP_SQL}) USING (id) ORDER BY round(score, 9) DESC, id LIMIT 30)
+    UNION ALL SELECT * FROM (SELECT 'vote' AS kind, vote_id, title FROM vote WHERE title ILIKE '%the thon%' OR legislative_item ILIKE '%the thon%' OR item_title ILIKE '%the thon%' ORDER BY session_date DESC, vote_id LIMIT 30)
+    UNION ALL SELECT * FROM (SELECT 'person' AS kind, person_id, full_name FROM person WHERE full_name ILIKE '%the thon%' ORDER BY full_name, person_id LIMIT 30)""")
 def _(b):
-    return search.search_all(b.person, b.vote_head, b.speech, "the thon").drop("label")
+    return search.search_all(b.person, b.vote_head, b.search_index, b.speech, "the thon")
 
 
 @query("search_semantic", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),

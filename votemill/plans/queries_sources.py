@@ -51,7 +51,8 @@ def _(b):
 
 # --- votes ------------------------------------------------------------------------
 @query("src_vote_headers", """SELECT vote_id, vp_year, session_date, title, item_title, legislative_item, treatment_stage, result_yes, result_no,
-    cast(contains(lower(title || ' ' || item_title), 'red') as int) AS is_procedural FROM vote WHERE vote_id % 17 <> 0""")
+    cast(contains(lower(title || ' ' || item_title), 'red') as int) AS is_procedural,
+    'i/' || vote_id AS legislative_item_url, 'm/' || vote_id AS minutes_url, CASE WHEN vote_id % 3 <> 0 THEN 'u/' || vote_id END AS url FROM vote WHERE vote_id % 17 <> 0""")
 def _(b):
     v = b.vote
     text = {c: F.col(c).cast("string") for c in ("vote_id", "vp_year", "result_yes", "result_no", "result_empty", "result_absent", "result_total")}
@@ -59,12 +60,15 @@ def _(b):
         *[x.alias(c) for c, x in text.items()], F.lit(None).cast("string").alias("session_number"),
         "session_date", "title", "extra_title", "main_item_title", "item_title", "treatment_title", "treatment_stage", "legislative_item",
         F.lit(None).cast("string").alias("main_title"),
+        F.concat(F.lit("i/"), "vote_id").alias("legislative_item_url"), F.concat(F.lit("m/"), "vote_id").alias("minutes_url"),
+        F.when(F.col("vote_id") % 3 != 0, F.concat(F.lit("u/"), "vote_id")).alias("url"),
         F.when(F.col("vote_id") % 17 == 0, "1").when(F.col("vote_id") % 2 == 0, "0").alias("annulled"),
         F.explode(F.array(F.lit("1"), F.lit("2"))).alias("language"), F.lit(1).alias("page"), F.lit(1).alias("place"))
     again = rows.withColumn("title", F.lit("red later copy")).withColumn("page", F.lit(2))
     return votes.vote_headers(rows.unionByName(again), hints=("red",)).select(
         "vote_id", "vp_year", "session_date", "title", "item_title", "legislative_item", "treatment_stage",
-        F.col("result_yes").cast("long").alias("result_yes"), F.col("result_no").cast("long").alias("result_no"), "is_procedural")
+        F.col("result_yes").cast("long").alias("result_yes"), F.col("result_no").cast("long").alias("result_no"), "is_procedural",
+        "legislative_item_url", "minutes_url", "url")
 
 
 @query("src_vote_records", "SELECT vote_id, person_id, first_name, last_name, lower(party) AS party, vote_value FROM vote_record")

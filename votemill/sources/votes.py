@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from votemill.functions import scalars as S
+from votemill.functions import scalars as S, text as X
 from votemill.operators.relational import first_per_key
 
 HEADER_TEXT = ("session_date", "title", "extra_title", "main_item_title", "item_title", "treatment_title",
-               "treatment_stage", "legislative_item")
+               "treatment_stage", "legislative_item", "legislative_item_url", "minutes_url", "url")
+TITLES = ("title", "extra_title", "main_item_title", "item_title", "treatment_title")
 HEADER_INT = ("vp_year", "session_number", "result_yes", "result_no", "result_empty", "result_absent", "result_total")
 
 
@@ -24,7 +25,7 @@ def vote_headers(rows: DataFrame, *, language: str = "1", hints=None) -> DataFra
     typed = (rows.where((F.col("language") == language) & annulled.isin("0", "", "None"))
              .select(S.to_int(F.col("vote_id")).alias("vote_id"), "page", "place",
                      *[S.to_int(F.col(c), "int").alias(c) for c in HEADER_INT],
-                     *HEADER_TEXT, flag.alias("is_procedural"))
+                     *[X.nfc(c).alias(c) if c in TITLES else F.col(c) for c in HEADER_TEXT], flag.alias("is_procedural"))
              .where(F.col("vote_id").isNotNull()))
     return first_per_key(typed, ["vote_id"], ["page", "place"]).drop("page", "place")
 
