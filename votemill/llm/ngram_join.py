@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from votemill import runtime
+from votemill.runtime import global_rank
 from votemill.llm import components, shared_keys as sk, textblocks as tb
 
 
@@ -49,6 +50,10 @@ class Settings:
     verify: int = 40
     #: leaders drawn for each shingle before pairs are listed
     leaders: int = 2
+    #: a shingle that more texts hold is heavy: its texts are compared block by block, not listed pair by pair
+    light: int = 32
+    #: texts of a block
+    block: int = 512
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -224,24 +229,108 @@ def _leader_pairs(prefixes: DataFrame, settings: Settings) -> DataFrame:
     return best.select(F.least("a", "best.b").alias("x"), F.greatest("a", "best.b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _open_pairs(prefixes: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b): all pairs across components that share enough prefix shingles."""
+def _open_rows(prefixes: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Prefix rows of shingles that at least two components hold: token, uid, l, n, comp, ``heavy`` where more than ``settings.light`` texts hold it."""
     named = labels.select(F.col("node").alias("uid"), F.col("comp").alias("label"))
     rows = prefixes.join(named, "uid", "left").select("token", "uid", "l", "n", F.coalesce("label", "uid").alias("comp"))
     token = W.partitionBy("token")
-    rows = runtime.materialize(rows.withColumn("low", F.min("comp").over(token)).withColumn("high", F.max("comp").over(token)).where("low < high").drop("low", "high"), "open")
-    one, two = (rows.select("token", *[F.col(c).alias(f"{d}_{x}") for c, d in (("uid", "u"), ("l", "l"), ("n", "n"), ("comp", "c"))]) for x in ("a", "b"))
+    seen = rows.withColumn("low", F.min("comp").over(token)).withColumn("high", F.max("comp").over(token)).withColumn("holders", F.count(F.lit(1)).over(token))
+    return seen.where("low < high").select("token", "uid", "l", "n", "comp", (F.col("holders") > settings.light).alias("heavy"))
+
+
+def _light_pairs(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): all pairs across components that have a light shingle in common and may reach the shared shingles asked for."""
+    heavy = rows.where("heavy").groupBy("uid").agg(F.count(F.lit(1)).alias("h"))
+    light = rows.where("not heavy").join(heavy, "uid", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    one, two = (light.select("token", *[F.col(c).alias(f"{d}_{x}") for c, d in (("uid", "u"), ("l", "l"), ("n", "n"), ("comp", "c"), ("h", "h"))]) for x in ("a", "b"))
     met = one.join(two, "token").where((F.col("c_a") < F.col("c_b")) & _similar_size(settings))
-    pairs = met.groupBy(F.col("u_a").alias("a"), F.col("u_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("l_a").alias("l_a"), F.first("l_b").alias("l_b"))
-    return pairs.where(F.col("shared") >= F.least("l_a", "l_b")).select("a", "b")
+    first = [F.first(c).alias(c) for c in ("l_a", "l_b", "h_a", "h_b")]
+    pairs = met.groupBy(F.col("u_a").alias("a"), F.col("u_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), *first)
+    return pairs.where(F.col("shared") + F.least("h_a", "h_b") >= F.least("l_a", "l_b")).select("a", "b")
+
+
+def _family_links(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): a spanning set of the links between texts of different components that have a heavy shingle in common.
+
+    The texts are laid out so that those with the same leader are neighbours
+    and cut into blocks; blocks that hold a heavy shingle in common meet as
+    wholes, and a task works out the overlaps of two blocks without a row per
+    pair.
+    """
+    heavy = rows.where("heavy").select("token", "uid", "comp")
+    order = W.partitionBy("token").orderBy(F.xxhash64("uid"), "uid")
+    votes = heavy.withColumn("leader", F.first("uid").over(order)).groupBy("uid", "comp", "leader").agg(F.count(F.lit(1)).alias("shared"))
+    placed = votes.groupBy("uid", "comp").agg(F.max(F.struct("shared", "leader")).alias("best")).select("uid", "comp", F.col("best.leader").alias("leader"))
+    ranked = global_rank(placed.withColumn("all", F.lit(0)), "all", "leader", "uid")
+    blocks = runtime.materialize(ranked.select("uid", "comp", F.floor(F.col("rank0") / settings.block).alias("block")), "blocks")
+    held = heavy.select("token", "uid").join(blocks.select("uid", "block"), "uid").select("token", "block").distinct()
+    pairs = (held.withColumnRenamed("block", "x").join(held.withColumnRenamed("block", "y"), "token").where("x <= y").select("x", "y").distinct())
+    pairs = runtime.materialize(pairs, "block-pairs")
+    full = blocks.join(sets.select("uid", "n", "tokens"), "uid")
+    left = full.join(pairs, full.block == pairs.x).select("x", "y", F.lit(0).alias("side"), "uid", "comp", "n", "tokens")
+    right = full.join(pairs.where("x < y"), full.block == pairs.y).select("x", "y", F.lit(1).alias("side"), "uid", "comp", "n", "tokens")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.unionByName(right).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side", "uid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:2] != now:
+                    if held:
+                        yield _links_of_blocks(held, settings)
+                    now, held = row[:2], []
+                held.append(row[2:])
+        if held:
+            yield _links_of_blocks(held, settings)
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _links_of_blocks(rows: list[tuple], settings: Settings) -> pa.RecordBatch:
+    """Links that join components among the texts of one or two blocks: rows of (side, uid, comp, n, tokens)."""
+    side, uid, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    sets = [np.frombuffer(r[4], np.int64) for r in rows]
+    names, token = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.concatenate([[0], np.cumsum([len(t) for t in sets])])
+    parent: dict[int, int] = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    second = np.flatnonzero(side == 1)
+    alone = not len(second)
+    low, high = (0, len(rows)) if alone else (second[0], len(rows))
+    mark = np.zeros(len(names), np.int32)
+    out = []
+    for i in range(len(rows) if alone else low):
+        start = i + 1 if alone else low
+        if start >= high:
+            break
+        mark[token[edge[i]:edge[i + 1]]] = 1
+        both = np.add.reduceat(mark[token[edge[start]:edge[high]]], edge[start:high] - edge[start])
+        mark[token[edge[i]:edge[i + 1]]] = 0
+        near = np.flatnonzero((100 * both >= settings.percent * (size[i] + size[start:high] - both)) & (comp[start:high] != comp[i])) + start
+        for j in near.tolist():
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y:
+                parent[x] = y
+                out.append((int(uid[i]), int(uid[j])))
+    a, b = zip(*out) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def links(sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(node, comp) over the representatives that have a link."""
     prefixes = runtime.materialize(_prefixes(sets, settings), "prefixes")
     led = runtime.materialize(_verified(_leader_pairs(prefixes, settings), sets, settings), "links")
-    rest = runtime.materialize(_verified(_open_pairs(prefixes, components.connected(led), settings), sets, settings), "links")
-    return components.connected(led.union(rest))
+    rows = runtime.materialize(_open_rows(prefixes, components.connected(led), settings), "open")
+    pairs = runtime.materialize(_verified(_light_pairs(rows, settings), sets, settings), "links")
+    families = runtime.materialize(_family_links(rows, sets, settings), "links")
+    return components.connected(led.union(pairs).union(families))
 
 
 def join(df: DataFrame, text: str = "text", keep: list[str] | None = None, settings: Settings = Settings()) -> DataFrame:
