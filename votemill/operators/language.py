@@ -32,19 +32,25 @@ def party_distinctive_words(counts: DataFrame, *, min_party_total: int = C.WORDS
                             prior: float = C.WORDS_PRIOR) -> DataFrame:
     """Top words per party by z-score of the log-odds with an informative Dirichlet prior.
 
-    ``counts`` comes from :func:`party_token_counts` and is read three times:
-    hand over a written table when the text is large.  The word-by-party grid
-    (words a party never used score too) is built from the word side with a
-    one-row list of the parties that pass ``min_party_total``.
+    ``counts`` comes from :func:`party_token_counts` and is read several times:
+    hand over a written table when the text is large.  A word that a party never
+    used scores below all that it used more than expected, so unused words are
+    added only for parties with fewer than ``top_n`` words of their own.
     """
-    totals = counts.groupBy("party").agg(F.sum("n").alias("ni"))
+    totals = counts.groupBy("party").agg(F.sum("n").alias("ni")).where(F.col("ni") >= min_party_total)
     total_all = counts.agg(F.sum("n")).scalar()
-    parties = totals.where(F.col("ni") >= min_party_total) \
-        .agg(F.collect_list(F.struct("party", "ni"))).scalar()
     vocab = counts.groupBy("word").agg(F.sum("n").alias("n_total")).where(F.col("n_total") >= min_count)
-    grid = vocab.select("word", "n_total", total_all.alias("nn"), F.inline(parties))
     yi, aw = F.col("yi"), F.col("aw")
-    scored = (grid.join(counts.withColumnRenamed("n", "yi"), ["party", "word"], "left").na.fill(0, ["yi"])
+    used = counts.withColumnRenamed("n", "yi").join(vocab, "word").join(totals, "party").select("party", "word", "yi", "ni", "n_total")
+    expected = F.col("ni") * F.col("n_total") / total_all
+    short = (totals.join(used.where(yi > expected).groupBy("party").agg(F.count(F.lit(1)).alias("own")), "party", "left")
+             .where(F.coalesce("own", F.lit(0)) < top_n).select("party", "ni"))
+    salts = 16
+    dealt = short.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    unused = (vocab.withColumn("_salt", F.pmod(F.xxhash64("word"), F.lit(salts))).join(dealt, "_salt")
+              .join(counts.select("party", "word"), ["party", "word"], "left_anti")
+              .select("party", "word", F.lit(0).cast("long").alias("yi"), "ni", "n_total"))
+    scored = (used.unionByName(unused).withColumn("nn", total_all)
               .withColumn("aw", prior * F.col("n_total") / F.col("nn"))
               .withColumn("num_i", yi + aw)
               .withColumn("den_i", F.col("ni") + prior - yi - aw)
@@ -63,8 +69,11 @@ def default_style_lexicon() -> dict[str, tuple[list[str], list[str]]]:
             "swear": (list(C.SWEAR_WORDS), list(C.SWEAR_PHRASES))}
 
 
-def style_hits(speech: DataFrame, lexicon: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
-    """Lexicon hits per (person, category, word); the text is read once and only hits are shuffled."""
+WORDS = "words"
+
+
+def style_counts(speech: DataFrame, lexicon: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
+    """Lexicon hits per (person, category, word) and, as category ``words``, all words of a person; one pass over the texts, only counts are shuffled."""
     lexicon = lexicon or default_style_lexicon()
     toks = (speech.where(F.col("person_id").isNotNull() & F.col("text").isNotNull())
             .select("person_id", X.tokens(F.col("text")).alias("_t")))
@@ -74,20 +83,25 @@ def style_hits(speech: DataFrame, lexicon: dict[str, tuple[list[str], list[str]]
                            lambda w: F.struct(F.lit(cat).alias("category"), w.alias("word")))
 
     found = F.concat(*[tagged(cat, *words) for cat, words in lexicon.items()])
-    return (toks.select("person_id", F.inline_outer(found)).where(F.col("word").isNotNull())
-            .groupBy("person_id", "category", "word")
-            .agg(F.count(F.lit(1)).alias("n")))
+    counted = F.concat(F.transform(found, lambda h: F.struct(h["category"].alias("category"), h["word"].alias("word"), F.lit(1).cast("long").alias("n"))),
+                       F.array(F.struct(F.lit(WORDS).alias("category"), F.lit("").alias("word"), F.size("_t").cast("long").alias("n"))))
+    return (toks.select("person_id", F.inline_outer(counted)).groupBy("person_id", "category", "word")
+            .agg(F.sum("n").alias("n")))
+
+
+def style_hits(counts: DataFrame) -> DataFrame:
+    """The hits among :func:`style_counts`."""
+    return counts.where(F.col("category") != WORDS)
 
 
-def word_style(speech: DataFrame, person: DataFrame,
+def word_style(counts: DataFrame, person: DataFrame,
                lexicon: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
     """Hits per 1000 words for each registered member and category; members without hits stay with 0."""
     lexicon = lexicon or default_style_lexicon()
-    words = (speech.where(F.col("person_id").isNotNull() & F.col("text").isNotNull())
-             .groupBy("person_id").agg(F.sum(F.size(X.tokens(F.col("text"))).cast("long")).alias("n_words"))
+    words = (counts.where(F.col("category") == WORDS).select("person_id", F.col("n").alias("n_words"))
              .join(person.select("person_id"), "person_id", "left_semi"))
     grid = words.withColumn("category", F.explode(F.array(*[F.lit(c) for c in lexicon])))
-    hits = style_hits(speech, lexicon).groupBy("person_id", "category").agg(F.sum("n").alias("n_hits"))
+    hits = style_hits(counts).groupBy("person_id", "category").agg(F.sum("n").alias("n_hits"))
     rate = F.when(F.col("n_words") > 0, 1000.0 * F.col("n_hits") / F.col("n_words")).otherwise(0.0)
     return (grid.join(hits, ["person_id", "category"], "left").na.fill(0, ["n_hits"])
             .select("person_id", "category", "n_hits", "n_words", F.round(rate, 3).alias("per_1000")))

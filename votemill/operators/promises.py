@@ -11,6 +11,13 @@ KEPT, AGAINST, UNCLEAR = C.PROMISE_KEPT, C.PROMISE_AGAINST, C.PROMISE_UNCLEAR
 UNMAPPED, MIXED = C.PROMISE_UNMAPPED, C.PROMISE_MIXED
 
 
+def _everyone(promises: DataFrame, members: DataFrame, salts: int = 16) -> DataFrame:
+    """Each promise with each member, a result of that size; dealt over salts so that no task or row holds either list."""
+    p = promises.select("promise_id", F.pmod(F.xxhash64("promise_id"), F.lit(salts)).alias("_salt"))
+    m = members.select("person_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+    return p.join(m, "_salt").select("promise_id", "person_id")
+
+
 def member_alignment(promise: DataFrame, mapping: DataFrame, vote_record: DataFrame, person: DataFrame,
                      vote: DataFrame) -> DataFrame:
     """Every member's record on every promise that applies to them.
@@ -31,11 +38,8 @@ def member_alignment(promise: DataFrame, mapping: DataFrame, vote_record: DataFr
     applies = (p.where(keyed_group).join(m, F.col("party_code") == F.col("party")).select(*cols)
                .unionByName(p.where(keyed_own).withColumnRenamed("promise_person", "person_id")
                             .join(m.select("person_id"), "person_id").select(*cols)))
-    to_all = p.where(open_to_all).agg(F.collect_list("promise_id")).scalar()
-    to_groupless = p.where(keyed_group).agg(F.collect_list("promise_id")).scalar()
-    applies = (applies.unionByName(m.select(F.explode(to_all).alias("promise_id"), "person_id"))
-               .unionByName(m.where(F.col("party").isNull())
-                            .select(F.explode(to_groupless).alias("promise_id"), "person_id")))
+    applies = (applies.unionByName(_everyone(p.where(open_to_all), m))
+               .unionByName(_everyone(p.where(keyed_group), m.where(F.col("party").isNull()))))
     mapped = mapping.select("promise_id", "vote_id", "expected_value").join(vote.select("vote_id"), "vote_id")
     value = F.col("vote_value")
     verdict = (F.when(F.col("vote_id").isNull(), F.lit(None))

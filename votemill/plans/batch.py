@@ -49,8 +49,9 @@ def run_all(facts: dict[str, DataFrame], path: str, *, period: str = "all", lexi
     save("position_change", members.position_changes(vote_record, vote, v_topic))
     counts = save("party_token", language.party_token_counts(speech, stopwords))
     save("party_words", language.party_distinctive_words(counts, min_party_total=min_party_total))
-    save("word_usage", language.word_style(speech, person, style))
-    save("word_hits", language.top_style_words(language.style_hits(speech, style), person))
+    styled = save("style_count", language.style_counts(speech, style))
+    save("word_usage", language.word_style(styled, person, style))
+    save("word_hits", language.top_style_words(language.style_hits(styled), person))
     outcomes = power.line_outcomes(line, vote, periods)
     save("power_effect", power.power_effect(outcomes, min_power_votes))
     coalition = save("coalition_vote", power.coalition_votes(outcomes))

@@ -263,13 +263,17 @@ class Bound:
         counts = materialize(language.party_token_counts(self.speech, STOPWORDS), "party-token")
         return materialize(language.party_distinctive_words(counts, min_party_total=1000), "party-words")
 
+    @cached_property
+    def style_counts(self) -> DataFrame:
+        return materialize(language.style_counts(self.speech, STYLE), "style-counts")
+
     @cached_property
     def word_usage(self) -> DataFrame:
-        return materialize(language.word_style(self.speech, self.person, STYLE), "word-usage")
+        return materialize(language.word_style(self.style_counts, self.person, STYLE), "word-usage")
 
     @cached_property
     def word_hits(self) -> DataFrame:
-        return materialize(language.top_style_words(language.style_hits(self.speech, STYLE), self.person), "word-hits")
+        return materialize(language.top_style_words(language.style_hits(self.style_counts), self.person), "word-hits")
 
     @cached_property
     def words_votes(self) -> DataFrame:

@@ -120,8 +120,10 @@ def verified_stances(claims: DataFrame, speech: DataFrame, previous: DataFrame |
     ok = (claims.join(speech.select(F.col("id").alias("speech_id"), "person_id", "text"), "speech_id")
           .where((F.col("text") != "") & F.contains("text", F.col("evidence_quote"))).drop("text"))
     rest = ["person_id", "legislative_item", "stance", "conditional_note", "evidence_quote", "confidence", "model_label"]
+    # a claim without proposition equals no other
+    own = F.when(F.col("proposition").isNull(), F.col("pos")).alias("_own")
     last = (ok.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-            .groupBy("speech_id", "proposition").agg(F.max(F.struct("pos", *rest)).alias("r"))
+            .groupBy("speech_id", "proposition", own).agg(F.max(F.struct("pos", *rest)).alias("r"))
             .select("speech_id", "proposition", *[F.col("r")[c].alias(c) for c in rest])
             .withColumnRenamed("model_label", "model"))
     if previous is None:
@@ -134,9 +136,9 @@ def unquoted(claims: DataFrame, key: str, item: str, quotes: Column, speech: Dat
              legislation: DataFrame | None = None) -> DataFrame:
     """Claims ``(key)`` with a quote that stands in no speech (or summary) of their bill.
 
-    Quotes meet texts by bill and are aggregated to found or not, so a bill's
-    texts are never gathered in one place.  A quote that runs across the seam of
-    two texts does not count as verbatim.
+    The quotes of a bill, a few short strings, travel as one array to its texts;
+    each text is scanned once, and texts are never gathered in one place.  A
+    quote that runs across the seam of two texts does not count as verbatim.
     """
     q = (claims.select(F.col(key), F.col(item).alias("_item"), F.explode(quotes).alias("_quote"))
          .where(F.coalesce("_quote", F.lit("")) != ""))
@@ -144,9 +146,10 @@ def unquoted(claims: DataFrame, key: str, item: str, quotes: Column, speech: Dat
     if legislation is not None:
         texts = texts.unionByName(legislation.where(F.col("summary") != "").select(
             F.col("eduskunta_tunnus").alias("_item"), F.col("summary").alias("text")))
-    found = (q.distinct().join(texts, "_item").where(F.contains("text", F.col("_quote")))
-             .select(key, "_quote").distinct())
-    return q.join(found, [key, "_quote"], "left_anti").select(key).distinct()
+    asked = q.groupBy("_item").agg(F.collect_set("_quote").alias("_quotes"))
+    held = F.filter("_quotes", lambda quote: F.contains(F.col("text"), quote))
+    found = texts.join(asked, "_item").select("_item", F.explode(held).alias("_quote")).distinct()
+    return q.join(found, ["_item", "_quote"], "left_anti").select(key).distinct()
 
 
 EXPLAINER_FILE = ("model_label string, explainers array<struct<legislative_item:string,what_changes:string,"
@@ -203,20 +206,36 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, max_calls: int) -> DataF
 def resolve_titles(names: DataFrame, edges: DataFrame) -> DataFrame:
     """Follows ``(from, to)`` edges from each name to its final title; a cycle ends where it closes.
 
-    ``edges`` has one row per ``from``.  One join per hop, and only names still
-    moving go on.
+    ``edges`` has one row per ``from``.  Pointers are doubled, so a chain of n
+    hops takes log n joins.  Titles without an edge point at themselves; once
+    doubling no longer shrinks the set of titles pointed at, that set is the
+    titles on cycles (and the ends), and every name goes to the first of them
+    on its way.
     """
-    hop = edges.select(F.col("from").alias("cur"), F.col("to").alias("_to"))
-    moving = names.select("name", F.col("name").alias("cur"), F.array().cast("array<string>").alias("seen"))
-    done = None
+    step = edges.select(F.col("from").alias("name"), F.col("to").alias("next"))
+    every = names.select("name").union(step.select("name")).union(step.select("next")).distinct()
+    one = materialize(every.join(step, "name", "left").select("name", F.coalesce("next", "name").alias("next")), "title-hop")
+    jump, held = one, None
     while True:
-        step = materialize(moving.join(hop, "cur", "left"), "title-hop")
-        stop = F.col("_to").isNull() | F.array_contains("seen", F.col("cur"))
-        ended = step.where(stop).select("name", F.col("cur").alias("title"))
-        done = ended if done is None else done.unionByName(ended)
-        moving = step.where(~stop).select("name", F.col("_to").alias("cur"), F.array_append("seen", F.col("cur")).alias("seen"))
-        if moving.isEmpty():
-            return done
+        reached = materialize(jump.select(F.col("next").alias("name")).distinct(), "titles-reached")
+        size = reached.count()
+        if size == held:
+            break
+        held, jump = size, _twice(jump)
+    stay = one.join(reached.withColumn("settled", F.lit(True)), "name", "left")
+    walk = materialize(stay.select("name", F.when(F.col("settled"), F.col("name")).otherwise(F.col("next")).alias("next")), "title-walk")
+    while True:
+        further = _twice(walk)
+        moved = further.join(walk.withColumnRenamed("next", "before"), "name").where(F.col("next") != F.col("before"))
+        if moved.isEmpty():
+            return walk.join(names.select("name"), "name", "left_semi").select("name", F.col("next").alias("title"))
+        walk = further
+
+
+def _twice(jump: DataFrame) -> DataFrame:
+    """Each pointer followed by that of its target."""
+    onward = jump.select(F.col("name").alias("next"), F.col("next").alias("_beyond"))
+    return materialize(jump.join(onward, "next").select("name", F.col("_beyond").alias("next")), "title-jump")
 
 
 def photos(person: DataFrame, edges: DataFrame, thumbs: DataFrame) -> DataFrame:
