@@ -74,7 +74,7 @@ def test_counts_against_plain_python(spark):
 
 def test_filler_counts_as_word_and_phrase(spark, seed):
     s = spark.createDataFrame([(1, "Tuota noin, no niin. Tuota!")], "person_id long, text string")
-    r = {x.category: x for x in language.word_style(s, seed.person).collect()}
+    r = {x.category: x for x in language.word_style(language.style_counts(s), seed.person).collect()}
     assert r["filler"].n_hits == 4 and r["filler"].n_words == 5 and r["swear"].n_hits == 0
 
 
