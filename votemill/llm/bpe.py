@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from votemill import runtime
-from votemill.llm import textblocks as tb
+from votemill.llm import caches, textblocks as tb
 from votemill.llm.pretokens import PreTokens
 
 #: States and transitions kept; beyond it the tables are emptied and built again.
@@ -224,6 +224,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, pat
     path = _default(path)
 
     def run(column: pa.Array) -> list[pa.Array]:
+        caches.enter("bpe", codec.cache_clear)
         own = codec(path, pattern)
         ids = [own.encode(t) for t in _texts(column)]
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
@@ -239,6 +240,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, pattern: st
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
+        caches.enter("bpe", codec.cache_clear)
         own = codec(path, pattern)
         for batch in batches:
             column = batch.column(at)
@@ -253,6 +255,7 @@ def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None,
     path = _default(path)
 
     def run(column: pa.Array) -> list[pa.Array]:
+        caches.enter("bpe", codec.cache_clear)
         own = codec(path, pattern)
         ids = [own.encode(t) for t in _texts(column)]
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.string())]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from votemill import runtime
-from votemill.llm import lbl, shared_keys as sk, textblocks as tb
+from votemill.llm import caches, lbl, shared_keys as sk, textblocks as tb
 
 U64 = np.uint64
 END = U64(0x454E4420 << 24)
@@ -88,6 +88,7 @@ def count_words(rows: DataFrame, settings: lbl.Settings, buckets: int) -> DataFr
     schema = "kind int, bucket int, block long, payload binary"
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("lm", _scorer.cache_clear)
         for block, table in tb.whole_blocks(batches, 0):
             keys, row, _ = tokens(tb.column(table, "text"), settings.groups)
             learnt = ~tb.column(table, "held").to_numpy(zero_copy_only=False)[row]
@@ -240,6 +241,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", keep: list[str] |
                            *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("lm", _scorer.cache_clear)
         mark, data, voc = model.value
         scorer, s = _scorer(mark, data, settings), settings
         lots, texts, now = [], [], None

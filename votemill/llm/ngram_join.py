@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from votemill import runtime
 from votemill.runtime import global_rank
-from votemill.llm import components, shared_keys as sk, textblocks as tb
+from votemill.llm import caches, components, shared_keys as sk, textblocks as tb
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,7 @@ def _sets(df: DataFrame, text: str, keep: list[str], settings: Settings, buckets
             yield tb.distinct_per_row(*tb.shingles(tb.LOWER[buf], off, settings.width)), len(off) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("join")
         block, codes, owner, texts, keys = TaskContext.get().partitionId() << 20, [], [], 0, 0
 
         def flush(row_arrow: pa.DataType) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
 from votemill import runtime
+from votemill.llm import caches
 from votemill.llm.pretokens import PreTokens
 
 
@@ -88,6 +89,7 @@ def tokenize(df: DataFrame, text: str = "text", keep: list[str] | None = None, p
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("packing", _ids.cache_clear)
         encode, uid = _ids(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(1)

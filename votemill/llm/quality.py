@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from votemill.llm import textblocks as tb
+from votemill.llm import caches, textblocks as tb
 
 # Phrases of lines that belong to a site, not to its text.
 PHRASES = (
@@ -148,6 +148,7 @@ def judge_block(buf: np.ndarray, off: np.ndarray, rules: Rules) -> tuple[list[np
 
 
 def _columns(column: pa.Array, rules: Rules, cleaned: bool) -> list[pa.Array]:
+    caches.enter("quality")
     parts, texts = [], []
     for _, buf, off in tb.text_blocks(column):
         cols, (l_start, l_end, l_row, bad) = judge_block(buf, off, rules)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from votemill import runtime
-from votemill.llm import shared_keys as sk, textblocks as tb
+from votemill.llm import caches, shared_keys as sk, textblocks as tb
 
 U64 = np.uint64
 
@@ -91,6 +91,7 @@ def _sample_keys(column: pa.Array, cover: Cover, settings: Settings) -> Iterator
 
 def _repeated_samples(rows: DataFrame, settings: Settings, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("dedup")
         cover = Cover(settings)
         for block, table in tb.whole_blocks(batches, 0):
             keys = [k for *_, k in _sample_keys(tb.column(table, "text"), cover, settings)]
@@ -194,6 +195,7 @@ def _settled(rows: DataFrame, samples: DataFrame, settings: Settings, buckets: i
     out = T.StructType([T.StructField("uid", T.LongType()), T.StructField("row", row_type), T.StructField("text", T.StringType()), T.StructField("starts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("dedup")
         cover, now, names, known = Cover(settings), None, [], None
         for batch in batches:
             ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()

@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from votemill.llm import textblocks as tb
+from votemill.llm import caches, textblocks as tb
 from votemill.llm.bpe import read_ranks
 from votemill.llm.pretokens import PreTokens
 
@@ -108,6 +108,7 @@ def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(column: pa.Array) -> list[pa.Array]:
+        caches.enter("token counts", counter.cache_clear)
         own = counter(path, pattern)
         return [pa.array([own(column[r].as_py() or "") for r in range(len(column))], pa.int64())]
 

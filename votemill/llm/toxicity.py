@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from votemill.llm import textblocks as tb
+from votemill.llm import caches, textblocks as tb
 
 #: Words remembered per worker; a full memory is emptied and filled anew.
 MEMORY = 600_000
@@ -208,6 +208,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 
     def run(column: pa.Array) -> list[pa.Array]:
         own = handle.value
+        caches.enter("toxicity", own.memory.clear)
         return [pa.array([own.score(column[r].as_py() or "") for r in range(len(column))], pa.float64())]
 
     return tb.map_texts(df, text, keep or df.columns, run, [("score", T.DoubleType())])
