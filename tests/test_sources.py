@@ -1,9 +1,15 @@
+import os
+import subprocess
+import sys
+
 from pyspark.sql import functions as F
 
 from votemill.operators import stance
 from votemill.sources import loads, members, sinks, xml_rows
 from votemill.streaming import ingest
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 MINUTES = """<?xml version="1.0"?>
 <Siirto xmlns:m="urn:m" xmlns:v="urn:v" xmlns:k="urn:k" xmlns:s="urn:s"><Poytakirja eduskuntaTunnus="PTK 5/2024 vp">
 <Asiakohta eduskuntaTunnus="HE 9/2024 vp"><k:Wrap><k:PuheenvuoroToimenpide v:puheenvuoroLuokitusKoodi="T" v:puheenvuoroAloitusHetki="2024-03-10T10:00:00">
@@ -109,3 +115,45 @@ def test_stream_resumes_and_dedupes(spark, tmp_path):
         part.write.mode("append").parquet(src)
         ingest.run_available(ingest.landed(spark, src, df.schema), out, ck, ingest.deduplicated(["id"]))
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))
+
+
+def test_first_copy_stays(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    schema = "k int, place int, v string"
+    for rows in ([(1, 2, "b"), (1, 1, "a"), (2, 1, "x")], [(1, 0, "z"), (3, 1, "n")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        ingest.run_first_seen(ingest.landed(spark, src, spark.createDataFrame([], schema).schema), out, ck, ["k"], ["place"])
+    assert {(r.k, r.v) for r in sinks.current_rows(spark, out, ["k"], last_wins=False).collect()} == {(1, "a"), (2, "x"), (3, "n")}
+
+
+def test_lost_checkpoint_and_compaction(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    df = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    rows = lambda: {(r.k, r.v) for r in sinks.current_rows(spark, out, ["k"]).collect()}
+    df((1, "a"), (2, "b")).write.parquet(src)
+    ingest.run_upserts(ingest.landed(spark, src, df((1, "")).schema), out, str(tmp_path / "ck1"))
+    other = str(tmp_path / "src2")
+    df((2, "c"), (3, "d")).write.parquet(other)
+    ingest.run_upserts(ingest.landed(spark, other, df((1, "")).schema), out, str(tmp_path / "ck2"))
+    want = {(1, "a"), (2, "c"), (3, "d")}
+    assert rows() == want
+    sinks.compact(spark, out, ["k"])
+    assert rows() == want and not sinks.exists(spark, f"{out}/log")
+    sinks.append_batch(df((3, "e")), out, 0, sinks.run_number(spark, out, str(tmp_path / "ck3")))
+    assert rows() == {(1, "a"), (2, "c"), (3, "e")}
+    sinks.compact(spark, out, ["k"])
+    sinks.compact(spark, out, ["k"])
+    assert rows() == {(1, "a"), (2, "c"), (3, "e")}
+
+
+def test_workers_get_the_package_without_a_path(tmp_path):
+    """A process elsewhere, with the package on the driver's path only and no shared folder named."""
+    code = (f"import sys; sys.path.insert(0, {ROOT!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "from votemill.plans import registry\n"
+            "q = registry.queries()\n"
+            "print('rows', q['src_members_xml'](s, '/root/testdata/sf0.001').count(), q['stream_upsert'](s, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_CONF_DIR")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 10 200" in done.stdout, done.stderr[-2000:]

@@ -409,13 +409,14 @@ def _(b):
 
 @query("stream_dedupe", "SELECT vote_id, person_id, vote_value FROM vote_record")
 def _(b):
-    """Vote records landed twice, partly in a later run; one row per (vote, person) comes out."""
-    rec = b.vote_record.select("vote_id", "person_id", "vote_value")
+    """Raw records with repeated pairs, then conflicting copies in a later run; the first of each (vote, person) stays."""
+    rec = b.raw_record.withColumn("vote_value", S.vote_value(F.col("vote_value")))
     src, table, ck = landing(b, rec, "dedupe")
-    ingest.run_available(ingest.landed(b.spark, src, rec.schema), table, ck, ingest.deduplicated(["vote_id", "person_id"]))
-    rec.where("vote_id % 2 = 0").write.mode("append").parquet(src)
-    ingest.run_available(ingest.landed(b.spark, src, rec.schema), table, ck, ingest.deduplicated(["vote_id", "person_id"]))
-    return b.spark.read.schema(rec.schema).parquet(table)
+    for again in (None, rec.where("vote_id % 2 = 0").withColumn("vote_value", F.lit("later"))):
+        if again is not None:
+            again.write.mode("append").parquet(src)
+        ingest.run_first_seen(ingest.landed(b.spark, src, rec.schema), table, ck, ["vote_id", "person_id"], ["page", "place"])
+    return sinks.current_rows(b.spark, table, ["vote_id", "person_id"], last_wins=False).select("vote_id", "person_id", "vote_value")
 
 
 @query("stream_upsert", "SELECT vote_id, CASE WHEN vote_id % 3 = 0 THEN title || ' (uusi)' ELSE title END AS title FROM vote")
@@ -424,5 +425,6 @@ def _(b):
     src, table, ck = landing(b, head, "upsert")
     ingest.run_upserts(ingest.landed(b.spark, src, head.schema), table, ck)
     head.where("vote_id % 3 = 0").withColumn("title", F.concat("title", F.lit(" (uusi)"))).write.mode("append").parquet(src)
-    ingest.run_upserts(ingest.landed(b.spark, src, head.schema), table, ck)
+    ingest.run_upserts(ingest.landed(b.spark, src, head.schema), table, f"{ck}-renewed")  # a lost checkpoint reads all files again
+    sinks.compact(b.spark, table, ["vote_id"])
     return sinks.current_rows(b.spark, table, ["vote_id"])

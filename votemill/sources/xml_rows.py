@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from votemill import constants as C
-
 from votemill.functions import scalars as S, text as X
 
 
@@ -50,8 +49,11 @@ def _child(node, name: str) -> str | None:
     return next((_text(c) for c in node if _local(c.tag) == name), None)
 
 
-def _map_documents(df: DataFrame, walk, schema: str, keys: list[str]) -> DataFrame:
-    """Runs ``walk(root) -> list of dicts`` over the ``xml`` column, the key columns passed along."""
+def _map_documents(df: DataFrame, walk, schema: str, keys: list[str], keep_broken: bool = False) -> DataFrame:
+    """Runs ``walk(root) -> list of dicts`` over the ``xml`` column, the key columns passed along.
+
+    A document that cannot be read gives no row, or one of its keys alone.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.strip().split(" ", 1)[0] for f in _split_fields(schema)]
         for pdf in batches:
@@ -60,6 +62,8 @@ def _map_documents(df: DataFrame, walk, schema: str, keys: list[str]) -> DataFra
                 root = _parse(doc)
                 if root is not None:
                     out.extend({**dict(zip(keys, key)), **row} for row in walk(root))
+                elif keep_broken:
+                    out.append({**dict.fromkeys(names), **dict(zip(keys, key))})
             yield pd.DataFrame(out, columns=names)
 
     return df.select(*keys, "xml").mapInPandas(run, schema)
@@ -177,7 +181,7 @@ def member_profiles(rows: DataFrame) -> DataFrame:
     The current group falls back to the latest membership.  Persons whose XML is
     missing or broken keep a row without attributes.
     """
-    raw = _map_documents(rows, _member, MEMBER_SCHEMA, ["person_id"])
+    raw = _map_documents(rows, _member, MEMBER_SCHEMA, ["person_id"], keep_broken=True)
 
     def dated(s, *names):
         return F.struct(*[s[n].alias(n) for n in names],
@@ -201,13 +205,11 @@ def member_profiles(rows: DataFrame) -> DataFrame:
         p["code"].alias("code"), p["name"].alias("name")))
     first, latest = F.get("parties", F.lit(0)), F.try_element_at(F.array_sort(stays), F.lit(-1))
     use_first = F.col("_now") & first["code"].isNotNull()
-    out = parsed.select(
+    return parsed.select(
         "person_id", "birth_year", "gender", "profession", "electoral_district",
         F.when(use_first, first["code"]).otherwise(latest["code"]).alias("party_current"),
         F.when(use_first, first["name"]).otherwise(latest["name"]).alias("party_current_name"),
         "parties", "terms", "minister_roles")
-    empty = rows.select("person_id").join(out.select("person_id"), "person_id", "left_anti")
-    return out.unionByName(empty, allowMissingColumns=True)
 
 
 # --- bills ------------------------------------------------------------------------

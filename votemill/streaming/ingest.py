@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from votemill.sources.sinks import append_batch
+from votemill.operators.relational import first_per_key
+from votemill.sources.sinks import append_batch, exists, run_number
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -39,6 +40,31 @@ def deduplicated(keys: list[str], event_time: str | None = None, lateness: str =
 
 
 def run_upserts(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Write each micro-batch as one replaceable batch of a keyed table (read with ``current_rows``)."""
+    """Write each micro-batch as one replaceable batch of a keyed table (read with ``current_rows``).
+
+    Batches carry the number of the checkpoint's run, so a new or lost
+    checkpoint adds to the table and never writes over an older load.
+    """
+    run = run_number(stream.sparkSession, target, checkpoint)
     (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-     .foreachBatch(lambda df, i: append_batch(df, target, i)).start().awaitTermination())
+     .foreachBatch(lambda df, i: append_batch(df, target, i, run)).start().awaitTermination())
+
+
+def run_first_seen(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+    """Keep of each key the first row by source order, and let later loads add new keys only.
+
+    Keys are held against the stored table instead of a stream state that
+    would grow for good; a replayed batch replaces itself.
+    """
+    spark = stream.sparkSession
+    run = run_number(spark, target, checkpoint)
+
+    def store(df: DataFrame, batch: int) -> None:
+        first = first_per_key(df, keys, order)
+        if exists(spark, f"{target}/log"):
+            log = spark.read.schema(f"{stream.select(*keys)._jdf.schema().toDDL()}, run int, batch_id long").parquet(f"{target}/log")
+            known = log.where((F.col("run") != run) | (F.col("batch_id") < batch)).select(*keys)
+            first = first.join(known, keys, "left_anti")
+        append_batch(first, target, batch, run)
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
