@@ -11,7 +11,7 @@ def test_global_rank_with_hot_value(spark):
     rng = np.random.default_rng(3)
     data = [("a" if i % 3 else "b", 0.0 if i % 2 else float(rng.integers(0, 50)), i) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, v double, id long").repartition(5)
-    got = global_rank(df, "g", "v", "id", rows_per_range=100).collect()
+    got = global_rank(df, "g", "v", "id").collect()
     for g in "ab":
         want = {i: k for k, (_, i) in enumerate(sorted((v, i) for gg, v, i in data if gg == g))}
         mine = {r.id: r.rank0 for r in got if r.g == g}
@@ -57,11 +57,9 @@ def check_map(x, out):
         assert r.nearest_party == min(d, key=d.get) and abs(r.dist_own - d[r.party]) < 1e-6
 
 
-def test_political_map_equals_svd(spark, monkeypatch):
+def test_political_map_equals_svd(spark):
     x, rec, vote, person = member_votes(spark)
     check_map(x, maps.political_map(rec, vote, person, years=(2024,), min_votes=5))
-    monkeypatch.setattr(maps, "MAX_GRAM", 4)  # the path for very many members
-    check_map(x, maps.political_map(rec, vote, person, years=(2024,), min_votes=5))
     assert maps.political_map(rec, vote, person, years=(1999,), min_votes=5) is None
 
 
@@ -70,7 +68,7 @@ def test_nearest_in_blocks(spark):
     pts = spark.createDataFrame([(i, f"p{i % 40}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))],
                                 "person_id long, party string, dim1 double, dim2 double")
     cs = maps.centroids(pts)
-    a, b = (maps.nearest_centroid(pts, cs, block=n).orderBy("person_id").collect() for n in (4096, 7))
+    a, b = (maps.nearest_centroid(pts, cs, blocks=n).orderBy("person_id").collect() for n in (1, 7))
     assert [(r.nearest_party, round(r.dist_own, 9)) for r in a] == [(r.nearest_party, round(r.dist_own, 9)) for r in b]
 
 

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
 from votemill import constants as C
 from votemill.runtime import global_rank, materialize
 
-BLOCK = 4096
-MAX_GRAM = 2048
+#: Hash blocks that centres are packed into.
+BLOCKS = 8
 
 
 def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, years,
@@ -48,14 +48,12 @@ def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, y
     per_vote = (cells.join(members.select("person_id", "col"), "person_id").groupBy("vote_id")
                 .agg(F.collect_list("col").alias("cols"), F.collect_list("v").alias("vals")))
 
-    rows = materialize(per_vote, "vote-rows")
-    values, axes, energy = _member_axes(rows, n)
-    s, v = np.sqrt(np.maximum(values, 0.0)), axes
+    values, axes, energy = _member_axes(materialize(_centred(per_vote, n), "vote-rows"), n)
+    s = np.sqrt(np.maximum(values, 0.0))
     xy = np.zeros((n, 2))
-    xy[:, : len(s)] = v * s
+    xy[:, : len(s)] = axes * s
     share = [float(a * a / energy) if energy else 0.0 for a in np.pad(s, (0, 2 - len(s)))]
-    points = spark.createDataFrame(
-        [(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "col int, x double, y double")
+    points = spark.createDataFrame(pd.DataFrame({"col": np.arange(n, dtype=np.int32), "x": xy[:, 0], "y": xy[:, 1]}))
     return (members.join(points, "col")
             .join(person.select("person_id", F.col("party_current").alias("party")), "person_id", "left")
             .select("person_id", F.coalesce("party", F.lit("?")).alias("party"), "n_votes", "x", "y",
@@ -63,34 +61,26 @@ def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, y
                     F.bround(F.lit(100 * share[1]), 0).cast("int").alias("var2")))
 
 
-def _member_axes(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Two largest eigenvalues, their vectors and the trace of the members' Gram matrix.
+def _centred(rows: DataFrame, n: int) -> DataFrame:
+    """Rows ``(cols, vals)`` as dense rows of ``n`` numbers, each minus its own mean."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                cols, vals = (batch.column(k).slice(at, 256) for k in range(2))
+                x = np.zeros((len(cols), n))
+                x[np.repeat(np.arange(len(cols)), cols.value_lengths().to_numpy()), cols.flatten().to_numpy()] = vals.flatten().to_numpy()
+                x -= x.mean(axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), n).cast(pa.list_(pa.float64()))], names=["row"])
 
-    Up to ``MAX_GRAM`` members the matrix (n x n, at most 32 MB) is summed from
-    blocks of votes on the executors; beyond it MLlib iterates over the rows and
-    only vectors of length n reach the driver.
-    """
-    def centred(batch):
-        x = np.zeros((len(batch), n))
-        for i, row in enumerate(batch):
-            x[i, row["cols"]] = row["vals"]
-        return x - x.mean(axis=1, keepdims=True)
-
-    def partial(part):
-        gram = np.zeros((n, n))
-        for batch in iter(lambda: list(islice(part, 512)), []):
-            x = centred(batch)
-            gram += x.T @ x
-        yield gram
-
-    if n <= MAX_GRAM:
-        gram = rows.rdd.mapPartitions(lambda it: partial(iter(it))).treeReduce(np.add, depth=3)
-        values, vectors = np.linalg.eigh(gram)
-        return values[::-1][:2], vectors[:, ::-1][:, :2], float(np.trace(gram))
-    dense = rows.rdd.map(lambda row: Vectors.dense(centred([row])[0])).persist(StorageLevel.DISK_ONLY)
-    svd = RowMatrix(dense, numCols=n).computeSVD(2)
-    energy = dense.map(lambda v: float(v.dot(v))).sum()
-    dense.unpersist()
+    return rows.select("cols", "vals").mapInArrow(run, "row array<double>")
+
+
+def _member_axes(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two largest squared singular values, their right vectors and the sum of all; only vectors of length ``n`` reach the driver."""
+    vectors = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector("row").alias("row")), "row").persist(StorageLevel.MEMORY_AND_DISK)
+    svd = RowMatrix(vectors, numCols=n).computeSVD(2)
+    vectors.unpersist()
+    energy = rows.agg(F.sum(F.aggregate("row", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     return svd.s.toArray() ** 2, svd.V.toArray(), energy
 
 
@@ -161,14 +151,13 @@ def centroids(points: DataFrame, min_members: int = 3) -> DataFrame:
             .where(F.col("n_members") >= min_members))
 
 
-def nearest_centroid(points: DataFrame, centres: DataFrame, block: int = BLOCK) -> DataFrame:
+def nearest_centroid(points: DataFrame, centres: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """Adds ``nearest_party`` and ``dist_own`` to every point; ties go to the first name.
 
-    Centres are packed into blocks of at most about ``block``; a point meets
-    each block as one row and scans it in place, so no pair rows are built.
+    Centres are packed into hash blocks; a point meets each block as one row
+    and scans it in place, so no row per point and centre is built.
     """
-    n_blocks = max(1, -(-centres.count() // block))
-    packed = (centres.groupBy(F.pmod(F.xxhash64("party"), F.lit(n_blocks)).cast("int").alias("_b"))
+    packed = (centres.groupBy(F.pmod(F.xxhash64("party"), F.lit(blocks)).cast("int").alias("_b"))
               .agg(F.collect_list(F.struct("party", "cx", "cy")).alias("_cs")))
     key = points.columns
 
@@ -177,12 +166,19 @@ def nearest_centroid(points: DataFrame, centres: DataFrame, block: int = BLOCK)
 
     best = F.array_min(F.transform("_cs", lambda c: F.struct(dist2(c).alias("d"), c["party"].alias("party"))))
     own = F.get(F.filter("_cs", lambda c: c["party"] == F.col("party")), F.lit(0))
-    spread = points.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    met = spread.join(packed, "_b", "left").select(
-        *key, best.alias("_best"), F.sqrt(dist2(own)).alias("_own"))
-    if n_blocks > 1:
-        met = met.groupBy(*key).agg(F.min("_best").alias("_best"), F.max("_own").alias("_own"))
-    return met.select(*key, F.col("_best.party").alias("nearest_party"), F.col("_own").alias("dist_own"))
+    spread = points.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = spread.join(packed, "_b", "left").select(*key, best.alias("_best"), F.sqrt(dist2(own)).alias("_own"))
+    found = met.groupBy(*key).agg(F.min("_best").alias("_best"), F.max("_own").alias("_own"))
+    return found.select(*key, F.col("_best.party").alias("nearest_party"), F.col("_own").alias("dist_own"))
+
+
+def with_centroids(points: DataFrame, person: DataFrame) -> DataFrame:
+    """Points with the members' names, and the groups' centres as rows of their own."""
+    named = points.join(person.select("person_id", "full_name"), "person_id").select(
+        F.lit("member").alias("kind"), "person_id", "full_name", "party", "dim1", "dim2", F.lit(None).cast("long").alias("n_members"))
+    middle = centroids(points).select(F.lit("centroid").alias("kind"), F.lit(None).cast("long").alias("person_id"), F.lit(None).cast("string").alias("full_name"),
+                                      "party", F.col("cx").alias("dim1"), F.col("cy").alias("dim2"), "n_members")
+    return named.unionByName(middle)
 
 
 def political_map(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, years=(2023, 2024),

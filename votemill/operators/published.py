@@ -88,25 +88,32 @@ def seeded_sample(df: DataFrame, id_col: str, k: int, seed: str = "0") -> DataFr
 
 
 def index_highlights(summary: DataFrame, person: DataFrame, vote: DataFrame, speech: DataFrame,
-                     speech_topic: DataFrame, topic: DataFrame, *, min_eligible: int = 200, min_side: int = 40,
+                     speech_topic: DataFrame, topic: DataFrame, member_topic: DataFrame, *, min_eligible: int = 200, min_side: int = 40,
                      fallback: str = C.FALLBACK_TOPIC, seed: str = "0") -> DataFrame:
-    """A random eligible member, the tightest vote of the latest year, the topic of the latest year."""
+    """A random eligible member, the tightest vote of the latest year, the topic of the latest year.
+
+    ``detail`` and ``value`` are the member's top topic and index, and the vote's bill and year.
+    """
     spot = (seeded_sample(summary.where(F.col("n_votes_eligible") >= min_eligible).join(person, "person_id"),
                           "person_id", 1, seed)
+            .join(top_topic(member_topic, topic, fallback), "person_id", "left")
             .select(F.lit("spotlight").alias("section"), F.col("person_id").cast("string").alias("id"),
-                    F.col("full_name").alias("label"), F.col("n_votes_cast").cast("long").alias("n")))
+                    F.col("full_name").alias("label"), F.col("n_votes_cast").cast("long").alias("n"),
+                    F.col("top_topic").alias("detail"), F.col("consistency_index").cast("long").alias("value")))
     tight = (vote.where((F.col("is_procedural") == 0) & (F.col("result_yes") > min_side) & (F.col("result_no") > min_side))
              .withColumn("margin", F.abs(F.col("result_yes") - F.col("result_no")))
              .orderBy(F.desc("vp_year"), "margin", "vote_id").limit(1)
              .select(F.lit("tight").alias("section"), F.col("vote_id").cast("string").alias("id"),
-                     F.col("title").alias("label"), F.col("margin").cast("long").alias("n")))
+                     F.col("title").alias("label"), F.col("margin").cast("long").alias("n"),
+                     F.col("legislative_item").alias("detail"), F.col("vp_year").cast("long").alias("value")))
     latest = speech.agg(F.max(F.substring("started_at", 1, 4))).scalar()
     trend = (speech.where(F.substring("started_at", 1, 4) == latest).select(F.col("id").alias("speech_id"))
              .join(speech_topic.where("is_primary = 1"), "speech_id")
              .groupBy("topic_id").agg(_n().alias("n"))
              .join(topic.where(F.col("slug") != fallback), F.col("topic_id") == F.col("id"))
              .orderBy(F.desc("n"), "topic_id").limit(1)
-             .select(F.lit("trend").alias("section"), F.col("slug").alias("id"), "label", F.col("n").cast("long").alias("n")))
+             .select(F.lit("trend").alias("section"), F.col("slug").alias("id"), "label", F.col("n").cast("long").alias("n"),
+                     F.lit(None).cast("string").alias("detail"), F.lit(None).cast("long").alias("value")))
     return spot.unionByName(tight).unionByName(trend)
 
 
@@ -247,12 +254,15 @@ def member_cards(directory: DataFrame, member_topic: DataFrame, topic: DataFrame
             .withColumn("traits", S.card_traits(F.col("is_minister"), first_year, F.col("absent_pct"))))
 
 
-def compare(pairs: DataFrame, person: DataFrame, summary: DataFrame, behavior: DataFrame) -> DataFrame:
-    """Requested pairs ``(a, b)`` with both members side by side."""
+def compare(pairs: DataFrame, person: DataFrame, summary: DataFrame, behavior: DataFrame, topics: DataFrame) -> DataFrame:
+    """Requested pairs ``(a, b)`` with both members side by side, their topics nested, most active first."""
+    # a member has at most as many topics as the lexicon
+    busy = topics.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("total")).alias("order"), "slug", "n_speeches", "n_votes"))).alias("topics"))
     dist = behavior.groupBy("person_id").pivot("vote_value", [C.YES, C.NO, C.BLANK, C.ABSENT]).agg(F.first("n"))
     one = (person.select("person_id", "full_name", "party_current")
            .join(summary.select("person_id", "n_speeches", "consistency_index", "deviation_rate"), "person_id", "left")
-           .join(dist, "person_id", "left"))
+           .join(dist, "person_id", "left").join(busy, "person_id", "left"))
 
     def side(tag):
         return one.select(*[F.col(f"`{c}`").alias(f"{tag}_{c}" if c != "person_id" else tag) for c in one.columns])
@@ -400,11 +410,21 @@ def topic_timeline(vote: DataFrame, vote_topic: DataFrame, explainer: DataFrame,
 
 
 # --- votes, speeches, bills -----------------------------------------------------
-def vote_party_values(vote_record: DataFrame) -> DataFrame:
-    """Votes per (vote, group) by value, one column per value."""
-    return (vote_record.groupBy("vote_id", F.coalesce("party", F.lit("(tuntematon)")).alias("party"))
-            .agg(*[F.count_if(F.col("vote_value") == v).alias(c)
-                   for v, c in ((C.YES, "n_yes"), (C.NO, "n_no"), (C.BLANK, "n_blank"), (C.ABSENT, "n_absent"))]))
+def vote_detail(vote: DataFrame, vote_record: DataFrame, unknown: str = "(tuntematon)") -> DataFrame:
+    """All of a vote as ``(vote_id, section, party, person_id, value, n)``: its header, the members' votes, and the counts per group and value.
+
+    Each group has a row for the four known values, and one for any other value that occurs.
+    """
+    head = vote.select("vote_id", F.lit("vote").alias("section"), F.lit(None).cast("string").alias("party"), F.lit(None).cast("long").alias("person_id"),
+                       F.col("title").alias("value"), F.col("result_total").cast("long").alias("n"))
+    party = F.coalesce("party", F.lit(unknown)).alias("party")
+    rows = vote_record.select("vote_id", F.lit("record").alias("section"), party, "person_id", F.col("vote_value").alias("value"), F.lit(None).cast("long").alias("n"))
+    known = [C.YES, C.NO, C.BLANK, C.ABSENT]
+    counted = vote_record.groupBy("vote_id", party, F.col("vote_value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    none = counted.select("vote_id", "party").distinct().select("vote_id", "party", F.explode(F.array(*[F.lit(v) for v in known])).alias("value"), F.lit(0).cast("long").alias("n"))
+    sums = (counted.unionByName(none).groupBy("vote_id", "party", "value").agg(F.sum("n").alias("n"))
+            .select("vote_id", F.lit("party").alias("section"), "party", F.lit(None).cast("long").alias("person_id"), "value", "n"))
+    return head.unionByName(rows).unionByName(sums)
 
 
 def item_topics(topics_of: DataFrame, topic: DataFrame, key: str) -> DataFrame:

@@ -143,9 +143,11 @@ def words_votes_ledger(stance: DataFrame, speech: DataFrame, vote: DataFrame, vo
                        min_confidence: float = C.CONFLICT_MIN_CONFIDENCE) -> DataFrame:
     """Every vote on a bill a member took a stance on, classed by an explicit rule.
 
-    A missing vote record still gives a row.
+    A missing vote record still gives a row.  Stances without their speech do
+    not take part in the choice of the dominant one.
     """
-    rep = (dominant_stance(stance)
+    spoken = stance.join(speech.select(F.col("id").alias("speech_id")), "speech_id", "left_semi")
+    rep = (dominant_stance(spoken)
            .join(speech.select(F.col("id").alias("speech_id"), F.col("started_at").alias("speech_date"),
                                S.reluctance(F.col("text")).alias("marker")), "speech_id"))
     v = vote.where(_has_item()).select("vote_id", "legislative_item", "title", F.col("session_date").alias("vote_date"),

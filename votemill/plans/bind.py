@@ -15,6 +15,7 @@ from votemill import constants as C
 from votemill.functions import scalars as S, text as X
 from votemill.operators import language, lines, members, power, promises, search, stance, survey, topics
 from votemill.operators.relational import first_per_key
+from votemill.sources import sinks
 from votemill.runtime import fresh_path, materialize, tune
 
 GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -62,6 +63,7 @@ class Bound:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = tune(spark), sf_dir.rstrip("/")
+        self.drawn: dict[str, DataFrame] = {}
 
     _open: dict[tuple[str, str], Bound] = {}
 
@@ -146,6 +148,13 @@ class Bound:
         who = self.person.select("person_id", "first_name", "last_name", F.col("party_current").alias("party"))
         return materialize(s.join(who, "person_id", "left").withColumn("word_count", X.word_count(F.col("text"))), "speech")
 
+    @cached_property
+    def ingest_state(self) -> DataFrame:
+        """Progress of a load job per order year, from its update log."""
+        log = self.base("orders").selectExpr("concat('votes:', year(o_orderdate)) AS job", "o_orderkey AS seq", "cast(null as string) AS last_pk", "cast(null as int) AS last_page",
+                                             "CASE WHEN o_orderstatus = 'F' THEN 'done' END AS status", "o_custkey AS n_items", "cast(null as string) AS note")
+        return sinks.progress_state(log)
+
     @cached_property
     def search_index(self) -> search.Index:
         return search.build_index(self.speech, "id", "text", fresh_path(self.spark, "speech-index"))
@@ -182,7 +191,8 @@ class Bound:
     def promise_vote_map(self) -> DataFrame:
         return self.base("part").selectExpr(
             "cast(p_partkey % 25 as bigint) AS promise_id", "p_partkey AS vote_id",
-            "CASE WHEN (p_partkey div 40) % 2 = 0 THEN 'Jaa' ELSE 'Ei' END AS expected_value")
+            "CASE WHEN (p_partkey div 40) % 2 = 0 THEN 'Jaa' ELSE 'Ei' END AS expected_value",
+            "concat('because of ', p_name) AS rationale", "CASE WHEN p_partkey % 3 = 0 THEN p_type END AS source_note", "p_brand AS curated_by", "'1' AS mapping_version")
 
     @cached_property
     def person_term(self) -> DataFrame:
@@ -361,7 +371,8 @@ CTES: dict[str, str] = {
         CASE WHEN k = 4 AND r_regionkey < 3 THEN cast(r_regionkey as bigint) END AS person_id, 'promise ' || (r_regionkey * 5 + k) AS text
         FROM region, range(5) t(k)""",
     "promise_vote_map": """SELECT cast(p_partkey % 25 as bigint) AS promise_id, p_partkey AS vote_id,
-        CASE WHEN (p_partkey // 40) % 2 = 0 THEN 'Jaa' ELSE 'Ei' END AS expected_value FROM part""",
+        CASE WHEN (p_partkey // 40) % 2 = 0 THEN 'Jaa' ELSE 'Ei' END AS expected_value, 'because of ' || p_name AS rationale,
+        CASE WHEN p_partkey % 3 = 0 THEN p_type END AS source_note, p_brand AS curated_by, '1' AS mapping_version FROM part""",
     "person_term": """SELECT person_id, min(session_date) AS start_date,
         CASE WHEN vp_year = 2001 AND person_id % 3 = 0 THEN NULL ELSE max(session_date) END AS end_date
         FROM vote_record JOIN vote USING (vote_id) GROUP BY person_id, vp_year""",
@@ -497,6 +508,8 @@ CTES: dict[str, str] = {
     "search_tokens": f"SELECT id, {_SEARCH_TOK} AS toks FROM speech",
     "postings": """SELECT term, id AS doc_id, count(*) AS tf, cast(any_value(dl) as int) AS doc_length FROM (
         SELECT id, len(toks) AS dl, unnest(toks) AS term FROM search_tokens) GROUP BY 1, 2""",
+    "ingest_state": """SELECT 'votes:' || year(o_orderdate) AS job, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'done' ELSE 'running' END AS status, arg_max(o_custkey, o_orderkey) AS n
+        FROM orders GROUP BY 1""",
     "explainer": """SELECT legislative_item, 'changes ' || legislative_item AS what_changes, 'all' AS who_affected, external_key AS ref, right(text, 20) AS quote
         FROM speech WHERE id % 10 = 3""",
 }

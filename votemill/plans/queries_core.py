@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from votemill.functions import text as X
 from votemill.operators import coverage, language, maps, members, power, promises, search, stance, topics
 from votemill.plans import bind
-from votemill.plans.registry import query
+from votemill.plans.registry import ORACLES, query
+from votemill.runtime import materialize
 
 SIX = 6
 
@@ -109,27 +110,89 @@ MAP = dict(left="EUROPE", right="ASIA", up="AFRICA")
 
 
 def political_map(b) -> DataFrame:
-    out = maps.political_map(b.vote_record, b.vote_head, b.person, years=bind.YEARS, min_votes=50, **MAP)
-    if out is None:
-        raise ValueError("too few votes or members for a map")
-    return out
+    if b.drawn.get("votes") is None:
+        out = maps.political_map(b.vote_record, b.vote_head, b.person, years=bind.YEARS, min_votes=50, **MAP)
+        if out is None:
+            raise ValueError("too few votes or members for a map")
+        b.drawn["votes"] = materialize(out, "political-map")
+    return b.drawn["votes"]
 
 
 def rhetoric_map(b) -> DataFrame:
-    out = maps.rhetoric_map(b.embedding, b.person, dim=64, min_speeches=20, **MAP)
-    if out is None:
-        raise ValueError("too few members for a map")
-    return out
+    if b.drawn.get("speeches") is None:
+        out = maps.rhetoric_map(b.embedding, b.person, dim=64, min_speeches=20, **MAP)
+        if out is None:
+            raise ValueError("too few members for a map")
+        b.drawn["speeches"] = materialize(out, "rhetoric-map")
+    return b.drawn["speeches"]
+
+
+def _top_axis(matrix: str, name: str) -> str:
+    """Views ``{name}_v`` (unit vector) and ``{name}_l`` (value) of the largest eigenvector of a view ``matrix(m)``, by repeated squaring."""
+    return f"""{name}_p AS (SELECT 0 AS k, list_transform(m, lambda r: list_transform(r, lambda x: x / t)) AS m FROM (SELECT m, list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS t FROM {matrix})
+      UNION ALL SELECT k + 1, list_transform(m2, lambda r: list_transform(r, lambda x: x / list_sum(list_transform(range(1, len(m2) + 1), lambda i: m2[i][i])))) FROM
+        (SELECT k, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS m2 FROM {name}_p WHERE k < 16)),
+    {name}_v AS (SELECT list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS v FROM (SELECT m[list_position(d, list_max(d))] AS c FROM (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {name}_p WHERE k = 16))),
+    {name}_l AS (SELECT list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM {name}_v, {matrix})"""
+
+
+def _placed(raw: str, tail: str = "") -> str:
+    """Views ``pts`` (signs fixed by group means, both axes on [-100, 100]), ``mid`` (centres) and ``near`` from a view ``raw(person_id, party, x, y)``."""
+    g = MAP
+    return f"""sgn AS (SELECT CASE WHEN coalesce(avg(x) FILTER (party = '{g['left']}'), 0) > coalesce(avg(x) FILTER (party = '{g['right']}'), 0) THEN -1.0::double ELSE 1.0::double END AS sx,
+      CASE WHEN coalesce(avg(y) FILTER (party = '{g['up']}'), 0) < 0 THEN -1.0::double ELSE 1.0::double END AS sy FROM {raw}),
+    flip AS (SELECT r.* REPLACE (x * sx AS x, y * sy AS y) FROM {raw} r, sgn),
+    pts AS (SELECT * EXCLUDE (x, y), CASE WHEN max(x) OVER () > min(x) OVER () THEN 200 * (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) - 100 ELSE x END AS dim1,
+      CASE WHEN max(y) OVER () > min(y) OVER () THEN 200 * (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - 100 ELSE y END AS dim2 FROM flip),
+    mid AS (SELECT party, avg(dim1) AS cx, avg(dim2) AS cy, count(*) AS n_members FROM pts GROUP BY 1 HAVING count(*) >= 3),
+    near AS (SELECT p.*, (SELECT arg_min(m.party, (pow(dim1 - cx, 2) + pow(dim2 - cy, 2), m.party)) FROM mid m) AS nearest_party,
+      (SELECT sqrt(pow(dim1 - cx, 2) + pow(dim2 - cy, 2)) FROM mid m WHERE m.party = p.party) AS dist_own FROM pts p)"""
+
+
+VOTE_MAP = f"""WITH RECURSIVE cell AS (SELECT person_id, vote_id, CASE vote_value WHEN 'Jaa' THEN 1.0::double ELSE -1.0::double END AS x FROM vote_record JOIN vote USING (vote_id)
+      WHERE is_procedural = 0 AND vote_value IN ('Jaa', 'Ei') AND vp_year IN {bind.YEARS}),
+    mem AS (SELECT person_id, count(*) AS n_votes, row_number() OVER (ORDER BY person_id) AS i FROM cell GROUP BY 1 HAVING count(*) >= 50),
+    used AS (SELECT vote_id, i, x FROM cell JOIN mem USING (person_id)), nn AS (SELECT count(*) AS n FROM mem),
+    mean AS (SELECT vote_id, sum(x) / any_value(n) AS mu FROM used, nn GROUP BY 1),
+    bi AS (SELECT i, sum(x * mu) AS b FROM used JOIN mean USING (vote_id) GROUP BY 1), c0 AS (SELECT sum(mu * mu) AS c FROM mean),
+    ai AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM used a JOIN used b USING (vote_id) GROUP BY 1, 2),
+    gm AS (SELECT list(r ORDER BY i) AS m FROM (SELECT p.i, list(coalesce(s, 0) - bp.b - bq.b + c ORDER BY q.i) AS r FROM mem p CROSS JOIN mem q CROSS JOIN c0
+      JOIN bi bp ON bp.i = p.i JOIN bi bq ON bq.i = q.i LEFT JOIN ai ON ai.i = p.i AND ai.j = q.i GROUP BY p.i)),
+    {_top_axis('gm', 'e1')},
+    gd AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM gm, e1_v, e1_l),
+    {_top_axis('gd', 'e2')},
+    raw AS (SELECT person_id, coalesce(party_current, '?') AS party, n_votes, e1_v.v[i] * sqrt(e1_l.l) AS x, e2_v.v[i] * sqrt(e2_l.l) AS y,
+      cast(round_even(100 * e1_l.l / tr, 0) as int) AS var1, cast(round_even(100 * e2_l.l / tr, 0) as int) AS var2
+      FROM mem LEFT JOIN person USING (person_id), e1_v, e1_l, e2_v, e2_l, (SELECT list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS tr FROM gm)),
+    {_placed('raw')}
+    """
+TALK_MAP = f"""WITH RECURSIVE sp AS (SELECT vec_id % (SELECT count(*) // 20 FROM embeddings) AS person_id, embedding FROM embeddings),
+    mv AS (SELECT person_id, list(a ORDER BY k) AS mean FROM (SELECT person_id, k, avg(cast(embedding[k] as double)) AS a, count(*) AS n FROM sp, range(1, 65) t(k) GROUP BY 1, 2) WHERE n >= 20 GROUP BY 1),
+    un AS (SELECT person_id, party_current AS party, list_transform(mean, lambda e: e / (sqrt(list_dot_product(mean, mean)) + 1e-9::double)) AS u FROM mv JOIN person USING (person_id) WHERE party_current IS NOT NULL),
+    ct AS (SELECT list(a ORDER BY k) AS c FROM (SELECT k, avg(u[k]) AS a FROM un, range(1, 65) t(k) GROUP BY 1)),
+    cn AS (SELECT person_id, party, list_transform(range(1, 65), lambda k: u[k] - c[k]) AS d FROM un, ct),
+    gm AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(d[i] * d[j]) AS s FROM cn, range(1, 65) a(i), range(1, 65) b(j) GROUP BY 1, 2) GROUP BY 1)),
+    {_top_axis('gm', 'e1')},
+    gd AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM gm, e1_v, e1_l),
+    {_top_axis('gd', 'e2')},
+    raw AS (SELECT person_id, party, list_dot_product(d, e1_v.v) AS x, list_dot_product(d, e2_v.v) AS y FROM cn, e1_v, e2_v),
+    {_placed('raw')}
+    """
+
 
+def r3(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 3) for c in ("dim1", "dim2", "dist_own") if c in df.columns})
 
-@query("political_map")
+
+@query("political_map", VOTE_MAP + f"""SELECT person_id, party, n_votes, var1, var2, round(dim1, 3) AS dim1, round(dim2, 3) AS dim2, nearest_party, round(dist_own, 3) AS dist_own,
+    '{bind.YEARS[0]}–{bind.YEARS[-1]}' AS period FROM near""")
 def _(b):
-    return political_map(b)
+    return r3(political_map(b))
 
 
-@query("rhetoric_map")
+@query("rhetoric_map", TALK_MAP + "SELECT person_id, party, round(dim1, 3) AS dim1, round(dim2, 3) AS dim2, nearest_party FROM near")
 def _(b):
-    return rhetoric_map(b)
+    return r3(rhetoric_map(b))
 
 
 # --- stance -------------------------------------------------------------------
@@ -275,20 +338,25 @@ def _(b):
     return coverage.coverage_stats(tables(b), b.speech_topic, b.vote_topic, bind.FALLBACK_ID)
 
 
-@query("cov_report_tables", """SELECT 'core' AS section, 'persons' AS label, count(*) AS value FROM person UNION ALL SELECT 'core', 'votes', count(*) FROM vote
+@query("cov_report_tables", """SELECT section, label, cast(value as varchar) AS value FROM (SELECT 'core' AS section, 'persons' AS label, count(*) AS value FROM person UNION ALL SELECT 'core', 'votes', count(*) FROM vote
     UNION ALL SELECT 'core', 'vote_records', count(*) FROM vote_record UNION ALL SELECT 'core', 'speeches', count(*) FROM speech
     UNION ALL SELECT 'core', 'promises', count(*) FROM promise UNION ALL SELECT 'core', 'speeches_linked', count(person_id) FROM speech
     UNION ALL SELECT 'votes_per_year', cast(vp_year as varchar), count(*) FROM vote GROUP BY 2 UNION ALL SELECT 'speeches_per_year', substr(started_at, 1, 4), count(*) FROM speech GROUP BY 2
-    UNION ALL SELECT 'persons_per_party', party_current, count(*) FROM person GROUP BY 2 UNION ALL SELECT 'confidence', confidence_level, count(*) FROM member_summary GROUP BY 2""")
+    UNION ALL SELECT 'persons_per_party', party_current, count(*) FROM person GROUP BY 2 UNION ALL SELECT 'confidence', confidence_level, count(*) FROM member_summary GROUP BY 2
+      UNION ALL SELECT 'core', 'promise_mappings', count(*) FROM promise_vote_map)
+    UNION ALL SELECT 'topic_coverage', dimension, value FROM (""" + ORACLES["cov_stats"] + """) WHERE metric = 'aiheluokiteltu'
+    UNION ALL SELECT 'ingest', job, status || ' ' || n FROM ingest_state""")
 def _(b):
-    return coverage.report_tables(tables(b), b.person, b.member_summary)
+    stats = coverage.coverage_stats(tables(b), b.speech_topic, b.vote_topic, bind.FALLBACK_ID)
+    return coverage.report_tables(tables(b), b.person, b.member_summary, b.promise_vote_map, stats, b.ingest_state)
 
 
 @query("cov_overview", """SELECT (SELECT count(*) FROM person) AS persons, (SELECT count(*) FROM vote) AS votes, (SELECT count(*) FROM vote_record) AS vote_records,
-    (SELECT count(*) FROM speech) AS speeches, (SELECT count(*) FROM promise) AS promises""")
+    (SELECT count(*) FROM speech) AS speeches, (SELECT count(*) FROM promise) AS promises,
+    (SELECT string_agg(vp_year || ':' || n, ',' ORDER BY vp_year) FROM (SELECT vp_year, count(*) AS n FROM vote GROUP BY 1)) AS years_votes""")
 def _(b):
-    counts = coverage.table_counts(tables(b))
-    return counts.groupBy().pivot("metric", list(tables(b))).agg(F.first("value"))
+    years = F.transform("years_votes", lambda y: F.concat_ws(":", y["vp_year"].cast("string"), y["n"].cast("string")))
+    return coverage.overview(tables(b)).withColumn("years_votes", F.array_join(years, ","))
 
 
 @query("cov_list", """SELECT metric, dimension, value FROM (SELECT 'votes' AS metric, 'vuosi ' || vp_year AS dimension, cast(count(*) as varchar) AS value FROM vote GROUP BY vp_year
@@ -309,7 +377,21 @@ def _(b):
     return coverage.invariants(b.vote_head, b.vote_record, b.person, b.member_summary, b.promise_vote_map)
 
 
-@query("run_all")
+def _counted(name: str) -> str:
+    """Rows of a batch table: those of its view, or of the query of that name."""
+    sources = {"party_token": "party_tokens", "coalition_vote": "coalition"}
+    if name == "style_count":
+        return "(SELECT count(*) FROM style_hits) + (SELECT count(DISTINCT person_id) FROM speech)"
+    if name in ("gov_winrate", "gov_lost", "political_map", "rhetoric_map", "coverage_stat"):
+        return f"(SELECT count(*) FROM ({ORACLES['cov_stats' if name == 'coverage_stat' else name]}) q)"
+    return f"(SELECT count(*) FROM {sources.get(name, name)})"
+
+
+BATCH = ("vote_record vote topic topic_keyword speech_topic vote_topic party_line party_deviation member_summary member_topic position_change party_token party_words "
+         "style_count word_usage word_hits power_effect coalition_vote gov_winrate gov_lost political_map rhetoric_map coverage_stat").split()
+
+
+@query("run_all", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {_counted(t)} AS n_rows" for t in BATCH))
 def _(b):
     """The whole batch written to the shared folder; the result lists the rows of each table."""
     from votemill.plans.batch import run_all

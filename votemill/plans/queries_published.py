@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from votemill.functions import scalars as S
-from votemill.operators import lines, power, promises
+from votemill.operators import lines, maps, power, promises
 from votemill.operators import published as P
 from votemill.plans import bind
 from votemill.plans.queries_blocks import PAIR_SQL, neighbour_pairs
-from votemill.plans.queries_core import MAP, political_map, rhetoric_map  # noqa: F401
+from votemill.plans.queries_core import TALK_MAP, VOTE_MAP, political_map, r3, rhetoric_map
 from votemill.plans.registry import query
 
 SUM = "FROM member_summary JOIN person USING (person_id)"
@@ -69,14 +69,15 @@ def _(b):
     return P.award_holders(awards(b))
 
 
-@query("q_index_highlights", """SELECT * FROM (SELECT 'spotlight' AS section, cast(person_id as varchar) AS id, full_name AS label, cast(n_votes_cast as bigint) AS n FROM member_summary JOIN person USING (person_id)
+@query("q_index_highlights", """SELECT * FROM (SELECT 'spotlight' AS section, cast(person_id as varchar) AS id, full_name AS label, cast(n_votes_cast as bigint) AS n, tt AS detail, cast(consistency_index as bigint) AS value FROM member_summary JOIN person USING (person_id)
+      LEFT JOIN (SELECT person_id, arg_min(label, (-n_speeches, topic_id)) AS tt FROM member_topic JOIN topic ON id = topic_id WHERE slug <> 'muu' AND n_speeches > 0 GROUP BY 1) USING (person_id)
       WHERE n_votes_eligible >= 50 ORDER BY md5(person_id || ':0'), person_id LIMIT 1)
-    UNION ALL SELECT * FROM (SELECT 'tight', cast(vote_id as varchar), title, cast(abs(result_yes - result_no) as bigint) FROM vote WHERE is_procedural = 0 AND result_yes > 3 AND result_no > 3
+    UNION ALL SELECT * FROM (SELECT 'tight', cast(vote_id as varchar), title, cast(abs(result_yes - result_no) as bigint), legislative_item, cast(vp_year as bigint) FROM vote WHERE is_procedural = 0 AND result_yes > 3 AND result_no > 3
       ORDER BY vp_year DESC, abs(result_yes - result_no), vote_id LIMIT 1)
-    UNION ALL SELECT * FROM (SELECT 'trend', slug, label, count(*) FROM speech s JOIN speech_topic st ON st.speech_id = s.id AND is_primary = 1 JOIN topic t ON t.id = st.topic_id WHERE slug <> 'muu'
+    UNION ALL SELECT * FROM (SELECT 'trend', slug, label, count(*), NULL, NULL FROM speech s JOIN speech_topic st ON st.speech_id = s.id AND is_primary = 1 JOIN topic t ON t.id = st.topic_id WHERE slug <> 'muu'
       AND substr(started_at, 1, 4) = (SELECT max(substr(started_at, 1, 4)) FROM speech) GROUP BY t.id, slug, label ORDER BY count(*) DESC, t.id LIMIT 1)""")
 def _(b):
-    return P.index_highlights(b.member_summary, b.person, b.vote, b.speech, b.speech_topic, b.topic, min_eligible=50, min_side=3)
+    return P.index_highlights(b.member_summary, b.person, b.vote, b.speech, b.speech_topic, b.topic, b.member_topic, min_eligible=50, min_side=3)
 
 
 @query("q_person_profile", """SELECT person_id, full_name, party_current, n_terms, term_list, n_groups, n_roles, consistency_index FROM person LEFT JOIN member_summary USING (person_id)
@@ -176,14 +177,21 @@ def _(b):
         "radar", lambda x: F.round(100 * x, 0).cast("int").cast("string")), ",").alias("radar"), "top_topic", "rarity", F.array_join("traits", ",").alias("traits"))
 
 
-@query("q_compare", """WITH o AS (SELECT person_id, full_name, n_speeches, consistency_index, y FROM person LEFT JOIN member_summary USING (person_id)
-      LEFT JOIN (SELECT person_id, nullif(count(*) FILTER (vote_value = 'Jaa'), 0) AS y FROM vote_record GROUP BY 1) USING (person_id))
+@query("q_compare", """WITH o AS (SELECT person_id, full_name, n_speeches, consistency_index, y, tp FROM person LEFT JOIN member_summary USING (person_id)
+      LEFT JOIN (SELECT person_id, nullif(count(*) FILTER (vote_value = 'Jaa'), 0) AS y FROM vote_record GROUP BY 1) USING (person_id)
+      LEFT JOIN (SELECT person_id, string_agg(slug || ':' || n_speeches || '/' || n_votes, ',' ORDER BY n_speeches + n_votes DESC, slug) AS tp FROM member_topic JOIN topic ON id = topic_id
+        WHERE n_speeches > 0 OR n_votes > 0 GROUP BY 1) USING (person_id))
     SELECT a.person_id AS a, z.person_id AS b, a.full_name AS a_full_name, z.full_name AS b_full_name, a.n_speeches AS a_n_speeches, z.n_speeches AS b_n_speeches,
-      a.consistency_index AS a_consistency_index, z.consistency_index AS b_consistency_index, a.y AS a_yes, z.y AS b_yes FROM o a JOIN o z ON z.person_id = a.person_id + 1 OR z.person_id = a.person_id + 2""")
+      a.consistency_index AS a_consistency_index, z.consistency_index AS b_consistency_index, a.y AS a_yes, z.y AS b_yes, a.tp AS a_topics, z.tp AS b_topics FROM o a JOIN o z ON z.person_id = a.person_id + 1 OR z.person_id = a.person_id + 2""")
 def _(b):
-    c = P.compare(neighbour_pairs(b), b.person, b.member_summary, P.person_behavior(b.vote_record))
+    c = P.compare(neighbour_pairs(b), b.person, b.member_summary, P.person_behavior(b.vote_record), P.person_topics(b.member_topic, b.topic))
+
+    def told(side):
+        one = F.transform(f"{side}_topics", lambda t: F.concat(t["slug"], F.lit(":"), t["n_speeches"].cast("string"), F.lit("/"), t["n_votes"].cast("string")))
+        return F.array_join(one, ",").alias(f"{side}_topics")
+
     return c.select("a", "b", "a_full_name", "b_full_name", "a_n_speeches", "b_n_speeches", "a_consistency_index", "b_consistency_index",
-                    F.col("a_Jaa").alias("a_yes"), F.col("b_Jaa").alias("b_yes"))
+                    F.col("a_Jaa").alias("a_yes"), F.col("b_Jaa").alias("b_yes"), told("a"), told("b"))
 
 
 @query("q_member_party_agreement", """SELECT person_id, l.party, count(*) FILTER (vote_value = line) AS agree, count(*) AS total, round(100.0::double * count(*) FILTER (vote_value = line) / count(*), 0) AS pct
@@ -280,7 +288,7 @@ def _(b):
     return b.promise.orderBy("party_code", "id")
 
 
-@query("q_promise_mappings", "SELECT promise_id, m.vote_id, expected_value, title, session_date, legislative_item FROM promise_vote_map m JOIN vote USING (vote_id)")
+@query("q_promise_mappings", "SELECT promise_id, m.vote_id, expected_value, rationale, source_note, curated_by, mapping_version, title, session_date, legislative_item FROM promise_vote_map m JOIN vote USING (vote_id)")
 def _(b):
     return b.promise_vote_map.join(b.vote_head.select("vote_id", "title", "session_date", "legislative_item"), "vote_id")
 
@@ -305,32 +313,42 @@ def _(b):
 
 
 # --- maps -------------------------------------------------------------------------
-@query("q_map_points")
+POINTS_SQL = """SELECT 'member' AS kind, person_id, full_name, party, round(dim1, 3) AS dim1, round(dim2, 3) AS dim2, NULL::bigint AS n_members FROM pts JOIN person USING (person_id)
+    UNION ALL SELECT 'centroid', NULL, NULL, party, round(cx, 3), round(cy, 3), n_members FROM mid"""
+
+
+@query("q_map_points", VOTE_MAP + POINTS_SQL)
 def _(b):
-    return political_map(b).join(b.person.select("person_id", "full_name"), "person_id")
+    return r3(maps.with_centroids(political_map(b), b.person))
 
 
-@query("q_mavericks")
+@query("q_mavericks", VOTE_MAP + """SELECT person_id, full_name, party, round(dim1, 3) AS dim1, round(dim2, 3) AS dim2, nearest_party, round(dist_own, 3) AS dist_own
+    FROM near JOIN person USING (person_id) WHERE dist_own IS NOT NULL ORDER BY near.dist_own DESC, person_id LIMIT 15""")
 def _(b):
     m = political_map(b).join(b.person.select("person_id", "full_name"), "person_id")
-    return m.where("dist_own IS NOT NULL").orderBy(F.desc("dist_own"), "person_id").limit(15)
+    return r3(m.where("dist_own IS NOT NULL").orderBy(F.desc("dist_own"), "person_id").limit(15)
+              .select("person_id", "full_name", "party", "dim1", "dim2", "nearest_party", "dist_own"))
 
 
-@query("q_party_outsiders")
+@query("q_party_outsiders", VOTE_MAP + """SELECT person_id, full_name, party, nearest_party, round(dist_own, 3) AS dist_own FROM near JOIN person USING (person_id)
+    WHERE nearest_party IS NOT NULL AND nearest_party <> party""")
 def _(b):
     m = political_map(b).join(b.person.select("person_id", "full_name"), "person_id")
-    return m.where("nearest_party IS NOT NULL AND nearest_party <> party").orderBy(F.desc("dist_own"))
+    return r3(m.where("nearest_party IS NOT NULL AND nearest_party <> party").orderBy(F.desc("dist_own"))
+              .select("person_id", "full_name", "party", "nearest_party", "dist_own"))
 
 
-@query("q_rhetoric_points")
+@query("q_rhetoric_points", TALK_MAP + POINTS_SQL)
 def _(b):
-    return rhetoric_map(b).join(b.person.select("person_id", "full_name"), "person_id")
+    return r3(maps.with_centroids(rhetoric_map(b), b.person))
 
 
-@query("q_rhetoric_mismatch")
+@query("q_rhetoric_mismatch", TALK_MAP + """SELECT person_id, full_name, party, nearest_party, round(dim1, 3) AS dim1, round(dim2, 3) AS dim2 FROM near JOIN person USING (person_id)
+    WHERE nearest_party <> party ORDER BY full_name, person_id LIMIT 25""")
 def _(b):
     m = rhetoric_map(b).join(b.person.select("person_id", "full_name"), "person_id")
-    return m.where("nearest_party <> party").orderBy("full_name", "person_id").limit(25)
+    return r3(m.where("nearest_party <> party").orderBy("full_name", "person_id").limit(25)
+              .select("person_id", "full_name", "party", "nearest_party", "dim1", "dim2"))
 
 
 # --- topics -----------------------------------------------------------------------
@@ -380,10 +398,11 @@ def _(b):
 
 
 # --- votes, speeches, bills -----------------------------------------------------------
-@query("q_vote_detail", """SELECT vote_id, party, count(*) FILTER (vote_value = 'Jaa') AS n_yes, count(*) FILTER (vote_value = 'Ei') AS n_no, count(*) FILTER (vote_value = 'Tyhjää') AS n_blank,
-    count(*) FILTER (vote_value = 'Poissa') AS n_absent FROM vote_record GROUP BY 1, 2""")
+@query("q_vote_detail", """SELECT vote_id, 'vote' AS section, NULL AS party, NULL AS person_id, title AS value, result_total AS n FROM vote
+    UNION ALL SELECT vote_id, 'record', coalesce(party, '(tuntematon)'), person_id, vote_value, NULL FROM vote_record
+    UNION ALL SELECT vote_id, 'party', party, NULL, value, count(*) FILTER (vote_value = value) FROM vote_record, (VALUES ('Jaa'), ('Ei'), ('Tyhjää'), ('Poissa')) k(value) GROUP BY vote_id, party, value""")
 def _(b):
-    return P.vote_party_values(b.vote_record)
+    return P.vote_detail(b.vote, b.vote_record)
 
 
 @query("q_vote_topics", "SELECT vote_id, slug, label, score, is_primary FROM vote_topic JOIN topic ON id = topic_id")

@@ -225,8 +225,9 @@ def _(b):
       FROM promise, (SELECT DISTINCT p_partkey // 100 AS n FROM part) t WHERE id % 2 = 1 OR n = 0),
     v AS (SELECT *, title ILIKE '%hyväksy%' OR title ILIKE '%hylk%' AS dec, max(cast(title ILIKE '%hyväksy%' OR title ILIKE '%hylk%' as int)) OVER (PARTITION BY legislative_item) AS any_dec
       FROM vote WHERE is_procedural = 0)
-    SELECT promise_id, vote_id, 'Jaa' AS expected_value FROM raw WHERE vote_id IS NOT NULL
-    UNION ALL SELECT promise_id, v.vote_id, 'Jaa' FROM raw JOIN v ON v.legislative_item = raw.item WHERE dec OR any_dec = 0""")
+    SELECT promise_id, vote_id, 'Jaa' AS expected_value, 'r' || promise_id AS rationale, 'me' AS curated_by FROM raw WHERE vote_id IS NOT NULL
+    UNION ALL SELECT promise_id, v.vote_id, 'Jaa', 'r' || promise_id, 'me' FROM raw JOIN v ON v.legislative_item = raw.item WHERE dec OR any_dec = 0
+    UNION ALL SELECT promise_id + 100, vote_id, 'Ei', 'kept', 'older' FROM promise_vote_map""")
 def _(b):
     n = b.base("part").selectExpr("p_partkey div 100 AS n").distinct()
     by_item = n.select("n", F.explode(F.array(*[F.lit(i) for i in range(1, 25, 2)])).alias("promise_id")).selectExpr(
@@ -234,12 +235,17 @@ def _(b):
         "concat('HE ', cast(n * 5 + promise_id % 5 as string)) AS legislative_item")
     direct = b.promise.where("id % 2 = 0").selectExpr("id AS promise_id", "id * 3 AS vote_id", "cast(null as string) AS legislative_item")
     lines_ = by_item.unionByName(direct).select(F.array(F.struct(
-        "promise_id", "vote_id", "legislative_item", F.lit("Jaa").alias("expected_value"))).alias("promise_vote_map"))
+        "promise_id", "vote_id", "legislative_item", F.lit("Jaa").alias("expected_value"),
+        F.concat(F.lit("r"), "promise_id").alias("rationale"), F.lit("me").alias("curated_by"))).alias("promise_vote_map"))
     path = landed_json(lines_, "promise-map")
     b.promise.select(F.array(F.struct("id", "party_code", "text")).alias("promises")).write.mode("append").json(path)
     promises_, mapping = loads.read_promises(b.spark, path, multi_line=False)
     known = promises_.select(F.col("id").alias("promise_id"))
-    return loads.resolve_mappings(mapping.join(known, "promise_id", "left_semi"), b.vote_head)
+    resolved = loads.resolve_mappings(mapping.join(known, "promise_id", "left_semi"), b.vote_head)
+    # an earlier load: mappings of the same promises, which go, and of others, which stay
+    old = b.promise_vote_map.withColumns({"expected_value": F.lit("Ei"), "rationale": F.lit("kept"), "curated_by": F.lit("older")})
+    previous = old.unionByName(old.withColumn("promise_id", F.col("promise_id") + 100))
+    return loads.reloaded_mappings(previous, promises_, resolved).select("promise_id", "vote_id", "expected_value", "rationale", "curated_by")
 
 
 @query("src_survey_csv", "SELECT party, statement_id, answer FROM survey_long")

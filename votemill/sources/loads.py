@@ -66,12 +66,21 @@ def read_promises(spark: SparkSession, path: str, multi_line: bool = True) -> tu
     return promises, doc.select(F.inline("promise_vote_map"))
 
 
+PROVENANCE = ("rationale", "source_note", "curated_by", "mapping_version")
+
+
+def reloaded_mappings(previous: DataFrame, promises: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The mapping table after a load: promises that were loaded again lose their old mappings."""
+    kept = previous.join(promises.select(F.col("id").alias("promise_id")), "promise_id", "left_anti")
+    return kept.select(*resolved.columns).unionByName(resolved)
+
+
 def resolve_mappings(mapping: DataFrame, vote: DataFrame) -> DataFrame:
     """Mappings to votes: by vote id, else by bill to its accept-or-reject votes, else to all its substantive votes.
 
     Whether a bill has accept-or-reject votes is settled once per bill, before mappings meet votes.
     """
-    keep = ["promise_id", "vote_id", "expected_value"]
+    keep = ["promise_id", "vote_id", "expected_value", *[c for c in PROVENANCE if c in mapping.columns]]
     direct = mapping.where(F.col("vote_id").isNotNull()).select(*keep)
     title = F.col("title")
     decisive = title.ilike("%hyväksy%") | title.ilike("%hylk%")
