@@ -198,22 +198,23 @@ def _(b):
 
 
 def bill_documents(b) -> DataFrame:
-    """Two versions of each bill's document, the longer one with the full text."""
-    one = b.speech.where("id % 10 = 0").select("legislative_item", "text", "id")
-    paras = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: tag(
-        "KappaleKooste", F.concat(F.lit("para "), i.cast("string"), F.lit(" of "), F.col("legislative_item")))), "")
+    """Two versions of a document for every text on a bill: the title alone, and with a paragraph for each line of the text."""
+    paras = F.concat(F.lit("<KappaleKooste>"), F.replace(escaped(F.col("text")), F.lit("\n"), F.lit("</KappaleKooste><KappaleKooste>")), F.lit("</KappaleKooste>"))
     head = tag("OtsikkoTeksti", F.concat(F.lit(" Bill "), F.col("legislative_item")))
     full = F.concat(F.lit("<Asiakirja><SisaltoKuvaus> </SisaltoKuvaus>"), head, F.lit("<KappaleKooste> </KappaleKooste>"), paras, F.lit("</Asiakirja>"))
     short = F.concat(F.lit("<Asiakirja>"), head, F.lit("</Asiakirja>"))
     broken = F.col("id") % 70 == 0
-    return one.select(F.col("legislative_item").alias("eduskunta_tunnus"),
-                      F.explode(F.array(short, F.when(broken, F.concat(full, F.lit("<"))).otherwise(full))).alias("xml"))
+    return b.speech.select(F.col("legislative_item").alias("eduskunta_tunnus"),
+                           F.explode(F.array(short, F.when(broken, F.concat(full, F.lit("<"))).otherwise(full))).alias("xml"))
 
 
-@query("src_legislation", """SELECT 'HE ' || n AS eduskunta_tunnus, 'HE' AS doc_type, CASE WHEN has AND n % 7 <> 0 THEN 'Bill HE ' || n END AS title,
-    CASE WHEN has AND n % 7 <> 0 THEN (SELECT string_agg('para ' || i || ' of HE ' || n, ' ' ORDER BY i) FROM range(1, 9) r(i)) ELSE '' END AS summary,
+@query("src_legislation", r"""WITH d AS (SELECT legislative_item, id, text, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</KappaleKooste><KappaleKooste>') || CASE WHEN id % 70 = 0 THEN '<' ELSE '' END AS xml FROM speech),
+    best AS (SELECT legislative_item, arg_max(id, (length(xml), xml)) AS id, arg_max(text, (length(xml), xml)) AS text FROM d GROUP BY 1),
+    said AS (SELECT legislative_item, substr(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:8], ' '), 1, 4000) AS summary
+      FROM best WHERE id % 70 <> 0)
+    SELECT 'HE ' || n AS eduskunta_tunnus, 'HE' AS doc_type, CASE WHEN summary IS NOT NULL THEN 'Bill HE ' || n END AS title, coalesce(summary, '') AS summary,
     'https://www.eduskunta.fi/FI/vaski/HallituksenEsitys/Sivut/HE_' || n || '.aspx' AS url
-    FROM (SELECT DISTINCT p_partkey // 20 AS n, (p_partkey // 20) * 10 IN (SELECT doc_id FROM documents) AS has FROM part WHERE (p_partkey // 20) % 5 <> 1)""")
+    FROM (SELECT DISTINCT p_partkey // 20 AS n FROM part WHERE (p_partkey // 20) % 5 <> 1) LEFT JOIN said ON legislative_item = 'HE ' || n""")
 def _(b):
     have = b.vote_head.where("vote_id div 20 % 5 = 1").select(F.col("legislative_item").alias("eduskunta_tunnus"))
     texts = xml_rows.bill_texts(xml_rows.longest_document(bill_documents(b), "eduskunta_tunnus"))
