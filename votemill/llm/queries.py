@@ -82,7 +82,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm, op4_token_counts, op5_suffix_dedup, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
 }
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS ws FROM documents),
+        s AS (SELECT DISTINCT r, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || ' /' || len(ws)] ELSE [] END) AS g FROM w),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+        link AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY 1, 2) JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+        reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (r) JOIN (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1) USING (r)""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT r, p, md5(b[p:p + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d)),
+        hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM w JOIN (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1) USING (h)),
+        run AS (SELECT r, g, min(p) AS s, max(p) + 400 AS e FROM (SELECT r, p, sum(CASE WHEN p - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS g FROM hit) GROUP BY 1, 2),
+        cut AS (SELECT r, count(*) AS n_spans, cast(sum(e - s) AS bigint) AS n_removed FROM run GROUP BY 1),
+        rest AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS s, s - 1 AS e FROM run UNION ALL SELECT r, max(e), 1000000000 FROM run GROUP BY 1),
+        kept AS (SELECT r, unhex(string_agg(hex(b[s:e]), '' ORDER BY s)) AS k FROM rest JOIN d USING (r) GROUP BY 1)
+        SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
+        FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)""",
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
