@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from votemill import runtime
 from votemill.runtime import global_rank
@@ -103,7 +103,7 @@ def _sets(df: DataFrame, text: str, keep: list[str], settings: Settings, buckets
                     owner.append(row + texts)
                     texts, keys = texts + rows_here, keys + len(code)
                 k = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array([block % buckets] * k, pa.int32()), pa.array([block] * k, pa.int64()), pa.nulls(k, pa.binary()),
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array((block + np.arange(low, low + k)) % buckets, pa.int32()), pa.array([block] * k, pa.int64()), pa.nulls(k, pa.binary()),
                                                   part.column(0), pa.array(np.arange(low, low + k)), *[pa.array(np.concatenate(x).astype(np.int64)) for x in (n, s1, s2)]], names=names)
                 if keys >= sk.BLOCK_KEYS or texts + tb.SLICE_ROWS > sk.BLOCK_ROWS:
                     yield from flush(row_arrow)
@@ -218,10 +218,11 @@ def _similar_size(settings: Settings):
 
 def _leader_pairs(prefixes: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): each text with the leader it shares most prefix shingles with, for every drawing of leaders."""
-    drawn = prefixes
-    for turn in range(settings.leaders):
-        order = W.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "uid"), "uid")
-        drawn = drawn.withColumn(f"first_{turn}", F.first(F.struct("uid", "l", "n")).over(order))
+    # an aggregate that shrinks before its exchange, and a join that can be split: no task holds all rows of a shingle
+    firsts = prefixes.groupBy("token").agg(*[
+        F.min(F.struct(F.xxhash64(F.lit(turn), "uid").alias("order"), "uid", "l", "n")).alias(f"first_{turn}") for turn in range(settings.leaders)],
+        F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
+    drawn = prefixes.join(firsts, "token")
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.col(f"first_{t}").alias("who")) for t in range(settings.leaders)]))
     met = drawn.select("uid", "l", "n", each.alias("leader")).where("uid <> leader.who.uid")
     keys = [F.col("leader.turn").alias("turn"), F.col("uid").alias("a"), F.col("leader.who.uid").alias("b"), F.col("n").alias("n_a"), F.col("leader.who.n").alias("n_b"), F.least("l", "leader.who.l").alias("need")]
@@ -234,9 +235,8 @@ def _open_rows(prefixes: DataFrame, labels: DataFrame, settings: Settings) -> Da
     """Prefix rows of shingles that at least two components hold: token, uid, l, n, comp, ``heavy`` where more than ``settings.light`` texts hold it."""
     named = labels.select(F.col("node").alias("uid"), F.col("comp").alias("label"))
     rows = prefixes.join(named, "uid", "left").select("token", "uid", "l", "n", F.coalesce("label", "uid").alias("comp"))
-    token = W.partitionBy("token")
-    seen = rows.withColumn("low", F.min("comp").over(token)).withColumn("high", F.max("comp").over(token)).withColumn("holders", F.count(F.lit(1)).over(token))
-    return seen.where("low < high").select("token", "uid", "l", "n", "comp", (F.col("holders") > settings.light).alias("heavy"))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high")
+    return rows.join(mixed.select("token", (F.col("holders") > settings.light).alias("heavy")), "token").select("token", "uid", "l", "n", "comp", "heavy")
 
 
 def _light_pairs(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -259,8 +259,8 @@ def _family_links(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataF
     pair.
     """
     heavy = rows.where("heavy").select("token", "uid", "comp")
-    order = W.partitionBy("token").orderBy(F.xxhash64("uid"), "uid")
-    votes = heavy.withColumn("leader", F.first("uid").over(order)).groupBy("uid", "comp", "leader").agg(F.count(F.lit(1)).alias("shared"))
+    firsts = heavy.groupBy("token").agg(F.min(F.struct(F.xxhash64("uid").alias("order"), "uid")).alias("first")).select("token", F.col("first.uid").alias("leader"))
+    votes = heavy.join(firsts, "token").groupBy("uid", "comp", "leader").agg(F.count(F.lit(1)).alias("shared"))
     placed = votes.groupBy("uid", "comp").agg(F.max(F.struct("shared", "leader")).alias("best")).select("uid", "comp", F.col("best.leader").alias("leader"))
     ranked = global_rank(placed.withColumn("all", F.lit(0)), "all", "leader", "uid")
     blocks = runtime.materialize(ranked.select("uid", "comp", F.floor(F.col("rank0") / settings.block).alias("block")), "blocks")
