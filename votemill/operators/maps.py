@@ -5,15 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
 from votemill import constants as C
-from votemill.runtime import global_rank, materialize
+from votemill.runtime import global_rank, materialize, ship
 
 #: Hash blocks that centres are packed into.
 BLOCKS = 8
@@ -48,7 +45,7 @@ def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, y
     per_vote = (cells.join(members.select("person_id", "col"), "person_id").groupBy("vote_id")
                 .agg(F.collect_list("col").alias("cols"), F.collect_list("v").alias("vals")))
 
-    values, axes, energy = _member_axes(materialize(_centred(per_vote, n), "vote-rows"), n)
+    values, axes, energy = _member_axes(materialize(per_vote, "vote-rows"), n)
     s = np.sqrt(np.maximum(values, 0.0))
     xy = np.zeros((n, 2))
     xy[:, : len(s)] = axes * s
@@ -61,27 +58,78 @@ def vote_points(vote_record: DataFrame, vote: DataFrame, person: DataFrame, *, y
                     F.bround(F.lit(100 * share[1]), 0).cast("int").alias("var2")))
 
 
-def _centred(rows: DataFrame, n: int) -> DataFrame:
-    """Rows ``(cols, vals)`` as dense rows of ``n`` numbers, each minus its own mean."""
+def _times(rows: DataFrame, n: int, block: np.ndarray) -> np.ndarray:
+    """G V for the members' Gram matrix G of the centred rows ``(cols, vals)`` and a few vectors V.
+
+    Tasks work on dense slices of bounded size and return sums of length ``n``,
+    which are added up lot by lot before they reach the driver.
+    """
+    ship(rows.sparkSession)
+    handle, lot, width = rows.sparkSession.sparkContext.broadcast(block), 4096, block.shape[1]
+
     def run(batches):
+        v, total = handle.value, np.zeros((n, width))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cols, vals = (batch.column(k).slice(at, 256) for k in range(2))
+            step = max(1, (1 << 21) // n)
+            for at in range(0, batch.num_rows, step):
+                cols, vals = (batch.column(k).slice(at, step) for k in range(2))
                 x = np.zeros((len(cols), n))
                 x[np.repeat(np.arange(len(cols)), cols.value_lengths().to_numpy()), cols.flatten().to_numpy()] = vals.flatten().to_numpy()
                 x -= x.mean(axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), n).cast(pa.list_(pa.float64()))], names=["row"])
+                total += x.T @ (x @ v)
+        starts = list(range(0, n, lot))
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([total[i:i + lot].tobytes() for i in starts], pa.binary())], names=["at", "sums"])
 
-    return rows.select("cols", "vals").mapInArrow(run, "row array<double>")
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[at] = sums.get(at, 0.0) + np.frombuffer(data)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["at", "sums"])
 
+    out = np.zeros((n, width))
+    for r in rows.select("cols", "vals").mapInArrow(run, "at int, sums binary").repartition(-(-n // lot), "at").mapInArrow(add, "at int, sums binary").collect():
+        part = np.frombuffer(r["sums"]).reshape(-1, width)
+        out[r["at"]:r["at"] + len(part)] = part
+    handle.unpersist()
+    return out
 
-def _member_axes(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Two largest squared singular values, their right vectors and the sum of all; only vectors of length ``n`` reach the driver."""
-    vectors = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector("row").alias("row")), "row").persist(StorageLevel.MEMORY_AND_DISK)
-    svd = RowMatrix(vectors, numCols=n).computeSVD(2)
-    vectors.unpersist()
-    energy = rows.agg(F.sum(F.aggregate("row", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    return svd.s.toArray() ** 2, svd.V.toArray(), energy
+
+def _member_axes(rows: DataFrame, n: int, width: int = 32, most: int = 512, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two largest eigenvalues of the members' Gram matrix, their vectors, and its trace.
+
+    Block Krylov iteration with full orthogonalisation: the same path for any
+    number of members, with at most ``most`` vectors of length ``n`` on the
+    driver; a full basis is restarted from its best vectors.
+    """
+    energy = rows.agg(F.sum(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x) - F.pow(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x), F.lit(2)) / n)).first()[0]
+    start = np.random.default_rng(0).normal(size=(n, min(width, n)))
+    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    fresh = np.linalg.qr(start)[0]
+    while True:
+        basis, image = np.hstack([basis, fresh]), np.hstack([image, _times(rows, n, fresh)])
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1]
+        values, turn = values[order], turn[:, order]
+        axes = basis @ turn[:, :2]
+        rest = image @ turn[:, :2] - axes * values[:2]
+        if np.linalg.norm(rest, axis=0).max() <= tolerance * max(values[0], 1e-300):
+            return values[:2], axes, energy
+        if basis.shape[1] + width > most:
+            keep = turn[:, :2 * width]
+            basis, image = basis @ keep, image @ keep
+            fresh = image[:, :width] - basis[:, :width] * values[:width]
+        else:
+            fresh = image[:, -fresh.shape[1]:]
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        q, r = np.linalg.qr(fresh)
+        new = np.abs(np.diag(r)) > 1e-10 * max(values[0], 1e-300)
+        if not new.any():
+            return values[:2], axes, energy  # the basis holds all that the matrix reaches
+        fresh = q[:, new] - basis @ (basis.T @ q[:, new])
+        fresh = np.linalg.qr(fresh)[0]
 
 
 def embedding_points(embedding: DataFrame, person: DataFrame, *, dim: int, min_speeches: int = 20,
