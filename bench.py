@@ -6,7 +6,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -27,8 +26,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("votemill-bench")
              .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
              .config("spark.driver.memory", "20g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="votemill-bench-")).getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     queries, seconds = registry.queries(), {}
