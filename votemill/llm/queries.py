@@ -101,6 +101,20 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT r, unhex(string_agg(hex(b[s:e]), '' ORDER BY s)) AS k FROM rest JOIN d USING (r) GROUP BY 1)
         SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
         FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)""",
+    "op10_quality": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        line AS (SELECT r, l, translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
+        seen AS (SELECT r, l, len(lw) AS nw, coalesce(list_sum(list_transform(lw, lambda x: length(x))), 0) AS ch, len(regexp_extract_all(l, '[.!?:;{quality.WIDE_MARKS}]')) AS marks,
+          len(regexp_extract_all(l, '[{quality.SEPARATORS}]')) AS parts, len(regexp_extract_all(l, '[#*$%&|<>]')) AS sym, {' OR '.join(f"contains(low, '{p}')" for p in quality.PHRASES)} AS stock FROM line),
+        judged AS (SELECT *, nw > 0 AND ((parts >= 3 AND 100 * parts >= 20 * nw) OR (stock AND nw <= 30) OR 100 * sym > 10 * ch
+          OR (marks = 0 AND nw BETWEEN 8 AND 30 AND sum(marks) OVER (PARTITION BY r) > 0)) AS bad FROM seen),
+        lines AS (SELECT r, count(*) FILTER (nw > 0) - count(DISTINCT l) FILTER (nw > 0) AS n_dup_lines, coalesce(sum(ch) FILTER (bad), 0) AS lost FROM judged GROUP BY 1),
+        win AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+        rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1) GROUP BY 1),
+        f AS (SELECT r, doc_id, cast(len(ws) AS bigint) AS n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS bigint) AS word_chars,
+          cast(len(regexp_extract_all(t, '[#*$%&|<>]')) AS bigint) AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, lost FROM d JOIN lines USING (r) LEFT JOIN rep USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+          NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words > 0 AND lost <= 0.5 * word_chars AS kept FROM f""",
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
