@@ -24,10 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from votemill import runtime
-from votemill.llm import textblocks as tb
 
 
 @dataclass(frozen=True)
@@ -186,8 +185,6 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
                         "vec_id": pa.array(np.concatenate([i for _, i, _ in found])), "score": pa.array(np.concatenate([s for _, _, s in found]))})
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    top = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "vec_id", "score")))
-    # at most k rows from each segment block meet here for a query
-    ranked = found.groupBy("query_id").agg(F.slice(top, 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("rank", "hit")).select(
-        "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    # each task passes on k rows a query at most
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
