@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from votemill import constants as C
 from votemill.operators import coverage, language, lines, maps, members, power, search, topics

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from votemill import constants as C
 from votemill.functions import scalars as S, text as X
-from votemill.operators import lines, maps, members, power, published, search, topics
+from votemill.operators import maps, members, power, published, search, topics
 from votemill.operators import relational as R
 from votemill.plans import bind
 from votemill.plans.registry import query

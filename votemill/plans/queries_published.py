@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votemill.functions import scalars as S
 from votemill.operators import lines, maps, power, promises
 from votemill.operators import published as P
 from votemill.plans import bind
