@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from votemill.llm import caches, textblocks as tb
 
 #: Words remembered per worker; a full memory is emptied and filled anew.
-MEMORY = 600_000
+MEMORY = 300_000
 
 
 @dataclass(frozen=True)
