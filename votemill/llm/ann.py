@@ -1,10 +1,15 @@
 """Nearest neighbours by inner product with cross-polytope hashing.
 
-Vectors are lifted by one coordinate to a common length, so that the largest
-inner product becomes the smallest angle.  A table turns them by three rounds
-of random signs and a fast Hadamard transform, and files each under the signed
-axis it is nearest to; a query looks under its ``probes`` nearest signed axes
-in every table.  What it finds there is ranked by the exact inner product.
+Vectors of about one length (a band of a segment) are lifted by one coordinate
+to the longest of them, so that the largest inner product becomes the smallest
+angle.  A table turns them by three rounds of random signs and a fast Hadamard
+transform, and files each under the signed axis it is nearest to; a query looks
+under its ``probes`` nearest signed axes in every table.  The inner product of
+the k-th best row found there tells from which angle on a row of a band can
+still be among the best, and the query looks under as many further axes as
+rows at that angle need to be met with the chance ``sure``; under all of them
+if it has found fewer than k rows.  What it finds is ranked by the exact inner
+product.
 
 The index is cut into segments of about ``segment_rows`` rows by a hash of the
 id, each with its own tables over the same rotations, and queries visit every
@@ -33,18 +38,47 @@ from votemill import runtime
 class Settings:
     tables: int = 8
     probes: int = 24
+    #: ratio of the longest to the shortest vector of a band, at most
+    band: float = 1.1
+    #: chance to meet a row that can just reach the k-th best found so far
+    sure: float = 0.97
     segment_rows: int = 8_192
     block_rows: int = 512
     seed: int = 11
 
 
+#: Steps of the cosine for which the axes needed are sampled, and pairs of vectors for each.
+STEPS, PAIRS = 20, 300
+
+
 class Rotations:
-    """The random signs of every table, the same in every task."""
+    """The random signs of every table, the same in every task, and how many axes a query needs at an angle."""
 
     def __init__(self, dim: int, settings: Settings):
         self.width = 1 << max(1, math.ceil(math.log2(dim + 1)))
         rng = np.random.default_rng(settings.seed)
         self.signs = rng.choice(np.array([-1.0, 1.0], np.float32), (settings.tables, 3, self.width))
+        needed = [self._needed(cosine, dim, settings, rng) for cosine in np.linspace(0, 1, STEPS + 1)]
+        self.needed = np.maximum.accumulate(np.array(needed[::-1], np.int32))[::-1]
+
+    def _needed(self, cosine: float, dim: int, settings: Settings, rng: np.random.Generator) -> int:
+        """Under how many axes a query has to look to meet, with the chance ``sure``, a row at this angle in one of the tables."""
+        queries, others = rng.normal(size=(2, PAIRS, dim + 1))
+        queries[:, dim] = 0
+        queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+        others -= (others * queries).sum(axis=1, keepdims=True) * queries
+        others *= math.sqrt(1 - cosine * cosine) / np.linalg.norm(others, axis=1, keepdims=True)
+        others += cosine * queries
+        least = np.full(PAIRS, 2 * self.width)
+        for t in range(settings.tables):
+            x, bucket = self.turn(queries, t), self.bucket(others, t)
+            at = (np.where(bucket < self.width, 1, -1) * x[np.arange(PAIRS), bucket % self.width])[:, None]
+            least = np.minimum(least, (x > at).sum(axis=1) + (-x > at).sum(axis=1) + 1)
+        return math.ceil(np.quantile(least, settings.sure))
+
+    def axes(self, cosine: np.ndarray) -> np.ndarray:
+        """How many axes to look under for rows of this cosine or more; all of them where it is not positive."""
+        return np.where(cosine > 0, self.needed[(np.clip(cosine, 0, 1) * STEPS).astype(np.int64)], 2 * self.width)
 
     def turn(self, vectors: np.ndarray, table: int) -> np.ndarray:
         x = np.zeros((len(vectors), self.width), np.float32)
@@ -64,42 +98,61 @@ class Rotations:
         axis = np.abs(x).argmax(axis=1)
         return axis + self.width * (x[np.arange(len(x)), axis] < 0)
 
-    def probed(self, vectors: np.ndarray, table: int, probes: int) -> np.ndarray:
-        """Which signed axes each vector looks under."""
+    def ranks(self, vectors: np.ndarray, table: int) -> np.ndarray:
+        """The place of each signed axis, nearest first, for each vector."""
         x = self.turn(vectors, table)
         near = np.concatenate([x, -x], axis=1)
-        out = np.zeros(near.shape, bool)
-        chosen = np.argpartition(-near, min(probes, near.shape[1]) - 1, axis=1)[:, :probes]
-        np.put_along_axis(out, chosen, True, axis=1)
+        out = np.empty(near.shape, np.int32)
+        np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable"), np.arange(near.shape[1], dtype=np.int32)[None, :], axis=1)
         return out
 
 
-def lift(vectors: np.ndarray, longest: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(0.0, longest * longest - (vectors * vectors).sum(axis=1)))
-    return np.concatenate([vectors, rest[:, None]], axis=1) / longest
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    top = np.abs(vectors).max(axis=1)
+    return top * np.linalg.norm(vectors / top[:, None], axis=1)
+
+
+def lift(vectors: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Each vector with the coordinate that brings it to its ``longest``, divided by that."""
+    short = vectors / longest[:, None]
+    rest = np.sqrt(np.maximum(0.0, 1 - (short * short).sum(axis=1)))
+    return np.concatenate([short, rest[:, None]], axis=1)
+
+
+def _floors(scores: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score found by each query, -inf if there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return -np.partition(np.where(found, -scores, np.inf), k - 1, axis=1)[:, k - 1]
 
 
 class Segment:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, rotations: Rotations, settings: Settings):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotations: Rotations, settings: Settings):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        lifted = lift(self.vectors, longest)
+        own = lengths(self.vectors)
+        _, self.band = np.unique(np.floor(np.log(own) / math.log(settings.band)), return_inverse=True)
+        self.longest = np.zeros(self.band.max() + 1)
+        np.maximum.at(self.longest, self.band, own)
+        lifted = lift(self.vectors, self.longest[self.band])
         self.buckets = [rotations.bucket(lifted, t) for t in range(settings.tables)]
         self.rotations, self.settings = rotations, settings
 
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, ids, scores) of the ``k`` best candidates of each query."""
-        met = np.zeros((len(self.ids), len(queries)), bool)
-        flat = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+        # how many axes each query has to look under to meet each row in one of the tables
+        nearest = np.full((len(self.ids), len(queries)), 2 * self.rotations.width, np.int32)
+        flat = np.concatenate([queries / lengths(queries)[:, None], np.zeros((len(queries), 1))], axis=1)
         for t, bucket in enumerate(self.buckets):
-            met |= np.ascontiguousarray(self.rotations.probed(flat, t, self.settings.probes).T)[bucket]
-        found = np.ascontiguousarray(met.T)
-        found &= q_ids[:, None] != self.ids[None, :]
-        scores = np.where(found, queries @ self.vectors.T, -np.inf)
-        if scores.shape[1] > k:
-            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        else:
-            least = np.full(len(queries), -np.inf)
+            np.minimum(nearest, np.ascontiguousarray(self.rotations.ranks(flat, t).T)[bucket], out=nearest)
+        nearest = np.ascontiguousarray(nearest.T)
+        other = q_ids[:, None] != self.ids[None, :]
+        scores = queries @ self.vectors.T
+        floors = _floors(scores, other & (nearest < self.settings.probes), k)
+        axes = self.rotations.axes(floors[:, None] / lengths(queries)[:, None] / self.longest[None, :])
+        found = other & (nearest < np.maximum(axes, self.settings.probes)[:, self.band])
+        least = _floors(scores, found, k)
+        scores = np.where(found, scores, -np.inf)
         for row, (query, floor) in enumerate(zip(q_ids.tolist(), least.tolist())):
             # products of a block are rounded in any order: take all that may tie, then score them one like the other
             at = np.flatnonzero(found[row] & (scores[row] >= floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else found[row]))
@@ -152,11 +205,11 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     """
     runtime.ship(df.sparkSession)
     rows = runtime.materialize(usable(df, key, vector), "vectors")
-    n, dim, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     result = "query_id long, rank int, vec_id long, score double"
     if not n:
         return df.sparkSession.createDataFrame([], result)
-    parts = -(-n // settings.segment_rows)
+    parts, rotations = -(-n // settings.segment_rows), Rotations(dim, settings)
     index = _blocks(rows, 0, parts, dim, 2 * settings.segment_rows)
     # a block of queries is told by its own hash part; it goes to every segment
     asked = rows.where(is_query)
@@ -167,7 +220,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     met = index.unionByName(visits).repartition(max(1, min(parts, 4096)), "part").sortWithinPartitions("part", "kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations, part, segments = Rotations(dim, settings), None, []
+        part, segments = None, []
         for batch in batches:
             for row in range(batch.num_rows):
                 own_part, kind = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
@@ -176,7 +229,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
                 if own_part != part:
                     part, segments = own_part, []
                 if kind == 0:
-                    segments.append(Segment(ids, vectors, longest, rotations, settings))
+                    segments.append(Segment(ids, vectors, rotations, settings))
                     continue
                 for segment in segments:
                     found = list(segment.search(ids, vectors, k))
