@@ -15,7 +15,9 @@ them at a time.
    equal runs travel once from each task.  Equal suffixes are in one bucket.
 3. *One bucket at a time* is sorted by the hash of the ``length`` bytes, aligned
    at the shared string; neighbours that agree are repeats.  Memory holds one
-   bucket.
+   bucket.  Buckets are weighed before, by a hash of their string; where one
+   would weigh more than ``bucket_bytes``, the 64-bit hashes of its suffixes are
+   dealt out and counted instead, so no task holds it.
 4. Each run gets its repeats back, and each text loses the bytes they cover.
 
 Null and empty texts stay empty, texts shorter than ``length`` stay whole,
@@ -37,6 +39,8 @@ from votemill import runtime
 from votemill.llm import caches, shared_keys as sk, textblocks as tb
 
 U64 = np.uint64
+#: Buckets are weighed in so many classes; in a task a run takes its text and about so many bytes, and so many for each start.
+CLASSES, RUN_BYTES, START_BYTES = 1 << 20, 150, 40
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,8 @@ class Settings:
     q: int = 13
     #: bytes of the string that names a bucket
     anchor: int = 32
+    #: memory that the buckets of one class may take in a task
+    bucket_bytes: int = 16 << 20
 
 
 def difference_set(q: int) -> list[int]:
@@ -233,17 +239,84 @@ def _expand(pairs: bytes) -> np.ndarray:
     return np.repeat(ends[:, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _runs(texts: DataFrame, settings: Settings, with_text: bool) -> DataFrame:
-    """(uid, first, bucket, content), or with the text of each distinct run of a task and how often it has it: (bucket, content, text, n)."""
+def _of_batch(batch: pa.RecordBatch, settings: Settings) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    """(uid, bytes, runs) of each text."""
+    for r in range(batch.num_rows):
+        buf = np.frombuffer(batch.column(1)[r].as_buffer(), np.uint8)
+        yield batch.column(0)[r].as_py(), buf, runs(buf, _expand(batch.column(2)[r].as_py()), settings)
 
-    def of_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, tuple]]:
-        for r in range(batch.num_rows):
-            buf = np.frombuffer(batch.column(1)[r].as_buffer(), np.uint8)
-            yield batch.column(0)[r].as_py(), buf, runs(buf, _expand(batch.column(2)[r].as_py()), settings)
+
+def _class(bucket: np.ndarray) -> np.ndarray:
+    return (tb.mix(bucket.view(U64)) % U64(CLASSES)).astype(np.int64)
+
+
+def _heavy_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
+    """The classes of buckets that weigh more than ``bucket_bytes``, counting equal runs once from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, known = np.zeros(CLASSES, np.int64), set()
+        for batch in batches:
+            for _, _, (first, last, bucket, content) in _of_batch(batch, settings):
+                new = []
+                for i, key in enumerate(content.tolist()):
+                    if key not in known:
+                        known.add(key)
+                        new.append(i)
+                starts = last[new] - first[new] + 1
+                np.add.at(weights, _class(bucket[new]), starts * (1 + START_BYTES) + settings.length + RUN_BYTES)
+        at = np.flatnonzero(weights)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], names=["class", "weight"])
+
+    weighed = texts.mapInArrow(run, "class long, weight long").groupBy("class").agg(F.sum("weight").alias("weight"))
+    return np.sort(np.array([r["class"] for r in weighed.where(F.col("weight") > settings.bucket_bytes).select("class").collect()], np.int64))
+
+
+def _codes(texts: DataFrame, settings: Settings, heavy: np.ndarray) -> DataFrame:
+    """(bucket, content, place, code): the hash of each string that starts in a run of a heavy class; of equal runs, from two in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for _, buf, (first, last, bucket, content) in _of_batch(batch, settings):
+                mine = []
+                for i in np.flatnonzero(np.isin(_class(bucket), heavy)).tolist():
+                    key = int(bucket[i]), int(content[i])
+                    if again.get(key, 0) < 2:
+                        again[key] = again.get(key, 0) + 1
+                        mine.append(i)
+                if not mine:
+                    continue
+                size = last[mine] - first[mine] + 1
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                start = np.repeat(first[mine], size) + place
+                code = tb.span_hash(tb.prefix_sums(buf), start, start + settings.length)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(x[mine], size).view(np.int64)) for x in (bucket, content)], pa.array(place.astype(np.int32)), pa.array(code.view(np.int64))],
+                                                 names=["bucket", "content", "place", "code"])
+
+    return texts.mapInArrow(run, "bucket long, content long, place int, code long")
+
+
+def _heavy_repeats(texts: DataFrame, settings: Settings, heavy: np.ndarray) -> DataFrame:
+    """(bucket, content, found) as ``_bucket_repeats`` gives it, of the heavy classes."""
+    codes = _codes(texts, settings, heavy)
+    twice = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code")
+    places = codes.join(twice, "code", "left_semi").groupBy("bucket", "content").agg(F.collect_set("place").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_pairs(np.sort(x.values.to_numpy())) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["bucket", "content", "found"])
+
+    return places.mapInArrow(run, "bucket long, content long, found binary")
+
+
+def _runs(texts: DataFrame, settings: Settings, with_text: bool, heavy: np.ndarray | None = None) -> DataFrame:
+    """(uid, first, bucket, content), or with the text of each distinct run of a task and how often it has it: (bucket, content, text, n), but for the heavy classes."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(of_batch(batch))
+            found = list(_of_batch(batch, settings))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([u for u, _, _ in found], [len(x[0]) for *_, x in found]).astype(np.int64)), *[pa.array(np.concatenate([x[k] for *_, x in found]).view(np.int64)) for k in (0, 2, 3)]],
                                                  names=["uid", "first", "bucket", "content"])
@@ -257,7 +330,10 @@ def _runs(texts: DataFrame, settings: Settings, with_text: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
-                for _, buf, (first, last, bucket, content) in of_batch(batch.slice(at, 256)):
+                for _, buf, (first, last, bucket, content) in _of_batch(batch.slice(at, 256), settings):
+                    if heavy is not None and len(heavy):
+                        light = ~np.isin(_class(bucket), heavy)
+                        first, last, bucket, content = first[light], last[light], bucket[light], content[light]
                     for a, b, key in zip(first.tolist(), (last + settings.length).tolist(), zip(bucket.view(np.int64).tolist(), content.view(np.int64).tolist())):
                         if key in again:
                             again[key] += 1
@@ -345,7 +421,9 @@ def dedup(df: DataFrame, text: str = "text", keep: list[str] | None = None, sett
     samples = runtime.materialize(_repeated_samples(rows, settings, buckets), "samples")
     texts = runtime.materialize(_settled(rows, samples, settings, buckets), "texts")
     left = texts.where("starts is not null").select("uid", "text", "starts")
-    found = runtime.materialize(_bucket_repeats(_runs(left, settings, True), settings), "repeats")
+    heavy = _heavy_classes(left, settings)
+    found = _bucket_repeats(_runs(left, settings, True, heavy), settings)
+    found = runtime.materialize(found.unionByName(_heavy_repeats(left, settings, heavy)) if len(heavy) else found, "repeats")
     hits = _runs(left, settings, False).join(found, ["bucket", "content"]).groupBy("uid").agg(F.collect_list(F.struct("first", "found")).alias("hits"))
     none = F.lit(None).cast(hits.schema["hits"].dataType)
     whole = texts.where("starts is null").select("row", "text", none.alias("hits"))
