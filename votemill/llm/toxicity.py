@@ -4,8 +4,8 @@ A word is its character n-grams, with borders marked; each hashes
 to an embedding.  A word's vector is the mean of its n-grams' vectors, a
 window's vector the mean over its words, and a softmax layer turns that into
 two classes; embeddings and layer are trained together in numpy.  A text is as
-toxic as its most toxic window of ``window`` words, so a long text is not
-washed out.  A misspelling shares most n-grams, hence most of its vector, with
+toxic as its most toxic window of ``window`` words, wherever it starts, so a
+long text is not washed out.  A misspelling shares most n-grams, hence most of its vector, with
 the word it is made from.
 
 Fitting uses at most ``max_docs`` labelled texts of at most ``max_bytes``
@@ -41,8 +41,9 @@ class Settings:
     shortest: int = 3
     longest: int = 5
     window: int = 6
-    #: a shorter window counts as this long, so that few words at an end do not weigh more than elsewhere
+    #: a shorter text counts as this long, so that one word alone does not weigh far more than in a window
     least: int = 5
+    #: toxic texts of so many windows' length or more are long
     spread: int = 25
     min_texts: int = 8
     epochs: int = 40
@@ -90,19 +91,18 @@ class Model:
         if not found:
             return self.prior
         logits = np.array([self.word(w) for w in found])
-        starts = np.arange(0, len(found), self.settings.window)
-        sizes = np.diff(np.append(starts, len(found)))
-        sizes = np.maximum(sizes, self.settings.least)
-        top = float((np.add.reduceat(logits, starts) / sizes).max()) + self.bias
+        size = min(self.settings.window, len(found))
+        sums = np.concatenate([[0.0], np.cumsum(logits)])
+        top = float((sums[size:] - sums[:-size]).max()) / max(size, self.settings.least) + self.bias
         return 1 / (1 + np.exp(-np.clip(top, -30, 30)))
 
 
 class Bags:
-    """Windows of training texts as rows of word ids, words as rows of kept n-gram ids."""
+    """Training texts as rows of word ids, the windows at every word of them, words as rows of kept n-gram ids."""
 
     def __init__(self, texts: list[str], settings: Settings):
         vocabulary: dict[str, int] = {}
-        ids, sizes, doc, flat, gram_sizes = array("i"), array("i"), array("i"), array("i"), array("i")
+        ids, flat, gram_sizes, lengths = array("i"), array("i"), array("i"), np.zeros(len(texts), np.int64)
         for d, text in enumerate(texts):
             found = tokens(text)
             for word in found:
@@ -112,17 +112,23 @@ class Bags:
                     own = ngrams(word, settings)
                     flat.extend(own)
                     gram_sizes.append(len(own))
-            for at in range(0, len(found), settings.window):
-                sizes.append(min(settings.window, len(found) - at))
-                doc.append(d)
+            lengths[d] = len(found)
         self.words = len(vocabulary)
         del vocabulary
-        self.ids, self.sizes, self.doc, self.gram_sizes = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (ids, sizes, doc, gram_sizes))
-        self.start = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self.ids, self.gram_sizes = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (ids, gram_sizes))
+        word_of = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        begin = np.cumsum(lengths) - lengths
+        count = np.where(lengths > 0, np.maximum(lengths - settings.window, 0) + 1, 0)
+        self.lengths, self.start = lengths, _ranges(begin, begin + count)
+        #: the texts that have words, and the first window of each
+        self.used = np.flatnonzero(count)
+        self.first = (np.cumsum(count) - count)[self.used]
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+        self.end = self.start + np.minimum(settings.window, lengths)[self.doc]
         gram = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         # n-grams of too few texts would only be learnt by heart
         owner = np.repeat(np.arange(self.words, dtype=np.int32), self.gram_sizes)
-        word_doc = np.unique(self.ids.astype(np.int64) * (len(texts) + 1) + np.repeat(self.doc, self.sizes))
+        word_doc = np.unique(self.ids.astype(np.int64) * (len(texts) + 1) + word_of)
         per_word = np.bincount(word_doc // (len(texts) + 1), minlength=self.words)
         used = np.bincount(gram, weights=per_word[owner], minlength=settings.buckets)[gram] >= settings.min_texts
         self.gram, self.gram_word = gram[used], owner[used]
@@ -146,28 +152,34 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -
         return Model(settings, prior, np.zeros(settings.buckets), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
     rng = np.random.default_rng(settings.seed)
     bags = Bags(texts, settings)
-    n_words, share = bags.words, 1 / np.maximum(bags.sizes, settings.least)
+    n_words, share = bags.words, 1 / np.maximum(bags.end - bags.start, settings.least)
     table, layer = rng.normal(0, 0.1, (settings.buckets, settings.dim)), rng.normal(0, 1, (settings.dim, 2))
     offset = np.log([1 - prior, prior])
     squares = [np.full_like(table, 1e-6), np.full_like(layer, 1e-6), np.full(2, 1e-6)]
     first_gram = np.searchsorted(bags.gram_word, np.arange(n_words + 1))
 
-    spread = (np.bincount(bags.doc, minlength=len(texts)) >= settings.spread)[bags.doc] & (labels[bags.doc] == 1)
+    spread = ((bags.lengths >= settings.spread * settings.window) & (labels == 1))[bags.doc]
+    blocks = len(bags.ids) // settings.window + 1
 
     def margins() -> np.ndarray:
         by_gram = (table @ (layer[:, 1] - layer[:, 0]))[bags.gram]
         by_word = np.bincount(bags.gram_word, weights=by_gram, minlength=n_words) / bags.gram_sizes
-        return np.add.reduceat(by_word[bags.ids], bags.start[:-1]) * share
-
-    for epoch in range(settings.epochs if len(bags.sizes) else 0):
-        # half of the windows of longer toxic texts sit out each time, so that every toxic word is learnt, not only the plainest
-        margin = np.where(spread & (rng.random(len(bags.sizes)) < 0.5), -np.inf, margins())
-        best = np.lexsort((margin, bags.doc))
-        best = best[np.append(bags.doc[best][1:] != bags.doc[best][:-1], True)]
+        sums = np.concatenate([[0.0], np.cumsum(by_word[bags.ids])])
+        return (sums[bags.end] - sums[bags.start]) * share
+
+    for epoch in range(settings.epochs if len(bags.start) else 0):
+        # half of the stretches of longer toxic texts sit out each time, so that every toxic word is learnt, not only the plainest
+        away = rng.random(blocks) < 0.5
+        hidden = spread & (away[bags.start // settings.window] | away[(bags.end - 1) // settings.window])
+        margin = np.where(hidden, -np.inf, margins())
+        top = np.zeros(len(texts))
+        top[bags.used] = np.maximum.reduceat(margin, bags.first)
+        at = np.flatnonzero(margin == top[bags.doc])
+        best = at[np.append(True, bags.doc[at][1:] != bags.doc[at][:-1])]
         rate = settings.rate * (1 - epoch / settings.epochs)
         for wins in np.array_split(rng.permutation(best), max(1, len(best) // settings.batch)):
-            words, inverse = np.unique(bags.ids[_ranges(bags.start[wins], bags.start[wins + 1])], return_inverse=True)
-            win_of = np.repeat(np.arange(len(wins)), bags.sizes[wins])
+            words, inverse = np.unique(bags.ids[_ranges(bags.start[wins], bags.end[wins])], return_inverse=True)
+            win_of = np.repeat(np.arange(len(wins)), bags.end[wins] - bags.start[wins])
             gram = bags.gram[_ranges(first_gram[words], first_gram[words + 1])]
             gram_word = np.repeat(np.arange(len(words)), first_gram[words + 1] - first_gram[words])
             scale = 1 / bags.gram_sizes[words][:, None]
