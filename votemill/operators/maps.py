@@ -95,19 +95,22 @@ def _times(rows: DataFrame, n: int, block: np.ndarray) -> np.ndarray:
     return out
 
 
-def _member_axes(rows: DataFrame, n: int, width: int = 32, most: int = 512, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray, float]:
+def _member_axes(rows: DataFrame, n: int, width: int = 32, most: int = 128, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray, float]:
     """Two largest eigenvalues of the members' Gram matrix, their vectors, and its trace.
 
     Block Krylov iteration with full orthogonalisation: the same path for any
-    number of members, with at most ``most`` vectors of length ``n`` on the
-    driver; a full basis is restarted from its best vectors.
+    number of members.  The driver holds twice ``most`` vectors of length ``n``,
+    the basis and its image, and some blocks of ``width``; a full basis is
+    restarted from its best vectors.
     """
     energy = rows.agg(F.sum(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x) - F.pow(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x), F.lit(2)) / n)).first()[0]
     start = np.random.default_rng(0).normal(size=(n, min(width, n)))
-    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    room, have = np.empty((2, n, most)), 0
     fresh = np.linalg.qr(start)[0]
     while True:
-        basis, image = np.hstack([basis, fresh]), np.hstack([image, _times(rows, n, fresh)])
+        held, have = have, have + fresh.shape[1]
+        room[0, :, held:have], room[1, :, held:have] = fresh, _times(rows, n, fresh)
+        basis, image = room[0, :, :have], room[1, :, :have]
         small = basis.T @ image
         values, turn = np.linalg.eigh((small + small.T) / 2)
         order = np.argsort(values)[::-1]
@@ -118,7 +121,10 @@ def _member_axes(rows: DataFrame, n: int, width: int = 32, most: int = 512, tole
             return values[:2], axes, energy
         if basis.shape[1] + width > most:
             keep = turn[:, :2 * width]
-            basis, image = basis @ keep, image @ keep
+            have = keep.shape[1]
+            for k, old in enumerate((basis, image)):
+                room[k, :, :have] = old @ keep
+            basis, image = room[0, :, :have], room[1, :, :have]
             fresh = image[:, :width] - basis[:, :width] * values[:width]
         else:
             fresh = image[:, -fresh.shape[1]:]
