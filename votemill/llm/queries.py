@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from votemill.llm import ann, bpe, lm, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from votemill.llm import ann, bpe, filter_audit, lm, ngram_join, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +79,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.text_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return filter_audit.audit(rows, filter_audit.failing_ids(rows, {f: F.col(f) for f in "ABCDE"}))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_component_id(simhash.near_duplicates(documents(spark, sf_dir), keep=["doc_id"]), "doc_id")
+    return found.select("row.doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), most=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm, op4_token_counts, op5_suffix_dedup, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality)
+    f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm, op4_token_counts, op5_suffix_dedup, op6_warc, op7_toxicity, op8_ann, op9_bpe, op10_quality, op11_filter_audit, op12_simhash, op13_whitening)
 }
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 ORACLES: dict[str, str] = {
@@ -115,6 +129,27 @@ ORACLES: dict[str, str] = {
           cast(len(regexp_extract_all(t, '[#*$%&|<>]')) AS bigint) AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, lost FROM d JOIN lines USING (r) LEFT JOIN rep USING (r))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words > 0 AND lost <= 0.5 * word_chars AS kept FROM f""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+        f AS (SELECT r, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails,
+          EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic FROM w),
+        c AS (SELECT part, list_transform(fails, lambda x: cast(x AS int)) AS fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY 1, 2),
+        p AS (SELECT part, count(*) AS rows FROM d GROUP BY 1),
+        l AS (SELECT unnest(range(1, 6)) AS k),
+        o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+        s AS (SELECT ks, s.k AS step FROM o, l s),
+        m AS (SELECT p.part, any_value(rows) AS rows, ks, step,
+          coalesce(sum(n) FILTER (list_sum(list_transform(ks[:step], lambda q: fails[q])) > 0), 0) AS gone,
+          coalesce(sum(n) FILTER (fails[ks[step]] = 1), 0) AS failing,
+          coalesce(sum(n) FILTER (fails[ks[step]] = 1 AND list_sum(fails) = 1), 0) AS unique_fails,
+          coalesce(sum(n) FILTER (fails[ks[step]] = 1 AND list_sum(list_transform(ks[:step], lambda q: fails[q])) = 1), 0) AS removed,
+          coalesce(sum(g) FILTER (fails[ks[step]] = 1 AND list_sum(list_transform(ks[:step], lambda q: fails[q])) = 1), 0) AS good_lost,
+          coalesce(sum(x) FILTER (fails[ks[step]] = 1 AND list_sum(list_transform(ks[:step], lambda q: fails[q])) = 1), 0) AS toxic_lost
+          FROM p JOIN c ON c.part = p.part CROSS JOIN s GROUP BY 1, 3, 4)
+        SELECT part, list_aggregate(list_transform(ks, lambda q: substring('ABCDE', q, 1)), 'string_agg', '') AS filter_order, cast(step AS int) AS step, cast(rows - gone AS bigint) AS kept, cast(removed AS bigint) AS removed,
+          cast(failing - removed AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails, cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost,
+          cast(sum(removed) OVER (PARTITION BY part, ks[step]) AS bigint) AS shapley FROM m""",
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
