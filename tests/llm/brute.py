@@ -118,3 +118,56 @@ def first_fit(histogram, size):
         else:
             room[at] -= length
     return len(room)
+
+
+def audit(rows, labels):
+    """Counter of the rows of op11 for (doc_id, text, source) and (doc_id, quality, toxic)."""
+    from itertools import permutations
+
+    fails, parts, marks = [], [], []
+    for i, t, source in rows:
+        t = t or ""
+        w = words(t)
+        fails.append({f for f, bad in (("A", len(w) < 200), ("B", 100 * len(set(w)) < 50 * len(w)), ("C", 100 * len(re.findall("[A-Z]", t)) > 2 * len(t)), ("D", re.search(r"[#$%&*|]", t)),
+                                       ("E", i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in rows))) if bad})
+        parts.append(source or "")
+        marks.append([i is not None and any(j == i and x == 1 for j, x in ((lab[0], lab[k]) for lab in labels)) for k in (1, 2)])
+    out, shapley = {}, Counter()
+    for part in set(parts):
+        own = [k for k, p in enumerate(parts) if p == part]
+        for order in permutations("ABCDE"):
+            left = set(own)
+            for step, f in enumerate(order, 1):
+                gone = {k for k in left if f in fails[k]}
+                left -= gone
+                shapley[part, f] += len(gone)
+                out[part, "".join(order), step] = (len(left), len(gone), sum(f in fails[k] for k in own) - len(gone), sum(fails[k] == {f} for k in own),
+                                                   sum(marks[k][0] for k in gone), sum(marks[k][1] for k in gone))
+    return Counter((*key, *value, shapley[key[0], key[1][key[2] - 1]]) for key, value in out.items())
+
+
+def simhash(text):
+    import xxhash
+
+    w = words((text or "").translate(LOWER))
+    grams = [" ".join(w[k:k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near(values, distance=4):
+    """The class of each value: the least index reachable by links."""
+    parent = list(range(len(values)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a in range(len(values)):
+        for b in range(a):
+            if (values[a] ^ values[b]).bit_count() <= distance:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(values))]

@@ -8,8 +8,9 @@ from brute import NASTY
 def nasty(spark, tmp_path_factory):
     """A folder of tables with nulls, empties, long texts, ties, repeated rows and clashing extra columns."""
     folder = str(tmp_path_factory.mktemp("nasty"))
-    extra = {c: F.lit(c) for c in ("row", "uid", "kind", "block", "length", "component", "score", "n", "_key")}
+    extra = {c: F.lit(c) for c in ("row", "uid", "kind", "block", "length", "component", "score", "n", "_key", "_number", "id", "part", "fp", "x", "key")}
     docs = spark.createDataFrame(NASTY, "doc_id long, text string").withColumns(extra).withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.withColumn("source", F.expr("case doc_id % 3 when 0 then 'a' when 1 then '' end"))
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, 1, int("moron" in (t or ""))) for i, t in NASTY if i is not None] + [(3, None, None), (None, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")

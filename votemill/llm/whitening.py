@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from votemill import runtime
 
 SCALE, SHIFT, LIMIT = 64.0, 1_000_000, 2.0 ** 52
-#: Share of the largest eigenvalue below which an eigenvalue counts as zero, and a gap as none.
-ROUNDING = 1e-13
+#: Share of the largest eigenvalue below which a gap counts as none, and (times the dimension) an eigenvalue as zero.
+ROUNDING, ZERO = 1e-13, 1e-12
 #: Rows that a task multiplies together.
 LOT = 4_096
 LONG = (1 << 63) - 1
@@ -162,7 +162,7 @@ class Spectrum:
         values, vectors, rng = [], np.zeros((self.side, 0)), np.random.default_rng(5)
         for number in range(min(most, self.side)):
             low, high, alone = self.isolate(number)
-            if high <= ROUNDING * self.side * self.scale or not high > 0:
+            if high <= ZERO * self.side * self.scale:
                 break
             while True:
                 width = high - low
@@ -174,7 +174,7 @@ class Spectrum:
                 low, high = (middle, high) if self.above(middle) > number else (low, middle)
             if not self.certified(number, value):
                 raise ArithmeticError(f"eigenvalue {number + 1} could not be placed")
-            if value <= ROUNDING * self.side * self.scale:
+            if value <= ZERO * self.side * self.scale:
                 break
             values.append(value)
             vectors = np.column_stack([vectors, vector])
