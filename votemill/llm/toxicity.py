@@ -13,12 +13,14 @@ bytes, the first in the order of a hash of their key; scoring reads every
 text whole.  Null and empty texts get the share of toxic labels among the
 training texts as score.  Null labels are not used; a text labelled more than
 once counts with each of its labels.  With no toxic or no clean training text
-every score is that share.
+every score is that share.  Equally toxic windows give the same score whichever
+is taken; repeated rows get equal scores.  Scoring a table without rows gives no
+rows, and fitting without texts a model whose scores are 0.  The kept columns
+travel as one struct, so none clashes with a result.
 """
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from dataclasses import dataclass, field
 
@@ -28,8 +30,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from votemill.llm import caches, textblocks as tb
 
-#: Words remembered per worker; a full memory is emptied and filled anew.
+#: Words remembered per worker; a full memory keeps the words met again, and is emptied where those are over half of it.
 MEMORY = 300_000
+#: Words whose n-grams are hashed together in fitting, and bytes of text that are scored together.
+LOT, TEXT_BYTES = 20_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -53,13 +57,57 @@ class Settings:
     seed: int = 7
 
 
-def ngrams(word: str, settings: Settings) -> list[int]:
-    """Bucket of each character n-gram of the word with its borders marked; of the whole, if it is shorter."""
-    marked = f"<{word}>"
-    raw = []
-    for size in range(settings.shortest, settings.longest + 1):
-        raw += [marked[i:i + size] for i in range(len(marked) - size + 1)]
-    return [zlib.crc32(x.encode("utf-8", "replace")) % settings.buckets for x in raw or [marked]]
+def _crc_table() -> np.ndarray:
+    """What each byte adds to a CRC-32 (reflected polynomial 0xEDB88320)."""
+    rest = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        rest = np.where(rest & 1, np.uint32(0xEDB88320) ^ (rest >> np.uint32(1)), rest >> np.uint32(1))
+    return rest
+
+
+_CRC = _crc_table()
+
+
+def _extended(state: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """CRC states after the UTF-8 bytes of one more code point each."""
+
+    def step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return _CRC[(state ^ byte) & 255] ^ (state >> np.uint32(8))
+
+    lead = points.copy()
+    for least, mark, shift in ((0x80, 0xC0, 6), (0x800, 0xE0, 12), (0x10000, 0xF0, 18)):
+        wide = points >= least
+        lead[wide] = np.uint32(mark) | points[wide] >> np.uint32(shift)
+    state = step(state, lead)
+    for least, shift in ((0x10000, 12), (0x800, 6), (0x80, 0)):
+        wide = np.flatnonzero(points >= least)
+        if len(wide):
+            state[wide] = step(state[wide], np.uint32(0x80) | points[wide] >> np.uint32(shift) & np.uint32(0x3F))
+    return state
+
+
+def ngrams(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every character n-gram of the words with their borders marked, by length and place.
+
+    The bucket is the CRC-32 of the n-gram's UTF-8, worked out for all words at
+    once: an n-gram's state is that of the one a character shorter, carried on.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    points = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "replace"), "<u4")
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), length)
+    room = np.cumsum(length)[word] - np.arange(len(points))  # characters up to the end of the word
+    owner, bucket, at = [], [], np.arange(len(points))
+    state = np.full(len(points), 0xFFFFFFFF, np.uint32)
+    for size in range(1, settings.longest + 1):
+        fits = room[at] >= size
+        at, state = at[fits], state[fits]
+        state = _extended(state, points[at + size - 1])
+        if size >= settings.shortest:
+            owner.append(word[at])
+            bucket.append((state ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % settings.buckets)
+    return np.concatenate(owner), np.concatenate(bucket)
 
 
 def tokens(text: str) -> list[str]:
@@ -74,23 +122,40 @@ class Model:
     weight: np.ndarray
     bias: float
     memory: dict = field(default_factory=dict)
+    #: words met again since the memory was last cut
+    again: set = field(default_factory=set)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memory": {}}
-
-    def word(self, word: str) -> float:
-        got = self.memory.get(word)
-        if got is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            got = self.memory[word] = float(self.weight[ngrams(word, self.settings)].mean())
-        return got
+        return {**self.__dict__, "memory": {}, "again": set()}
+
+    def forget(self) -> None:
+        self.memory.clear()
+        self.again.clear()
+
+    def learn(self, words: set[str]) -> None:
+        """Works out the words not in memory yet; a full memory keeps those met again."""
+        known = words & self.memory.keys()
+        new = list(words - known)
+        self.again |= known
+        if len(self.memory) + len(new) > MEMORY:
+            kept = {w: self.memory[w] for w in self.again | known} if len(self.again) <= MEMORY // 2 else {w: self.memory[w] for w in known}
+            self.memory, self.again = kept, set()
+        word, bucket = ngrams(new, self.settings)
+        sums, sizes = np.bincount(word, weights=self.weight[bucket], minlength=len(new)), np.bincount(word, minlength=len(new))
+        self.memory.update(zip(new, (sums / np.maximum(sizes, 1)).tolist()))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        found = [tokens(t) for t in texts]
+        self.learn(set().union(*found))
+        return [self._of_words(words) for words in found]
 
     def score(self, text: str) -> float:
-        found = tokens(text)
+        return self.scores([text])[0]
+
+    def _of_words(self, found: list[str]) -> float:
         if not found:
             return self.prior
-        logits = np.array([self.word(w) for w in found])
+        logits = np.fromiter(map(self.memory.__getitem__, found), float, len(found))
         size = min(self.settings.window, len(found))
         sums = np.concatenate([[0.0], np.cumsum(logits)])
         top = float((sums[size:] - sums[:-size]).max()) / max(size, self.settings.least) + self.bias
@@ -102,20 +167,23 @@ class Bags:
 
     def __init__(self, texts: list[str], settings: Settings):
         vocabulary: dict[str, int] = {}
-        ids, flat, gram_sizes, lengths = array("i"), array("i"), array("i"), np.zeros(len(texts), np.int64)
+        ids, lengths = array("i"), np.zeros(len(texts), np.int64)
         for d, text in enumerate(texts):
             found = tokens(text)
             for word in found:
-                number = vocabulary.setdefault(word, len(vocabulary))
-                ids.append(number)
-                if number == len(gram_sizes):
-                    own = ngrams(word, settings)
-                    flat.extend(own)
-                    gram_sizes.append(len(own))
+                ids.append(vocabulary.setdefault(word, len(vocabulary)))
             lengths[d] = len(found)
         self.words = len(vocabulary)
+        parts, words = [], list(vocabulary)
         del vocabulary
-        self.ids, self.gram_sizes = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (ids, gram_sizes))
+        for at in range(0, self.words, LOT):
+            word, bucket = ngrams(words[at:at + LOT], settings)
+            order = np.argsort(word, kind="stable")
+            parts.append(((word[order] + at).astype(np.int32), bucket[order].astype(np.int32)))
+        del words
+        owner, gram = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int32) for k in range(2))
+        del parts
+        self.ids, self.gram_sizes = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.bincount(owner, minlength=self.words)
         word_of = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
         begin = np.cumsum(lengths) - lengths
         count = np.where(lengths > 0, np.maximum(lengths - settings.window, 0) + 1, 0)
@@ -125,9 +193,7 @@ class Bags:
         self.first = (np.cumsum(count) - count)[self.used]
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), count)
         self.end = self.start + np.minimum(settings.window, lengths)[self.doc]
-        gram = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         # n-grams of too few texts would only be learnt by heart
-        owner = np.repeat(np.arange(self.words, dtype=np.int32), self.gram_sizes)
         word_doc = np.unique(self.ids.astype(np.int64) * (len(texts) + 1) + word_of)
         per_word = np.bincount(word_doc // (len(texts) + 1), minlength=self.words)
         used = np.bincount(gram, weights=per_word[owner], minlength=settings.buckets)[gram] >= settings.min_texts
@@ -220,7 +286,14 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 
     def run(column: pa.Array) -> list[pa.Array]:
         own = handle.value
-        caches.enter("toxicity", own.memory.clear)
-        return [pa.array([own.score(column[r].as_py() or "") for r in range(len(column))], pa.float64())]
+        caches.enter("toxicity", own.forget)
+        out, held, size = [], [], 0
+        for r in range(len(column)):
+            held.append(column[r].as_py() or "")
+            size += len(held[-1])
+            if size >= TEXT_BYTES or r + 1 == len(column):
+                out += own.scores(held)
+                held, size = [], 0
+        return [pa.array(out, pa.float64())]
 
     return tb.map_texts(df, text, keep or df.columns, run, [("score", T.DoubleType())])
