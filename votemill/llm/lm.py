@@ -236,7 +236,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", keep: list[str] |
     texts = rows.mapInArrow(numbered, schema)
     counts = counted.where("kind = 1").select("block", "kind", "bucket", "payload", F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast(row_type).alias("row"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = texts.unionByName(counts).repartition(2 * parts, "block").sortWithinPartitions("block", "kind", "bucket")
+    met = tb.dealt(texts.unionByName(counts), 2 * parts).sortWithinPartitions("block", "kind", "bucket")
     result = T.StructType([T.StructField("row", row_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
                            *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
 

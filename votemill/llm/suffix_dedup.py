@@ -197,7 +197,7 @@ def _settled(rows: DataFrame, samples: DataFrame, settings: Settings, buckets: i
     texts = rows.select("text", "row").mapInArrow(numbered, schema)
     back = samples.select("block", "kind", "bucket", F.lit(0).alias("idx"), "payload", F.lit(None).cast("string").alias("text"), F.lit(None).cast(row_type).alias("row"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = texts.unionByName(back).repartition(2 * parts, "block").sortWithinPartitions("block", "kind")
+    met = tb.dealt(texts.unionByName(back), 2 * parts).sortWithinPartitions("block", "kind")
     out = T.StructType([T.StructField("uid", T.LongType()), T.StructField("row", row_type), T.StructField("text", T.StringType()), T.StructField("starts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,6 +172,17 @@ def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[in
             yield block, batch.slice(low, batch.num_rows - low)
 
 
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Rows of blocks, column ``block``, dealt out by number: as good as one block a task where there are tasks enough.
+
+    Blocks are few and large, so dealing them by hash would give some tasks
+    several and others none.
+    """
+    step = 7919  # prime: second and later blocks of the tasks that made them go to places of their own
+    place = F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)) * step
+    return df.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int"))
+
+
 def whole_blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.Table]]:
     now, parts = None, []
     for block, part in blocks(batches, text_at):
