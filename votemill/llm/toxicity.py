@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from votemill.llm import caches, textblocks as tb
 
 #: Words remembered per worker; a full memory keeps the words met again, and is emptied where those are over half of it.
-MEMORY = 300_000
+MEMORY = 100_000
 #: Words whose n-grams are hashed together in fitting, and bytes of text that are scored together.
-LOT, TEXT_BYTES = 20_000, 1 << 20
+LOT, TEXT_BYTES = 20_000, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -174,16 +174,16 @@ class Bags:
                 ids.append(vocabulary.setdefault(word, len(vocabulary)))
             lengths[d] = len(found)
         self.words = len(vocabulary)
-        parts, words = [], list(vocabulary)
+        owner, gram, words = array("i"), array("i"), list(vocabulary)
         del vocabulary
         for at in range(0, self.words, LOT):
             word, bucket = ngrams(words[at:at + LOT], settings)
             order = np.argsort(word, kind="stable")
-            parts.append(((word[order] + at).astype(np.int32), bucket[order].astype(np.int32)))
+            owner.frombytes((word[order] + at).astype(np.int32).tobytes())
+            gram.frombytes(bucket[order].astype(np.int32).tobytes())
         del words
-        owner, gram = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int32) for k in range(2))
-        del parts
-        self.ids, self.gram_sizes = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.bincount(owner, minlength=self.words)
+        self.ids, owner, gram = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (ids, owner, gram))
+        self.gram_sizes = np.bincount(owner, minlength=self.words)
         word_of = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
         begin = np.cumsum(lengths) - lengths
         count = np.where(lengths > 0, np.maximum(lengths - settings.window, 0) + 1, 0)
