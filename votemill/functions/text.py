@@ -1,6 +1,6 @@
 """Text expressions: tokens, prefix and phrase counts, search terms, snippets.
 
-All but :func:`nfc` are built-in expressions that run inside the JVM.
+All but :func:`nfc` of texts that need it are built-in expressions that run inside the JVM.
 """
 
 from __future__ import annotations
@@ -16,11 +16,20 @@ NON_TOKEN_RUN = r"[^\p{L}\p{N}_-]+"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; the sources apply it once at load, not per query."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition; the sources apply it once at load, not per query.
+
+    Every text of characters below U+0300 is composed already and stays in the
+    JVM; the Python worker gets the others only.
+    """
+    plain = (F.octet_length(text) == F.length(text)) | ~F.rlike(text, F.lit(r"[^\x{0000}-\x{02FF}]"))
+    return F.coalesce(_composed(F.when(~plain, text)), text)
+
+
 def _plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "<[^>]+>", " ")
 

@@ -4,84 +4,39 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from votemill import constants as C
 from votemill.functions import scalars as S, text as X
-from votemill.runtime import materialize
+from votemill.operators import postings
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Places ``(term, doc_id, tf, doc_length, places)`` of every term of every text; places count from 0."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), X.search_tokens(F.col(text_col)).alias("_t"))
-    # the outer form keeps Spark from tokenizing once more in a pushed-down "not empty" filter
-    placed = toks.select("doc_id", F.size("_t").alias("doc_length"), F.posexplode_outer("_t").alias("place", "term")).where(F.col("term").isNotNull())
-    return (placed.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_length").alias("doc_length"),
-                                                 F.array_sort(F.collect_list("place")).alias("places")))
+Index = postings.Index
 
 
-def term_statistics(index: DataFrame) -> DataFrame:
-    """Documents and occurrences per term."""
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_hits"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """Written postings, partitioned by a hash of the term, and one row of collection totals ``(n, avgdl)``."""
-
-    postings: DataFrame
-    totals: DataFrame
-    buckets: int
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> Index:
+    """Writes the index of all texts below ``path``, in place of an older one there."""
+    return postings.build(docs, id_col, text_col, path)
 
-    def bucket(self, term):
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
+def _query(index: Index, phrases: list[list[str]], require_all: bool) -> postings.Query:
+    return postings.Query(index, phrases, require_all, postings.Weights(C.BM25_K1, C.BM25_B, C.BM25_IDF_FLOOR))
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, path: str, buckets: int = 64) -> Index:
-    """Writes the index of all texts below ``path``, in place of an older one there."""
-    spark = docs.sparkSession
-    spread = postings(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    spread.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    length = F.size(X.search_tokens(F.col(text_col)))
-    docs.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
-    return Index(spark.read.schema(spread.schema).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"), buckets)
 
-
-def bm25(index: Index, phrases: list[list[str]], *, require_all: bool = False,
-         k1: float = C.BM25_K1, b: float = C.BM25_B, idf_floor: float = C.BM25_IDF_FLOOR) -> DataFrame:
+def bm25(index: Index, phrases: list[list[str]], *, require_all: bool = False) -> DataFrame:
     """BM25 score ``(id, score)`` of each text holding any (or all) of the phrases, each a run of folded terms.
 
-    Only the folders of the query's terms are read, and of them only the rows
-    of those terms.  A phrase is counted by the places where all its terms
-    stand in order.
+    A phrase is counted by the places where all its terms stand in order.
     """
-    spark = index.postings.sparkSession
-    phrases = [list(p) for p in dict.fromkeys(map(tuple, phrases)) if p]
-    terms = sorted({t for p in phrases for t in p})
-    if not terms:
-        return spark.createDataFrame([], "id long, score double")
-    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(F.collect_set(index.bucket("t"))).first()[0]
-    rows = index.postings.where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
-    asked = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(offset).alias("offset"), F.lit(len(phrase)).alias("size"), F.lit(term).alias("term"))
-                      for p, phrase in enumerate(phrases) for offset, term in enumerate(phrase)])
-    met = rows.select("doc_id", "doc_length", "places", F.explode(F.filter(asked, lambda q: q["term"] == F.col("term"))).alias("q"))
-    alone = met.where("q.size = 1").select("doc_id", "doc_length", F.col("q.phrase").alias("phrase"), F.size("places").cast("long").alias("tf"))
-    starts = met.where("q.size > 1").select("doc_id", "doc_length", "q", F.explode("places").alias("place"))
-    runs = (starts.groupBy("doc_id", "doc_length", F.col("q.phrase").alias("phrase"), F.col("q.size").alias("size"), (F.col("place") - F.col("q.offset")).alias("start"))
-            .agg(F.count(F.lit(1)).alias("n")).where("n = size"))
-    found = alone.unionByName(runs.groupBy("doc_id", "doc_length", "phrase").agg(F.count(F.lit(1)).alias("tf")))
-    found = materialize(found, "phrase-counts")
-    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    totals = index.totals.select(F.struct("n", "avgdl")).scalar()
-    raw_idf = F.log((F.col("_st.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw_idf > 0, raw_idf).otherwise(F.lit(idf_floor))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_length") / F.col("_st.avgdl")))
-    scored = found.join(F.broadcast(df), "phrase").withColumn("_st", totals).groupBy(F.col("doc_id").alias("id")).agg(  # df: a row per phrase of the query
-        F.sum(weight).alias("score"), F.count(F.lit(1)).alias("held"))
-    return scored.where(F.col("held") >= (len(phrases) if require_all else 1)).select("id", "score")
+    query = _query(index, phrases, require_all)
+    return query.scores() if query.answerable() else query.none()
+
+
+def bm25_top(index: Index, phrases: list[list[str]], k: int, *, require_all: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best of :func:`bm25`, ties by id, without scoring what cannot be among them."""
+    return postings.top(_query(index, phrases, require_all), k, allowed)
 
 
 def fold_phrases(query: str, min_length: int = 1) -> list[list[str]]:
@@ -98,11 +53,8 @@ def fold_phrases(query: str, min_length: int = 1) -> list[list[str]]:
 def retrieve(index: Index, speech: DataFrame, query: str, *, person_id: int | None = None, k: int = 8,
              max_chars: int = 700) -> DataFrame:
     """Top ``k`` passages for a question: any term of two letters or more, best BM25 first."""
-    ranked = bm25(index, fold_phrases(query, 2))
-    if person_id is not None:
-        ranked = ranked.join(speech.where(F.col("person_id") == person_id).select("id"), "id", "left_semi")
-    # texts are fetched for the k best only
-    best = ranked.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+    own = speech.where(F.col("person_id") == person_id).select("id") if person_id is not None else None
+    best = bm25_top(index, fold_phrases(query, 2), k, allowed=own)  # texts are fetched for the k best only
     return (best.join(speech, "id").orderBy(F.desc(F.round("score", 9)), "id")
             .select("id", F.concat("first_name", F.lit(" "), "last_name").alias("who"), "party", "started_at",
                     "legislative_item", S.preview(F.col("text"), max_chars).alias("text"), "person_id",
@@ -126,7 +78,7 @@ def search_speeches(index: Index, speech: DataFrame, query: str, limit: int = 30
     """Speeches holding all words of the query, best first, with a marked snippet."""
     phrases = fold_phrases(query)
     terms = sorted({t for p in phrases for t in p})
-    hits = bm25(index, phrases, require_all=True).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    hits = bm25_top(index, phrases, limit, require_all=True)
     arr = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     return hits.join(speech, "id").select(
         "id", "first_name", "last_name", "party", "ptk_id", "started_at", F.round("score", 6).alias("score"),

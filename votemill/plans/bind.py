@@ -16,7 +16,7 @@ from votemill.functions import scalars as S, text as X
 from votemill.operators import language, lines, members, power, promises, search, stance, survey, topics
 from votemill.operators.relational import first_per_key
 from votemill.sources import sinks
-from votemill.runtime import fresh_path, materialize, tune
+from votemill.runtime import fresh_path, materialize, spread, tune
 
 GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 PERIODS = [
@@ -140,7 +140,7 @@ class Bound:
     @cached_property
     def speech(self) -> DataFrame:
         n = self.base("supplier").agg(F.count(F.lit(1))).scalar()
-        s = self.base("documents").withColumn("text", X.nfc("text")).withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
+        s = spread(self.base("documents")).withColumn("text", X.nfc(F.col("text"))).withColumn("person_id", F.col("doc_id") * 7 % n).selectExpr(
             "doc_id AS id", "person_id", "concat('s', cast(doc_id as string)) AS external_key",
             f"{_day('(doc_id * 53) % 2500')} AS started_at",
             "concat('HE ', cast(doc_id div 10 as string)) AS legislative_item",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from votemill.functions import text as X
-from votemill.operators import coverage, language, maps, members, power, promises, search, stance, topics
+from votemill.operators import coverage, language, maps, members, postings, power, promises, search, stance, topics
 from votemill.plans import bind
 from votemill.plans.registry import ORACLES, query
-from votemill.runtime import materialize
+from votemill.runtime import fresh_path, materialize
 
 SIX = 6
 
@@ -285,12 +285,26 @@ def _(b):
 
 @query("search_index_rebuild", "SELECT term, doc_id, tf, doc_length FROM postings")
 def _(b):
-    return b.search_index.postings.select("term", "doc_id", "tf", "doc_length")
+    return b.search_index.postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), "doc_length")
+
+
+@query("search_index_incremental", "SELECT term, doc_id, tf, doc_length FROM postings")
+def _(b):
+    """Loads by session year, one segment each and merged as they come; the first year's speeches are loaded again at the end."""
+    years = b.speech.withColumn("year", F.substring("started_at", 1, 4))
+    index = None
+    for (year,) in years.select("year").distinct().orderBy("year").collect():  # a row per year
+        load = years.where(F.col("year") == year)
+        index = index.add(load) if index else postings.build(load, "id", "text", fresh_path(b.spark, "yearly-index"))
+    if index is None:
+        index = postings.build(b.speech, "id", "text", fresh_path(b.spark, "yearly-index"))
+    index = index.replace(years.where(F.col("year") == F.lit("1995")))
+    return index.postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), "doc_length")
 
 
 @query("search_term_statistics", "SELECT term, count(*) AS n_docs, cast(sum(tf) as bigint) AS n_hits FROM postings GROUP BY 1")
 def _(b):
-    return search.term_statistics(b.search_index.postings)
+    return b.search_index.term_statistics()
 
 
 SNIP_WORD = bind._SEARCH_TOK.replace("text", "x")
@@ -395,7 +409,7 @@ BATCH = ("vote_record vote topic topic_keyword speech_topic vote_topic party_lin
 def _(b):
     """The whole batch written to the shared folder; the result lists the rows of each table."""
     from votemill.plans.batch import run_all
-    from votemill.runtime import fresh_path
+
     path = fresh_path(b.spark, "analysis")
     done = run_all(
         dict(person=b.person, vote=b.vote, vote_record=b.vote_record, speech=b.speech, legislation=b.legislation,

@@ -109,6 +109,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the scan has fewer tasks than the cluster has cores, as with one small file; large tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def global_rank(df: DataFrame, group: str, value: str, tiebreak: str, rank: str = "rank0", total: str = "total") -> DataFrame:
     """Zero-based rank of ``(value, tiebreak)`` inside each ``group``, for groups of any size.
 
