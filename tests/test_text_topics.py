@@ -116,3 +116,29 @@ def test_phrases_and_pruned_index(spark, tmp_path):
     assert search.bm25(index, []).count() == 0
     plan = index.blocks(["eu"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,eu)" in plan
+
+
+def test_candidates_count_like_the_whole_line(spark):
+    """Every keyword of a lexicon, from one pass over the line; nested prefixes, phrases, shared first parts."""
+    keys = ["eu", "e", "eun", "no niin", "no no", "tot", "totta kai no", "kai", "a.b", "no"]
+    cases = []
+
+    @settings(max_examples=80, database=None)
+    @given(WORDS)
+    def collect(ws):
+        cases.append(ws)
+
+    collect()
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(cases)], "i int, t string")
+    lines = df.select("i", X.token_line(F.col("t")).alias("l"))
+    both = lines.select(F.array(*[X.prefix_count(F.col("l"), k) for k in keys]).alias("plain"), X.candidate_line(F.col("l"), keys).alias("c"))
+    for r in both.select("plain", F.array(*[X.candidate_count(F.col("c"), k) for k in keys]).alias("quick")).collect():
+        assert r.plain == r.quick
+
+
+def test_composition_only_where_needed(spark):
+    texts = ["plain", "école", "été", None, "", "한글", "한", "𝒳 ä"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    import unicodedata
+    got = {r.i: r.x for r in df.select("i", X.nfc(F.col("t")).alias("x")).collect()}
+    assert got == {i: t if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}

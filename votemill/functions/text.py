@@ -66,6 +66,40 @@ def prefix_count(line: Column, keyword: str) -> Column:
     return F.when(F.contains(line, F.lit(" " + rest[-1])), found).otherwise(F.lit(0))
 
 
+def _one_of(prefixes: list[str]) -> str:
+    """A pattern for any of the prefixes that branches letter by letter, so that most positions fail at the first one."""
+    if "" in prefixes:
+        return ""
+    branches: dict[str, list[str]] = {}
+    for p in sorted(set(prefixes)):
+        branches.setdefault(p[0], []).append(p[1:])
+    return "(?:" + "|".join(re.escape(c) + _one_of(rest) for c, rest in branches.items()) + ")"
+
+
+def candidate_line(line: Column, keywords: list[str]) -> Column:
+    """What a lexicon can match of a :func:`token_line`, in one pass over it.
+
+    Each token that starts with the first part of any keyword stands on a line
+    of its own, with as many tokens behind it as the longest keyword has parts.
+    """
+    parts = [k.split() for k in keywords]
+    behind = max(map(len, parts), default=1) - 1
+    found = F.regexp_extract_all(line, F.lit(f" (?=({_one_of([p[0] for p in parts])}[^ ]*(?: [^ ]+){{0,{behind}}}))"), F.lit(1))
+    return F.concat(F.lit("\n"), F.array_join(found, "\n"))
+
+
+def candidate_count(candidates: Column, keyword: str) -> Column:
+    """:func:`prefix_count` of a keyword of the lexicon, from the :func:`candidate_line`."""
+    first, *rest = keyword.split()
+    if not rest:
+        needle = "\n" + first
+        gone = F.octet_length(candidates) - F.octet_length(F.replace(candidates, F.lit(needle), F.lit("")))
+        return (gone / F.lit(len(needle.encode()))).cast("int")
+    ahead = "[^ \n]* ".join(re.escape(p) for p in rest)
+    found = F.regexp_count(candidates, F.lit(f"\n{re.escape(first)}[^ \n]* {ahead}"))
+    return F.when(F.contains(candidates, F.lit(" " + rest[-1])), found).otherwise(F.lit(0))
+
+
 def lexicon_hits(toks: Column, single: list[str], phrases: list[str]) -> Column:
     """Array of every exact word and every exact phrase met; overlaps count for both."""
     hits = [F.filter(toks, lambda t: t.isin(single))] if single else []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from votemill import constants as C
 from votemill.functions import scalars as S
+from votemill.runtime import global_rank, materialize
 
 
 def substantive_votes(vote: DataFrame) -> DataFrame:
@@ -105,3 +106,51 @@ def pair_agreement(vote_record: DataFrame, pairs: DataFrame) -> DataFrame:
             .groupBy("a", "b").agg(F.count_if(F.col("va") == F.col("vb")).alias("agree"),
                                    F.count(F.lit(1)).alias("total"))
             .withColumn("pct", F.bround(100 * F.col("agree") / F.col("total"), 0)))
+
+
+#: Votes in one long of a bitmap, and longs in one block of votes.
+WORD, WORDS = 64, 16
+
+
+def vote_bitmaps(vote_record: DataFrame) -> DataFrame:
+    """(block, person_id, y0 .., n0 ..): a member's yes and no votes in every block of ``WORD * WORDS`` votes, a bit a vote.
+
+    Votes are numbered by rank, so blocks are full; an aggregate of ors makes
+    the words, which combines before its exchange.
+    """
+    own = vote_record.where(F.col("vote_value").isin(C.YES, C.NO)).select("vote_id", "person_id", "vote_value")
+    votes = global_rank(own.select("vote_id").distinct().withColumn("_all", F.lit(0)), "_all", "vote_id", "vote_id")
+    place = votes.select("vote_id", F.floor(F.col("rank0") / (WORD * WORDS)).alias("block"), (F.floor(F.col("rank0") / WORD) % WORDS).alias("word"), (F.col("rank0") % WORD).cast("int").alias("bit"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+
+    def word(k: int, value: str):
+        return F.bit_or(F.when((F.col("word") == k) & (F.col("vote_value") == value), bit).otherwise(F.lit(0).cast("long")))
+
+    return own.join(place, "vote_id").groupBy("block", "person_id").agg(*[word(k, v).alias(f"{c}{k}") for c, v in (("y", C.YES), ("n", C.NO)) for k in range(WORDS)])
+
+
+def all_pair_agreement(vote_record: DataFrame, min_common: int, tile: int = 256) -> DataFrame:
+    """(a, b, agree, total, pct) of every two members, a < b, who both said yes or no in at least ``min_common`` votes.
+
+    Members are cut into tiles; two tiles meet block by block of votes, and a
+    pair is a row per block of 1,024 votes, never one per vote.
+    """
+    maps = materialize(vote_bitmaps(vote_record), "vote-bitmaps")
+    members = global_rank(maps.select("person_id").distinct().withColumn("_all", F.lit(0)), "_all", "person_id", "person_id")
+    tiles = materialize(members.select("person_id", F.floor(F.col("rank0") / tile).alias("tile"), F.ceil(F.col("total") / tile).alias("tiles")), "member-tiles")
+    tiled = maps.join(tiles, "person_id")
+
+    def side(name: str, other):
+        words = [F.col(f"{c}{k}").alias(f"{name}_{c}{k}") for c in "yn" for k in range(WORDS)]
+        return tiled.select("block", F.col("person_id").alias(name), *words, F.explode(other).alias("_other"), F.col("tile").alias("_own"))
+
+    left = side("a", F.sequence("tile", F.col("tiles") - 1)).withColumnsRenamed({"_own": "ta", "_other": "tb"})
+    right = side("b", F.sequence(F.lit(0).cast("long"), F.col("tile"))).withColumnsRenamed({"_own": "tb", "_other": "ta"})
+    met = left.join(right, ["block", "ta", "tb"]).where("a < b")
+
+    def bits(pairs):
+        return sum((F.bit_count(F.col(f"a_{x}{k}").bitwiseAND(F.col(f"b_{y}{k}"))) for k in range(WORDS) for x, y in pairs), F.lit(0))
+
+    counted = met.select("a", "b", bits(["yy", "nn"]).alias("agree"), bits(["yy", "nn", "yn", "ny"]).alias("total")).where("total > 0")
+    sums = counted.groupBy("a", "b").agg(F.sum("agree").cast("long").alias("agree"), F.sum("total").cast("long").alias("total"))
+    return sums.where(F.col("total") >= min_common).withColumn("pct", F.bround(100 * F.col("agree") / F.col("total"), 0))

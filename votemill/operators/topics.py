@@ -26,15 +26,27 @@ def topic_tables(spark: SparkSession, lexicon: Lexicon | None = None) -> tuple[D
     return topic, keyword
 
 
-def topic_scores(line: Column, lexicon: Lexicon, fallback: str = C.FALLBACK_TOPIC,
-                 min_tokens: int = C.TOPIC_MIN_TOKENS) -> Column:
-    """Array of (topic_id, score): weighted prefix hits over the root of the text length."""
-    scale = F.sqrt(F.greatest(X.line_length(line), F.lit(min_tokens)).cast("double"))
+def keywords(lexicon: Lexicon) -> list[str]:
+    return [k for _, _, _, kws in lexicon for k, _ in kws]
+
+
+def with_candidates(items: DataFrame, id_col: str, text_col: str, lexicon: Lexicon) -> DataFrame:
+    """(id, _length, _cands): number of tokens, and what the lexicon can match of them."""
+    line = items.select(F.col(id_col), X.token_line(F.col(text_col)).alias("_line"))
+    return line.select(id_col, X.line_length(F.col("_line")).alias("_length"), X.candidate_line(F.col("_line"), keywords(lexicon)).alias("_cands"))
+
+
+def topic_scores(lexicon: Lexicon, fallback: str = C.FALLBACK_TOPIC, min_tokens: int = C.TOPIC_MIN_TOKENS) -> Column:
+    """Array of (topic_id, score): weighted prefix hits over the root of the text length, of rows of :func:`with_candidates`.
+
+    The text is passed over once; keywords are counted among the candidates.
+    """
+    scale = F.sqrt(F.greatest(F.col("_length"), F.lit(min_tokens)).cast("double"))
     entries = []
     for tid, slug, _, kws in lexicon:
         if slug == fallback:
             continue
-        raw = reduce(lambda a, b: a + b, [X.prefix_count(line, k) * F.lit(w) for k, w in kws])
+        raw = reduce(lambda a, b: a + b, [X.candidate_count(F.col("_cands"), k) * F.lit(w) for k, w in kws])
         entries.append(F.struct(F.lit(tid).alias("topic_id"), (raw / scale).alias("score")))
     return F.array(*entries)
 
@@ -48,8 +60,7 @@ def assign_topics(items: DataFrame, id_col: str, text_col: str, lexicon: Lexicon
     """
     lexicon = lexicon or default_lexicon()
     fallback_id = next(i for i, s, _, _ in lexicon if s == fallback)
-    scored = (items.select(F.col(id_col), X.token_line(F.col(text_col)).alias("_line"))
-              .withColumn("_scores", topic_scores(F.col("_line"), lexicon, fallback))
+    scored = (with_candidates(items, id_col, text_col, lexicon).withColumn("_scores", topic_scores(lexicon, fallback))
               .withColumn("_top", F.array_max(F.transform("_scores", lambda s: s["score"]))))
     ranked = F.array_sort(F.transform(
         F.filter("_scores", lambda s: (s["score"] >= dominance * F.col("_top")) & (s["score"] >= hard)),

@@ -16,7 +16,7 @@ from votemill.functions import scalars as S, text as X
 from votemill.operators import language, lines, members, power, promises, search, stance, survey, topics
 from votemill.operators.relational import first_per_key
 from votemill.sources import sinks
-from votemill.runtime import fresh_path, materialize, spread, tune
+from votemill.runtime import fresh_path, listing, materialize, spread, tune
 
 GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 PERIODS = [
@@ -65,15 +65,18 @@ class Bound:
         self.spark, self.sf_dir = tune(spark), sf_dir.rstrip("/")
         self.drawn: dict[str, DataFrame] = {}
 
-    _open: dict[tuple[str, str], Bound] = {}
+    _open: dict[tuple[str, str], tuple[dict[str, str], Bound]] = {}
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Bound:
-        """The one model of this application over a directory, so that its written tables serve every query."""
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-        if key not in cls._open:
-            cls._open[key] = cls(spark, sf_dir)
-        return cls._open[key]
+        """The one model of this application over the files of a directory, so that its written tables serve every query.
+
+        A file that is new, gone or changed (length or time) makes a new model, whose tables are written anew.
+        """
+        key, files = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), listing(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in BASE_TABLES])
+        if key not in cls._open or cls._open[key][0] != files:
+            cls._open[key] = (files, cls(spark, sf_dir))
+        return cls._open[key][1]
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -300,20 +303,26 @@ class Bound:
 
     @cached_property
     def explainer(self) -> DataFrame:
-        """Explainers for a part of the bills, each quoting one speech on the bill."""
-        one = self.speech.where("id % 10 = 3").selectExpr(
+        """An explainer of every bill that has speeches, quoting the last of them."""
+        last = self.speech.groupBy("legislative_item").agg(F.max_by(F.struct("external_key", F.expr("right(text, 20)").alias("quote")), "id").alias("s"))
+        return last.selectExpr(
             "legislative_item", "concat('changes ', legislative_item) AS what_changes", "'all' AS who_affected",
             "cast(null as string) AS contested",
-            "to_json(array(named_struct('type', 'puhe', 'ref', external_key, 'quote', right(text, 20)))) AS sources_json")
-        return one
+            "to_json(array(named_struct('type', 'puhe', 'ref', s.external_key, 'quote', s.quote))) AS sources_json")
+
+    @cached_property
+    def bill_arguments(self) -> DataFrame:
+        """(legislative_item, first, last): speaker, group and two quotes of a bill's first and last speech."""
+        one = F.struct(F.concat_ws(" ", "first_name", "last_name").alias("speaker"), "party", F.expr("substring(text, cast(length(text) div 3 as int) + 1, 20)").alias("for"),
+                       F.expr("substring(text, greatest(length(text) - 30, 1), 20)").alias("against"))
+        return self.speech.groupBy("legislative_item").agg(F.min_by(one, "id").alias("first"), F.max_by(one, "id").alias("last"))
 
     @cached_property
     def proscons(self) -> DataFrame:
-        s = self.speech.where("id % 10 = 4").select(
-            "legislative_item", F.concat_ws(" ", "first_name", "last_name").alias("speaker"), "party", "text")
-        arg = "to_json(array(named_struct('argument', '{0}', 'speaker', speaker, 'party', party, 'quote', substring(text, {1}, 20))))"
-        return (self.vote_head.where("vote_id % 4 = 0").select("vote_id", "legislative_item").join(s, "legislative_item")
-                .selectExpr("vote_id", f"{arg.format('for', 'cast(length(text) div 3 as int) + 1')} AS pro_json", f"{arg.format('against', 'greatest(length(text) - 30, 1)')} AS con_json", "'n' AS note"))
+        """For and against of every vote on a bill that has speeches, out of the last of them."""
+        arg = "to_json(array(named_struct('argument', '{0}', 'speaker', last.speaker, 'party', last.party, 'quote', last.{0})))"
+        return (self.vote_head.select("vote_id", "legislative_item").join(self.bill_arguments, "legislative_item")
+                .selectExpr("vote_id", f"{arg.format('for')} AS pro_json", f"{arg.format('against')} AS con_json", "'n' AS note"))
 
 
 # --- the same model in SQL ----------------------------------------------------------
@@ -511,7 +520,10 @@ CTES: dict[str, str] = {
     "ingest_state": """SELECT 'votes:' || year(o_orderdate) AS job, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'done' ELSE 'running' END AS status, arg_max(o_custkey, o_orderkey) AS n
         FROM orders GROUP BY 1""",
     "explainer": """SELECT legislative_item, 'changes ' || legislative_item AS what_changes, 'all' AS who_affected, external_key AS ref, right(text, 20) AS quote
-        FROM speech WHERE id % 10 = 3""",
+        FROM speech QUALIFY row_number() OVER (PARTITION BY legislative_item ORDER BY id DESC) = 1""",
+    "bill_speech": """SELECT *, substr(text, length(text) // 3 + 1, 20) AS q_for, substr(text, greatest(length(text) - 30, 1), 20) AS q_against,
+          row_number() OVER (PARTITION BY legislative_item ORDER BY id) AS nth, row_number() OVER (PARTITION BY legislative_item ORDER BY id DESC) AS nth_last,
+          lead(text) OVER (PARTITION BY legislative_item ORDER BY id) AS next_text FROM speech""",
 }
 
 

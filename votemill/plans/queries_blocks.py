@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from votemill import constants as C
 from votemill.functions import scalars as S, text as X
-from votemill.operators import maps, members, power, published, search, topics
+from votemill.operators import corpus, maps, members, power, published, search, topics
 from votemill.operators import relational as R
 from votemill.plans import bind
 from votemill.plans.registry import query
@@ -110,6 +110,10 @@ def _(b):
         .select("vote_id", F.coalesce("_e", F.lit(0)).alias("has_explainer"))
 
 
+#: Characters of a bill's corpus in one row.
+CORPUS_PART = 20_000
+
+
 def neighbour_pairs(b):
     """Requested pairs: every member with the next two by id."""
     return b.person.select(F.col("person_id").alias("a"), F.explode(F.array(F.col("person_id") + 1, F.col("person_id") + 2)).alias("b"))
@@ -207,14 +211,13 @@ def _(b):
     return m.na.fill(0).select("party", *[F.col(f"`{y}`").alias(f"y{y}") for y in bind.YEARS])
 
 
-@query("agg_concat_corpus", "SELECT legislative_item, count(*) AS n_texts, cast(length(string_agg(text, ' ')) as bigint) AS n_chars FROM speech WHERE text IS NOT NULL GROUP BY 1")
+@query("agg_concat_corpus", f"""WITH c AS (SELECT legislative_item, string_agg(text, ' ' ORDER BY id) AS t FROM speech WHERE text IS NOT NULL GROUP BY 1)
+    SELECT legislative_item, part, substr(t, part * {CORPUS_PART} + 1, {CORPUS_PART}) AS text FROM (SELECT *, unnest(range(0, (length(t) + {CORPUS_PART - 1}) // {CORPUS_PART})) AS part FROM c)""")
 def _(b):
-    """Size of the joined corpus of a bill; the texts themselves stay rows (see the quote checks)."""
-    return b.speech.where(F.col("text").isNotNull()).groupBy("legislative_item").agg(
-        F.count(F.lit(1)).alias("n_texts"), (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("n_chars"))
+    """The joined corpus of every bill, in parts of a bounded number of characters that follow each other."""
+    return corpus.joined(b.speech, "legislative_item", ["id"], "text", CORPUS_PART)
 
 
-# --- windows ----------------------------------------------------------------------
 @query("win_percentile_rating", """WITH v AS (SELECT person_id, 'absent' AS metric, cast(count(*) FILTER (vote_value = 'Poissa') as double) AS value FROM vote_record GROUP BY 1
       UNION ALL SELECT person_id, 'yes', cast(nullif(count(*) FILTER (vote_value = 'Jaa'), 0) as double) FROM vote_record GROUP BY 1),
     r AS (SELECT person_id, metric, cast(CASE WHEN count(*) OVER (PARTITION BY metric) > 1 THEN round_even(1 + 98 * (row_number() OVER (PARTITION BY metric ORDER BY value, person_id) - 1)
@@ -337,8 +340,8 @@ def _(b):
 
 @query("fn_topic_score", "SELECT item_id AS id, topic_id, round(score, 6) AS score FROM item_score WHERE item_type = 'speech'")
 def _(b):
-    line = b.speech.select("id", X.token_line(F.col("text")).alias("l"))
-    return line.select("id", F.inline(topics.topic_scores(F.col("l"), bind.LEXICON))).where("score > 0").withColumn("score", F.round("score", 6))
+    rows = topics.with_candidates(b.speech, "id", "text", bind.LEXICON)
+    return rows.select("id", F.inline(topics.topic_scores(bind.LEXICON))).where("score > 0").withColumn("score", F.round("score", 6))
 
 
 @query("fn_word_count", "SELECT doc_id, cast(len(regexp_extract_all(text, '\\S+')) as int) AS words FROM documents")

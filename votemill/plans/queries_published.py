@@ -205,6 +205,13 @@ def _(b):
     return lines.pair_agreement(b.vote_record, neighbour_pairs(b))
 
 
+@query("q_all_pair_agreement", """SELECT x.person_id AS a, y.person_id AS b, count(*) FILTER (x.vote_value = y.vote_value) AS agree, count(*) AS total,
+      round_even(100 * count(*) FILTER (x.vote_value = y.vote_value) / count(*), 0) AS pct
+    FROM vote_record x JOIN vote_record y ON x.vote_id = y.vote_id AND x.person_id < y.person_id WHERE x.vote_value IN ('Jaa', 'Ei') AND y.vote_value IN ('Jaa', 'Ei') GROUP BY 1, 2 HAVING count(*) >= 5""")
+def _(b):
+    return lines.all_pair_agreement(b.vote_record, 5)
+
+
 @query("q_activity_scatter", f"""SELECT person_id, full_name, party_current, n_speeches, n_votes_cast, round({_ABS}, 6) AS absent_pct {SUM} WHERE n_votes_cast > 0""")
 def _(b):
     return r6(P.activity_scatter(b.member_summary, b.person), "absent_pct")
@@ -461,8 +468,8 @@ def _(b):
     return P.votes_for_item(b.vote)
 
 
-@query("q_vote_proscons", """SELECT v.vote_id, 'n' AS note, side, 0 AS pos, argument, first_name || ' ' || last_name AS speaker, party, substr(text, CASE side WHEN 'pro' THEN length(text) // 3 + 1 ELSE greatest(length(text) - 30, 1) END, 20) AS quote FROM vote v
-    JOIN speech s ON s.legislative_item = v.legislative_item AND s.id % 10 = 4 CROSS JOIN (VALUES ('pro', 'for'), ('con', 'against')) a(side, argument) WHERE v.vote_id % 4 = 0""")
+@query("q_vote_proscons", """SELECT v.vote_id, 'n' AS note, CASE side WHEN 'for' THEN 'pro' ELSE 'con' END AS side, 0 AS pos, side AS argument, first_name || ' ' || last_name AS speaker, party, CASE side WHEN 'for' THEN q_for ELSE q_against END AS quote
+    FROM vote v JOIN bill_speech s ON s.legislative_item = v.legislative_item AND nth_last = 1 CROSS JOIN (VALUES ('for'), ('against')) a(side)""")
 def _(b):
     return P.vote_proscons(b.proscons)
 

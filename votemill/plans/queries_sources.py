@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from votemill.functions import scalars as S
 from votemill.operators import search, stance
@@ -274,31 +274,39 @@ def _(b):
     return loads.verified_stances(claims, b.speech).drop("conditional_note")
 
 
-@query("src_explainers_json", """SELECT legislative_item, what_changes, who_affected, quote, 'demo' AS model FROM explainer
-    WHERE cast(substr(legislative_item, 4) as int) % 3 <> 0""")
+@query("src_explainers_json", """SELECT legislative_item, 'changes ' || legislative_item AS what_changes, 'all' AS who_affected, external_key AS ref, 'demo' AS model,
+      CASE WHEN id % 5 = 1 AND next_text IS NOT NULL THEN right(text, 12) || ' ' || left(next_text, 12) ELSE right(text, 20) END AS quote
+    FROM bill_speech WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY legislative_item ORDER BY id DESC) = 1""")
 def _(b):
-    bad = F.expr("cast(substring(legislative_item, 4) as int) % 3 = 0")
-    src = F.from_json("sources_json", "array<struct<type:string,ref:string,quote:string>>")
-    sources = F.concat(src, F.array(F.struct(F.lit("puhe").alias("type"), F.lit("x").alias("ref"),
-                                             F.when(bad, "invented quote xyzzy").alias("quote"))))
-    doc = b.explainer.select(F.lit("demo").alias("model_label"),
-                             F.array(F.struct("legislative_item", "what_changes", "who_affected", "contested", sources.alias("sources"))).alias("explainers"))
+    """A claim from every speech, in one document per bill: some quote over the seam to the next speech, some are invented, the last verified one stays."""
+    ahead = W.partitionBy("legislative_item").orderBy("id")
+    seam = F.concat(F.expr("right(text, 12)"), F.lit(" "), F.expr("left(next_text, 12)"))
+    quote = F.when((F.col("id") % 5 == 1) & F.col("next_text").isNotNull(), seam).otherwise(F.expr("right(text, 20)"))
+    own = F.struct(F.lit("puhe").alias("type"), F.col("external_key").alias("ref"), quote.alias("quote"))
+    extra = F.struct(F.lit("puhe").alias("type"), F.lit("x").alias("ref"), F.when(F.col("id") % 3 == 0, "invented quote xyzzy").alias("quote"))
+    claim = F.struct("id", F.struct("legislative_item", F.concat(F.lit("changes "), "legislative_item").alias("what_changes"), F.lit("all").alias("who_affected"),
+                                    F.lit(None).cast("string").alias("contested"), F.array(own, extra).alias("sources")).alias("claim"))
+    claims_of = b.speech.withColumn("next_text", F.lead("text").over(ahead)).select("legislative_item", claim.alias("c"))
+    doc = claims_of.groupBy("legislative_item").agg(F.sort_array(F.collect_list("c")).alias("cs")).select(F.lit("demo").alias("model_label"), F.col("cs.claim").alias("explainers"))
     claims = loads.read_claims(b.spark, landed_json(doc, "explainers"), loads.EXPLAINER_FILE, "explainers", multi_line=False)
     out = loads.verified_explainers(claims, b.speech, b.legislation)
-    return out.select("legislative_item", "what_changes", "who_affected", "model",
-                      S.json_list(F.col("sources_json"), "struct<quote:string>")[0]["quote"].alias("quote"))
+    first = S.json_list(F.col("sources_json"), "struct<ref:string,quote:string>")[0]
+    return out.select("legislative_item", "what_changes", "who_affected", "model", first["ref"].alias("ref"), first["quote"].alias("quote"))
 
 
-@query("src_proscons_json", """SELECT v.vote_id, s.q AS pro_quote, 'demo' AS model FROM vote v JOIN (SELECT legislative_item, substr(text, length(text) // 3 + 1, 20) AS q FROM speech WHERE id % 10 = 4) s USING (legislative_item)
-    WHERE v.vote_id % 4 = 0 AND v.vote_id % 12 <> 0""")
+@query("src_proscons_json", """SELECT v.vote_id, CASE WHEN v.vote_id % 12 = 0 THEN f.q_for ELSE l.q_for END AS pro_quote, 'demo' AS model FROM vote v
+    JOIN bill_speech f ON f.legislative_item = v.legislative_item AND f.nth = 1 JOIN bill_speech l ON l.legislative_item = v.legislative_item AND l.nth_last = 1""")
 def _(b):
-    arg = "array<struct<argument:string,speaker:string,party:string,quote:string>>"
-    bad = F.col("vote_id") % 12 == 0
-    con = F.transform(F.from_json("con_json", arg), lambda a: F.struct(
-        a["argument"].alias("argument"), a["speaker"].alias("speaker"), a["party"].alias("party"),
-        F.when(bad, "invented quote xyzzy").otherwise(a["quote"]).alias("quote")))
-    doc = b.proscons.select(F.lit("demo").alias("model_label"),
-                            F.array(F.struct("vote_id", "note", F.from_json("pro_json", arg).alias("pro"), con.alias("con"))).alias("proscons"))
+    """Two claims for every vote, out of its bill's first and last speech; the later one wins unless a quote of it is invented."""
+    def args(side, argument, quote):
+        return F.array(F.struct(F.lit(argument).alias("argument"), F.col(f"{side}.speaker").alias("speaker"), F.col(f"{side}.party").alias("party"), quote.alias("quote")))
+
+    def claim(side, against):
+        return F.struct("vote_id", F.lit("n").alias("note"), args(side, "for", F.col(f"{side}.for")).alias("pro"), args(side, "against", against).alias("con"))
+
+    wrong = F.when(F.col("vote_id") % 12 == 0, F.lit("invented quote xyzzy")).otherwise(F.col("last.against"))
+    doc = b.vote_head.select("vote_id", "legislative_item").join(b.bill_arguments, "legislative_item").select(
+        F.lit("demo").alias("model_label"), F.array(claim("first", F.col("first.against")), claim("last", wrong)).alias("proscons"))
     claims = loads.read_claims(b.spark, landed_json(doc, "proscons"), loads.PROSCONS_FILE, "proscons", multi_line=False)
     out = loads.verified_proscons(claims, b.vote_head, b.speech)
     return out.select("vote_id", S.json_list(F.col("pro_json"), "struct<quote:string>")[0]["quote"].alias("pro_quote"), "model")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -101,6 +103,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def listing(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Names, lengths and times of the files below each path, folders included; a digest for each path that exists."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def entries(path) -> str:
+        files = path.getFileSystem(conf)
+        found = jvm.scala.runtime.ScalaRunTime.stringOf(files.listStatus(path))  # one call for a folder, however many files
+        inner = [entries(s.getPath()) for s in files.listStatus(path) if s.isDirectory()] if "isDirectory=true" in found else []
+        return re.sub(r"access_time=\d+", "", found) + "".join(inner)
+
+    out = {}
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(conf).exists(place):
+            out[path] = hashlib.sha256(entries(place).encode()).hexdigest()
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -133,3 +153,17 @@ def global_rank(df: DataFrame, group: str, value: str, tiebreak: str, rank: str
     within = W.partitionBy(group, "_range").orderBy(value, tiebreak)
     return (keyed.withColumn("_rn", F.row_number().over(within)).join(shifts, [group, "_range"])
             .withColumn(rank, F.col("_shift") + F.col("_rn") - 1).drop("_range", "_rn", "_shift"))
+
+
+def running_total(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each row of its ``group``, for groups of any size (see :func:`global_rank`)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id())
+    keyed = materialize(ranged, "ranges")
+    sizes = keyed.groupBy(group, "_range").agg(F.sum(value).alias("_n"))
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = W.partitionBy(group, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return (keyed.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
+            .join(shifts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+            .withColumn(name, F.col("_shift") + F.col("_own")).drop("_range", "_own", "_shift", "_group", "_of"))

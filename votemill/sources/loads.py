@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from votemill import constants as C
 from votemill.functions import scalars as S
+from votemill.operators import corpus
 from votemill.operators.relational import first_per_key
 from votemill.runtime import materialize
 
@@ -143,22 +144,24 @@ def verified_stances(claims: DataFrame, speech: DataFrame, previous: DataFrame |
 
 def unquoted(claims: DataFrame, key: str, item: str, quotes: Column, speech: DataFrame,
              legislation: DataFrame | None = None) -> DataFrame:
-    """Claims ``(key)`` with a quote that stands in no speech (or summary) of their bill.
+    """Claims ``(key)`` with a quote that does not stand in the corpus of their bill: its speeches by id, then its summary, a blank between them.
 
-    The quotes of a bill, a few short strings, travel as one array to its texts;
-    each text is scanned once, and texts are never gathered in one place.  A
-    quote that runs across the seam of two texts does not count as verbatim.
+    The quotes of a bill, a few short strings, travel as one array to its texts,
+    and each text is scanned once; what no text holds is looked for across the
+    seams of texts, in windows around them (see ``corpus.across_seams``).
     """
     q = (claims.select(F.col(key), F.col(item).alias("_item"), F.explode(quotes).alias("_quote"))
          .where(F.coalesce("_quote", F.lit("")) != ""))
-    texts = speech.where(F.col("text").isNotNull()).select(F.col("legislative_item").alias("_item"), "text")
+    texts = speech.where(F.col("text").isNotNull()).select(F.col("legislative_item").alias("_item"), F.lit(0).alias("_last"), F.col("id").alias("_id"), "text")
     if legislation is not None:
         texts = texts.unionByName(legislation.where(F.col("summary") != "").select(
-            F.col("eduskunta_tunnus").alias("_item"), F.col("summary").alias("text")))
+            F.col("eduskunta_tunnus").alias("_item"), F.lit(1).alias("_last"), F.lit(0).cast("long").alias("_id"), F.col("summary").alias("text")))
     asked = q.groupBy("_item").agg(F.collect_set("_quote").alias("_quotes"))
     held = F.filter("_quotes", lambda quote: F.contains(F.col("text"), quote))
     found = texts.join(asked, "_item").select("_item", F.explode(held).alias("_quote")).distinct()
-    return q.join(found, ["_item", "_quote"], "left_anti").select(key).distinct()
+    left = materialize(q.join(found, ["_item", "_quote"], "left_anti"), "quotes-left")
+    seams = corpus.across_seams(left.select("_item", "_quote").distinct(), texts, "_item", ["_last", "_id"], "text", "_quote")
+    return left.join(seams, ["_item", "_quote"], "left_anti").select(key).distinct()
 
 
 EXPLAINER_FILE = ("model_label string, explainers array<struct<legislative_item:string,what_changes:string,"
