@@ -83,10 +83,15 @@ VOTE_TEXT_COLUMNS = ("title", "item_title", "main_item_title", "treatment_title"
 
 
 def vote_texts(vote: DataFrame, legislation: DataFrame) -> DataFrame:
-    """Text of each vote: its own titles plus title and summary of the bill."""
+    """Text of each vote: its own titles plus title and summary of the bill.
+
+    The headers, a few short columns, are dealt out first: a small table would
+    meet the long summaries in one task, and be scored there.
+    """
+    parts = int(vote.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bill = legislation.select(F.col("eduskunta_tunnus").alias("legislative_item"),
                               F.col("title").alias("_lt"), F.col("summary").alias("_ls"))
-    return (vote.select("vote_id", *VOTE_TEXT_COLUMNS).join(bill, "legislative_item", "left")
+    return (vote.select("vote_id", *VOTE_TEXT_COLUMNS).repartition(parts).join(bill, "legislative_item", "left")
             .select("vote_id", S.joined(*[F.col(c) for c in VOTE_TEXT_COLUMNS], F.col("_lt"), F.col("_ls")).alias("text")))
 
 
