@@ -32,3 +32,20 @@ def test_skewed_lengths(spark, kind):
         assert len(got[q]) == len(best)
         hits, wanted = hits + len(got[q] & set(best)), wanted + len(best)
     assert hits >= 0.95 * wanted
+
+
+def test_products_of_candidates_only(spark):
+    """On clustered vectors most rows never meet a query."""
+    rng = np.random.default_rng(4)
+    data = np.repeat(rng.normal(size=(40, 64)), 50, axis=0) + 0.25 * rng.normal(size=(2000, 64))
+    settings = ann.Settings()
+    segment = ann.Segment(np.arange(2000), data, ann.Rotations(64, settings), settings)
+    asked = np.arange(0, 2000, 20)
+    hits = 0
+    for query, ids, scores in segment.search(asked, data[asked], 20):
+        exact = data @ data[query]
+        exact[query] = -np.inf
+        hits += len(set(ids.tolist()) & set(np.argsort(-exact)[:20].tolist()))
+        assert np.allclose(scores, exact[ids])
+    assert hits >= 0.9 * 20 * len(asked)
+    assert segment.products < 0.5 * len(asked) * len(data)

@@ -6,10 +6,10 @@ angle.  A table turns them by three rounds of random signs and a fast Hadamard
 transform, and files each under the signed axis it is nearest to; a query looks
 under its ``probes`` nearest signed axes in every table.  The inner product of
 the k-th best row found there tells from which angle on a row of a band can
-still be among the best, and the query looks under as many further axes as
-rows at that angle need to be met with the chance ``sure``; under all of them
-if it has found fewer than k rows.  What it finds is ranked by the exact inner
-product.
+still be among the best, and how many axes a row at that angle needs to be met
+with the chance ``sure``.  The query doubles its axes until it has looked under
+so many; under all of them if it finds fewer than k rows.  Only the rows filed
+there are multiplied with it, and ranked by the exact inner product.
 
 The index is cut into segments of about ``segment_rows`` rows by a hash of the
 id, each with its own tables over the same rotations, and queries visit every
@@ -19,6 +19,9 @@ and one block, however many rows share a bucket.
 Vectors that are null, zero, or hold null or non-finite numbers take no part,
 nor do rows without id; shorter vectors are filled with zeros.  Of rows that
 repeat an id the least vector stands.  Equal scores go to the smaller id.
+Repeated vectors are rows of their own.  An empty table, or one without a
+vector that takes part, has no result.  Only the two columns named are read,
+so further columns, whatever their names, have no part in it.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from votemill import runtime
 @dataclass(frozen=True)
 class Settings:
     tables: int = 8
-    probes: int = 24
+    #: axes that a query looks under first
+    probes: int = 4
     #: ratio of the longest to the shortest vector of a band, at most
     band: float = 1.1
     #: chance to meet a row that can just reach the k-th best found so far
@@ -98,13 +102,10 @@ class Rotations:
         axis = np.abs(x).argmax(axis=1)
         return axis + self.width * (x[np.arange(len(x)), axis] < 0)
 
-    def ranks(self, vectors: np.ndarray, table: int) -> np.ndarray:
-        """The place of each signed axis, nearest first, for each vector."""
+    def order(self, vectors: np.ndarray, table: int) -> np.ndarray:
+        """The signed axes of a table, nearest first, for each vector."""
         x = self.turn(vectors, table)
-        near = np.concatenate([x, -x], axis=1)
-        out = np.empty(near.shape, np.int32)
-        np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable"), np.arange(near.shape[1], dtype=np.int32)[None, :], axis=1)
-        return out
+        return np.argsort(-np.concatenate([x, -x], axis=1), axis=1, kind="stable")
 
 
 def lengths(vectors: np.ndarray) -> np.ndarray:
@@ -119,44 +120,65 @@ def lift(vectors: np.ndarray, longest: np.ndarray) -> np.ndarray:
     return np.concatenate([short, rest[:, None]], axis=1)
 
 
-def _floors(scores: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score found by each query, -inf if there are fewer."""
-    if scores.shape[1] < k:
-        return np.full(len(scores), -np.inf)
-    return -np.partition(np.where(found, -scores, np.inf), k - 1, axis=1)[:, k - 1]
-
-
 class Segment:
+    """Rows filed by band and signed axis in every table; ``products`` counts the rows that met a query."""
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotations: Rotations, settings: Settings):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.products = ids[order], vectors[order], 0
         own = lengths(self.vectors)
-        _, self.band = np.unique(np.floor(np.log(own) / math.log(settings.band)), return_inverse=True)
-        self.longest = np.zeros(self.band.max() + 1)
-        np.maximum.at(self.longest, self.band, own)
-        lifted = lift(self.vectors, self.longest[self.band])
-        self.buckets = [rotations.bucket(lifted, t) for t in range(settings.tables)]
+        _, band = np.unique(np.floor(np.log(own) / math.log(settings.band)), return_inverse=True)
+        self.longest = np.zeros(band.max() + 1)
+        np.maximum.at(self.longest, band, own)
+        lifted = lift(self.vectors, self.longest[band])
+        axes = 2 * rotations.width
+        files = [np.argsort(place, kind="stable") for place in self._places(lifted, band, rotations, settings)]
+        sizes = [np.bincount(place, minlength=axes * len(self.longest)) for place in self._places(lifted, band, rotations, settings)]
+        self.filed = np.concatenate(files)
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         self.rotations, self.settings = rotations, settings
 
+    @staticmethod
+    def _places(lifted: np.ndarray, band: np.ndarray, rotations: Rotations, settings: Settings) -> Iterator[np.ndarray]:
+        for t in range(settings.tables):
+            yield 2 * rotations.width * band + rotations.bucket(lifted, t)
+
+    def _under(self, order: np.ndarray, since: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """The rows (some of them repeated) that lie under the axes ``since`` to ``until`` of their band, in any table."""
+        axes, bands = 2 * self.rotations.width, len(self.longest)
+        many = until - since
+        band = np.repeat(np.arange(bands), many)
+        nth = np.arange(len(band)) - np.repeat(np.cumsum(many) - many, many) + since[band]
+        place = (axes * (bands * np.arange(len(order))[:, None] + band) + order[:, nth]).ravel()
+        first, size = self.starts[place], self.starts[place + 1] - self.starts[place]
+        return self.filed[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, ids, scores) of the ``k`` best candidates of each query."""
-        # how many axes each query has to look under to meet each row in one of the tables
-        nearest = np.full((len(self.ids), len(queries)), 2 * self.rotations.width, np.int32)
-        flat = np.concatenate([queries / lengths(queries)[:, None], np.zeros((len(queries), 1))], axis=1)
-        for t, bucket in enumerate(self.buckets):
-            np.minimum(nearest, np.ascontiguousarray(self.rotations.ranks(flat, t).T)[bucket], out=nearest)
-        nearest = np.ascontiguousarray(nearest.T)
-        other = q_ids[:, None] != self.ids[None, :]
-        scores = queries @ self.vectors.T
-        floors = _floors(scores, other & (nearest < self.settings.probes), k)
-        axes = self.rotations.axes(floors[:, None] / lengths(queries)[:, None] / self.longest[None, :])
-        found = other & (nearest < np.maximum(axes, self.settings.probes)[:, self.band])
-        least = _floors(scores, found, k)
-        scores = np.where(found, scores, -np.inf)
-        for row, (query, floor) in enumerate(zip(q_ids.tolist(), least.tolist())):
-            # products of a block are rounded in any order: take all that may tie, then score them one like the other
-            at = np.flatnonzero(found[row] & (scores[row] >= floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else found[row]))
-            exact = (self.vectors[at] * queries[row]).sum(axis=1)
+        own = lengths(queries)
+        flat = np.concatenate([queries / own[:, None], np.zeros((len(queries), 1))], axis=1)
+        orders = np.stack([self.rotations.order(flat, t) for t in range(self.settings.tables)], axis=1)
+        axes, scores = 2 * self.rotations.width, np.empty(len(self.ids))
+        for query, vector, length, order in zip(q_ids.tolist(), queries, own, orders):
+            met = self.ids == query
+            scores.fill(-np.inf)
+            since = np.zeros(len(self.longest), np.int64)
+            until = np.full(len(self.longest), min(self.settings.probes, axes))
+            while True:
+                new = np.zeros(len(met), bool)
+                new[self._under(order, since, until)] = True
+                at = np.flatnonzero(new & ~met)
+                scores[at] = self.vectors[at] @ vector
+                met[at] = True
+                self.products += len(at)
+                floor = -np.partition(-scores, k - 1)[k - 1] if len(scores) >= k else -np.inf
+                since, asked = until, self.rotations.axes(floor / length / self.longest)
+                if (since >= asked).all():
+                    break
+                until = np.maximum(since, np.minimum(asked, 2 * since))
+            # products are rounded in any order: take all that may tie, then score them one like the other
+            at = np.flatnonzero(scores >= floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else scores > -np.inf)
+            exact = (self.vectors[at] * vector).sum(axis=1)
             best = np.lexsort((self.ids[at], -exact))[:k]
             yield query, self.ids[at][best], exact[best]
 
