@@ -191,9 +191,15 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & whole & F.exists(v, lambda x: x != 0)).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Rows by ``part``, one part to a task where there are few: by hash some tasks would get several and others none."""
+    tasks = min(parts, 4096)
+    return df.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
+
+
 def _blocks(rows: DataFrame, kind: int, parts: int, dim: int, most: int) -> DataFrame:
     """(part, kind, block, ids, vectors): the rows of a part as one binary row for every ``most`` of them."""
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(max(1, min(parts, 4096)), "part").sortWithinPartitions("part", "id")
+    dealt = _dealt(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), parts).sortWithinPartitions("part", "id")
     schema = "part long, kind int, block long, ids binary, vectors binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +245,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     blocks = _blocks(asked, 1, q_parts, dim, settings.block_rows)
     visits = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "kind",
                            (F.col("part") * F.lit(1 << 20) + F.col("block")).alias("block"), "ids", "vectors")
-    met = index.unionByName(visits).repartition(max(1, min(parts, 4096)), "part").sortWithinPartitions("part", "kind", "block")
+    met = _dealt(index.unionByName(visits), parts).sortWithinPartitions("part", "kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segments = None, []
