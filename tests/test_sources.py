@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from votemill.operators import stance
 from votemill.sources import loads, members, sinks, xml_rows
+from votemill.sources.keyed import KeyedTable
 from votemill.streaming import ingest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -94,14 +95,7 @@ def test_cache(spark):
     assert got == ["pending", "pending", "hit", "pending", "over_budget"]
 
 
-def test_batches_and_progress(spark, tmp_path):
-    p = str(tmp_path / "t")
-    df = lambda *r: spark.createDataFrame(list(r), "k int, v string")
-    sinks.append_batch(df((1, "a"), (2, "b")), p, 0)
-    sinks.append_batch(df((2, "z")), p, 1)
-    sinks.append_batch(df((2, "c"), (3, "d")), p, 1)
-    assert {(r.k, r.v) for r in sinks.current_rows(spark, p, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-    assert {(r.k, r.v) for r in sinks.current_rows(spark, p, ["k"], last_wins=False).collect()} == {(1, "a"), (2, "b"), (3, "d")}
+def test_progress(spark):
     log = spark.createDataFrame([("j", 1, "5", None, "running", 3, None), ("j", 2, None, None, "done", None, "n")],
                                 "job string, seq long, last_pk string, last_page int, status string, n_items long, note string")
     r = sinks.progress_state(log).first()
@@ -120,30 +114,30 @@ def test_stream_resumes_and_dedupes(spark, tmp_path):
 def test_first_copy_stays(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
     schema = "k int, place int, v string"
+    table = KeyedTable(spark, out, ["k"])
     for rows in ([(1, 2, "b"), (1, 1, "a"), (2, 1, "x")], [(1, 0, "z"), (3, 1, "n")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        ingest.run_first_seen(ingest.landed(spark, src, spark.createDataFrame([], schema).schema), out, ck, ["k"], ["place"])
-    assert {(r.k, r.v) for r in sinks.current_rows(spark, out, ["k"], last_wins=False).collect()} == {(1, "a"), (2, "x"), (3, "n")}
+        table = ingest.run_first_seen(ingest.landed(spark, src, spark.createDataFrame([], schema).schema), table, ck, ["place"])
+    assert {(r.k, r.v) for r in table.current().collect()} == {(1, "a"), (2, "x"), (3, "n")}
 
 
-def test_lost_checkpoint_and_compaction(spark, tmp_path):
+def test_lost_checkpoint_and_merge(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     df = lambda *r: spark.createDataFrame(list(r), "k int, v string")
-    rows = lambda: {(r.k, r.v) for r in sinks.current_rows(spark, out, ["k"]).collect()}
+    rows = lambda t: {(r.k, r.v) for r in t.current().collect()}
     df((1, "a"), (2, "b")).write.parquet(src)
-    ingest.run_upserts(ingest.landed(spark, src, df((1, "")).schema), out, str(tmp_path / "ck1"))
+    table = ingest.run_upserts(ingest.landed(spark, src, df((1, "")).schema), KeyedTable(spark, out, ["k"]), str(tmp_path / "ck1"))
     other = str(tmp_path / "src2")
     df((2, "c"), (3, "d")).write.parquet(other)
-    ingest.run_upserts(ingest.landed(spark, other, df((1, "")).schema), out, str(tmp_path / "ck2"))
+    table = ingest.run_upserts(ingest.landed(spark, other, df((1, "")).schema), table, str(tmp_path / "ck2"))
     want = {(1, "a"), (2, "c"), (3, "d")}
-    assert rows() == want
-    sinks.compact(spark, out, ["k"])
-    assert rows() == want and not sinks.exists(spark, f"{out}/log")
-    sinks.append_batch(df((3, "e")), out, 0, sinks.run_number(spark, out, str(tmp_path / "ck3")))
-    assert rows() == {(1, "a"), (2, "c"), (3, "e")}
-    sinks.compact(spark, out, ["k"])
-    sinks.compact(spark, out, ["k"])
-    assert rows() == {(1, "a"), (2, "c"), (3, "e")}
+    assert rows(table) == want
+    table = table.merge()
+    assert rows(table) == want
+    table = table.upsert(df((3, "e")), 0, table.run_number(str(tmp_path / "ck3")))
+    assert rows(table) == {(1, "a"), (2, "c"), (3, "e")}
+    table = table.merge().merge()
+    assert rows(table) == {(1, "a"), (2, "c"), (3, "e")}
 
 
 def test_workers_get_the_package_without_a_path(tmp_path):

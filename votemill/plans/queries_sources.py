@@ -11,6 +11,7 @@ from votemill.plans import bind
 from votemill.plans.registry import query
 from votemill.runtime import fresh_path
 from votemill.sources import loads, members, pages, sinks, votes, xml_rows
+from votemill.sources.keyed import KeyedTable
 from votemill.streaming import ingest
 
 
@@ -354,9 +355,8 @@ def _(b):
 def _(b):
     path = fresh_path(b.spark, "upsert")
     base = b.vote_head.select("vote_id", "title")
-    sinks.append_batch(base, path, 0)
-    sinks.append_batch(base.where("vote_id % 3 = 0").withColumn("title", F.lit("new")), path, 1)
-    merged = sinks.current_rows(b.spark, path, ["vote_id"])
+    table = KeyedTable(b.spark, path, ["vote_id"]).upsert(base, 0)
+    merged = table.upsert(base.where("vote_id % 3 = 0").withColumn("title", F.lit("new")), 1).current()
     ignored = R.upsert(base.select("vote_id", F.lit("first").alias("kept")), base.select("vote_id", F.lit("second").alias("kept")), ["vote_id"], last_wins=False)
     return merged.join(ignored, "vote_id")
 
@@ -426,20 +426,31 @@ def _(b):
 def _(b):
     """Raw records with repeated pairs, then conflicting copies in a later run; the first of each (vote, person) stays."""
     rec = b.raw_record.withColumn("vote_value", S.vote_value(F.col("vote_value")))
-    src, table, ck = landing(b, rec, "dedupe")
+    src, path, ck = landing(b, rec, "dedupe")
+    table = KeyedTable(b.spark, path, ["vote_id", "person_id"])
     for again in (None, rec.where("vote_id % 2 = 0").withColumn("vote_value", F.lit("later"))):
         if again is not None:
             again.write.mode("append").parquet(src)
-        ingest.run_first_seen(ingest.landed(b.spark, src, rec.schema), table, ck, ["vote_id", "person_id"], ["page", "place"])
-    return sinks.current_rows(b.spark, table, ["vote_id", "person_id"], last_wins=False).select("vote_id", "person_id", "vote_value")
+        table = ingest.run_first_seen(ingest.landed(b.spark, src, rec.schema), table, ck, ["page", "place"])
+    return table.current().select("vote_id", "person_id", "vote_value")
+
+
+@query("stream_dedupe_window", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+def _(b):
+    """Every row lands twice, hours apart; keys are remembered for 30 days of event time and let go afterwards."""
+    li = b.base("lineitem").select("l_orderkey", "l_linenumber", F.to_timestamp(F.lit("2024-01-01")).alias("seen_at"))
+    src, path, ck = landing(b, li.unionByName(li.withColumn("seen_at", F.col("seen_at") + F.expr("interval 5 hours"))), "window")
+    shape = ingest.deduplicated(["l_orderkey", "l_linenumber"], "seen_at")
+    ingest.run_available(ingest.landed(b.spark, src, li.schema), path, ck, shape)
+    return b.spark.read.schema(li.schema).parquet(path).select("l_orderkey", "l_linenumber")
 
 
 @query("stream_upsert", "SELECT vote_id, CASE WHEN vote_id % 3 = 0 THEN title || ' (uusi)' ELSE title END AS title FROM vote")
 def _(b):
-    head = b.vote_head.select("vote_id", "title")
-    src, table, ck = landing(b, head, "upsert")
-    ingest.run_upserts(ingest.landed(b.spark, src, head.schema), table, ck)
-    head.where("vote_id % 3 = 0").withColumn("title", F.concat("title", F.lit(" (uusi)"))).write.mode("append").parquet(src)
-    ingest.run_upserts(ingest.landed(b.spark, src, head.schema), table, f"{ck}-renewed")  # a lost checkpoint reads all files again
-    sinks.compact(b.spark, table, ["vote_id"])
-    return sinks.current_rows(b.spark, table, ["vote_id"])
+    """Two loads, the second of a lost checkpoint: it reads all files again, and of the rows of one batch the least aged counts."""
+    head = b.vote_head.select("vote_id", "title", F.lit(1).alias("age"))
+    src, path, ck = landing(b, head, "upsert")
+    table = ingest.run_upserts(ingest.landed(b.spark, src, head.schema), KeyedTable(b.spark, path, ["vote_id"]), ck, ["age"])
+    head.where("vote_id % 3 = 0").select("vote_id", F.concat("title", F.lit(" (uusi)")).alias("title"), F.lit(0).alias("age")).write.mode("append").parquet(src)
+    table = ingest.run_upserts(ingest.landed(b.spark, src, head.schema), table, f"{ck}-renewed", ["age"])
+    return table.merge().current().drop("age")

@@ -1,10 +1,10 @@
-"""Writers: full rebuild, keyed upsert, job progress, work lists."""
+"""Writers: full rebuild, job progress, work lists; keyed tables are in ``keyed``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from votemill.operators.relational import best_per_key, fold_updates
+from votemill.operators.relational import fold_updates
 
 
 def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -15,91 +15,6 @@ def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     w.parquet(path)
 
 
-# --- keyed tables: a log of batches, and now and then a base that holds what came before ---------
-def _files(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    folder, files = _files(spark, path)
-    return files.exists(folder)
-
-
-def _entries(spark: SparkSession, path: str) -> list[str]:
-    folder, files = _files(spark, path)
-    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-
-
-def append_batch(df: DataFrame, path: str, batch_id: int, run: int = 1) -> None:
-    """Write one batch of a keyed table; the same batch of the same run replaces itself, nothing else."""
-    df.write.mode("overwrite").parquet(f"{path}/log/run={run}/batch_id={batch_id}")
-
-
-def run_number(spark: SparkSession, path: str, checkpoint: str) -> int:
-    """The number of the run that a checkpoint belongs to; a new (or lost and renewed) checkpoint gets the next one."""
-    own = f"{checkpoint}/run-number"
-    if exists(spark, own):
-        return spark.read.schema("run int").parquet(own).first()["run"]
-    seen = [int(n.split("=")[1]) for n in _entries(spark, f"{path}/log") if n.startswith("run=")]
-    base = _newest_base(spark, path)
-    run = max([0, *seen, base[0] if base else 0]) + 1
-    spark.createDataFrame([(run,)], "run int").coalesce(1).write.mode("overwrite").parquet(own)
-    return run
-
-
-def _newest_base(spark: SparkSession, path: str) -> tuple[int, int] | None:
-    """(run, batch) up to which the newest complete base goes."""
-    names = [n for n in _entries(spark, f"{path}/base") if exists(spark, f"{path}/base/{n}/_SUCCESS")]
-    return max((tuple(map(int, n.split("-"))) for n in names), default=None)
-
-
-def current_rows(spark: SparkSession, path: str, keys: list[str], last_wins: bool = True) -> DataFrame:
-    """Merged view of base and batches: newest row per key, or the first one written.
-
-    The merge is a combinable aggregate, so a key rewritten very often stays cheap.
-    """
-    base, parts = _newest_base(spark, path), []
-    if base:
-        parts.append(spark.read.parquet(f"{path}/base/{base[0]}-{base[1]}").withColumns({"run": F.lit(base[0]), "batch_id": F.lit(base[1])}))
-    if exists(spark, f"{path}/log"):
-        log = spark.read.parquet(f"{path}/log")
-        if base:
-            log = log.where((F.col("run") > base[0]) | ((F.col("run") == base[0]) & (F.col("batch_id") > base[1])))
-        parts.append(log)
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    order = [F.col("run"), F.col("batch_id")]
-    return best_per_key(rows, keys, [-c for c in order] if last_wins else order).drop("run", "batch_id")
-
-
-def compact(spark: SparkSession, path: str, keys: list[str], last_wins: bool = True) -> None:
-    """Write the current rows as a new base and drop what it replaces.
-
-    The new base counts once it is complete; until then, and if the clean-up is
-    cut short, readers get the same rows from what is there.  No load may run
-    meanwhile.
-    """
-    batches = [(int(r.split("=")[1]), int(b.split("=")[1])) for r in _entries(spark, f"{path}/log") if r.startswith("run=")
-               for b in _entries(spark, f"{path}/log/{r}") if b.startswith("batch_id=")]
-    base = _newest_base(spark, path)
-    new = max([*batches, *([base] if base else [])], default=None)
-    if new is None or new == base:
-        return
-    current_rows(spark, path, keys, last_wins).write.mode("overwrite").parquet(f"{path}/base/{new[0]}-{new[1]}")
-    old = [f"{path}/log/run={r}/batch_id={b}" for r, b in batches if (r, b) <= new]
-    old += [f"{path}/base/{n}" for n in _entries(spark, f"{path}/base") if n != f"{new[0]}-{new[1]}"]
-    for place in old:
-        folder, files = _files(spark, place)
-        files.delete(folder, True)
-    for name in _entries(spark, f"{path}/log"):
-        if not _entries(spark, f"{path}/log/{name}"):
-            folder, files = _files(spark, f"{path}/log/{name}")
-            files.delete(folder, True)
-    if not _entries(spark, f"{path}/log"):
-        folder, files = _files(spark, f"{path}/log")
-        files.delete(folder, True)
-
-
 PROGRESS_COLUMNS = ["last_pk", "last_page", "status", "n_items", "note"]
 
 

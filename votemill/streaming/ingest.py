@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from votemill.operators.relational import first_per_key
-from votemill.sources.sinks import append_batch, exists, run_number
+from votemill.sources.keyed import KeyedTable
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -39,32 +38,29 @@ def deduplicated(keys: list[str], event_time: str | None = None, lateness: str =
     return shape
 
 
-def run_upserts(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Write each micro-batch as one replaceable batch of a keyed table (read with ``current_rows``).
+def run_upserts(stream: DataFrame, table: KeyedTable, checkpoint: str, order: list[str] | None = None) -> KeyedTable:
+    """Write each micro-batch as one lot of a keyed table; its rows replace those of the same key.
 
     Batches carry the number of the checkpoint's run, so a new or lost
-    checkpoint adds to the table and never writes over an older load.
+    checkpoint adds to the table and never takes its batches for known ones.
     """
-    run = run_number(stream.sparkSession, target, checkpoint)
-    (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-     .foreachBatch(lambda df, i: append_batch(df, target, i, run)).start().awaitTermination())
+    return _run(stream, table, checkpoint, lambda now, df, batch, run: now.upsert(df, batch, run, order))
 
 
-def run_first_seen(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+def run_first_seen(stream: DataFrame, table: KeyedTable, checkpoint: str, order: list[str]) -> KeyedTable:
     """Keep of each key the first row by source order, and let later loads add new keys only.
 
-    Keys are held against the stored table instead of a stream state that
-    would grow for good; a replayed batch replaces itself.
+    Keys are held against the filters and buckets of the stored table instead
+    of a stream state that would grow for good; a replayed batch adds nothing.
     """
-    spark = stream.sparkSession
-    run = run_number(spark, target, checkpoint)
+    return _run(stream, table, checkpoint, lambda now, df, batch, run: now.add_new(df, order, batch, run))
+
+
+def _run(stream: DataFrame, table: KeyedTable, checkpoint: str, load: Callable[[KeyedTable, DataFrame, int, int], KeyedTable]) -> KeyedTable:
+    run, now = table.run_number(checkpoint), [table.newest()]
 
     def store(df: DataFrame, batch: int) -> None:
-        first = first_per_key(df, keys, order)
-        if exists(spark, f"{target}/log"):
-            log = spark.read.schema(f"{stream.select(*keys)._jdf.schema().toDDL()}, run int, batch_id long").parquet(f"{target}/log")
-            known = log.where((F.col("run") != run) | (F.col("batch_id") < batch)).select(*keys)
-            first = first.join(known, keys, "left_anti")
-        append_batch(first, target, batch, run)
+        now[0] = load(now[0].newest(), df, batch, run)
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    return now[0]
