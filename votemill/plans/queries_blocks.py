@@ -6,11 +6,11 @@ from pyspark.sql import functions as F, Window as W
 
 from votemill import constants as C
 from votemill.functions import scalars as S, text as X
-from votemill.operators import corpus, maps, members, power, published, search, topics
+from votemill.operators import corpus, maps, members, power, published, search, topics, vector_index
 from votemill.operators import relational as R
 from votemill.plans import bind
 from votemill.plans.registry import query
-from votemill.runtime import global_rank
+from votemill.runtime import fresh_path, global_rank
 from votemill.sources import members as member_source
 
 HINTS = ("red", "small ring", "blue")
@@ -286,6 +286,15 @@ def _(b):
     return search.cosine_top_k(e, "vec_id", "embedding", e.where("vec_id = 7").select("embedding"), 30).withColumn("score", F.round("score", 6))
 
 
+@query("topk_vector_index")
+def _(b):
+    """The approximate form: every 50th vector against written inverted lists, whose cells to look under are measured at the build."""
+    e = b.base("embeddings")
+    index = vector_index.build(e, "vec_id", "embedding", fresh_path(b.spark, "vectors"))
+    found = index.nearest_each(e.where("vec_id % 50 = 0"), "vec_id", "embedding", 30)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query("order_by_id_list", """WITH h AS (SELECT id, row_number() OVER (ORDER BY word_count DESC, id) - 1 AS pos, 1.0::double / word_count AS score FROM speech ORDER BY word_count DESC, id LIMIT 20)
     SELECT cast(pos as int) AS pos, s.id, person_id, first_name, last_name, party, ptk_id, started_at, legislative_item, substr(text, 1, 220) AS snip, round_even(score, 3) AS score FROM h JOIN speech s USING (id)""")
 def _(b):
