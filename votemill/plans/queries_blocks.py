@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from votemill import constants as C
 from votemill.functions import scalars as S, text as X
-from votemill.operators import corpus, maps, members, power, published, search, topics, vector_index
+from votemill.operators import corpus, maps, members, power, published, search, sketches, topics, vector_index
 from votemill.operators import relational as R
 from votemill.plans import bind
 from votemill.plans.registry import query
@@ -184,6 +184,24 @@ def _(b):
     return b.vote_record.groupBy("party").agg(F.countDistinct("person_id").alias("persons"), F.countDistinct("vote_id").alias("votes"))
 
 
+@query("agg_distinct_sketches", """SELECT party, count(*) AS n_rows, count(DISTINCT person_id) AS persons, count(DISTINCT vote_id) AS votes, true AS persons_close, true AS votes_close
+    FROM vote_record JOIN vote USING (vote_id) GROUP BY 1""")
+def _(b):
+    """Sketches per year, of which even years are refreshed after a load; estimates are held against the exact counts (4 standard errors)."""
+    path, values = fresh_path(b.spark, "sketches"), ["person_id", "vote_id"]
+    rec = b.vote_record.select("party", *values).join(b.vote_head.select("vote_id", "vp_year"), "vote_id")
+    sketches.refresh(rec.where("vp_year % 2 = 1 or person_id % 3 = 0"), path, "vp_year", ["party"], values)
+    sketches.refresh(rec.where("vp_year % 2 = 0"), path, "vp_year", ["party"], values)
+    estimate = sketches.distinct_counts(b.spark, path, ["party"], values)
+    exact = rec.groupBy("party").agg(F.countDistinct("person_id").alias("persons"), F.countDistinct("vote_id").alias("votes"))
+
+    def close(estimated, counted):
+        return F.abs(F.col(estimated) - F.col(counted)) <= F.ceil(4 * sketches.relative_error() * F.col(counted))
+
+    met = estimate.withColumnRenamed("party", "_party").join(exact, F.col("_party").eqNullSafe(F.col("party")))
+    return met.select("party", "n_rows", "persons", "votes", close("person_id", "persons").alias("persons_close"), close("vote_id", "votes").alias("votes_close"))
+
+
 @query("agg_avg_null_skip", """SELECT party_current, count(*) AS n, round(avg(consistency_index), 6) AS avg_idx, round(avg(deviation_rate), 6) AS avg_dev, max(full_name) AS last_name
     FROM person LEFT JOIN member_summary USING (person_id) GROUP BY 1""")
 def _(b):
