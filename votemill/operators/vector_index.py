@@ -3,7 +3,7 @@
 ``build`` fits the centres (MLlib) on a bounded sample of unit vectors, files
 every row under its nearest centre, one folder per cell, and measures on the
 sample under how many cells a query has to look to find the share ``recall`` of
-its ``k`` nearest.  A search reads the folders of these cells only; scores are
+its ``k`` nearest.  Rows are filed as unit vectors.  A search reads the folders of these cells only; scores are
 exact.  Where vectors are spread without any clusters, that is most of them.
 
 Vectors that are null, zero, of another length than most, or hold null or
@@ -115,7 +115,7 @@ class VectorIndex:
 
         visits = asked.mapInArrow(run, f"query_id {asked.schema['id'].dataType.simpleString()}, unit array<double>, cells array<int>")
         met = visits.select("query_id", F.col("unit").alias("_q"), F.explode("cells").alias("cell")).join(self.rows.select("id", "vec", "cell"), "cell")
-        dot = F.aggregate(F.zip_with(unit_vector(F.col("vec")), F.col("_q"), lambda a, b: a * b), F.lit(0.0), lambda acc, p: acc + p)
+        dot = F.aggregate(F.zip_with("vec", "_q", lambda a, b: a * b), F.lit(0.0), lambda acc, p: acc + p)
         scored = met.select("query_id", "id", F.round(dot, 9).alias("score"))
         return top_n(scored, ["query_id"], [F.desc("score"), F.asc("id")], k).select("query_id", "rank", "id", "score")
 
@@ -149,7 +149,7 @@ def build(df: DataFrame, id_col: str, vec_col: str, path: str, settings: Setting
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 own = np.stack([u.values.to_numpy() for u in part.column(2)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array((own @ centres.T).argmax(axis=1).astype(np.int32))], names=["id", "vec", "cell"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array((own @ centres.T).argmax(axis=1).astype(np.int32))], names=["id", "vec", "cell"])
 
     filed = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vec array<double>, cell int")
     filed = filed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(s.splits)))
