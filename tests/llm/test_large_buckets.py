@@ -40,3 +40,23 @@ def test_no_task_holds_a_large_bucket(spark):
     held = {r.bucket: r.weight for r in sd._runs(texts, settings, True, heavy).groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("weight")).collect()}
     before = {r.bucket: r.weight for r in sd._runs(texts, settings, True).groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("weight")).collect()}
     assert max(before.values()) > 20_000 and max(held.values()) < 20_000
+
+
+def test_ties_are_broken_by_bytes_alone(monkeypatch):
+    """Runs of one bucket that differ in one byte, at every place of a string, with every hash of the bucket step out of use."""
+    monkeypatch.setattr(sd.tb, "span_hash", None)
+    monkeypatch.setattr(sd.tb, "window_hash", None)
+    for settings in (sd.Settings(), sd.Settings(length=200, q=7)):
+        cover, length, anchor = sd.Cover(settings), settings.length, bytes(range(200, 232))
+        r, runs = random.Random(7), []
+        base = bytes(r.choices(b"ab", k=length - 32)) + anchor + bytes(r.choices(b"ab", k=length - 32))
+        for k in range(0, len(base), 3):
+            runs.append((3 + k % 2, base[:k] + b"c" + base[k + 1:], 1, length - 32))
+        runs += [(4, base[10:], 1, length - 42), (3, base[:-20], 2, length - 32), (9, base, 1, length - 32)]
+        bucket, texts, counts, mid = zip(*runs)
+        got = sd.repeats(np.array(bucket), list(texts), np.array(counts), np.array(mid), cover, settings)
+        seen = Counter()
+        for b, t, n, m in runs:
+            seen.update({(b, m - p, t[p:p + length]): n for p in range(len(t) - length + 1)})
+        want = [[p for p in range(len(t) - length + 1) if seen[b, m - p, t[p:p + length]] > 1] for b, t, n, m in runs]
+        assert [g.tolist() for g in got] == want and any(want) and want[-1] == []

@@ -7,22 +7,30 @@ them at a time.
    period lies in a perfect difference set are sampled; two equal strings of
    ``length`` bytes, wherever they stand, have a sampled position at the same
    distance from their starts, with at least ``length - period + 1`` equal
-   bytes after it.  The names of the samples (equal for equal strings, which is
-   all that ranks are needed for here) are counted over all texts.  A suffix
+   bytes after it.  Hashes of the samples are counted over all texts.  A suffix
    with no repeated sample in reach is unique and is settled.
 2. *Buckets.*  The suffixes left fall into runs that share their least 32-byte
    string; a run travels as one piece of text to the bucket of that string, and
    equal runs travel once from each task.  Equal suffixes are in one bucket.
-3. *One bucket at a time* is sorted by the hash of the ``length`` bytes, aligned
-   at the shared string; neighbours that agree are repeats.  Memory holds one
-   bucket.  Buckets are weighed before, by a hash of their string; where one
-   would weigh more than ``bucket_bytes``, the 64-bit hashes of its suffixes are
+3. *One bucket at a time.*  Its samples (those of the cover, counted from the
+   shared string, so that all suffixes of the bucket meet them at the same
+   distance) are sorted by their ``length - period + 1`` bytes and ranked.  Then
+   its suffixes are sorted: by a short prefix, ties by the rank of the first
+   sample, then of the last that lies whole inside, then by the bytes behind it.
+   Together these are all ``length`` bytes, so neighbours that agree are equal,
+   and no hash decides.  Small buckets are sorted some at a time, the bucket
+   leading.  Buckets are weighed before, by a hash of their string; where one
+   would weigh more than ``bucket_bytes``, 128-bit prints of its suffixes are
    dealt out and counted instead, so no task holds it.
-4. Each run gets its repeats back, and each text loses the bytes they cover.
+4. Each run (known by its bucket and a 128-bit print) gets its repeats back, and
+   each text loses the bytes they cover.
 
 Null and empty texts stay empty, texts shorter than ``length`` stay whole,
-repeated rows repeat each other, ids may be null or repeat.  The input has to
-be read again in the same order, as a table is.
+repeated rows and equal texts repeat each other, all of them lose the string (no
+first one stays), ids may be null or repeat.  Very long texts are cut into runs
+like any other; one text at a time is held whole.  An empty table gives no rows.
+Kept columns travel as one struct and may have any name.  The input has to be
+read again in the same order, as a table is.
 """
 
 from __future__ import annotations
@@ -40,7 +48,9 @@ from votemill.llm import caches, shared_keys as sk, textblocks as tb
 
 U64 = np.uint64
 #: Buckets are weighed in so many classes; in a task a run takes its text and about so many bytes, and so many for each start.
-CLASSES, RUN_BYTES, START_BYTES = 1 << 20, 150, 40
+CLASSES, RUN_BYTES, START_BYTES = 1 << 20, 150, 160
+#: Buckets are sorted together up to so many bytes of text.
+LOT_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -51,7 +61,7 @@ class Settings:
     #: bytes of the string that names a bucket
     anchor: int = 32
     #: memory that the buckets of one class may take in a task
-    bucket_bytes: int = 16 << 20
+    bucket_bytes: int = 48 << 20
 
 
 def difference_set(q: int) -> list[int]:
@@ -73,9 +83,15 @@ class Cover:
     def __init__(self, settings: Settings):
         self.period = settings.q ** 2 + settings.q + 1
         self.width = settings.length - self.period + 1
-        if self.width < settings.anchor:
+        if self.width < max(settings.anchor, self.period):
             raise ValueError("the period leaves too few bytes to name a sample")
         self.residues = np.array(difference_set(settings.q), np.int64)
+        # of a suffix that starts so many bytes before the string of its bucket: distance to its first sample, and to the last within a period
+        away = (np.arange(self.period)[None, :] - np.arange(settings.length)[:, None]) % self.period
+        sampled = np.isin(away, self.residues)
+        self.first, self.last = sampled.argmax(1), self.period - 1 - sampled[:, ::-1].argmax(1)
+        #: bytes before the first sample or behind the last one, at most
+        self.edge = int(max(self.first.max(), settings.length - self.width - self.last.min()))
 
     def samples(self, off: np.ndarray, length: int) -> np.ndarray:
         """Sampled positions of the texts that are long enough."""
@@ -132,7 +148,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    bits = max(1, int(len(values)).bit_length())
+    bits = 32  # of each value the upper half, whatever else stands in the buffer: equal strings have their least at one place
     marked = (values >> U64(bits) << U64(bits)) | np.arange(len(values), dtype=U64)
     padded = np.full(-(-len(values) // width) * width, ~U64(0), U64)
     padded[:len(values)] = marked
@@ -142,35 +158,67 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1:width - 1 + n]) & U64((1 << bits) - 1)).astype(np.int64)
 
 
-def runs(buf: np.ndarray, starts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, bucket, content hash) of the runs of ``starts`` that share their least anchor string."""
-    sums = tb.prefix_sums(buf)
-    anchors = tb.window_hash(sums, settings.anchor)
+def _prints(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums for two 64-bit hashes that take the bytes by different codes."""
+    return tb.prefix_sums(buf), tb.prefix_sums(~buf)
+
+
+def _print(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit prints of spans."""
+    return np.stack([tb.span_hash(s, start, end) for s in sums], axis=1).view("V16").ravel()
+
+
+def _binary(prints: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(prints), [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
+
+
+def runs(buf: np.ndarray, starts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, bucket, print, place of the shared string from the first start) of the runs of ``starts`` that share their least anchor string."""
+    sums = _prints(buf)
+    anchors = tb.window_hash(sums[0], settings.anchor)
     least = _least(anchors, settings.length - settings.anchor + 1)[starts]
     new = np.flatnonzero((np.diff(starts) != 1) | (np.diff(least) != 0)) + 1
     a, b = np.concatenate([[0], new]), np.concatenate([new - 1, [len(starts) - 1]])
     first, last = starts[a], starts[b]
-    content = tb.span_hash(sums, first, last + settings.length) ^ tb.mix((last - first).astype(U64))
-    return first, last, anchors[least[a]], content
-
-
-def repeats(texts: list[bytes], counts: np.ndarray, settings: Settings) -> list[np.ndarray]:
-    """Of one bucket: the starts in each distinct run whose string stands elsewhere too."""
-    length = settings.length
-    keys, owner, at = [], [], []
-    for i, text in enumerate(texts):
-        code = tb.window_hash(tb.prefix_sums(np.frombuffer(text, np.uint8)), length)
-        keys.append(code)
-        owner.append(np.full(len(code), i))
-        at.append(np.arange(len(code)))
-    key, own, place = np.concatenate(keys), np.concatenate(owner), np.concatenate(at)
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
+    return first, last, anchors[least[a]], _print(sums, first, last + settings.length), least[a] - first
+
+
+def repeats(bucket: np.ndarray, texts: list[bytes], counts: np.ndarray, mid: np.ndarray, cover: Cover, settings: Settings) -> list[np.ndarray]:
+    """Of whole buckets: the starts in each distinct run whose string stands elsewhere too.
+
+    ``mid`` is where the string that names the bucket stands in each run.
+    """
+    length, width, edge = settings.length, cover.width, cover.edge
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    base, n = np.cumsum(sizes) - sizes, sizes - length + 1
+    ends = np.cumsum(n)
+    own = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    before = mid[own] - place
+    group = np.unique(bucket, return_inverse=True)[1][own] * length + before
     twice = counts[own] > 1
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    return [place[edge[i]:edge[i + 1]][twice[edge[i]:edge[i + 1]]] for i in range(len(texts))]
+    tied = np.flatnonzero(np.bincount(group)[group] > 1)
+    if len(tied):
+        start, before = (base[own] + place)[tied], before[tied]
+        one, two = start + cover.first[before], start + cover.last[before]
+        at = np.unique(np.concatenate([one, two]))
+        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, width)[at]).view(f"V{width}").ravel()
+        rank = np.unique(strings, return_inverse=True)[1].astype(">u4")
+        del strings
+        key = np.empty((len(tied), 16 + 2 * edge), np.uint8)
+        near = np.lib.stride_tricks.sliding_window_view(buf, edge)
+        key[:, :8] = group[tied].astype(">u8").view(np.uint8).reshape(-1, 8)
+        key[:, 8:8 + edge] = near[start]
+        for k, sample in ((8, one), (12, two)):
+            key[:, k + edge:k + edge + 4] = rank[np.searchsorted(at, sample)].view(np.uint8).reshape(-1, 4)
+        key[:, 16 + edge:] = near[start + length - edge]
+        order = np.argsort(key.view(f"V{key.shape[1]}").ravel(), kind="stable")
+        key = key[order]
+        same = (key[1:] == key[:-1]).all(axis=1)
+        twice[tied[order[1:][same]]] = True
+        twice[tied[order[:-1][same]]] = True
+    return [place[b - k:b][twice[b - k:b]] for b, k in zip(ends.tolist(), n.tolist())]
 
 
 def _pairs(at: np.ndarray) -> bytes:
@@ -256,7 +304,7 @@ def _heavy_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = np.zeros(CLASSES, np.int64), set()
         for batch in batches:
-            for _, _, (first, last, bucket, content) in _of_batch(batch, settings):
+            for _, _, (first, last, bucket, content, _) in _of_batch(batch, settings):
                 new = []
                 for i, key in enumerate(content.tolist()):
                     if key not in known:
@@ -273,15 +321,15 @@ def _heavy_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
 
 
 def _codes(texts: DataFrame, settings: Settings, heavy: np.ndarray) -> DataFrame:
-    """(bucket, content, place, code): the hash of each string that starts in a run of a heavy class; of equal runs, from two in each task."""
+    """(bucket, content, place, code): the print of each string that starts in a run of a heavy class; of equal runs, from two in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again: dict[tuple[int, int], int] = {}
+        again: dict[tuple[int, bytes], int] = {}
         for batch in batches:
-            for _, buf, (first, last, bucket, content) in _of_batch(batch, settings):
+            for _, buf, (first, last, bucket, content, _) in _of_batch(batch, settings):
                 mine = []
                 for i in np.flatnonzero(np.isin(_class(bucket), heavy)).tolist():
-                    key = int(bucket[i]), int(content[i])
+                    key = int(bucket[i]), bytes(content[i])
                     if again.get(key, 0) < 2:
                         again[key] = again.get(key, 0) + 1
                         mine.append(i)
@@ -290,11 +338,11 @@ def _codes(texts: DataFrame, settings: Settings, heavy: np.ndarray) -> DataFrame
                 size = last[mine] - first[mine] + 1
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 start = np.repeat(first[mine], size) + place
-                code = tb.span_hash(tb.prefix_sums(buf), start, start + settings.length)
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(x[mine], size).view(np.int64)) for x in (bucket, content)], pa.array(place.astype(np.int32)), pa.array(code.view(np.int64))],
+                code = _print(_prints(buf), start, start + settings.length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket[mine], size).view(np.int64)), _binary(np.repeat(content[mine], size)), pa.array(place.astype(np.int32)), _binary(code)],
                                                  names=["bucket", "content", "place", "code"])
 
-    return texts.mapInArrow(run, "bucket long, content long, place int, code long")
+    return texts.mapInArrow(run, "bucket long, content binary, place int, code binary")
 
 
 def _heavy_repeats(texts: DataFrame, settings: Settings, heavy: np.ndarray) -> DataFrame:
@@ -308,47 +356,49 @@ def _heavy_repeats(texts: DataFrame, settings: Settings, heavy: np.ndarray) -> D
             found = [_pairs(np.sort(x.values.to_numpy())) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["bucket", "content", "found"])
 
-    return places.mapInArrow(run, "bucket long, content long, found binary")
+    return places.mapInArrow(run, "bucket long, content binary, found binary")
 
 
 def _runs(texts: DataFrame, settings: Settings, with_text: bool, heavy: np.ndarray | None = None) -> DataFrame:
-    """(uid, first, bucket, content), or with the text of each distinct run of a task and how often it has it: (bucket, content, text, n), but for the heavy classes."""
+    """(uid, first, bucket, content), or with the text of each distinct run of a task and how often it has it: (bucket, content, mid, text, n), but for the heavy classes."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_of_batch(batch, settings))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([u for u, _, _ in found], [len(x[0]) for *_, x in found]).astype(np.int64)), *[pa.array(np.concatenate([x[k] for *_, x in found]).view(np.int64)) for k in (0, 2, 3)]],
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([u for u, _, _ in found], [len(x[0]) for *_, x in found]).astype(np.int64)), *[pa.array(np.concatenate([x[k] for *_, x in found]).view(np.int64)) for k in (0, 2)],
+                                                  _binary(np.concatenate([x[3] for *_, x in found]))],
                                                  names=["uid", "first", "bucket", "content"])
 
     def texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again: dict[tuple[int, int], int] = {}
+        again: dict[tuple[int, bytes], int] = {}
 
         def lot(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["bucket", "content", "text", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()))], names=["bucket", "content", "mid", "text", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
-                for _, buf, (first, last, bucket, content) in _of_batch(batch.slice(at, 256), settings):
+                for _, buf, found in _of_batch(batch.slice(at, 256), settings):
                     if heavy is not None and len(heavy):
-                        light = ~np.isin(_class(bucket), heavy)
-                        first, last, bucket, content = first[light], last[light], bucket[light], content[light]
-                    for a, b, key in zip(first.tolist(), (last + settings.length).tolist(), zip(bucket.view(np.int64).tolist(), content.view(np.int64).tolist())):
+                        found = [x[~np.isin(_class(found[2]), heavy)] for x in found]
+                    first, last, bucket, content, mid = found
+                    keys = zip(bucket.view(np.int64).tolist(), content.tolist())
+                    for a, b, key, m in zip(first.tolist(), (last + settings.length).tolist(), keys, mid.tolist()):
                         if key in again:
                             again[key] += 1
                         else:
                             again[key] = 0
-                            rows.append((*key, buf[a:b].tobytes(), 1))
+                            rows.append((*key, m, buf[a:b].tobytes(), 1))
                 if rows:
                     yield lot(rows)
-        extra = [(*key, None, n) for key, n in again.items() if n]
+        extra = [(*key, None, None, n) for key, n in again.items() if n]
         if extra:
             yield lot(extra)
 
     if with_text:
-        return texts.mapInArrow(texts_once, "bucket long, content long, text binary, n long")
-    return texts.mapInArrow(narrow, "uid long, first long, bucket long, content long")
+        return texts.mapInArrow(texts_once, "bucket long, content binary, mid int, text binary, n long")
+    return texts.mapInArrow(narrow, "uid long, first long, bucket long, content binary")
 
 
 def _bucket_repeats(pieces: DataFrame, settings: Settings) -> DataFrame:
@@ -356,31 +406,43 @@ def _bucket_repeats(pieces: DataFrame, settings: Settings) -> DataFrame:
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
-
-        def flush() -> list[tuple]:
-            counts = np.array([n for _, n in held.values()])
-            if len(held) < 2 and counts.sum() < 2:
-                return []
-            found = repeats([t for t, _ in held.values()], counts, settings)
-            return [(now, content, _pairs(at)) for content, at in zip(held, found) if len(at)]
+        cover, now = Cover(settings), None
+        held: dict[bytes, tuple] = {}
+        lot: list[tuple] = []
+        size = 0
+
+        def close() -> int:
+            """The bucket is whole: its runs join the lot unless nothing in it can repeat."""
+            runs_of = [(now, content, *run) for content, run in held.items()]
+            held.clear()
+            if len(runs_of) < 2 and all(r[-1] < 2 for r in runs_of):
+                return 0
+            lot.extend(runs_of)
+            return sum(len(r[3]) for r in runs_of)
+
+        def sort() -> Iterator[pa.RecordBatch]:
+            if lot:
+                bucket, content, mid, texts, n = zip(*lot)
+                found = repeats(np.array(bucket), list(texts), np.array(n), np.array(mid), cover, settings)
+                out = [(b, c, _pairs(at)) for b, c, at in zip(bucket, content, found) if len(at)]
+                lot.clear()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "content", "found"])
 
-        out: list[tuple] = []
         for batch in batches:
-            for bucket, content, text, n in zip(*[c.to_pylist() for c in batch.columns]):
+            for bucket, content, mid, text, n in zip(*[c.to_pylist() for c in batch.columns]):
                 if bucket != now:
-                    out += flush() if held else []
-                    now, held = bucket, {}
-                had = held.get(content, (None, 0))
-                held[content] = (had[0] if text is None else text, had[1] + n)
-            if len(out) > 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "content", "found"])
-                out = []
-        out += flush() if held else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "content", "found"])
-
-    return pieces.repartition(2 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, content long, found binary")
+                    size += close()
+                    now = bucket
+                    if size > LOT_BYTES:
+                        yield from sort()
+                        size = 0
+                had = held.get(content, (mid, text, 0))
+                held[content] = (*(had[:2] if text is None else (mid, text)), had[2] + n)
+        close()
+        yield from sort()
+
+    return pieces.repartition(2 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, content binary, found binary")
 
 
 def _cut(texts: DataFrame, settings: Settings) -> DataFrame:
