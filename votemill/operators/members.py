@@ -77,6 +77,11 @@ def member_summary(person: DataFrame, vote_record: DataFrame, vote: DataFrame, s
             .join(speech_vote_alignment(days, window_days).select("person_id", "alignment"), "person_id", "left")
             .na.fill(0, ["follows", "deviates", "n_votes_total", "n_votes_cast", "n_absent", "n_parties", "n_speeches"]))
 
+    return summary_rows(base, period, weights)
+
+
+def summary_rows(base: DataFrame, period: str = "all", weights: tuple[float, float] = (C.WEIGHT_ALIGNMENT, C.WEIGHT_LINE)) -> DataFrame:
+    """Components, index, confidence and flags from the counts and the alignment of each member."""
     eligible, a, b = F.col("n_votes_eligible"), F.col("alignment"), F.col("party_line_score")
     wa, wb = (F.lit(w) for w in weights)
     base = (base.withColumn("n_votes_eligible", F.col("follows") + F.col("deviates"))

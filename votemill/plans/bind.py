@@ -15,6 +15,7 @@ from votemill import constants as C
 from votemill.functions import scalars as S, text as X
 from votemill.operators import language, lines, members, power, promises, search, stance, survey, topics
 from votemill.operators.relational import first_per_key
+from votemill.plans.changes import MemberTables
 from votemill.sources import sinks
 from votemill.runtime import fresh_path, listing, materialize, spread, tune
 
@@ -259,6 +260,18 @@ class Bound:
         return materialize(members.member_summary(self.person, self.vote_record, self.vote_head, self.speech, self.topic_days,
                                                   deviation=self.party_deviation), "member-summary")
 
+    @cached_property
+    def by_loads(self) -> MemberTables:
+        """Lines, deviations and summaries from two loads: votes of the even years, some with values to be corrected; then the others, the corrections and the speeches."""
+        even = F.col("vp_year") % 2 == 0
+        early, late = self.vote_head.where(even), self.vote_head.where(~even)
+        record = self.vote_record.join(self.vote_head.select("vote_id", "vp_year"), "vote_id")
+        wrong = even & (F.col("vote_id") % 5 == 0)
+        first = record.where(even).withColumn("vote_value", F.when(wrong, "Ei").otherwise(F.col("vote_value")))
+        return (MemberTables(self.spark, fresh_path(self.spark, "by-loads"))
+                .load(1, vote_record=first, vote=early, vote_topic=self.vote_topic)
+                .load(2, vote_record=record.where(wrong | ~even), vote=late, vote_topic=self.vote_topic, speech=self.speech, speech_topic=self.speech_topic))
+
     @cached_property
     def member_topic(self) -> DataFrame:
         return materialize(members.member_topic_counts(self.person, self.speech, self.speech_topic, self.vote_record, self.vote_topic), "member-topic")

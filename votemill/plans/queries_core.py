@@ -63,6 +63,21 @@ def _(b):
     return b.member_summary.withColumn("deviation_rate", F.round("deviation_rate", SIX))
 
 
+@query("party_line_by_loads", ORACLES["party_line"])
+def _(b):
+    return b.by_loads.party_line()
+
+
+@query("party_deviation_by_loads", ORACLES["party_deviation"])
+def _(b):
+    return b.by_loads.party_deviation()
+
+
+@query("member_summary_by_loads", ORACLES["member_summary"])
+def _(b):
+    return b.by_loads.member_summary(b.person).withColumn("deviation_rate", F.round("deviation_rate", SIX))
+
+
 @query("member_topic_counts", "SELECT person_id, topic_id, n_speeches, n_votes FROM member_topic")
 def _(b):
     return b.member_topic

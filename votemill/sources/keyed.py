@@ -4,7 +4,7 @@ A table is a folder of *lots*, one for every load or merge, each cut into
 folders of its buckets (``lots/lot=.../bucket=...``).  The newest numbered
 folder below ``manifest`` names the files that count, and is put in place last
 by a rename, so readers and a merge that run during a load see whole versions.
-Buckets are hashes of the key.  The first load makes so many that one holds up
+Buckets are hashes of the key, or of a part of it.  The first load makes so many that one holds up
 to ``bucket_rows`` rows; a load that would bring them to twice as many on average
 rewrites the table in more buckets first, so a bucket stays small however long
 the table lives.
@@ -58,8 +58,10 @@ def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
 class KeyedTable:
     """The newest version of the table below ``path``; loads and merges return the version they make."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], bucket_rows: int = 1 << 16):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], bucket_rows: int = 1 << 16, bucket_by: list[str] | None = None):
         self.spark, self.path, self.keys, self.bucket_rows = spark, path, keys, bucket_rows
+        #: the part of the key whose hash is the bucket
+        self.bucket_by = bucket_by or keys
         self.version = max(self._versions(), default=0)
         self.rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/{self.version}").collect() if self.version else []  # a row per bucket and lot
         self.depth = next((r.n for r in self.rows if r.kind == "depth"), 0)
@@ -79,7 +81,7 @@ class KeyedTable:
         return [int(n) for n in self._names(f"{self.path}/manifest") if n.isdigit()]
 
     def newest(self) -> KeyedTable:
-        return KeyedTable(self.spark, self.path, self.keys, self.bucket_rows)
+        return KeyedTable(self.spark, self.path, self.keys, self.bucket_rows, self.bucket_by)
 
     def _commit(self, change: Callable[[KeyedTable], list[tuple]]) -> KeyedTable:
         """A new version with the rows that ``change`` makes of the newest one; anew if another was quicker."""
@@ -121,7 +123,20 @@ class KeyedTable:
         """One row per key: of the newest lot, or of the first.  Buckets of a single lot are read as they are."""
         if not self._live():
             raise ValueError(f"no rows below {self.path}")
-        live = self._live()
+        return self._of(self._live(), last_wins)
+
+    def matching(self, rows: DataFrame, last_wins: bool = True) -> DataFrame | None:
+        """Of ``current`` the rows whose ``bucket_by`` columns stand in ``rows``; reads only the buckets those fall into."""
+        wanted, live = rows.select(*self.bucket_by).distinct(), self._live()
+        touched = {r["bucket"] for r in wanted.select(self._bucket(self.depth).alias("bucket")).distinct().collect()} & set(live)
+        self.looked_up = sorted(touched)
+        if not touched:
+            return None
+        known = wanted.select(*[F.col(k).alias(f"_wanted_{i}") for i, k in enumerate(self.bucket_by)])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_wanted_{i}")) for i, k in enumerate(self.bucket_by)])
+        return self._of({b: live[b] for b in touched}, last_wins).join(known, same, "left_semi")
+
+    def _of(self, live: dict[int, list[str]], last_wins: bool) -> DataFrame:
         single, mixed = {b: x for b, x in live.items() if len(x) == 1}, {b: x for b, x in live.items() if len(x) > 1}
         parts = [self._read(single)] if single else []
         if mixed:
@@ -136,7 +151,7 @@ class KeyedTable:
 
     # --- writing -------------------------------------------------------------------------
     def _bucket(self, depth: int) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(1 << depth)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(1 << depth)).cast("int")
 
     def _lot(self, number: int) -> str:
         return f"{number:010d}-{uuid.uuid4().hex[:8]}"
