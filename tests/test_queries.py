@@ -1,7 +1,12 @@
+import os
+import shutil
+import urllib.parse
+
 import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
+from votemill.plans.bind import Bound
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -36,3 +41,23 @@ def test_topic_classification_needs_no_exchange(spark):
     df = topics.assign_topics(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("gone", [1, None])
+def test_written_tables_that_are_gone_are_written_anew(spark, tmp_path, gone):
+    """The run's folder may lose files between two queries, as to a job that frees disk."""
+    sf = str(shutil.copytree(SF, tmp_path / "tables"))  # a model of its own
+    names = ["agg_conditional", "agg_majority", "gov_lost", "fn_label_speaker", "join_anti", "search_term_statistics"]
+    model = Bound.over(spark, sf)
+    kept = [model.vote_record, model.party_line, model.outcomes, model.speech, model.search_index.blocks()]
+    for frame in kept:
+        for file in frame.inputFiles()[:gone]:
+            os.remove(urllib.parse.urlparse(file).path)
+    for name in names:
+        assert compare(entry.queries()[name](spark, sf), connect(SF), SQL[name])[0] == "", name
+
+
+def test_written_tables_serve_later_queries(spark, tmp_path):
+    sf = str(shutil.copytree(SF, tmp_path / "tables"))
+    first = Bound.over(spark, sf).vote_record.inputFiles()
+    assert first and sorted(Bound.over(spark, sf).vote_record.inputFiles()) == sorted(first)
