@@ -40,6 +40,16 @@ def test_parts_follow_each_other(spark, size):
     assert got == {b: t for b, t in want.items() if t}
 
 
+def test_places_move_texts_once(spark, tmp_path):
+    """Ranges and running totals are of lengths; repeated keys and groups without a name keep every text."""
+    rows = [("a", 1, "long text " * 9), ("a", 1, "again"), ("a", 2, "end"), (None, 1, "first"), (None, 2, "second"), ("a", 3, None), ("b", None, "x")]
+    spark.createDataFrame(rows, "bill string, id long, text string").write.parquet(str(tmp_path / "t"))
+    at = corpus.placed(spark.read.parquet(str(tmp_path / "t")), "bill", ["id"], "text")
+    assert {(r.bill, r.text, r.start) for r in at.collect()} == {("a", "again", 0), ("a", "long text " * 9, 6), ("a", "end", 97), (None, "first", 0), (None, "second", 6), ("b", "x", 0)}
+    plan = at._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") and not any("_range" in line and "text#" in line for line in plan.splitlines())
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_quotes_over_seams(spark, seed):
     texts, r = _texts(seed), random.Random(seed)

@@ -7,7 +7,7 @@ size from the texts, or parts of texts, that reach into them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from votemill.runtime import running_total
 
@@ -16,9 +16,17 @@ GAP = "\u0000"
 
 
 def placed(texts: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
-    """Adds ``start``: where each text begins in its group's corpus, from 0.  Null texts are no part of it."""
-    held = texts.where(F.col(text).isNotNull()).withColumn("_step", F.length(text).cast("long") + 1)
-    return running_total(held, group, order, "_step", "start").drop("_step")
+    """Adds ``start``: where each text begins in its group's corpus, from 0.  Null texts are no part of it.
+
+    Only lengths are ordered and summed; texts travel once, to the place of
+    their key.  Those of one key follow each other in the order of the texts.
+    """
+    held = texts.where(F.col(text).isNotNull()).withColumn("_key", F.struct(group, *order)).withColumn("_step", F.length(text).cast("long") + 1)
+    steps = held.groupBy(group, *order).agg(F.sum("_step").alias("_step"))
+    starts = running_total(steps, group, order, "_step", "_start").select(F.struct(group, *order).alias("_key"), "_start")
+    before = W.partitionBy("_key").orderBy(text).rowsBetween(W.unboundedPreceding, -1)
+    return (held.join(starts, "_key").withColumn("start", F.col("_start") + F.coalesce(F.sum("_step").over(before), F.lit(0)))
+            .drop("_key", "_start", "_step"))
 
 
 def chunks(pieces: DataFrame, group: str, size: Column, overlap: Column) -> DataFrame:
