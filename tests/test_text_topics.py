@@ -107,6 +107,17 @@ def test_bm25_ranks_and_snippet(spark, seed, tmp_path):
     assert s.snip.startswith("<mark>Verotus</mark>")
 
 
+def test_snippet_cuts_a_text_once_and_looks_at_the_words_of_the_window_only(spark):
+    words = ["\u0301", "x" * 3, "ΟΔΟΣ", "😀", "quex", "-"] * 4 + ["(QUÉ)"] + ["y", "qu\u0301e-z", "\u0301\u0302"] * 5
+    texts = [" " + "\n ".join(words) + "\t", "que", "  quex\t", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    terms = F.array(*[F.lit(t) for t in ("thon", "que", "a-b")])
+    got = df.select("id", X.snippet(F.col("text"), terms).alias("snip"))
+    mark = [f"<mark>{w}</mark>" if w in ("(QUÉ)", "qu\u0301e-z") else w for w in words[24:36]]
+    assert {r.id: r.snip for r in got.collect()} == {0: "…" + " ".join(mark) + "…", 1: "<mark>que</mark>", 2: None, 3: None, 4: None}
+    assert got._jdf.queryExecution().analyzed().toString().count("split(") == 2
+
+
 def test_phrases_and_pruned_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "EU-jäsen maksaa"), (2, "jäsen EU"), (3, "eu ja jäsen"), (4, "Sørensen e\u0301 x")], "id long, text string")
     assert search.fold_phrases('EU-jäsen "Mentré" ø-x') == [["eu", "jasen"], ["mentre"], ["ø", "x"]]
