@@ -38,6 +38,9 @@ BYTE_CHARACTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - s
 
 _SPACE = chr(BYTE_CHARACTERS[0x20])
 
+#: Stretches of text that a worker remembers (see :class:`PreTokens`), some 200 bytes each.
+MEMORY = 1_000_000
+
 
 class Ids:
     """Token ids of texts by the tokenizer's library, as little-endian unsigned 32-bit bytes.
@@ -50,7 +53,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.values = PreTokens(public_tokenizers.PATTERN, self._merge, b"".join, self._whole, memory=1_000_000)
+        self.values = PreTokens(public_tokenizers.PATTERN, self._merge, b"".join, self._whole, memory=MEMORY)
 
     def _merge(self, piece: str) -> bytes:
         if piece.isascii() and piece.lstrip(" ").isalpha():
@@ -79,7 +82,7 @@ def cuts(length: int, size: int) -> list[int]:
     return [0, *range((length - 1) % size + 1, length, size)]
 
 
-def tokenize(df: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None, end_id: int = 2, size: int = 1024) -> DataFrame:
+def tokenize(df: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None, end_id: int = 2, size: int = 1024, memory: int = MEMORY) -> DataFrame:
     """A row per piece: ``row`` (struct of the kept columns), uid, piece, start, length, ids (little-endian unsigned 32-bit bytes)."""
     runtime.ship(df.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +94,7 @@ def tokenize(df: DataFrame, text: str = "text", keep: list[str] | None = None, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches.enter("packing", _ids.cache_clear)
         encode, uid = _ids(path), TaskContext.get().partitionId() << 40
+        encode.values.memory = memory
         for batch in batches:
             texts = batch.column(1)
             for low in range(0, batch.num_rows, 500):
