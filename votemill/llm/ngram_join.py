@@ -338,6 +338,7 @@ def join(df: DataFrame, text: str = "text", keep: list[str] | None = None, setti
     """``row`` (struct of the kept columns), ``uid``, ``n_shingles`` and ``component``: the uid that stands for all texts reachable by links."""
     spark = df.sparkSession
     runtime.ship(spark)
+    runtime.lean(spark)
     buckets = sk.bucket_count(spark)
     table = runtime.materialize(_sets(df, text, keep or df.columns, settings, buckets), "shingles")
     texts = table.where("kind = 0").withColumn("uid", _uid())
