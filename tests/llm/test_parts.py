@@ -10,8 +10,10 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import brute
+from votemill import runtime
 from votemill.llm import bpe, components, lbl, ngram_join, packing, shared_keys as sk, suffix_dedup, textblocks as tb, toxicity
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab .\n\t\x0b|é中\x85", max_size=40)), max_size=12)
@@ -133,6 +135,32 @@ def test_components_of_chains(spark):
     assert len({labels[i] for i in range(31)}) == 1 and len({labels[i] for i in range(31, 61)}) == 1 and labels[0] != labels[60]
 
 
+def test_rounds_of_few_edges_write_one_file_each(spark, monkeypatch):
+    files, write = [], runtime.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(runtime, "materialize", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(i, i + 1) for i in range(300) if i % 50 != 49]
+        labels = {r.node: r.comp for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [len(set(labels[i] for i in range(low, low + 50))) for low in range(0, 300, 50)] == [1] * 6 and len(set(labels.values())) == 6
+    assert max(files[1:]) == 1  # the first is the table of edges as it comes
+
+
+def test_verified_pairs_are_written_as_one_file(spark):
+    sets = spark.createDataFrame([(i, 4, bytes(8 * k % 256 for k in range(32)), bytes(16)) for i in range(40)], "uid long, n long, tokens binary, counts binary")
+    pairs = spark.range(39).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(4)
+    found = runtime.materialize(ngram_join._verified(pairs, sets, ngram_join.Settings()), "links")
+    assert sorted(tuple(r) for r in found.collect()) == [(i, i + 1) for i in range(39)] and len(found.inputFiles()) == 1
+
+
 def test_model_is_normalised_and_learns():
     own = lbl.Settings(words=20, groups=4, dim=8, noise=16, batch=256)
     rng = np.random.default_rng(1)

@@ -209,7 +209,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
                     linked.append(r)
             yield batch.select(["a", "b"]).take(pa.array(linked, pa.int64()))
 
-    return met.mapInArrow(run, "a long, b long")
+    # few pairs are left: an exchange of them is a file or two, else each task writes one of its own
+    return met.mapInArrow(run, "a long, b long").repartition("a", "b")
 
 
 def _similar_size(settings: Settings):
@@ -285,7 +286,7 @@ def _family_links(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataF
         if held:
             yield _links_of_blocks(held, settings)
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long").repartition("a", "b")
 
 
 def _links_of_blocks(rows: list[tuple], settings: Settings) -> pa.RecordBatch:
