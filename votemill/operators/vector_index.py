@@ -113,12 +113,88 @@ class VectorIndex:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_order(units, centres)[:, :probes].astype(np.int32).tolist(), pa.list_(pa.int32()))],
                                                      names=["query_id", "unit", "cells"])
 
-        visits = asked.mapInArrow(run, f"query_id {asked.schema['id'].dataType.simpleString()}, unit array<double>, cells array<int>")
-        met = visits.select("query_id", F.col("unit").alias("_q"), F.explode("cells").alias("cell")).join(self.rows.select("id", "vec", "cell"), "cell")
-        dot = F.aggregate(F.zip_with("vec", "_q", lambda a, b: a * b), F.lit(0.0), lambda acc, p: acc + p)
-        scored = met.select("query_id", "id", F.round(dot, 9).alias("score"))
+        kind, own = asked.schema["id"].dataType.simpleString(), self.rows.schema["id"].dataType.simpleString()
+        visits = asked.mapInArrow(run, f"query_id {kind}, unit array<double>, cells array<int>").select("query_id", "unit", F.explode("cells").alias("cell"))
+        # a task holds the queries of a cell, a lot at a time, and meets the rows of the cell with them in blocks
+        lots = (visits.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(self._query_lots(asked))).alias("lot"))
+                .agg(F.collect_list(F.struct("query_id", "unit")).alias("asked")).select("cell", F.col("asked.query_id").alias("queries"), F.col("asked.unit").alias("units")))
+        blocks = (self.rows.select("id", "vec", "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(self._row_lots())).alias("lot"))
+                  .agg(F.collect_list(F.struct("id", "vec")).alias("held")).select("cell", F.col("held.id").alias("ids"), F.col("held.vec").alias("vecs")))
+        met = lots.join(blocks, "cell").select("queries", "units", "ids", "vecs")
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(k)
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    yield from best.add(*(batch.column(c)[at].values for c in range(4)))
+            yield from best.held_rows()
+
+        scored = met.mapInArrow(score, f"query_id {kind}, id {own}, dot double").select("query_id", "id", F.round("dot", 9).alias("score"))
         return top_n(scored, ["query_id"], [F.desc("score"), F.asc("id")], k).select("query_id", "rank", "id", "score")
 
+    def _query_lots(self, asked: DataFrame) -> int:
+        """Lots of at most some 1,024 queries, if all look under the same cells."""
+        return max(1, -(-asked.count() // 1024))
+
+    def _row_lots(self) -> int:
+        """Lots of at most some 2,048 rows of the fullest cell."""
+        return max(1, -(-(self.rows.groupBy("cell").count().agg(F.max("count")).first()[0] or 0) // 2048))
+
+
+class _Best:
+    """The rows of a task that can be among the ``k`` best of their query by the rounded product.
+
+    A matrix product sorts out the others, by the ``k``-th best seen in the task and a margin above its rounding; the
+    products of the rows that are left are summed in the order of the vector's numbers, so they do not depend on blocks.
+    Queries and rows held are bounded: known bounds are forgotten, and rows handed on, where there are too many.
+    """
+
+    def __init__(self, k: int, most_queries: int = 1 << 16, most_rows: int = 1 << 20):
+        self.k, self.most_queries, self.most_rows = k, most_queries, most_rows
+        self.place: dict = {}
+        self.top = np.full((1024, k), -np.inf)
+        self.held: list[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]] = []
+
+    def add(self, queries: pa.Array, units: pa.Array, ids: pa.Array, vecs: pa.Array) -> Iterator[pa.RecordBatch]:
+        if len(self.place) > self.most_queries:
+            yield from self.held_rows()
+            self.place, self.top = {}, np.full((1024, self.k), -np.inf)
+        own = np.array([self.place.setdefault(q, len(self.place)) for q in queries.to_pylist()], np.int64)
+        while len(self.top) < len(self.place):
+            self.top = np.concatenate([self.top, np.full_like(self.top, -np.inf)])
+        q, x = _matrix(units), _matrix(vecs)
+        rough = q @ x.T
+        best = np.partition(rough, len(x) - self.k, axis=1)[:, -self.k:] if len(x) > self.k else rough
+        merged = np.concatenate([self.top[own], best], axis=1)
+        self.top[own] = np.partition(merged, merged.shape[1] - self.k, axis=1)[:, -self.k:]
+        i, j = np.nonzero(rough >= self.top[own].min(axis=1)[:, None] - 1e-8)
+        if len(i):
+            dot = np.zeros(len(i))
+            for d in range(q.shape[1]):
+                dot += x[j, d] * q[i, d]
+            self.held.append((own[i], queries.take(pa.array(i)), ids.take(pa.array(j)), dot))
+        if sum(len(h[3]) for h in self.held) > self.most_rows:
+            self._cut()
+            if sum(len(h[3]) for h in self.held) > self.most_rows // 2:
+                yield from self.held_rows()
+
+    def _cut(self) -> None:
+        least, kept = self.top.min(axis=1) - 1e-8, []
+        for own, queries, ids, dot in self.held:
+            good = dot >= least[own]
+            kept.append((own[good], queries.filter(pa.array(good)), ids.filter(pa.array(good)), dot[good]))
+        self.held = [h for h in kept if len(h[3])]
+
+    def held_rows(self) -> Iterator[pa.RecordBatch]:
+        self._cut()
+        for _, queries, ids, dot in self.held:
+            yield pa.RecordBatch.from_arrays([queries, ids, pa.array(dot)], names=["query_id", "id", "dot"])
+        self.held = []
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy().reshape(len(vectors), -1)
+
 
 def build(df: DataFrame, id_col: str, vec_col: str, path: str, settings: Settings = Settings()) -> VectorIndex:
     """Files all rows that take part below ``path``."""
